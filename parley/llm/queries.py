@@ -5,17 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, risk_rules, rule_quality
 from .common import table
 
 
+def op1_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *(F.col(f"counts.{c}") for c in counts), "base_failed", "kept", "stratum")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rule_quality": op1_rule_quality,
+    "op3_risk_rules": op3_risk_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 
