@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, risk_rules, rule_quality, simhash, warc
+from . import decontaminate, language_id, line_dedup, packing, risk_rules, rule_quality, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -48,18 +52,29 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", F.col("n_removed").cast("long"), "text")
 
 
+def op8_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rule_quality": op1_rule_quality,
+    "op2_ordinal_toxicity": op2_ordinal_toxicity,
     "op3_risk_rules": op3_risk_rules,
     "op4_decontaminate": op4_decontaminate,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
+    "op8_url_ratio": op8_url_ratio,
     "op9_warc": op9_warc,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
