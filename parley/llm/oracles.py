@@ -55,7 +55,6 @@ SELECT doc.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
 FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-OP6 = None  # needs XXH64 and reachability over all pairs; tests use brute force
 
 OP9 = """
 WITH p AS (

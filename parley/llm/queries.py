@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, packing, risk_rules, rule_quality, simhash, toxicity, url_filter, warc
+from . import decontaminate, language_id, line_dedup, oracles, packing, risk_rules, rule_quality, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -77,4 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL can't express the others' models, tokenizer, hashes or reachability.
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": oracles.OP4,
+    "op7_line_dedup": oracles.OP7,
+    "op9_warc": oracles.OP9,
+}
