@@ -194,11 +194,11 @@ SELECT vec_id, round(scale, 9) AS scale, CAST(list_sum(codes) AS BIGINT) AS code
        round(list_max(list_transform(range(1, len(codes) + 1), lambda i: abs(codes[i] * scale - embedding[i]::DOUBLE))), 6) AS worst FROM c"""
 )
 def int8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    own = tables.read(spark, d, "embeddings").select("vec_id", "embedding", numbers.int8_scale(F.col("embedding")).alias("scale"), numbers.int8_codes(F.col("embedding")).alias("codes"))
-    lost = F.zip_with(numbers.int8_decode(F.col("codes"), F.col("scale")), F.col("embedding"), lambda a, b: F.abs(a - b.cast("double")))
+    own = tables.read(spark, d, "embeddings").select("vec_id", "embedding", numbers.int8_scale(F.col("embedding")).alias("step"), numbers.int8_codes(F.col("embedding")).alias("codes"))
+    lost = F.zip_with(numbers.int8_decode(F.col("codes"), F.col("step")), F.col("embedding"), lambda a, b: F.abs(a - b.cast("double")))
     return own.select(
         "vec_id",
-        F.round("scale", 9).alias("scale"),
+        F.round("step", 9).alias("scale"),
         F.aggregate("codes", F.lit(0).cast("long"), lambda a, b: a + b).alias("code_sum"),
         F.round(F.array_max(lost), 6).alias("worst"),
     )
