@@ -59,7 +59,7 @@ class _Words(dict):
     def _part(self, part: str) -> bytes:
         ids = self._parts.get(part)
         if ids is None:
-            chars = part if part.isascii() else "".join(self._chars[b] for b in part.encode())
+            chars = part if part.isascii() and part.isprintable() else "".join(self._chars[b] for b in part.encode())
             ids = self._parts[part] = np.array([t.id for t in self._tokens(chars)], "<u4").tobytes()
         return ids
 
