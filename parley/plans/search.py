@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions import numbers, text, times
-from parley.operators import cold, search
+from parley.functions import models, numbers, text, times
+from parley.operators import cold, search, vectors
 from parley.plans.registry import query
 from parley.plans.sql import CONV, MSG, WORDS, bm25, fuzzy, grams
 from parley.sources import tables
@@ -321,3 +321,46 @@ SELECT message_id, printf('%04d-%02d', 1970 + n // 365, 1 + least((n - (n // 365
 )
 def bucket_approx(spark: SparkSession, d: str) -> DataFrame:
     return tables.messages(spark, d).select("message_id", times.approximate_bucket(F.col("created_at_ms")).alias("time_bucket"))
+
+
+_ALL_SIMILAR = """unit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / n) AS u
+  FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)),
+pair AS (
+  SELECT a.vec_id AS query, b.vec_id AS message_id, list_dot_product(a.u, b.u) AS similarity FROM unit a, unit b WHERE a.vec_id % 100 = 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, message_id) AS rank FROM pair)"""
+
+
+@query(f"WITH {_ALL_SIMILAR} SELECT query, message_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 10")
+def vector_search_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 100 as a query, against all rows."""
+    stored = tables.vectors(spark, d)
+    return vectors.exact(stored, stored.where("message_id % 100 = 0"), 10).select("query", "message_id", six("similarity"), "rank")
+
+
+@query()
+def vector_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the partitioned index."""
+    stored = tables.vectors(spark, d)
+    return vectors.indexed(stored, stored.where("message_id % 100 = 0"), 10).select("query", "message_id", six("similarity"), "rank")
+
+
+@query()
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    stored = tables.vectors(spark, d)
+    asked = stored.where("message_id % 100 = 0")
+    return vectors.recall(vectors.indexed(stored, asked, 10), vectors.exact(stored, asked, 10))
+
+
+@query()
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The text blocks of every page, one row each."""
+    return tables.media_index(spark, d).select("asset_id", F.posexplode(models.html_pages(F.col("text"))).alias("block", "body"))
+
+
+@query(f"WITH {MSG} SELECT message_id, 'v1' AS model_version, 384 AS dimensions FROM msg")
+def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Messages embedded where no vector of this version is stored."""
+    messages = tables.messages(spark, d)
+    cache = messages.where("message_id % 2 = 0").select("message_id", F.lit("v1").alias("model_version"), models.mock_embedder(F.col("text")).alias("embedding"))
+    return models.embedded(messages, cache, "v1").select("message_id", "model_version", F.size("embedding").alias("dimensions"))
