@@ -9,12 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Scripts that n-grams tell apart, as Unicode script names; the first three use bigrams.
+#: Scripts that n-grams tell apart, as Unicode script names.
 SCRIPTS = (
-    "Han", "Hiragana", "Katakana", "Hangul", "Latin", "Cyrillic", "Arabic", "Hebrew", "Greek",
+    "Latin", "Han", "Hiragana", "Katakana", "Hangul", "Cyrillic", "Arabic", "Hebrew", "Greek",
     "Thai", "Devanagari", "Bengali", "Tamil", "Armenian", "Georgian",
 )
-BIGRAM_SCRIPTS = SCRIPTS[:3]
+BIGRAM_SCRIPTS = ("Han", "Hiragana", "Katakana")
 #: Least share of a query's n-grams that must match, by their length.
 LEAST_OVERLAP = {2: 0.5, 3: 1 / 3}
 
@@ -34,11 +34,15 @@ def script_runs(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({runs})"), F.lit(1))
 
 
+def in_script(run: Column, name: str) -> Column:
+    return run.rlike(rf"\p{{Is{name}}}")
+
+
 def script_of(run: Column) -> Column:
     """The script of a run."""
     found = F.lit("Unknown")
     for name in reversed(SCRIPTS):
-        found = F.when(run.rlike(rf"\p{{Is{name}}}"), F.lit(name)).otherwise(found)
+        found = F.when(in_script(run, name), F.lit(name)).otherwise(found)
     return found
 
 

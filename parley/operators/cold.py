@@ -99,7 +99,7 @@ def bloom_prune(cold: DataFrame, blooms: DataFrame, query: str, require: bool =
 def cold_hits(cold: DataFrame, query: search.SearchQuery) -> DataFrame:
     """Cold rows with ``base`` = words found + n-gram overlap, of those with any."""
     kept = search.filtered(cold, query)
-    near = search.fuzzy(search.fuzzy_grams(kept), query.text)
+    near = search.fuzzy_scan(kept, query.text)
     scored = kept.join(near, "message_id", "left").withColumn("words_found", substring_score(F.col("text"), query.text))
     return scored.where("words_found > 0 or fuzzy is not null").withColumn("base", F.col("words_found") + F.coalesce("fuzzy", F.lit(0.0))).drop("words_found", "fuzzy")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import numbers, text
@@ -127,34 +127,63 @@ def snippet(body: Column, query: str, width: int = 32) -> Column:
 def fuzzy_grams(messages: DataFrame, body: str = "text") -> DataFrame:
     """Distinct (message_id, script, token): the n-gram index."""
     runs = messages.select("message_id", F.explode(text.script_runs(F.col(body))).alias("run"))
-    parts = runs.select("message_id", text.script_of(F.col("run")).alias("script"), F.explode(text.segments(F.col("run"))).alias("part"))
+    split = runs.select("message_id", text.script_of(F.col("run")).alias("script"), text.segments(F.col("run")).alias("parts"))
+    parts = split.select("message_id", "script", F.explode("parts").alias("part"))
     tokens = parts.select("message_id", "script", F.explode(text.grams(F.col("part"), text.gram_length(F.col("script")))).alias("token"))
     return tokens.distinct()
 
 
+def asked_grams(spark: SparkSession, query: str) -> dict[str, list[str]]:
+    """The distinct n-grams of a query by script; runs a job over the query alone."""
+    asked = fuzzy_grams(spark.createDataFrame([(0, query)], "message_id long, text string")).collect()
+    scripts = sorted({r["script"] for r in asked})
+    return {s: sorted(r["token"] for r in asked if r["script"] == s) for s in scripts}
+
+
 def fuzzy(grams: DataFrame, query: str) -> DataFrame:
-    """(message_id, fuzzy): the share of the query's n-grams that a message has.
+    """(message_id, fuzzy): the share of the query's n-grams that a message has, by the n-gram index.
 
     A message is a hit if in some script it has at least that script's floor.
     """
     spark = grams.sparkSession
-    asked = fuzzy_grams(spark.createDataFrame([(0, query)], "message_id long, text string")).select("script", "token")
-    rows = [tuple(r) for r in asked.collect()]  # a query's own n-grams
+    asked = asked_grams(spark, query)
+    rows = [(s, t, len(own)) for s, own in asked.items() for t in own]
     if not rows:
         return grams.where(F.lit(False)).select("message_id", F.lit(0.0).alias("fuzzy"))
-    total = len(rows)
-    by_script = {s: sum(r[0] == s for r in rows) for s, _ in rows}
-    own = F.broadcast(spark.createDataFrame([(*r, by_script[r[0]]) for r in rows], "script string, token string, asked int"))
+    own = F.broadcast(spark.createDataFrame(rows, "script string, token string, asked int"))  # a query's own n-grams
     matched = grams.join(own, ["script", "token"]).groupBy("message_id", "script").agg(F.count("*").alias("n"), F.first("asked").alias("asked"))
     enough = F.col("n") / F.col("asked") >= text.least_overlap(F.col("script"))
     return (
         matched.groupBy("message_id")
-        .agg(F.bool_or(enough).alias("ok"), (F.sum("n") / total).alias("fuzzy"))
+        .agg(F.bool_or(enough).alias("ok"), (F.sum("n") / len(rows)).alias("fuzzy"))
         .where("ok")
         .select("message_id", "fuzzy")
     )
 
 
+def fuzzy_scan(messages: DataFrame, query: str) -> DataFrame:
+    """As :func:`fuzzy`, without an index and without a shuffle.
+
+    An n-gram has no separator, so a message has it just if its runs of that script,
+    in lower case, contain it.
+    """
+    asked = asked_grams(messages.sparkSession, query)
+    if not asked:
+        return messages.where(F.lit(False)).select("message_id", F.lit(0.0).alias("fuzzy"))
+    split = messages.select("message_id", text.script_runs(F.col("text")).alias("runs"))
+    by_script = split.select(
+        "message_id",
+        *(F.lower(F.array_join(F.filter("runs", lambda r: text.in_script(r, script)), " ")).alias(f"s{k}") for k, script in enumerate(asked)),  # noqa: B023
+    )
+    counts = by_script.select(
+        "message_id", *(reduce(lambda a, b: a + b, (F.contains(F.col(f"s{k}"), F.lit(t)).cast("int") for t in own)).alias(f"n{k}") for k, own in enumerate(asked.values()))
+    )
+    total = sum(map(len, asked.values()))
+    hit = reduce(lambda a, b: a | b, (F.col(f"n{k}") / len(own) >= text.least_overlap(F.lit(s)) for k, (s, own) in enumerate(asked.items())))
+    share = reduce(lambda a, b: a + b, (F.col(f"n{k}") for k in range(len(asked)))) / total
+    return counts.where(hit).select("message_id", share.alias("fuzzy"))
+
+
 # --- vectors ---------------------------------------------------------------------
 
 
@@ -194,7 +223,7 @@ def lexical(messages: DataFrame, query: str) -> DataFrame:
     hits = (
         full_text(messages, query)
         .select("message_id", (F.col("bm25") * BM25_WEIGHT).alias("part"))
-        .unionByName(fuzzy(fuzzy_grams(messages), query).select("message_id", (F.col("fuzzy") * FUZZY_WEIGHT).alias("part")))
+        .unionByName(fuzzy_scan(messages, query).select("message_id", (F.col("fuzzy") * FUZZY_WEIGHT).alias("part")))
         .groupBy("message_id")
         .agg(F.sum("part").alias("base"))
     )

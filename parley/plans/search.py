@@ -77,6 +77,15 @@ def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
     return search.fuzzy(search.fuzzy_grams(tables.messages(spark, d)), TYPO).select("message_id", six("fuzzy"))
 
 
+@query(
+    f"WITH {MSG}, {grams('g', 'msg')}, {_ASKED.format(TYPO)}, {grams('q', 'asked_text')}, {fuzzy('f', 'g', 'q')} "
+    "SELECT message_id, round(fuzzy, 6) AS fuzzy FROM f"
+)
+def fuzzy_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows without an index."""
+    return search.fuzzy_scan(tables.messages(spark, d), TYPO).select("message_id", six("fuzzy"))
+
+
 def _match(words: list[str], matches: str) -> str:
     return f"WITH {MSG}, {bm25('b', 'msg', words, matches)} SELECT message_id, round(bm25, 6) AS bm25 FROM b"
 

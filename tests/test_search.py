@@ -62,6 +62,12 @@ def test_fuzzy_scores(messages):
     assert {r.message_id for r in search.fuzzy(grams, "世界").collect()} == {2, 3, 6}
 
 
+@pytest.mark.parametrize("query", ["helo", "hexyzq", "a", "世界", "привет world", "hello 世界 мир", "—…", ""])
+def test_scan_is_the_index(messages, query):
+    by_index = search.fuzzy(search.fuzzy_grams(messages), query)
+    assert sorted(map(tuple, search.fuzzy_scan(messages, query).collect())) == sorted(map(tuple, by_index.collect()))
+
+
 def test_exact_before_fuzzy_and_each_once(messages):
     found = ids(search.hybrid(messages, SearchQuery("lighthouse"), 10))
     assert set(found) == {0, 5} and len(found) == 2
