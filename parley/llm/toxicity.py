@@ -1,9 +1,9 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features.
 
 The labels say toxic or not; the grades of toxic texts, 1 to 3, are thirds of the
-density of telling words.  These are words of labelled texts whose log odds of being
-in a toxic one stand out.  A proportional-odds model, one weight a word and ordered
-thresholds for the grades, then gives every text P(grade >= k) for each k; their sum
+damped count of telling words.  These are words of labelled texts, or beginnings of
+words, whose log odds of being in a toxic one stand out.  A proportional-odds model, one
+weight a feature and ordered thresholds for the grades, then gives every text P(grade >= k) for each k; their sum
 is the expected severity, and the first of them is the score.
 """
 
@@ -23,13 +23,15 @@ from .common import held_out, majority_labels
 from .linear import logistic
 
 #: About so many labelled rows at most are learned from.
-TRAIN_ROWS = 10_000
-#: At most so many words are features; a word must be in so many labelled texts.
-VOCABULARY, LEAST_TEXTS = 1_000, 4
-#: A word tells of toxicity if its log odds are so many standard errors above none.
+TRAIN_ROWS = 20_000
+#: At most so many words and word beginnings are features; one must be in so many labelled texts.
+VOCABULARY, LEAST_TEXTS = 2_000, 4
+#: Letters of the beginnings of longer words, which stand for forms that no labelled text has.
+BEGINNINGS = (4, 5)
+#: A feature tells of toxicity if its log odds are so many standard errors above none.
 TELLING = 4.0
 GRADES = 3
-ROUNDS, PENALTY, RATE = 300, 1e-4, 0.1
+ROUNDS, PENALTY, RATE = 400, 1e-5, 0.1
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -49,24 +51,41 @@ class CumulativeLink:
 
 
 def features(text: str, words: dict[str, int]) -> dict[int, float]:
-    """Damped counts of known words, by their number."""
+    """Damped counts of known words, and of beginnings (known as ``begi*``), by their number."""
     seen = _words(text.lower())
-    known = words.keys() & set(seen)
+    known: dict[str, list[int]] = {}
+    for word in set(seen):
+        found = [words[word]] if word in words else []
+        found += [words[b] for n in BEGINNINGS if len(word) > n and (b := word[:n] + "*") in words]
+        if found:
+            known[word] = found
     if not known:
         return {}
-    counts = Counter(w for w in seen if w in known)
-    return {words[w]: float(np.log1p(n)) for w, n in counts.items()}
+    counts: Counter[int] = Counter()
+    for word in seen:
+        counts.update(known.get(word, ()))
+    return {k: float(np.log1p(n)) for k, n in counts.items()}
+
+
+def _feature_names(text: Column) -> Column:
+    """The different words and beginnings of a text, as :func:`features` names them."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)))
+    begun = [F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in BEGINNINGS]  # noqa: B023
+    return F.array_distinct(F.concat(words, *begun))
 
 
 def fit_cumulative(rows: list[dict[int, float]], grades: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by full-batch gradient steps (Adam) on the likelihood."""
+    """Weights and ordered thresholds by full-batch gradient steps (Adam) on the likelihood.
+
+    Grade 0 and the others together weigh alike, so that rare toxic texts count.
+    """
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.array([k for r in rows for k in r], np.int64)
     value = np.array([v for r in rows for v in r.values()], np.float64)
     levels = int(grades.max(initial=1))
     params = np.concatenate([np.zeros(size), [1.0], np.zeros(levels - 1)])  # thresholds: the first, then log gaps
     mean, square = np.zeros_like(params), np.zeros_like(params)
-    index = np.arange(len(rows))
+    share = np.where(grades == 0, 0.5 / max(1, (grades == 0).sum()), 0.5 / max(1, (grades > 0).sum()))
     for step in range(1, ROUNDS + 1):
         weights, first, gaps = params[:size], params[size], np.exp(params[size + 1 :])
         cuts = np.concatenate([[-np.inf], first + np.concatenate([[0.0], np.cumsum(gaps)]), [np.inf]])
@@ -75,10 +94,10 @@ def fit_cumulative(rows: list[dict[int, float]], grades: np.ndarray, size: int)
         low, high = np.where(grades == 0, 1.0, low), np.where(grades == levels, 0.0, high)
         p = np.maximum(low - high, 1e-9)
         d_low, d_high = low * (1 - low) / p, high * (1 - high) / p
-        d_f = -(d_low - d_high) / len(rows)
+        d_f = -(d_low - d_high) * share
         d_cut = np.zeros(levels + 2)
-        np.add.at(d_cut, grades, d_low / len(rows))
-        np.add.at(d_cut, grades + 1, -d_high / len(rows))
+        np.add.at(d_cut, grades, d_low * share)
+        np.add.at(d_cut, grades + 1, -d_high * share)
         d_cut = d_cut[1:-1]
         tail = np.cumsum(d_cut[::-1])[::-1]
         gradient = np.concatenate([np.bincount(column, d_f[owner] * value, size) + 2 * PENALTY * weights, [tail[0]], tail[1:] * gaps])
@@ -101,9 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Cumulativ
     share = min(1.0, rows / max(1, known.count()))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
     sample = docs.select("doc_id", "text").where(drawn & F.col("text").isNotNull()).join(known.where(drawn), "doc_id")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     seen = (
-        sample.select("label", F.explode(F.array_append(words, F.lit(""))).alias("word"))
+        sample.select("label", F.explode(F.array_append(_feature_names(F.col("text")), F.lit(""))).alias("word"))
         .groupBy("word")
         .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     )
@@ -115,29 +133,27 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Cumulativ
     if not top:
         return None
     numbers = {r["word"]: k for k, r in enumerate(top)}
-    telling = [k for k, r in enumerate(top) if r["z"] > TELLING]
+    telling = {k for k, r in enumerate(top) if r["z"] > TELLING}
 
-    @F.arrow_udf(T.StructType([T.StructField("k", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("density", T.DoubleType())]))
+    @F.arrow_udf(T.StructType([T.StructField("k", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("amount", T.DoubleType())]))
     def sparse(text: pa.Array) -> pa.Array:
         rows = [features(t.as_py() or "", numbers) for t in text]
-        density = [
-            sum(np.expm1(r[k]) for k in telling if k in r) / max(1, len(_words(t.as_py() or ""))) for r, t in zip(rows, text)
-        ]
+        amount = [sum(v for k, v in r.items() if k in telling) for r in rows]
         return pa.StructArray.from_arrays(
             [
                 pa.array([list(r) for r in rows], pa.list_(pa.int32())),
                 pa.array([list(r.values()) for r in rows], pa.list_(pa.float64())),
-                pa.array(density, pa.float64()),
+                pa.array(amount, pa.float64()),
             ],
-            names=["k", "v", "density"],
+            names=["k", "v", "amount"],
         )
 
     # bounded by rows x VOCABULARY numbers
     drawn_rows = sample.select("label", sparse(F.col("text")).alias("x")).select("label", "x.*").toArrow().to_pylist()
     label = np.array([r["label"] for r in drawn_rows])
-    density = np.array([r["density"] for r in drawn_rows])
-    cuts = np.quantile(density[label == 1], [k / GRADES for k in range(1, GRADES)])
-    grade = np.where(label == 1, 1 + np.searchsorted(cuts, density, "left"), 0)
+    amount = np.array([r["amount"] for r in drawn_rows], float)
+    cuts = np.quantile(amount[label == 1], [k / GRADES for k in range(1, GRADES)])
+    grade = np.where(label == 1, 1 + np.searchsorted(cuts, amount, "left"), 0)
     grade = np.unique(grade, return_inverse=True)[1]  # without empty grades
     weights, thresholds = fit_cumulative([dict(zip(r["k"], r["v"])) for r in drawn_rows], grade, len(numbers))
     return CumulativeLink(numbers, weights, thresholds)
