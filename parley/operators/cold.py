@@ -25,9 +25,10 @@ class Policy:
 
 
 def write(messages: DataFrame, path: str) -> None:
-    """Write the cold tier as Parquet, a folder for each month."""
-    own = messages.withColumn("time_bucket", times.month_bucket(F.col("created_at_ms")))
-    own.repartition("time_bucket").sortWithinPartitions("conversation_id", "created_at_ms").write.mode("overwrite").partitionBy("time_bucket").parquet(path)
+    """Write the cold tier as Parquet, a folder for each month; Spark splits large months between tasks."""
+    own = messages.withColumn("time_bucket", times.month_bucket(F.col("created_at_ms"))).hint("rebalance", "time_bucket")
+    ordered = own.sortWithinPartitions("time_bucket", "conversation_id", "created_at_ms")
+    ordered.write.mode("overwrite").partitionBy("time_bucket").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
