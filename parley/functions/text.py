@@ -31,7 +31,10 @@ def script_runs(text: Column) -> Column:
     known = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS)
     other = f"[^{known}]*"
     runs = "|".join(rf"{other}\p{{Is{s}}}(?:{other}\p{{Is{s}}})*{other}" for s in SCRIPTS)
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({runs})"), F.lit(1))
+    text = F.coalesce(text, F.lit(""))
+    # ASCII text is one Latin run if it has a letter at all
+    latin = F.when(text.rlike("[A-Za-z]"), F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.octet_length(text) == F.length(text), latin).otherwise(F.regexp_extract_all(text, F.lit(f"({runs})"), F.lit(1)))
 
 
 def in_script(run: Column, name: str) -> Column:

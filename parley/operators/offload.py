@@ -15,7 +15,7 @@ KIND_WEIGHTS = {"video": 1.0, "document": 0.9, "image": 0.7, "audio": 0.5, "thum
 LEVELS = (("extreme", 100), ("critical", 90), ("warning", 75))
 #: Kinds that may be evicted at a level.
 ELIGIBLE = {"warning": ("video",), "critical": ("video", "document", "image"), "extreme": tuple(KIND_WEIGHTS)}
-GROUPS = 64
+GROUPS = 32
 
 
 def usage(assets: DataFrame, messages: DataFrame) -> DataFrame:
@@ -93,10 +93,10 @@ def running_before(rows: DataFrame, order: str, key: str, size: str, name: str)
     No task sees all rows: they are cut into GROUPS ranges by approximate quantiles,
     whose sums tell each range what is ahead of it.
     """
-    cuts = rows.approxQuantile(order, [k / GROUPS for k in range(1, GROUPS)], 0.001)
-    part = F.lit(0)
-    for cut in sorted(set(cuts)):
-        part = part + (F.col(order) < cut).cast("int")
+    cuts = sorted(set(rows.approxQuantile(order, [k / GROUPS for k in range(1, GROUPS)], 0.25 / GROUPS)))
+    above = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    # within a lambda's argument, the value is computed once for all cuts
+    part = F.get(F.transform(F.array(order), lambda value: F.size(F.filter(above, lambda cut: value < cut))), F.lit(0))
     grouped = rows.withColumn("part", part)
     sums = grouped.groupBy("part").agg(F.sum(size).alias("own"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over GROUPS sums

@@ -125,12 +125,19 @@ def snippet(body: Column, query: str, width: int = 32) -> Column:
 
 
 def fuzzy_grams(messages: DataFrame, body: str = "text") -> DataFrame:
-    """Distinct (message_id, script, token): the n-gram index."""
-    runs = messages.select("message_id", F.explode(text.script_runs(F.col(body))).alias("run"))
-    split = runs.select("message_id", text.script_of(F.col("run")).alias("script"), text.segments(F.col("run")).alias("parts"))
-    parts = split.select("message_id", "script", F.explode("parts").alias("part"))
-    tokens = parts.select("message_id", "script", F.explode(text.grams(F.col("part"), text.gram_length(F.col("script")))).alias("token"))
-    return tokens.distinct()
+    """The n-gram index: distinct (message_id, script, token) of each message, found within its row.
+
+    Message ids are unique, so no shuffle is needed.
+    """
+    runs = F.transform(text.script_runs(F.col(body)), lambda r: F.struct(text.script_of(r).alias("script"), text.segments(r).alias("parts")))
+
+    def tokens(run: Column) -> Column:
+        own = F.flatten(F.transform(run["parts"], lambda part: text.grams(part, text.gram_length(run["script"]))))
+        return F.transform(F.array_distinct(own), lambda token: F.concat(run["script"], F.lit(" "), token))
+
+    split = messages.select("message_id", runs.alias("runs"))
+    found = split.select("message_id", F.explode(F.array_distinct(F.flatten(F.transform("runs", tokens)))).alias("key"))
+    return found.select("message_id", F.substring_index("key", " ", 1).alias("script"), F.expr("substring(key, instr(key, ' ') + 1)").alias("token"))
 
 
 def asked_grams(spark: SparkSession, query: str) -> dict[str, list[str]]:
