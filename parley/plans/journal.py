@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,6 +153,6 @@ def _streamed(spark: SparkSession, d: str, change, name: str) -> DataFrame:
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parley-")
     # a stream reads folders; the table is one file or a folder of them
     source = streams.journal_stream(spark, f"{d}/events.parquet*")
-    running = streams.to_table(change(source), name, f"{shared}/stream-{name}-{spark.sparkContext.applicationId}-{id(source)}")
+    running = streams.to_table(change(source), name, f"{shared}/stream-{name}-{uuid.uuid4().hex}")
     running.awaitTermination()
     return spark.table(name)
