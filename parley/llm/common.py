@@ -17,15 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: By application: the temporary folder of one that names no shared folder, as in tests.
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session has none, as in tests, a temporary one is set.
+    Only a local session without one gets a temporary folder; a cluster's must be named.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="parley-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _temporary.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="parley-")
+        _temporary[context.applicationId] = found
     return found.rstrip("/")
 
 
