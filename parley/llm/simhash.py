@@ -66,8 +66,8 @@ def fingerprints(text: pa.Array) -> pa.Array:
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that connect whatever fingerprints ``fp`` of ``distinct`` are within RADIUS bits.
 
-    Rows for an input row: one for each table, and about 30 more for each table in
-    which it collides with another fingerprint.
+    Rows for an input row: one for each table, and up to BITS + 1 more if it collides
+    with another fingerprint.
     """
     tables = F.explode(
         F.array(
@@ -80,15 +80,18 @@ def links(distinct: DataFrame) -> DataFrame:
     hashed = distinct.select("fp", tables.alias("at")).select("fp", "at.table", "at.key")
     full = hashed.groupBy("table", "key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
     collided = stored(hashed.join(full.select("table", "key"), ["table", "key"], "left_semi"), "simhash-collided")
-    turned = F.lit(None)
+    # the bits that some table of its collisions drops: each is turned once, however many drop it
+    dropped = F.lit(0).cast("long")
     for v in range(1, TABLES + 1):
         kept = set(kept_bits(v))
-        own = [F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(BITS) if i not in kept)]
-        turned = F.when(F.col("table") == v, F.array(*own)).otherwise(turned)
-    # two fingerprints that meet at a point are within RADIUS whatever their tables
-    points = collided.select("fp", F.explode(turned).alias("turn")).select("fp", F.col("fp").bitwiseXOR(F.col("turn")).alias("point"))
-    least = points.groupBy("point").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
-    return points.join(least, "point").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+        dropped = F.when(F.col("table") == v, F.lit(_signed(sum(1 << i for i in range(BITS) if i not in kept)))).otherwise(dropped)
+    free = collided.groupBy("fp").agg(F.bit_or(dropped).alias("free"))
+    bits = F.array(*(F.lit(_signed(1 << i)) for i in range(BITS)))
+    turns = F.concat(F.array(F.lit(0).cast("long")), F.filter(bits, lambda bit: bit.bitwiseAND(F.col("free")) != 0))
+    points = free.select("fp", F.explode(turns).alias("turn")).select("fp", F.col("fp").bitwiseXOR(F.col("turn")).alias("point"))
+    # what meets at a point is within RADIUS whatever its tables, and at most BITS + 1 fingerprints do
+    met = points.groupBy("point").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    return met.select(F.explode("members").alias("a"), "b").where("a <> b").distinct()
 
 
 def classes(marked: DataFrame) -> DataFrame:
