@@ -12,6 +12,7 @@ are computed by Spark.  The result is exactly that of best-fit decreasing.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,21 +29,29 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: A size class is dealt out to so many groups, each with ranks of its own.
 SALTS = 128
-#: A worker's memory of encoded words is emptied beyond so many entries.
-CACHED_WORDS = 400_000
+#: A worker remembers so many encoded words in each of three tables.
+CACHED_WORDS = 300_000
 
 #: The tokenizer file's own split pattern, with its white space written out.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+"
 
+#: UTF-8 bytes of ASCII text and of U+00C0 to U+023F.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+
 
 class _Words(dict):
-    """Ids of white-space separated, lower-case words as little-endian bytes."""
+    """Ids of white-space separated, lower-case words as little-endian bytes.
+
+    Memory is bounded: beyond CACHED_WORDS entries, what was met since becomes the
+    older generation, from which a word that is met again comes back.
+    """
 
     def __init__(self, tokenizer) -> None:
         import regex
 
         self._split = regex.compile(_SPLIT).findall
         self._tokens = tokenizer.model.tokenize
+        self._older: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
         # byte-level alphabet: printable bytes stand for themselves, others follow from 256 on
         same = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,17 +59,27 @@ class _Words(dict):
         self._chars = {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(other)}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHED_WORDS:
+        ids = self._older.get(word)
+        if ids is None:
+            if word.isalpha():
+                ids = self._part(word)
+            elif word[:-1].isalpha() and word[-1] in ".,":
+                ids = self._part(word[:-1]) + self._part(word[-1])
+            else:
+                ids = b"".join(map(self._part, self._split(word)))
+        if len(self) >= CACHED_WORDS:
+            self._older = dict(self)
             self.clear()
-            self._parts.clear()
-        ids = self[word] = b"".join(map(self._part, self._split(word)))
+        self[word] = ids
         return ids
 
     def _part(self, part: str) -> bytes:
         ids = self._parts.get(part)
         if ids is None:
+            if len(self._parts) >= CACHED_WORDS:
+                self._parts.clear()
             chars = part if part.isascii() and part.isprintable() else "".join(self._chars[b] for b in part.encode())
-            ids = self._parts[part] = np.array([t.id for t in self._tokens(chars)], "<u4").tobytes()
+            ids = self._parts[part] = struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in self._tokens(chars)]) else b""
         return ids
 
 
@@ -82,7 +101,8 @@ class Encoder:
         self._odd = regex.compile(r"[^\x00-ɏ]|<\||[\x00\x1c-\x1f\x7f-\x9fİ]").search
 
     def __call__(self, text: str) -> bytes:
-        if self._odd(text):
+        # bytes of no other than plain characters spare the slower search
+        if text.encode().translate(None, _PLAIN) and self._odd(text) or "<|" in text or "İ" in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 

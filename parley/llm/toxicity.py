@@ -119,16 +119,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Cumulativ
     known = majority_labels(labels, "doc_id", "toxic").withColumnRenamed("key", "doc_id").where(~held_out(F.col("doc_id")))
     share = min(1.0, rows / max(1, known.count()))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    sample = docs.select("doc_id", "text").where(drawn & F.col("text").isNotNull()).join(known.where(drawn), "doc_id")
+    chosen = F.broadcast(known.where(drawn))  # about rows labels at most, so no text is shuffled
+    sample = docs.select("doc_id", "text").where(drawn & F.col("text").isNotNull()).join(chosen, "doc_id")
     seen = (
-        sample.select("label", F.explode(F.array_append(_feature_names(F.col("text")), F.lit(""))).alias("word"))
+        sample.select("label", F.explode(_feature_names(F.col("text"))).alias("word"))
         .groupBy("word")
         .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     )
-    total = seen.where("word = ''").first()
-    if total is None or not total["toxic"] or not total["clean"]:
+    total = sample.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
+    if not total["toxic"] or not total["clean"]:
         return None
-    scored = _log_odds(seen.where(f"word <> '' and toxic + clean >= {LEAST_TEXTS}"), total["toxic"], total["clean"])
+    scored = _log_odds(seen.where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS), total["toxic"], total["clean"])
     top = scored.orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY).collect()
     if not top:
         return None
