@@ -70,5 +70,5 @@ def dedup_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
     joined = docs.withColumn(row, F.monotonically_increasing_id()).join(covered, row, "left")
     out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(text))
     if removed:
-        out = out.withColumn(removed, F.coalesce(F.size(gone), F.lit(0)))
+        out = out.withColumn(removed, F.coalesce(F.array_size(gone), F.lit(0)))
     return out.select(*docs.columns, *([removed] if removed and removed not in docs.columns else []))

@@ -166,6 +166,18 @@ def test_the_ratio_decides_other_urls(spark):
     assert np.mean([verdict[k] == "block" for k, _, kind in rows if kind == 3]) > 0.9
 
 
+def test_pages_of_one_address_weigh_as_one(spark):
+    rows = [(k, f"https://site{k}.org/en/{k}") for k in range(60)] + [(100 + k, f"https://shop{k}.com/de/{k}") for k in range(60)]
+    rows += [(300 + k, f"https://other{k}.net/{kind}/{k}") for k, kind in enumerate(["en", "de"] * 5)]
+    hot = rows + [(1000 + k, "https://site1.org/en/1") for k in range(500)]
+    ratios = []
+    for pages in (rows, hot):
+        judged = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()
+        assert len(judged) == len(pages)
+        ratios.append({r.page_id: (r.verdict, r.ratio) for r in judged if r.ratio is not None})
+    assert ratios[0] == ratios[1] and len(ratios[0]) == 10
+
+
 def test_calibration_limits_false_blocks():
     accepted, rejected = [k / 100 for k in range(100)], [k / 100 - 0.5 for k in range(100)]
     cutoff = url_filter.calibrate(accepted, rejected)
