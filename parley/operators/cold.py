@@ -149,3 +149,9 @@ def progressive(hot: DataFrame, cold: DataFrame, query: search.SearchQuery, poli
             own = cold_hits(scope.where(F.col("time_bucket").cast("string") == month), query)
             yield month, own.join(local.select("message_id"), "message_id", "left_anti")
     yield "complete", hot_and_cold(hot, cold, query, policy, limit)
+
+
+def new_hits(local: DataFrame, cold: DataFrame, query: search.SearchQuery) -> DataFrame:
+    """(time_bucket, hits): how many rows each cold month adds to the ``local`` results, all months in one job."""
+    found = cold_hits(pruned(cold, query), query).join(local.select("message_id"), "message_id", "left_anti")
+    return found.groupBy(F.col("time_bucket").cast("string").alias("time_bucket")).agg(F.count("*").alias("hits"))

@@ -131,3 +131,30 @@ def migration_plan(assets: DataFrame, source: str, target: str) -> DataFrame:
     """Assets on ``source`` to move, by id; none if source and target are the same."""
     own = assets.where((F.col("storage_sink") == source) & F.lit(source != target))
     return own.select("asset_id", F.lit(source).alias("source_sink"), F.lit(target).alias("target_sink"), "bytes_local").orderBy("asset_id")
+
+
+def by_priority(found: DataFrame, limit: int) -> DataFrame:
+    """The first candidates, heavier kinds first and then older ones."""
+    weight = F.lit(0.1)
+    for name, value in KIND_WEIGHTS.items():
+        weight = F.when(F.col("kind") == name, value).otherwise(weight)
+    return found.orderBy(weight.desc(), "created_at_ms", "asset_id").limit(limit)
+
+
+def migration_outcomes(assets: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with an ``outcome``: moved, or already on the target, elsewhere or missing.  A second run moves nothing."""
+    here = assets.select("asset_id", F.coalesce("storage_sink", F.lit("")).alias("sink_now"))
+    outcome = (
+        F.when(F.col("sink_now").isNull(), "missing")
+        .when(F.col("sink_now") == F.col("target_sink"), "already")
+        .when(F.col("sink_now") == F.col("source_sink"), "moved")
+        .otherwise("elsewhere")
+    )
+    return plan.join(here, "asset_id", "left").withColumn("outcome", outcome).drop("sink_now")
+
+
+def migrated(assets: DataFrame, plan: DataFrame) -> DataFrame:
+    """Assets after a migration ran: what it moved has the target as its sink."""
+    done = migration_outcomes(assets, plan).where("outcome = 'moved'").select("asset_id", "target_sink")
+    joined = assets.join(done, "asset_id", "left")
+    return joined.withColumn("storage_sink", F.coalesce("target_sink", "storage_sink")).drop("target_sink")

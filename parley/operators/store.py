@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parley.functions.numbers import chunk_count
+
 #: The legal changes of each life cycle.
 TRANSITIONS = {
     "body": [("local", "remote_archive_only"), ("remote_archive_only", "rehydrating"), ("rehydrating", "local"), ("local", "deleted"), ("remote_archive_only", "deleted")],
@@ -117,3 +119,57 @@ def hydration_queue(requests: DataFrame) -> DataFrame:
     best = Window.partitionBy("message_id").orderBy("urgency", "requested_at_ms")
     first = own.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
     return first.orderBy("urgency", "requested_at_ms", "message_id")
+
+
+def deleted(messages: DataFrame, deletions: DataFrame) -> DataFrame:
+    """Messages after ``deletions`` (message_id, for_everyone): their body is deleted, and for everyone its text goes too.
+
+    Of several deletions of a message the stronger one holds; a null counts as one's own.
+    """
+    strongest = deletions.groupBy("message_id").agg(F.bool_or(F.coalesce("for_everyone", F.lit(False))).alias("everywhere"))
+    joined = messages.join(strongest, "message_id", "left")
+    return (
+        joined.withColumn("text", F.when(F.coalesce("everywhere", F.lit(False)), F.lit(None)).otherwise(F.col("text")))
+        .withColumn("body_state", F.when(F.col("everywhere").isNotNull(), "deleted").otherwise(F.col("body_state")))
+        .drop("everywhere")
+    )
+
+
+def pinned(conversations: DataFrame, updates: DataFrame) -> DataFrame:
+    """Conversations after pin ``updates`` (conversation_id, pinned, seq); the last of each holds."""
+    last = updates.groupBy("conversation_id").agg(F.max_by("pinned", "seq").alias("new_pinned"))
+    joined = conversations.join(last, "conversation_id", "left")
+    return joined.withColumn("pinned", F.coalesce("new_pinned", "pinned")).drop("new_pinned")
+
+
+def moved(rows: DataFrame, changes: DataFrame, key: str, state: str, machine: str) -> DataFrame:
+    """``rows`` with ``changes`` (key, to_state) of one life cycle, all of them or, if any is illegal, none."""
+    asked = changes.select(key, "to_state").distinct()
+    legal = transitions(rows.sparkSession).where(F.col("machine") == machine).select(F.col("from_state").alias(state), "to_state", F.lit(True).alias("legal"))
+    joined = rows.join(asked, key, "left").join(F.broadcast(legal), [state, "to_state"], "left")
+    bad = F.col("to_state").isNotNull() & F.col("legal").isNull()
+    verdict = joined.agg(F.count(F.when(bad, 1)).alias("illegal_changes"))  # one row
+    applied = F.when(F.col("illegal_changes") == 0, F.coalesce("to_state", state)).otherwise(F.col(state))
+    return joined.crossJoin(F.broadcast(verdict)).withColumn(state, applied).select(*rows.columns)
+
+
+def media_summary(assets: DataFrame) -> DataFrame:
+    """For each message with media: its first asset by id, how many it has, and their bytes and chunks."""
+    return assets.groupBy("message_id").agg(
+        F.min("asset_id").alias("first_asset_id"),
+        F.count("*").alias("assets"),
+        F.sum("bytes_local").alias("bytes"),
+        F.sum(chunk_count(F.col("bytes_local"))).alias("chunks"),
+    )
+
+
+def prefetch_window(messages: DataFrame, conversation: object, visible: list, size: int, now_ms: int) -> DataFrame:
+    """Hydration requests for the remote ones of the ``size`` messages before and after the ``visible`` ones."""
+    own = messages.where(F.col("conversation_id") == F.lit(conversation))
+    place = F.struct("created_at_ms", "message_id")
+    bounds = own.where(F.col("message_id").isin(visible)).agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    placed = own.crossJoin(F.broadcast(bounds))  # one row
+    older = placed.where(place < F.col("low")).orderBy(F.desc("created_at_ms"), F.desc("message_id")).limit(size)
+    newer = placed.where(place > F.col("high")).orderBy("created_at_ms", "message_id").limit(size)
+    near = older.unionByName(newer).where("body_state = 'remote_archive_only'")
+    return near.select("message_id", F.lit("prefetch").alias("reason"), F.lit(now_ms).cast("long").alias("requested_at_ms"))
