@@ -109,12 +109,12 @@ def migrated_sinks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MSG}, own AS (SELECT * FROM msg WHERE conversation_id = 7),
-older AS (SELECT * FROM own WHERE message_id < 7003 ORDER BY message_id DESC LIMIT 3), newer AS (SELECT * FROM own WHERE message_id > 7003 ORDER BY message_id LIMIT 3)
+    f"""WITH {MSG}, own AS (SELECT * FROM msg WHERE conversation_id = 6),
+older AS (SELECT * FROM own WHERE message_id < 6001 ORDER BY message_id DESC LIMIT 3), newer AS (SELECT * FROM own WHERE message_id > 6001 ORDER BY message_id LIMIT 3)
 SELECT message_id, 'prefetch' AS reason, {_NOW} AS requested_at_ms FROM (SELECT * FROM older UNION ALL SELECT * FROM newer) WHERE body_state = 'remote_archive_only'"""
 )
 def prefetch_requests(spark: SparkSession, d: str) -> DataFrame:
-    return store.prefetch_window(tables.messages(spark, d), 7, [7003], 3, _NOW)
+    return store.prefetch_window(tables.messages(spark, d), 6, [6001], 3, _NOW)
 
 
 _COLD_WORDS = "CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'thre') AS INT)"
