@@ -178,6 +178,28 @@ def test_pages_of_one_address_weigh_as_one(spark):
     assert ratios[0] == ratios[1] and len(ratios[0]) == 10
 
 
+def test_every_ruled_address_is_counted(spark):
+    rng = random.Random(5)
+    rows = [(k, f"https://{syllables(rng, 1)}{k}.org/en/{k}") for k in range(120)] + [(200 + k, f"https://{syllables(rng, 1)}{k}.com/de/{k}") for k in range(120)]
+    rows += [(400 + k, f"https://{syllables(rng, 1)}.net/é/{k}") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    addresses = [(v, u.split("://")[1]) for v, part in (("allow", rows[:120]), ("block", rows[120:240])) for _, u in part]
+    known = spark.createDataFrame(addresses, "decided string, address string")
+    learning = {r.address for r in known.where("xxhash64(address) % 2 <> 0").collect()}
+    models = {}
+    for verdict in ("allow", "block"):
+        grams = {}
+        for t in (a + url_filter.END for v, a in addresses if v == verdict and a in learning):
+            for i, c in enumerate(t):
+                for k in range(min(i, url_filter.ORDER) + 1):
+                    grams[t[i - k : i], c] = grams.get((t[i - k : i], c), 0) + 1
+        models[verdict] = url_filter.Markov.of([(a, b, n) for (a, b), n in grams.items()])
+    # a calibration of ten addresses must not bound what is learned from
+    got = {r.page_id: r.ratio for r in url_filter.judge(pages, rows=10).collect()}
+    for k, url in rows[240:]:
+        assert got[k] == pytest.approx(url_filter.difference(models["allow"], models["block"], url.split("://")[1]))
+
+
 def test_calibration_limits_false_blocks():
     accepted, rejected = [k / 100 for k in range(100)], [k / 100 - 0.5 for k in range(100)]
     cutoff = url_filter.calibrate(accepted, rejected)
