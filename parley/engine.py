@@ -58,12 +58,12 @@ class Engine:
         if vector is not None:
             return search.with_semantic(hot, tables.vectors(self.spark, self.folder), query, vector, limit)
         if include_cold and query.text.strip():
-            return cold.hot_and_cold(hot.where("body_state = 'local'"), search.in_target(self.cold, allowed), query, policy, limit)
+            return cold.hot_and_cold(hot.where("body_state = 'local_plain_available'"), search.in_target(self.cold, allowed), query, policy, limit)
         return search.hybrid(hot, query, limit)
 
     def search_progressively(self, query: SearchQuery, policy: Policy = DEFAULT_POLICY, limit: int = 200) -> Iterator[tuple[str, DataFrame]]:
         """Local results, each cold month's and the merged ones; lists the months with one job."""
-        return cold.progressive(self.messages.where("body_state = 'local'"), self.cold, query, policy, limit)
+        return cold.progressive(self.messages.where("body_state = 'local_plain_available'"), self.cold, query, policy, limit)
 
     def get_message(self, message_id: object) -> DataFrame:
         return self.messages.where(F.col("message_id") == F.lit(message_id))
@@ -82,7 +82,9 @@ class Engine:
         return store.cascade({"messages": self.messages, "conversations": self.conversations}, conversation)
 
     def storage_usage(self) -> DataFrame:
-        return offload.usage(tables.assets(self.spark, self.folder), self.messages)
+        own = (tables.assets, tables.vectors, tables.media_index)
+        assets, vectors, media = (read(self.spark, self.folder) for read in own)
+        return offload.usage(assets, self.messages, search.fuzzy_grams(self.messages), vectors, media)
 
     def eviction_plan(self, target_bytes: int, now_ms: int, least_age_ms: int, level: str = "extreme") -> DataFrame:
         """What to evict, cloud pool first; runs jobs for the score ranges and the first pool's bytes."""

@@ -18,6 +18,9 @@ BIGRAM_SCRIPTS = ("Han", "Hiragana", "Katakana")
 #: Least share of a query's n-grams that must match, by their length.
 LEAST_OVERLAP = {2: 0.5, 3: 1 / 3}
 
+#: Characters beyond which a segment is split before its n-grams are taken.
+LONG_SEGMENT = 64
+
 _SEPARATORS = r"[\x09-\x0D\x20-\x40\x5B-\x60\x7B-\x7E]+"
 
 
@@ -29,8 +32,8 @@ def words(text: Column) -> Column:
 def script_runs(text: Column) -> Column:
     """Runs of one script each; other characters stay with the run before, leading ones with the first."""
     known = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS)
-    other = f"[^{known}]*"
-    runs = "|".join(rf"{other}\p{{Is{s}}}(?:{other}\p{{Is{s}}})*{other}" for s in SCRIPTS)
+    # one possessive class a script, so that a match takes no stack for each character
+    runs = "|".join(rf"[^{known}]*+\p{{Is{s}}}[\p{{Is{s}}}[^{known}]]*+" for s in SCRIPTS)
     text = F.coalesce(text, F.lit(""))
     # ASCII text is one Latin run if it has a letter at all
     latin = F.when(text.rlike("[A-Za-z]"), F.array(text)).otherwise(F.array().cast("array<string>"))
@@ -63,9 +66,20 @@ def segments(run: Column) -> Column:
 
 
 def grams(segment: Column, n: Column) -> Column:
-    """The sliding windows of ``n`` characters of a segment; none if it is shorter."""
-    starts = F.when(F.length(segment) >= n, F.sequence(F.lit(1), F.length(segment) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(segment, i, n))
+    """The sliding windows of ``n`` (2 or 3) characters of a segment; none if it is shorter.
+
+    Windows of a long segment are put together of its characters, split once: cutting
+    each one out would look for its start from the segment's beginning.
+    """
+    count = F.greatest(F.length(segment) - n + 1, F.lit(0))
+    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+
+    def joined(chars: Column) -> Column:
+        shifted = F.arrays_zip(F.slice(chars, F.lit(1), count).alias("a"), F.slice(chars, F.lit(2), count).alias("b"), F.slice(chars, F.lit(3), count).alias("c"))
+        return F.transform(shifted, lambda w: F.concat(w["a"], w["b"], F.when(n == 3, w["c"]).otherwise("")))
+
+    long = F.get(F.transform(F.array(F.split(segment, "", -1)), joined), F.lit(0))
+    return F.when(F.length(segment) <= LONG_SEGMENT, F.transform(starts, lambda i: F.substring(segment, i, n))).otherwise(long)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import content_kind
+from parley.sources.shared import stored
 
 MIB = 1 << 20
 HALF_LIFE_MS = 30 * 86_400_000
@@ -13,16 +14,51 @@ HALF_LIFE_MS = 30 * 86_400_000
 KIND_WEIGHTS = {"video": 1.0, "document": 0.9, "image": 0.7, "audio": 0.5, "thumbnail": 0.3, "text": 0.1}
 #: Percent of the budget above which a level begins.
 LEVELS = (("extreme", 100), ("critical", 90), ("warning", 75))
-#: Kinds that may be evicted at a level.
-ELIGIBLE = {"warning": ("video",), "critical": ("video", "document", "image"), "extreme": tuple(KIND_WEIGHTS)}
-GROUPS = 32
+#: Kinds that may be evicted at a level; under no pressure none may.
+ELIGIBLE = {
+    "warning": ("video", "document", "image", "audio"),
+    "critical": ("video", "document", "image", "audio", "thumbnail"),
+    "extreme": ("video", "document", "image", "audio", "thumbnail", "text"),
+}
 
 
-def usage(assets: DataFrame, messages: DataFrame) -> DataFrame:
-    """One row: bytes of media and text, and 256 for each message as skeleton."""
-    media = assets.agg(F.coalesce(F.sum("bytes_local"), F.lit(0)).alias("media_bytes"))
-    text = messages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("text_bytes"), (F.count("*") * 256).alias("skeleton_bytes"))
-    return media.crossJoin(text).withColumn("total_bytes", F.col("media_bytes") + F.col("text_bytes") + F.col("skeleton_bytes"))
+#: About so many rows of a running sum are sorted by one task.
+RANGE_ROWS = 1_000_000
+
+
+#: Bytes counted for a message's skeleton, and beside each n-gram of the index.
+SKELETON_BYTES, GRAM_BYTES = 256, 8
+
+
+def usage(assets: DataFrame, messages: DataFrame, grams: DataFrame, vectors: DataFrame, media_index: DataFrame) -> DataFrame:
+    """One row of byte sums: messages (bodies and skeletons), media, index (texts, n-grams, vectors, media texts), cache, total.
+
+    Lengths of texts are in characters and of vectors in bytes of 32-bit numbers; an
+    empty table counts 0, and nothing is cached outside Spark.
+    """
+
+    def total(df: DataFrame, size: Column, name: str) -> DataFrame:
+        return df.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias(name))
+
+    body = F.length("text").cast("long")
+    # one row each
+    sums = messages.agg(F.coalesce(F.sum(body), F.lit(0)).cast("long").alias("body_bytes"), (F.count("*") * SKELETON_BYTES).alias("skeleton_bytes"))
+    for part in (
+        total(assets, F.col("bytes_local"), "media_bytes"),
+        total(grams, F.length("token") + GRAM_BYTES, "fuzzy_bytes"),
+        total(vectors, 4 * F.array_size("embedding"), "vector_bytes"),
+        total(media_index, F.length("text"), "media_text_bytes"),
+    ):
+        sums = sums.crossJoin(part)
+    message = F.col("body_bytes") + F.col("skeleton_bytes")
+    index = F.col("body_bytes") + F.col("fuzzy_bytes") + F.col("vector_bytes") + F.col("media_text_bytes")
+    return sums.select(
+        (message + F.col("media_bytes") + index).alias("total_bytes"),
+        message.alias("message_bytes"),
+        "media_bytes",
+        index.alias("index_bytes"),
+        F.lit(0).cast("long").alias("cache_bytes"),
+    )
 
 
 def threshold(level: str, budget: int) -> int:
@@ -52,7 +88,7 @@ def headroom(total: Column, budget: int) -> Column:
 def candidates(assets: DataFrame, now_ms: int, least_age_ms: int) -> DataFrame:
     """Verified, unpinned assets with local bytes that are old enough, with their content kind."""
     old = F.lit(now_ms) - F.col("created_at_ms") >= least_age_ms
-    kept = assets.where(~F.col("pinned") & (F.col("archive_state") == "verified") & (F.col("bytes_local") > 0) & old)
+    kept = assets.where(~F.col("pinned") & (F.col("archive_state") == "archive_verified") & (F.col("bytes_local") > 0) & old)
     return kept.withColumn("kind", content_kind(F.col("mime_type")))
 
 
@@ -90,24 +126,24 @@ def greedy(found: DataFrame, target: int, level: str = "extreme", pool: str | No
 def running_before(rows: DataFrame, order: str, key: str, size: str, name: str) -> DataFrame:
     """``rows`` with the sum of ``size`` over those ahead: larger ``order`` first, then by ``key``.
 
-    No task sees all rows: they are cut into GROUPS ranges by approximate quantiles,
-    whose sums tell each range what is ahead of it.
+    The rows are stored once and then sorted into ranges of (order, key), so that equal
+    values of ``order`` part too; a range has about RANGE_ROWS rows however many there
+    are.  A sum for each range tells it what is ahead.
     """
-    cuts = sorted(set(rows.approxQuantile(order, [k / GROUPS for k in range(1, GROUPS)], 0.25 / GROUPS)))
-    above = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    # within a lambda's argument, the value is computed once for all cuts
-    part = F.get(F.transform(F.array(order), lambda value: F.size(F.filter(above, lambda cut: value < cut))), F.lit(0))
-    grouped = rows.withColumn("part", part)
-    sums = grouped.groupBy("part").agg(F.sum(size).alias("own"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over GROUPS sums
+    own = stored(rows, "running-rows")
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // RANGE_ROWS))
+    ranged = stored(own.repartitionByRange(n, F.desc(order), F.col(key)).withColumn("part", F.spark_partition_id()), "running-ranges")
+    sums = ranged.groupBy("part").agg(F.sum(size).alias("own"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a sum for each range
     before = sums.select("part", F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("part_before"))
     within = Window.partitionBy("part").orderBy(F.desc(order), key).rowsBetween(Window.unboundedPreceding, -1)
     summed = F.col("part_before") + F.coalesce(F.sum(size).over(within), F.lit(0))
-    return grouped.join(F.broadcast(before), "part").withColumn(name, summed).drop("part", "part_before")
+    return ranged.join(F.broadcast(before), "part").withColumn(name, summed).drop("part", "part_before")
 
 
 def tiered(found: DataFrame, target: int, level: str = "extreme") -> DataFrame:
     """The cloud pool first, and what it leaves of the target from the other; ``plan`` names the pool."""
+    found = stored(found, "eviction-candidates")
     cloud = greedy(found, target, level, "cloud_offload")
     freed = cloud.agg(F.coalesce(F.sum("bytes_local"), F.lit(0))).first()[0]
     rest = greedy(found, max(0, target - freed), level, "full_eviction")
@@ -118,7 +154,7 @@ def evicted(assets: DataFrame, plan: DataFrame) -> DataFrame:
     """Assets after a plan ran: its own have state evicted and no local bytes."""
     hit = assets.join(plan.select("asset_id", F.lit(True).alias("hit")), "asset_id", "left")
     gone = F.coalesce(F.col("hit"), F.lit(False))
-    return hit.withColumn("media_state", F.when(gone, "evicted").otherwise("local")).withColumn("bytes_local", F.when(gone, 0).otherwise(F.col("bytes_local"))).drop("hit")
+    return hit.withColumn("media_state", F.when(gone, "evicted").otherwise("original_local")).withColumn("bytes_local", F.when(gone, 0).otherwise(F.col("bytes_local"))).drop("hit")
 
 
 def least_recent(entries: DataFrame, budget: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.operators import journal
+from parley.operators import journal, store
 
 DAY_MS = 86_400_000
 
@@ -19,7 +19,7 @@ def skeletons(events: DataFrame) -> DataFrame:
 
 def recent(found: DataFrame, now_ms: int, window_ms: int) -> DataFrame:
     """Skeletons inside the window, whose bodies are restored at once."""
-    return found.where(F.col("created_at_ms") >= now_ms - window_ms).withColumn("body_state", F.lit("local"))
+    return found.where(F.col("created_at_ms") >= now_ms - window_ms).withColumn("body_state", F.lit("local_plain_available"))
 
 
 def conversations(events: DataFrame) -> DataFrame:
@@ -37,5 +37,27 @@ def timeline(*segments: DataFrame) -> DataFrame:
 def restored(events: DataFrame, now_ms: int, window_ms: int, compat: bool = False) -> DataFrame:
     """Skeletons after tombstones, recent ones with local bodies; ``compat`` skips the tombstones."""
     own = skeletons(events if compat else journal.backup_survivors(events))
-    state = F.when(F.col("created_at_ms") >= now_ms - window_ms, "local").otherwise(F.col("body_state"))
+    state = F.when(F.col("created_at_ms") >= now_ms - window_ms, "local_plain_available").otherwise(F.col("body_state"))
     return own.withColumn("body_state", state)
+
+
+FIRST_STATE = "identity_restored"
+
+
+def progress(steps: DataFrame) -> DataFrame:
+    """(run, state, refused) of the ``steps`` (run, seq, to_state) that each restore run asks for, in order.
+
+    A run begins with identity_restored and each step must be a legal change; the first
+    illegal one ends it, and that and all later ones are refused.  A run that begins
+    wrongly has no state.
+    """
+    before = Window.partitionBy("run").orderBy("seq")
+    seen = steps.withColumn("from_state", F.lag("to_state").over(before)).withColumn("machine", F.lit("restore"))
+    first = F.col("from_state").isNull() & (F.col("to_state") == FIRST_STATE)
+    judged = store.judged(seen).withColumn("ok", first | F.col("legal"))
+    bounds = judged.groupBy("run").agg(F.min(F.when(~F.col("ok"), F.col("seq"))).alias("first_bad"))
+    joined = judged.join(bounds, "run")
+    done = F.col("first_bad").isNull() | (F.col("seq") < F.col("first_bad"))
+    return joined.groupBy("run").agg(
+        F.max_by(F.when(done, F.col("to_state")), F.when(done, F.col("seq"))).alias("state"), F.count(F.when(~done, 1)).alias("refused")
+    )

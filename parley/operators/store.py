@@ -9,8 +9,46 @@ from parley.functions.numbers import chunk_count
 
 #: The legal changes of each life cycle.
 TRANSITIONS = {
-    "body": [("local", "remote_archive_only"), ("remote_archive_only", "rehydrating"), ("rehydrating", "local"), ("local", "deleted"), ("remote_archive_only", "deleted")],
-    "archive": [("pending", "uploading"), ("uploading", "uploaded"), ("uploaded", "verified"), ("uploading", "pending")],
+    "body": [
+        ("local_plain_available", "local_encrypted_available"),
+        ("local_encrypted_available", "local_plain_available"),
+        ("local_plain_available", "remote_archive_only"),
+        ("remote_archive_only", "local_plain_available"),
+        ("local_plain_available", "deleted_for_me"),
+        ("local_plain_available", "deleted_for_everyone"),
+        ("delivery_store_only", "local_plain_available"),
+        ("remote_archive_only", "unavailable"),
+    ],
+    "media": [
+        ("thumbnail_only", "original_local"),
+        ("thumbnail_only", "remote_original"),
+        ("original_local", "evicted"),
+        ("original_local", "deleted"),
+        ("evicted", "download_in_progress"),
+        ("remote_original", "download_in_progress"),
+        ("download_in_progress", "original_local"),
+    ],
+    "archive": [
+        ("not_archived", "archive_pending"),
+        ("archive_pending", "archive_uploaded"),
+        ("archive_uploaded", "archive_verified"),
+        ("archive_verified", "archive_compacted"),
+    ],
+    "backup": [
+        ("not_backed_up", "backup_pending"),
+        ("backup_pending", "backup_uploaded"),
+        ("backup_uploaded", "backup_manifest_committed"),
+        ("backup_manifest_committed", "backup_expired"),
+    ],
+    "restore": [
+        ("identity_restored", "root_keys_unwrapped"),
+        ("root_keys_unwrapped", "manifest_verified"),
+        ("manifest_verified", "skeleton_restored"),
+        ("skeleton_restored", "search_restored"),
+        ("search_restored", "recent_messages_restored"),
+        ("recent_messages_restored", "media_lazy_restore_enabled"),
+        ("media_lazy_restore_enabled", "full_restore_complete"),
+    ],
 }
 #: Why a body is hydrated, most urgent first.
 REASONS = ("visible", "search", "neighbour", "prefetch")
@@ -96,7 +134,7 @@ def rehydrated(bodies: DataFrame, fetched: DataFrame) -> DataFrame:
     """Bodies with fetched ones (message_id, text) in their place or added, local."""
     new = fetched.select("message_id", F.col("text").alias("new_text"))
     merged = bodies.join(new, "message_id", "full")
-    state = F.when(F.col("new_text").isNotNull(), "local").otherwise(F.col("body_state"))
+    state = F.when(F.col("new_text").isNotNull(), "local_plain_available").otherwise(F.col("body_state"))
     return merged.select("message_id", F.coalesce("new_text", "text").alias("text"), state.alias("body_state"))
 
 
@@ -142,17 +180,35 @@ def pinned(conversations: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.withColumn("pinned", F.coalesce("new_pinned", "pinned")).drop("new_pinned")
 
 
-def moved(rows: DataFrame, changes: DataFrame, key: str, state: str, machine: str) -> DataFrame:
-    """``rows`` with ``changes`` (key, to_state) of one life cycle, all of them or, if any is illegal, none."""
+def judged(changes: DataFrame) -> DataFrame:
+    """``changes`` (machine, from_state, to_state, ...) with ``legal``, whether the life cycle allows each."""
+    allowed = transitions(changes.sparkSession).withColumn("legal", F.lit(True))
+    joined = changes.join(F.broadcast(allowed), ["machine", "from_state", "to_state"], "left")
+    return joined.withColumn("legal", F.coalesce("legal", F.lit(False)))
+
+
+def _asked(rows: DataFrame, changes: DataFrame, key: str, state: str, machine: str) -> DataFrame:
+    """``rows`` with ``to_state``, if asked for, and ``bad``, whether the life cycle forbids it."""
     asked = changes.select(key, "to_state").distinct()
     legal = transitions(rows.sparkSession).where(F.col("machine") == machine).select(F.col("from_state").alias(state), "to_state", F.lit(True).alias("legal"))
     joined = rows.join(asked, key, "left").join(F.broadcast(legal), [state, "to_state"], "left")
-    bad = F.col("to_state").isNotNull() & F.col("legal").isNull()
-    verdict = joined.agg(F.count(F.when(bad, 1)).alias("illegal_changes"))  # one row
+    return joined.withColumn("bad", F.col("to_state").isNotNull() & F.col("legal").isNull())
+
+
+def moved(rows: DataFrame, changes: DataFrame, key: str, state: str, machine: str) -> DataFrame:
+    """``rows`` with ``changes`` (key, to_state) of one life cycle, all of them or, if any is illegal, none."""
+    joined = _asked(rows, changes, key, state, machine)
+    verdict = joined.agg(F.count(F.when(F.col("bad"), 1)).alias("illegal_changes"))  # one row
     applied = F.when(F.col("illegal_changes") == 0, F.coalesce("to_state", state)).otherwise(F.col(state))
     return joined.crossJoin(F.broadcast(verdict)).withColumn(state, applied).select(*rows.columns)
 
 
+def moved_singly(rows: DataFrame, changes: DataFrame, key: str, state: str, machine: str) -> DataFrame:
+    """``rows`` with each legal one of ``changes`` (key, to_state) made; ``refused`` says which rows stay for an illegal one."""
+    joined = _asked(rows, changes, key, state, machine)
+    return joined.withColumn(state, F.when(F.col("bad"), F.col(state)).otherwise(F.coalesce("to_state", state))).select(*rows.columns, F.col("bad").alias("refused"))
+
+
 def media_summary(assets: DataFrame) -> DataFrame:
     """For each message with media: its first asset by id, how many it has, and their bytes and chunks."""
     return assets.groupBy("message_id").agg(

@@ -115,7 +115,7 @@ def restore_skeletons(spark: SparkSession, d: str) -> DataFrame:
     return restore.skeletons(tables.journal(spark, d))
 
 
-@query(f"WITH {JOURNAL}, {_SKELETON.format('journal')} SELECT *, 'local' AS body_state FROM skel WHERE created_at_ms >= {_NOW - 10 * 86_400_000}")
+@query(f"WITH {JOURNAL}, {_SKELETON.format('journal')} SELECT *, 'local_plain_available' AS body_state FROM skel WHERE created_at_ms >= {_NOW - 10 * 86_400_000}")
 def restore_recent(spark: SparkSession, d: str) -> DataFrame:
     return restore.recent(restore.skeletons(tables.journal(spark, d)), _NOW, 10 * 86_400_000)
 
@@ -127,7 +127,7 @@ def restore_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH {JOURNAL}, {_BACKUP}, {_SKELETON.format('kept')} SELECT conversation_id, message_id, created_at_ms, "
-    f"CASE WHEN created_at_ms >= {_NOW - 10 * 86_400_000} THEN 'local' ELSE 'remote_archive_only' END AS body_state FROM skel"
+    f"CASE WHEN created_at_ms >= {_NOW - 10 * 86_400_000} THEN 'local_plain_available' ELSE 'remote_archive_only' END AS body_state FROM skel"
 )
 def restore_full(spark: SparkSession, d: str) -> DataFrame:
     return restore.restored(tables.journal(spark, d), _NOW, 10 * 86_400_000)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import analytics, offload
+from parley.operators import analytics, offload, search
 from parley.plans.registry import query
-from parley.plans.sql import ASSET, MSG
+from parley.plans.sql import ASSET, MSG, grams
 from parley.sources import tables
 
 _NOW = 1_735_689_600_000  # 2025-01-01
@@ -15,30 +15,38 @@ _AGE = 30 * 86_400_000
 _BUDGET = 1 << 40
 _TARGET = 20 * (1 << 30)
 
-_USAGE = f"""WITH {MSG}, {ASSET}, usage AS (
-  SELECT (SELECT CAST(coalesce(sum(bytes_local), 0) AS BIGINT) FROM asset) AS media_bytes,
-         (SELECT CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) FROM msg) AS text_bytes, (SELECT count(*) * 256 FROM msg) AS skeleton_bytes)"""
+_USAGE = f"""WITH {MSG}, {ASSET}, {grams('g', 'msg')}, part AS (
+  SELECT (SELECT CAST(coalesce(sum(length(text)), 0) AS BIGINT) FROM msg) AS body, (SELECT count(*) * 256 FROM msg) AS skeleton,
+         (SELECT CAST(coalesce(sum(bytes_local), 0) AS BIGINT) FROM asset) AS media, (SELECT CAST(coalesce(sum(length(token) + 8), 0) AS BIGINT) FROM g) AS fuzzy,
+         (SELECT CAST(coalesce(sum(len(embedding) * 4), 0) AS BIGINT) FROM embeddings) AS vec, (SELECT CAST(coalesce(sum(length(html)), 0) AS BIGINT) FROM pages) AS pages),
+usage AS (
+  SELECT body + skeleton AS message_bytes, media AS media_bytes, body + fuzzy + vec + pages AS index_bytes, CAST(0 AS BIGINT) AS cache_bytes,
+         body + skeleton + media + body + fuzzy + vec + pages AS total_bytes FROM part)"""
 
 
-@query(f"{_USAGE} SELECT *, media_bytes + text_bytes + skeleton_bytes AS total_bytes FROM usage")
+def _usage(spark: SparkSession, d: str) -> DataFrame:
+    messages = tables.messages(spark, d)
+    return offload.usage(tables.assets(spark, d), messages, search.fuzzy_grams(messages), tables.vectors(spark, d), tables.media_index(spark, d))
+
+
+@query(f"{_USAGE} SELECT * FROM usage")
 def storage_usage(spark: SparkSession, d: str) -> DataFrame:
-    return offload.usage(tables.assets(spark, d), tables.messages(spark, d))
+    return _usage(spark, d)
 
 
 @query(
-    f"""{_USAGE}, total AS (SELECT media_bytes + text_bytes + skeleton_bytes AS t FROM usage)
+    f"""{_USAGE}, total AS (SELECT total_bytes AS t FROM usage)
 SELECT CASE WHEN t > {_BUDGET} THEN 'extreme' WHEN t > {_BUDGET * 90 // 100} THEN 'critical' WHEN t > {_BUDGET * 75 // 100} THEN 'warning' ELSE 'normal' END AS level,
 CASE WHEN t > {_BUDGET} THEN t - {_BUDGET} WHEN t > {_BUDGET * 90 // 100} THEN t - {_BUDGET * 90 // 100} WHEN t > {_BUDGET * 75 // 100} THEN t - {_BUDGET * 75 // 100} ELSE 0 END AS target_bytes,
 greatest({_BUDGET} - t, 0) AS headroom FROM total"""
 )
 def pressure_level(spark: SparkSession, d: str) -> DataFrame:
     total = F.col("total_bytes")
-    used = offload.usage(tables.assets(spark, d), tables.messages(spark, d))
-    leveled = used.withColumn("level", offload.pressure(total, _BUDGET))
+    leveled = _usage(spark, d).withColumn("level", offload.pressure(total, _BUDGET))
     return leveled.select("level", offload.eviction_target(total, F.col("level"), _BUDGET).alias("target_bytes"), offload.headroom(total, _BUDGET).alias("headroom"))
 
 
-_CANDIDATE = f"cand AS (SELECT * FROM asset WHERE NOT pinned AND archive_state = 'verified' AND bytes_local > 0 AND {_NOW} - created_at_ms >= {_AGE})"
+_CANDIDATE = f"cand AS (SELECT * FROM asset WHERE NOT pinned AND archive_state = 'archive_verified' AND bytes_local > 0 AND {_NOW} - created_at_ms >= {_AGE})"
 _SCORE = f"""scored AS (
   SELECT *, CASE kind WHEN 'video' THEN 1.0 WHEN 'document' THEN 0.9 WHEN 'image' THEN 0.7 WHEN 'audio' THEN 0.5 ELSE 0.1 END
     + 0.5 * (1 - pow(0.5, greatest({_NOW} - created_at_ms, 0) / 2592000000.0)) + 0.1 * bytes_local / 16777216.0 AS score FROM cand)"""
@@ -65,7 +73,7 @@ def _rounded(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {ASSET}, {_CANDIDATE}, {_SCORE},
-run AS (SELECT *, coalesce(sum(bytes_local) OVER (ORDER BY round(score, 6) DESC, asset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM scored WHERE kind IN ('video', 'document', 'image'))
+run AS (SELECT *, coalesce(sum(bytes_local) OVER (ORDER BY round(score, 6) DESC, asset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM scored WHERE kind IN ('video', 'document', 'image', 'audio', 'thumbnail'))
 SELECT asset_id, bytes_local, CAST(before_ AS BIGINT) AS taken_before FROM run WHERE before_ < {_TARGET}"""
 )
 def eviction_greedy(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +96,8 @@ def eviction_tiered(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ASSET}, {_CANDIDATE}, {_SCORE}, {_pool('a', "kind = 'video'", str(_TARGET))}
-SELECT CASE WHEN asset_id IN (SELECT asset_id FROM a) THEN 'evicted' ELSE 'local' END AS media_state, count(*) AS n,
+    f"""WITH {ASSET}, {_CANDIDATE}, {_SCORE}, {_pool('a', "kind IN ('video', 'document', 'image', 'audio')", str(_TARGET))}
+SELECT CASE WHEN asset_id IN (SELECT asset_id FROM a) THEN 'evicted' ELSE 'original_local' END AS media_state, count(*) AS n,
        CAST(sum(CASE WHEN asset_id IN (SELECT asset_id FROM a) THEN 0 ELSE bytes_local END) AS BIGINT) AS bytes_local FROM asset GROUP BY 1"""
 )
 def eviction_applied(spark: SparkSession, d: str) -> DataFrame:

@@ -289,7 +289,7 @@ def bloom_prune(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MSG}, hot AS (SELECT * FROM msg WHERE body_state = 'local'), cold AS (SELECT * FROM msg WHERE body_state = 'remote_archive_only'),
+    f"""WITH {MSG}, hot AS (SELECT * FROM msg WHERE body_state = 'local_plain_available'), cold AS (SELECT * FROM msg WHERE body_state = 'remote_archive_only'),
 {_lexical('hot')}, {grams('cg', 'cold')}, {fuzzy('cf', 'cg', 'q')},
 found AS (
   SELECT * FROM (
@@ -307,7 +307,7 @@ scored AS (
 SELECT message_id, round(total, 6) AS rank_score, hot_score IS NULL AS is_cold FROM scored ORDER BY total DESC, created_at_ms DESC, message_id LIMIT 50"""
 )
 def hot_cold_union(spark: SparkSession, d: str) -> DataFrame:
-    hot = tables.messages(spark, d).where("body_state = 'local'")
+    hot = tables.messages(spark, d).where("body_state = 'local_plain_available'")
     found = cold.hot_and_cold(hot, _cold(spark, d), search.SearchQuery("the thre"), limit=50)
     return found.select("message_id", "is_cold", six("rank_score"))
 

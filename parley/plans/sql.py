@@ -4,7 +4,7 @@ MSG = """msg AS (
   SELECT conv_id * 1000 + turn AS message_id, conv_id AS conversation_id, role AS sender_id,
          1704067200000 + conv_id * 86400000 + turn * 60000 AS created_at_ms,
          CASE WHEN turn % 5 = 4 THEN 'media' ELSE 'text' END AS kind,
-         CASE WHEN turn % 3 = 2 THEN 'remote_archive_only' ELSE 'local' END AS body_state, text
+         CASE WHEN turn % 3 = 2 THEN 'remote_archive_only' ELSE 'local_plain_available' END AS body_state, text
   FROM conversations)"""
 
 CONV = """conv AS (
@@ -31,7 +31,7 @@ ASSET = """asset AS (
          CAST(l_quantity * 1048576 AS BIGINT) AS bytes_local,
          CASE l_returnflag WHEN 'A' THEN 'primary_backend' WHEN 'N' THEN 'cloud' ELSE '' END AS storage_sink,
          date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) * 86400000 AS created_at_ms,
-         CASE WHEN o_orderstatus = 'F' THEN 'verified' ELSE 'pending' END AS archive_state,
+         CASE WHEN o_orderstatus = 'F' THEN 'archive_verified' ELSE 'archive_pending' END AS archive_state,
          c_mktsegment = 'BUILDING' AS pinned
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 

@@ -100,7 +100,7 @@ def late_head_update(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {MSG} SELECT message_id, CASE WHEN body_state = 'remote_archive_only' AND conversation_id % 2 = 0 THEN 'fetched' ELSE text END AS text,
-CASE WHEN conversation_id % 2 = 0 THEN 'local' ELSE body_state END AS body_state FROM msg"""
+CASE WHEN conversation_id % 2 = 0 THEN 'local_plain_available' ELSE body_state END AS body_state FROM msg"""
 )
 def rehydrate(spark: SparkSession, d: str) -> DataFrame:
     messages = tables.messages(spark, d)
@@ -108,14 +108,6 @@ def rehydrate(spark: SparkSession, d: str) -> DataFrame:
     return store.rehydrated(messages.select("message_id", "text", "body_state"), fetched)
 
 
-@query(f"WITH {MSG} SELECT message_id, body_state AS from_state FROM msg WHERE body_state <> 'remote_archive_only'")
-def illegal_transitions(spark: SparkSession, d: str) -> DataFrame:
-    changes = tables.messages(spark, d).select(
-        "message_id", F.lit("body").alias("machine"), F.col("body_state").alias("from_state"), F.lit("rehydrating").alias("to_state")
-    )
-    return store.illegal(changes).select("message_id", "from_state")
-
-
 _REQUESTS = """req AS (
   SELECT message_id, CASE message_id % 4 WHEN 0 THEN 'prefetch' WHEN 1 THEN 'visible' WHEN 2 THEN 'search' ELSE 'neighbour' END AS reason, created_at_ms AS asked_at FROM msg
   UNION ALL SELECT message_id, 'search', created_at_ms + 5 FROM msg WHERE message_id % 3 = 0),

@@ -58,18 +58,6 @@ def pin_updates(spark: SparkSession, d: str) -> DataFrame:
     return store.pinned(conversations, updates).select("conversation_id", "pinned")
 
 
-@query("SELECT o_orderkey AS message_id, CASE WHEN o_orderstatus = 'F' THEN 'verified' ELSE 'uploading' END AS state, o_orderstatus = 'F' AS refused FROM orders")
-def archive_states(spark: SparkSession, d: str) -> DataFrame:
-    """A batch of legal changes is applied; one with an illegal change isn't."""
-    state = F.when(F.col("o_orderstatus") == "F", "verified").otherwise("pending")
-    rows = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("message_id"), state.alias("state"))
-    pending, verified = rows.where("state = 'pending'"), rows.where("state = 'verified'")
-    asked = rows.select("message_id", F.lit("uploading").alias("to_state"))
-    applied = store.moved(pending, asked, "message_id", "state", "archive")
-    refused = store.moved(verified, asked, "message_id", "state", "archive")
-    return applied.withColumn("refused", F.lit(False)).unionByName(refused.withColumn("refused", F.lit(True)))
-
-
 @query(
     f"""WITH {ASSET} SELECT message_id, min(asset_id) AS first_asset_id, count(*) AS assets, CAST(sum(bytes_local) AS BIGINT) AS bytes,
 CAST(sum(greatest(1, ceil(bytes_local / 16777216.0))) AS BIGINT) AS chunks FROM asset GROUP BY message_id"""

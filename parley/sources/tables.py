@@ -28,7 +28,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         F.col("role").alias("sender_id"),
         (F.lit(EPOCH_MS) + F.col("conv_id") * DAY_MS + turn * 60_000).alias("created_at_ms"),
         F.when(turn % 5 == 4, "media").otherwise("text").alias("kind"),
-        F.when(turn % 3 == 2, "remote_archive_only").otherwise("local").alias("body_state"),
+        F.when(turn % 3 == 2, "remote_archive_only").otherwise("local_plain_available").alias("body_state"),
         F.when(turn % 6 == 5, F.lit(EPOCH_MS) + F.col("conv_id") * DAY_MS).alias("deleted_at_ms"),
         "text",
     )
@@ -105,7 +105,7 @@ def assets(spark: SparkSession, folder: str) -> DataFrame:
     skeleton = orders.select(
         F.col("o_orderkey").alias("message_id"),
         F.col("o_custkey").alias("conversation_id"),
-        F.when(F.col("o_orderstatus") == "F", "verified").otherwise("pending").alias("archive_state"),
+        F.when(F.col("o_orderstatus") == "F", "archive_verified").otherwise("archive_pending").alias("archive_state"),
     )
     heads = customer.select(F.col("c_custkey").alias("conversation_id"), (F.col("c_mktsegment") == "BUILDING").alias("pinned"))
     return own.join(skeleton, "message_id").join(heads, "conversation_id")

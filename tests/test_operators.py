@@ -75,7 +75,7 @@ def assets(spark, rows):
 
 
 def test_pinned_and_unverified_stay(spark):
-    rows = [("a", "video/mp4", 10, "verified", "", 0, True), ("b", "video/mp4", 10, "pending", "", 0, False), ("c", "video/mp4", 10, "verified", "", 0, False), ("d", "text/x", 0, "verified", "", 0, False)]
+    rows = [("a", "video/mp4", 10, "archive_verified", "", 0, True), ("b", "video/mp4", 10, "archive_pending", "", 0, False), ("c", "video/mp4", 10, "archive_verified", "", 0, False), ("d", "text/x", 0, "archive_verified", "", 0, False)]
     assert [r.asset_id for r in offload.candidates(assets(spark, rows), 10, 5).collect()] == ["c"]
 
 
@@ -109,7 +109,7 @@ def test_dedup_of_nothing(spark):
 def test_restore(spark):
     rows = [(1, "message_received", 1, 1, 100), (2, "message_received", 1, 2, 200), (3, "message_deleted", 1, 2, 300), (4, "message_received", 1, None, 300)]
     events = spark.createDataFrame(rows, EVENT)
-    assert [(r.message_id, r.body_state) for r in restore.restored(events, 150, 60).collect()] == [(1, "local")]
+    assert [(r.message_id, r.body_state) for r in restore.restored(events, 150, 60).collect()] == [(1, "local_plain_available")]
     assert restore.restored(events, 250, 100, compat=True).count() == 2
 
 
@@ -124,8 +124,23 @@ def test_queue_and_transitions(spark):
     rows = [(1, "prefetch", 5), (1, "visible", 9), (2, "search", 1), (3, "visible", 2)]
     queue = store.hydration_queue(spark.createDataFrame(rows, "message_id long, reason string, requested_at_ms long"))
     assert [(r.message_id, r.reason) for r in queue.collect()] == [(3, "visible"), (1, "visible"), (2, "search")]
-    changes = spark.createDataFrame([("body", "local", "deleted"), ("body", "deleted", "local")], "machine string, from_state string, to_state string")
-    assert [r.from_state for r in store.illegal(changes).collect()] == ["deleted"]
+    local, gone = "local_plain_available", "deleted_for_me"
+    changes = spark.createDataFrame([("body", local, gone), ("body", gone, local), ("media", local, gone)], "machine string, from_state string, to_state string")
+    assert sorted((r.machine, r.from_state) for r in store.illegal(changes).collect()) == [("body", gone), ("media", local)]
+
+
+def test_restore_progress(spark):
+    order = [b for _, b in store.TRANSITIONS["restore"]]
+    rows = [(1, 1, "identity_restored"), (1, 2, order[0]), (1, 3, order[2]), (1, 4, order[1]), (2, 1, order[0]), (3, 1, "identity_restored")]
+    got = {r.run: (r.state, r.refused) for r in restore.progress(spark.createDataFrame(rows, "run int, seq int, to_state string")).collect()}
+    assert got == {1: ("root_keys_unwrapped", 2), 2: (None, 1), 3: ("identity_restored", 0)}
+
+
+def test_eligibility(spark):
+    kinds = ["video", "document", "image", "audio", "thumbnail", "text"]
+    df = spark.createDataFrame([(k,) for k in kinds], "kind string")
+    allowed = {level: [r.kind for r in df.where(offload.eligible(F.col("kind"), level)).collect()] for level in ("normal", "warning", "critical", "extreme")}
+    assert allowed == {"normal": [], "warning": kinds[:4], "critical": kinds[:5], "extreme": kinds}
 
 
 def test_late_events_move_no_head(spark):

@@ -16,7 +16,7 @@ BODIES = [
 
 @pytest.fixture(scope="module")
 def messages(spark):
-    rows = [(k, k % 3, ("ann", "bob")[k % 2], T0 + k * 1000, "text", "local", b) for k, b in enumerate(BODIES)]
+    rows = [(k, k % 3, ("ann", "bob")[k % 2], T0 + k * 1000, "text", "local_plain_available", b) for k, b in enumerate(BODIES)]
     return spark.createDataFrame(rows, "message_id long, conversation_id long, sender_id string, created_at_ms long, kind string, body_state string, text string")
 
 
@@ -48,6 +48,23 @@ def test_script_runs(spark):
     assert [r[0] for r in df.select(text.script_runs(F.col("t"))).collect()] == [["--ab ", "世界, ", "cd ", "Привет!"], [], []]
 
 
+@pytest.mark.parametrize("body", ["é" + "word " * 200_000, "世界和平" * 80_000, "Привет " * 100_000, "abc é 世界 Привет! " * 40_000, "é" * 1_000_000])
+def test_long_texts(spark, body):
+    """A megabyte takes no stack for each character, nor time for each pair of them."""
+    df = spark.createDataFrame([(1, body)], "message_id long, text string")
+    short = spark.createDataFrame([(1, body[:2000])], "message_id long, text string")
+    tokens = [{(r.script, r.token) for r in search.fuzzy_grams(x).collect()} for x in (df, short)]
+    assert tokens[1] <= tokens[0] and len(tokens[0]) <= len(tokens[1]) + 3
+    assert search.fuzzy_scan(df, body[:12]).count() == 1
+
+
+def test_long_segments_have_the_same_grams(spark):
+    df = spark.createDataFrame([("ab" * 40,), ("世界" * 40,), ("x" * 64,), ("x" * 65,)], "s string")
+    for n in (2, 3):
+        got = [r[0] for r in df.select(text.grams(F.col("s"), F.lit(n))).collect()]
+        assert got == [[s[i : i + n] for i in range(len(s) - n + 1)] for (s,) in df.collect()]
+
+
 def test_grams_by_script(messages):
     got = {(r.message_id, r.script, r.token) for r in search.fuzzy_grams(messages).collect()}
     assert {(2, "Han", "你好"), (2, "Han", "世界"), (3, "Hiragana", "こん"), (1, "Cyrillic", "при"), (0, "Latin", "hel")} <= got
@@ -76,7 +93,7 @@ def test_exact_before_fuzzy_and_each_once(messages):
 
 
 def test_recent_and_text_first(spark, messages):
-    rows = [(1, 0, "a", T0, "text", "local", "same words"), (2, 0, "a", T0 - 90 * DAY, "text", "local", "same words"), (3, 0, "a", T0, "media", "local", "same words")]
+    rows = [(1, 0, "a", T0, "text", "local_plain_available", "same words"), (2, 0, "a", T0 - 90 * DAY, "text", "local_plain_available", "same words"), (3, 0, "a", T0, "media", "local_plain_available", "same words")]
     found = search.hybrid(spark.createDataFrame(rows, messages.schema), SearchQuery("same words"), 10)
     assert ids(found) == [1, 3, 2]
 
