@@ -1,26 +1,31 @@
-"""Benchmark decontamination by a prefix-filtered containment join.
+"""Benchmark decontamination by a prefix-filtered containment join of shingles.
 
 A benchmark item is a set of windows of 13 consecutive words, and a document is
-contaminated by windows that it contains whole.  For whole containment the necessary
-prefix of a window, its words ordered by rarity over all documents, is its rarest
-word alone: only where a document has that word can the window be.  Such a match
-fixes where the item would lie in the document (the positional bound; an end beyond
-the document is the length bound), and the document's words there are compared with
-the item's.  DataFrame and SQL functions only.
+contaminated by windows that it contains whole.  A window is a set of four-word
+shingles; for whole containment its necessary prefix, when they are ordered by rarity
+over all documents, is its rarest shingle alone: only where a document has that shingle
+can the window be.  The shingle's place in the window then fixes where the window would
+begin (the positional bound) and end (the length bound), and the document's words there
+are compared with the window's.  DataFrame and SQL functions only.
+
+Documents are not exploded into their shingles.  Within a row a map of hashes, one byte a
+slot, tells which places may have a wanted shingle; these places, with the words around
+them, are joined.  The map grows with the benchmark up to MOST_SLOTS; beyond, more places
+are joined in vain, by the same plan and with the same result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import numbered, stored
 
-WINDOW = 13
+WINDOW, SHINGLE = 13, 4
 #: A document is contaminated if hit words are at least this part of its words.
 SHARE = 20
-#: So many different anchor words are looked up within a row; beyond it all words are joined.
-LISTED_ANCHORS = 20_000
+#: Slots of the map of wanted shingles: so many for each, and at most so many.
+SLOTS_EACH, MOST_SLOTS = 16, 1 << 23
 
 #: Fixed value: what separates words, after A-Z are lower-cased.
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,89 +40,117 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _BREAKS, -1), "")
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """(item, item_id, item_words, m): m is the item's window length."""
-    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("item_words"))
-    kept = own.where(F.size("item_words") > 0).distinct()
-    return kept.select(F.monotonically_increasing_id().alias("item"), "*", F.least(F.lit(WINDOW), F.size("item_words")).alias("m"))
+def _shingle(words: Column | str, at: Column, size: int) -> Column:
+    """The hash of the ``size`` words from ``at`` (from 0) on."""
+    return F.xxhash64(F.lit(size), *(F.get(words, at + k) for k in range(size)))
 
 
-def _anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(word, item, at): the rarest word of every window, and its place in the item.
+def _windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tables (window, m, run) of the different windows, and (window, item_id) of the items that have them.
 
-    Rarity is the number of occurrences in all of ``docs``.  A window with a word
-    that no document has needs no anchor.
+    An item of fewer than WINDOW words, but not none, is one window.
     """
-    places = items.select("item", "m", F.size("item_words").alias("n"), F.posexplode("item_words").alias("at", "word"))
-    vocabulary = stored(places.select("word").distinct(), "benchmark-words")
-    counts = (
-        docs.select(F.explode(words_of(F.col("text"))).alias("word"))
-        .join(vocabulary, "word", "left_semi")
-        .groupBy("word")
-        .agg(F.count("*").alias("seen"))
-    )
-    ranked = places.join(counts, "word", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    rarest = F.min(F.struct("seen", "word", "at"))
-    ahead = Window.partitionBy("item").orderBy("at")
-    windows = [
-        ranked.where(F.col("m") == WINDOW).withColumn("anchor", rarest.over(ahead.rowsBetween(0, WINDOW - 1))),
-        ranked.where(F.col("m") < WINDOW).withColumn("anchor", rarest.over(ahead.rowsBetween(0, Window.unboundedFollowing))),
-    ]
-    whole = windows[0].unionByName(windows[1]).where((F.col("at") <= F.col("n") - F.col("m")) & (F.col("anchor.seen") > 0))
-    return whole.select("anchor.word", "item", F.col("anchor.at").alias("at")).distinct()
-
-
-def _listed(words: list[str]) -> str:
-    """SQL literals; words hold no quotes or backslashes."""
-    return ", ".join(f"'{w}'" for w in words)
+    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w"))
+    kept = own.where(F.size("w") > 0).distinct().withColumn("m", F.least(F.lit(WINDOW), F.size("w")))
+    starts = F.sequence(F.lit(1), F.size("w") - F.col("m") + 1)
+    parts = kept.select("item_id", "m", "w", F.explode(starts).alias("s")).select("item_id", "m", F.slice("w", F.col("s"), F.col("m")).alias("run"))
+    parts = stored(parts.distinct(), "benchmark-parts")
+    windows = stored(parts.select("m", "run").distinct().select(F.monotonically_increasing_id().alias("window"), "m", "run"), "benchmark-windows")
+    return windows, stored(parts.join(windows, ["m", "run"]).select("window", "item_id"), "benchmark-window-items")
+
+
+def _shingles(windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(window, m, run, k, h, offset): every shingle of ``k`` words of each window; ``k`` is SHINGLE or, in shorter windows, all."""
+    out = None
+    for k in sizes:
+        own = windows.where(F.least(F.col("m"), F.lit(SHINGLE)) == k)
+        places = own.select("window", "m", "run", F.explode(F.sequence(F.lit(0), F.col("m") - k)).alias("offset"))
+        part = places.select("window", "m", "run", F.lit(k).alias("k"), _shingle("run", F.col("offset"), k).alias("h"), "offset")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _slots(wanted: DataFrame) -> tuple[bytes, int]:
+    """A map of the hashes ``h`` of ``wanted``: a byte for each slot, 1 if taken, and the number of slots, at most MOST_SLOTS."""
+    n = wanted.count()
+    slots = 1 << 10
+    while slots < min(MOST_SLOTS, SLOTS_EACH * n):
+        slots *= 2
+    taken = bytearray(slots)
+    # at most MOST_SLOTS numbers
+    for r in wanted.select(F.col("h").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy():
+        taken[r] = 1
+    return bytes(taken), slots
+
+
+def _places(words: str, wanted: DataFrame, sizes: list[int]) -> Column:
+    """For an array of words, the places (k, pos, h) that may have a shingle ``h`` of ``wanted``."""
+    taken, slots = _slots(wanted)
+    held = F.lit(taken)
+
+    def of_size(k: int) -> Column:
+        starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
+        own = F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos"), _shingle(words, i, k).alias("h")))
+        return F.filter(own, lambda x: F.substring(held, x["h"].bitwiseAND(F.lit(slots - 1)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
+
+    return F.flatten(F.array(*map(of_size, sizes)))
+
+
+def _prefixes(own: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """A stored table (k, h, window, m, run, offset): the rarest shingle of each window that all words of ``own`` may hold.
+
+    Rarity is the number of occurrences in all texts.  A window with a shingle that no
+    text has is left out.
+    """
+    shingles = stored(_shingles(windows, sizes), "benchmark-shingles")
+    wanted = stored(shingles.select("k", "h").distinct(), "benchmark-wanted")
+    places = own.select(words_of(F.col("text")).alias("words")).select(F.explode(_places("words", wanted, sizes)).alias("p")).select("p.k", "p.h")
+    seen = places.groupBy("k", "h").agg(F.count("*").alias("seen"))
+    ranked = shingles.join(seen, ["k", "h"], "left")
+    rarest = F.min_by(F.struct("k", "h", "offset"), F.struct("seen", "h", "offset"))
+    by_window = ranked.groupBy("window").agg(rarest.alias("first"), (F.count("*") == F.count("seen")).alias("whole"))
+    chosen = by_window.where("whole").select("window", "first.*")
+    return stored(chosen.join(windows, "window"), "benchmark-prefixes")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: row, doc_id, n_words, n_hit, items.
 
-    ``row`` numbers the scan's rows; ``items`` has the ids, as strings, of items with
-    an occurring window.  Null and empty texts have no words and no hits.  Items
-    without words are left out; an item without an id hits words but isn't listed;
-    repeated items count once.
+    ``row`` numbers the rows; ``items`` has the ids, as strings, of items with an
+    occurring window.  Null and empty texts have no words and no hits; whole texts and
+    items count, however long.  Repeated rows give a row each.  Items without words are
+    left out; an item without an id hits words but isn't listed; repeated items count
+    once.  An empty benchmark hits nothing, and an empty table gives no rows.
     """
-    items = stored(_items(benchmark), "benchmark-items")
-    anchors = stored(_anchors(docs, items).join(items, "item"), "benchmark-anchors")
-    longest = items.agg(F.max(F.size("item_words"))).first()[0] or 0
-    listed = [r["word"] for r in anchors.select("word").distinct().limit(LISTED_ANCHORS + 1).collect()]
-    words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
-    spots = "sequence(0, size(words) - 1)"
-    if not listed:
-        spots = "cast(array() as array<int>)"
-    elif len(listed) <= LISTED_ANCHORS:
-        spots = f"filter({spots}, i -> words[i] in ({_listed(listed)}))"
-    around = (
-        f"transform({spots}, i -> struct(i as pos, words[i] as word, greatest(i - {longest}, 0) as base,"
-        f" slice(words, greatest(i - {longest}, 0) + 1, least(i, {longest}) + {longest}) as near))"
-    )
-    found = words.select(
-        "row",
-        "doc_id",
-        F.size("words").alias("n_words"),
-        F.explode_outer(F.when(F.size("words") > 0, F.expr(around))).alias("spot"),
-    ).select("row", "doc_id", "n_words", "spot.*")
-    met = found.join(anchors, "word", "left").withColumn("shift", F.col("pos") - F.col("at"))
-    # one digit for each item word: does the document have it at its place?
-    same = (
-        "array_join(transform(item_words, (w, k) -> "
-        "if(shift + k >= base and get(near, shift + k - base) <=> w, '1', '0')), '')"
-    )
-    whole = F.expr("filter(sequence(0, size(item_words) - m), s -> substring(same, s + 1, m) = repeat('1', m))")
-    checked = met.withColumn("same", F.expr(same)).withColumn("starts", whole)
-    spans = F.expr("flatten(transform(starts, s -> sequence(shift + s, shift + s + m - 1)))")
-    contained = F.size("starts") > 0
-    return (
-        checked.select("row", "doc_id", "n_words", F.when(contained, spans).alias("span"), F.when(contained, F.col("item_id")).alias("hit_item"))
-        .groupBy("row", "doc_id", "n_words")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("span")))).alias("n_hit"),
-            F.sort_array(F.collect_set("hit_item")).alias("items"),
-        )
-    )
+    own, row = numbered(docs, "decontaminate-rows")
+    return _hits(own.select(F.col(row).alias("row"), "doc_id", "text"), benchmark)
+
+
+def _hits(own: DataFrame, benchmark: DataFrame) -> DataFrame:
+    windows, window_items = _windows(benchmark)
+    sizes = sorted(r["k"] for r in windows.select(F.least(F.col("m"), F.lit(SHINGLE)).alias("k")).distinct().collect())  # at most SHINGLE numbers
+    words = own.select("row", "doc_id", words_of(F.col("text")).alias("words"))
+    none = F.expr("cast(array() as array<int>)")
+    if not sizes:
+        return words.select("row", "doc_id", F.size("words").alias("n_words"), F.lit(0).alias("n_hit"), none.cast("array<string>").alias("items"))
+    prefixes = _prefixes(own, windows, sizes)
+    around = WINDOW - 1
+    base = F.greatest(F.col("p.pos") - around, F.lit(0))
+    found = words.select("row", "doc_id", "words", F.size("words").alias("n_words"), _places("words", prefixes, sizes).alias("places"))
+    near = F.expr(f"transform(places, p -> struct(p.k as k, p.pos as pos, p.h as h, slice(words, greatest(p.pos - {around}, 0) + 1, least(p.pos, {around}) + {WINDOW}) as near))")
+    found = stored(found.select("row", "doc_id", "n_words", near.alias("places")), "decontaminate-places")
+
+    begin = F.col("p.pos") - F.col("offset")
+    met = found.where(F.size("places") > 0).select("row", "n_words", F.explode("places").alias("p"))
+    met = met.join(prefixes, (F.col("p.k") == F.col("k")) & (F.col("p.h") == F.col("h"))).where((begin >= 0) & (begin + F.col("m") <= F.col("n_words")))
+    same = F.slice(F.col("p.near"), begin - base + 1, F.col("m")) == F.col("run")
+    whole = stored(met.where(same).select("row", "window", begin.alias("start"), "m").distinct(), "decontaminate-hits")
+    spans = F.transform(F.collect_set(F.struct("start", "m")), lambda x: F.sequence(x["start"], x["start"] + x["m"] - 1))
+    hit = whole.groupBy("row").agg(F.size(F.array_distinct(F.flatten(spans))).alias("n_hit"))
+    named = window_items.where("item_id is not null")
+    listed = whole.select("row", "window").distinct().join(named, "window").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    every = found.select("row", "doc_id", "n_words").join(hit.join(listed, "row", "left"), "row", "left")
+    return every.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none.cast("array<string>")).alias("items"))
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -132,12 +165,9 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns.
-
-    ``docs`` must be a plain scan, whose rows are numbered alike each time.
-    """
-    bad = hits(docs, benchmark).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row").alias("bad_row"))
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    own, row = numbered(docs, "decontaminate-rows")
+    found = _hits(own.select(F.col(row).alias("row"), "doc_id", "text"), benchmark)
+    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row").alias("bad_row"))
     bad = stored(bad, "contaminated")
-    row = fresh(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(bad, numbered[row] == bad["bad_row"], "left_anti").drop(row)
+    return own.join(bad, own[row] == bad["bad_row"], "left_anti").drop(row)

@@ -51,10 +51,20 @@ def test_against_brute_force(spark, make_docs, edge_rows, monkeypatch):
     docs = make_docs(rows, clash=True)
     assert got(spark, docs, items) == want
     assert sum(k[2] > 0 for k in want) > 10  # some passages are of 12 words
-    monkeypatch.setattr(decontaminate, "LISTED_ANCHORS", 3)  # joins all words instead
+    monkeypatch.setattr(decontaminate, "MOST_SLOTS", 1 << 10)  # many places are joined in vain
     assert got(spark, docs, items) == want
 
 
+def test_many_anchors_and_a_long_item(spark, make_docs):
+    """Over 20,000 windows with a shingle of their own, and an item of 10,000 words."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randint(0, 30_000)}" for _ in range(10_000))
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(13))) for k in range(21_000)] + [(50_000, long)]
+    rows = [(1, "so it says " + items[17][1]), (2, " ".join(long.split()[5_000:5_013])), (3, long + " " + items[20_999][1]), (4, " ".join(long.split()[:12])), (5, long * 3)]
+    few = [items[17], items[20_999], items[-1]]  # nothing else is in the rows
+    assert got(spark, make_docs(rows), items) == brute(rows, few)
+
+
 def test_only_common_words(spark, make_docs):
     """A window has no rare word, and a document repeats it."""
     item = " ".join(["the"] * 20)
