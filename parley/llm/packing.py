@@ -1,13 +1,14 @@
 """Best-fit packing of tokenized documents into sequences of a fixed capacity.
 
-Bulk-synchronous best fit.  Pieces and gaps are sorted by size, and a round takes
-the pieces of one size, longest first: a sweep over the sorted gaps gives them to
-the smallest gaps that hold them (the successors), conflicts are resolved by rank
-(the k-th piece of a size goes to the k-th gap), the gaps are updated, and the next
-round follows.  Pieces of equal length and gaps of equal size are interchangeable,
-so a round only needs how many there are of each size.  These counts are bounded by
-the capacity, not by the input; ranks and placements, which do grow with the input,
-are computed by Spark.  The result is exactly that of best-fit decreasing.
+Bulk-synchronous best fit over size classes.  Pieces of equal length and gaps of equal
+size are interchangeable, so what a round of best fit has to know is how many there are
+of each size: at most as many numbers as the capacity, whatever the input.  A round
+takes the pieces of one length, longest first: a sweep over the sorted gaps gives them
+to the smallest that hold them (the successors), conflicts are resolved by rank (the
+k-th piece of a length goes to the k-th gap), the gaps are updated, and the next round
+follows.  The rounds' counts are a plan of a few thousand rows, made on the driver;
+what grows with the input, ranks and placements, is computed by Spark.  The result is
+exactly that of best-fit decreasing.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .common import stored
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: A size class is dealt out to so many groups, each with ranks of its own.
-SALTS = 128
+#: A size class is dealt out to groups of about so many pieces, each ranked by one task.
+GROUP_PIECES = 100_000
 #: A worker remembers so many encoded words in each of three tables.
 CACHED_WORDS = 300_000
 
@@ -208,19 +209,25 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``, gapless from 0 in each sequence.
 
-    ``pieces`` must be a stored table: it is read twice.
+    ``pieces`` must be a stored table: it is read three times.  Full pieces are sequences
+    of their own and need no rank, so they are not shuffled; a size class of the others
+    is dealt to as many groups as its count needs, so that no task ranks more than about
+    GROUP_PIECES however many pieces have one length.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    # at most capacity x SALTS rows, whatever the input
+    # at most capacity rows, whatever the input
+    sums = {r["length"]: r["n"] for r in pieces.where(F.col("length") != capacity).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    groups = spark.createDataFrame([(length, -(-n // GROUP_PIECES)) for length, n in sums.items()], "length long, groups long")
+    salted = pieces.where(F.col("length") != capacity).join(F.broadcast(groups), "length")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "groups").cast("int")).drop("groups")
+    # a row for each length and GROUP_PIECES pieces of it
     classes = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack-classes")
-    sums = {r["length"]: r["n"] for r in classes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = classes.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     own = Window.partitionBy("length", "salt").orderBy(*(c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns))
     ranked = (
         salted.withColumn("nth", F.row_number().over(own))
-        .join(F.broadcast(before), ["length", "salt"])
+        .join(before, ["length", "salt"])
         .withColumn("rank", F.col("before") + F.col("nth") - 1)
     )
     # a few rows for each pair of a length and a gap: bounded by the capacity
@@ -228,11 +235,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         best_fit_plan(sums, capacity), "length long, first_rank long, pieces long, first_sequence long, offset long"
     )
     here = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("pieces"))
-    return (
+    placed = (
         ranked.join(F.broadcast(plan.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & here)
         .withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("first_rank"))
         .select(*pieces.columns, "sequence_id", "offset")
     )
+    # negative numbers, so that they are none of the plan's
+    full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id())
+    return placed.unionByName(full.withColumn("offset", F.lit(0).cast("long")))
 
 
 def pack_documents(
@@ -240,7 +250,9 @@ def pack_documents(
 ) -> DataFrame:
     """Tokenize ``docs`` and pack the pieces; with ``keep_ids`` each row has its ids.
 
-    Null texts and texts without tokens are documents of the end id alone; an empty
-    table gives no rows; other columns of ``docs`` are not looked at.
+    Null texts and texts without tokens are documents of the end id alone; texts of any
+    length are cut into whole pieces and a last one.  Repeated rows are packed once each,
+    and rows without a doc_id like others.  An empty table gives no rows; columns other
+    than doc_id and text, whatever their names, are not looked at.
     """
     return pack(stored(token_pieces(docs, path, capacity, end_id, keep_ids), "pack-pieces"), capacity)
