@@ -5,10 +5,10 @@ digits, and table v (1 to 7) keeps the bits whose class has an odd product with
 For any two bits some v drops both classes, so every pair within two bits agrees on
 all that some table keeps and collides there, by construction and not by chance.
 
-A collision is followed up without comparing pairs: in its bucket a fingerprint is
-sent to itself and to what it becomes if one dropped bit is turned.  Fingerprints
-that meet at such a point differ in at most two bits, and any two within two bits
-meet at one.  A point has at most 65 members, so no bucket needs a cap.
+What collides is verified: in a bucket of few fingerprints each pair by its differing
+bits, so a fingerprint meets a bounded number of others; in a fuller one without
+listing pairs, at points one dropped bit away, which have at most 65 members.  So no
+bucket needs a cap.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, stored
+from .common import numbered, stored
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 TABLES = (1 << (RADIUS + 1)) - 1
+#: Buckets of at most so many fingerprints are verified pair by pair.
+PAIRED = 32
 
 
 def kept_bits(table: int) -> list[int]:
@@ -66,8 +68,8 @@ def fingerprints(text: pa.Array) -> pa.Array:
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that connect whatever fingerprints ``fp`` of ``distinct`` are within RADIUS bits.
 
-    Rows for an input row: one for each table, and up to BITS + 1 more if it collides
-    with another fingerprint.
+    Rows for an input row: one for each table, and for each table in which it collides
+    up to PAIRED pairs, or up to BITS + 1 points for all full buckets.
     """
     tables = F.explode(
         F.array(
@@ -78,9 +80,21 @@ def links(distinct: DataFrame) -> DataFrame:
         )
     )
     hashed = distinct.select("fp", tables.alias("at")).select("fp", "at.table", "at.key")
-    full = hashed.groupBy("table", "key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
-    collided = stored(hashed.join(full.select("table", "key"), ["table", "key"], "left_semi"), "simhash-collided")
-    # the bits that some table of its collisions drops: each is turned once, however many drop it
+    full = hashed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
+    collided = stored(hashed.join(full, ["table", "key"]), "simhash-collided")
+    few = collided.where(F.col("n") <= PAIRED).drop("n")
+    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["table", "key"])
+    verified = pairs.where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b")
+    return verified.unionByName(_met(collided.where(F.col("n") > PAIRED))).distinct()
+
+
+def _met(collided: DataFrame) -> DataFrame:
+    """Links among the members (table, fp) of large buckets, found without pairs.
+
+    A member is sent to itself and to what it becomes if one bit that its tables drop is
+    turned.  What meets at a point differs in at most RADIUS bits, and any two of a
+    bucket that are within RADIUS meet at one; a point has at most BITS + 1 members.
+    """
     dropped = F.lit(0).cast("long")
     for v in range(1, TABLES + 1):
         kept = set(kept_bits(v))
@@ -89,9 +103,8 @@ def links(distinct: DataFrame) -> DataFrame:
     bits = F.array(*(F.lit(_signed(1 << i)) for i in range(BITS)))
     turns = F.concat(F.array(F.lit(0).cast("long")), F.filter(bits, lambda bit: bit.bitwiseAND(F.col("free")) != 0))
     points = free.select("fp", F.explode(turns).alias("turn")).select("fp", F.col("fp").bitwiseXOR(F.col("turn")).alias("point"))
-    # what meets at a point is within RADIUS whatever its tables, and at most BITS + 1 fingerprints do
     met = points.groupBy("point").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    return met.select(F.explode("members").alias("a"), "b").where("a <> b").distinct()
+    return met.select(F.explode("members").alias("a"), "b").where("a <> b")
 
 
 def classes(marked: DataFrame) -> DataFrame:
@@ -110,8 +123,13 @@ def classes(marked: DataFrame) -> DataFrame:
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """A stored table (row, doc_id, fp) of ``docs``; row numbers a scan's rows."""
-    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", fingerprints(F.col("text")).alias("fp")), "simhash")
+    """A stored table (row, doc_id, fp) of ``docs``."""
+    own, row = numbered(docs, "simhash-rows")
+    return _marked(own, row)
+
+
+def _marked(own: DataFrame, row: str) -> DataFrame:
+    return stored(own.select(F.col(row).alias("row"), "doc_id", fingerprints(F.col("text")).alias("fp")), "simhash")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -121,8 +139,10 @@ def hexadecimal(fp: Column) -> Column:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (hexadecimal), component_id.
 
-    Null and empty texts have fingerprint zero and link like any other.  A null
-    doc_id is never a component_id unless its whole class has none.
+    Null and empty texts have fingerprint zero and link like any other; whole texts
+    count, however long.  Repeated rows give a row each.  A null doc_id is never a
+    component_id unless its whole class has none.  An empty table gives no rows; columns
+    other than doc_id and text may have any names.
     """
     marked = mark(docs)
     found = marked.join(classes(marked), "fp")
@@ -130,11 +150,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one of each class stays.
-
-    ``docs`` must be a plain scan, whose rows are numbered alike each time.
-    """
-    kept = classes(mark(docs)).select("kept_row").distinct()
-    row = fresh(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(kept, numbered[row] == kept["kept_row"], "left_semi").drop(row)
+    """The rows of ``docs``, with all their columns, of which one of each class stays: that of the least doc_id, the first of several."""
+    own, row = numbered(docs, "simhash-rows")
+    kept = classes(_marked(own, row)).select("kept_row").distinct()
+    return own.join(kept, own[row] == kept["kept_row"], "left_semi").drop(row)
