@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.csv
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,9 +32,17 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:x-page:"
 
+_TABS = pa.csv.ParseOptions(delimiter="\t", quote_char=False)
+_TYPES = pa.csv.ConvertOptions(column_types={"offset": pa.int64(), "length": pa.int64(), "kind": pa.string(), "record_id": pa.string()})
+
 
 def _open_folder(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    files, path = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    """The file system of a folder that has a scheme, as :func:`shared_path` gives it, and the path there."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon:
+        raise ValueError(f"{folder} has no scheme, so Spark and others may take it for different places")
+    # Spark writes file:/x where others write file:///x
+    files, path = pa.fs.FileSystem.from_uri(folder if rest.startswith("//") else f"{scheme}://{rest}")
     files.create_dir(path, recursive=True)
     return files, path
 
@@ -198,8 +207,7 @@ def normalise_stream(source, write: Callable[[bytes], int]) -> Iterator[tuple[di
 def normalise(archives: DataFrame, folder: str, tasks: int) -> DataFrame:
     """Rewrite every ``archive`` into ``folder``, each with a sidecar index of offsets.
 
-    Returns a lazy table (archive, offset, length) with a row for each record, which is
-    what the sidecars hold; store it, and the files exist.
+    Returns a lazy table (archive, sidecar, n_records); store it, and the files exist.
     """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +215,7 @@ def normalise(archives: DataFrame, folder: str, tasks: int) -> DataFrame:
         for batch in batches:
             for source in batch.column("archive").to_pylist():
                 name = f"{path}/{source.rpartition('/')[2].removesuffix('.warc.gz')}-{_attempt()}.warc.gz"
-                offsets, lengths = [], []
+                n = 0
                 with (
                     files.open_input_stream(source, compression=None) as packed,
                     files.open_output_stream(name, compression=None) as out,
@@ -221,18 +229,29 @@ def normalise(archives: DataFrame, folder: str, tasks: int) -> DataFrame:
 
                     for headers, offset, length in normalise_stream(packed, write):
                         index.write(f"{offset}\t{length}\t{headers['warc-type']}\t{headers['warc-record-id']}\n".encode())
-                        offsets.append(offset)
-                        lengths.append(length)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "archive": pa.array([name] * len(offsets), pa.string()),
-                        "offset": pa.array(offsets, pa.int64()),
-                        "length": pa.array(lengths, pa.int64()),
-                    }
-                )
+                        n += 1
+                yield pa.RecordBatch.from_pydict({"archive": [name], "sidecar": [f"{name}.idx"], "n_records": pa.array([n], pa.int64())})
 
     dealt = archives.where("n_records > 0").select("archive").repartition(tasks, "archive")
-    return dealt.mapInArrow(rewrite, "archive string, offset long, length long")
+    return dealt.mapInArrow(rewrite, "archive string, sidecar string, n_records long")
+
+
+def read_index(archives: DataFrame, folder: str) -> DataFrame:
+    """(archive, offset, length, kind, record_id) of every record, from the sidecars of ``archives``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = _open_folder(folder)
+        for batch in batches:
+            for archive, sidecar, n in zip(*(batch.column(c).to_pylist() for c in ("archive", "sidecar", "n_records"))):
+                seen = 0
+                with files.open_input_stream(sidecar, compression=None) as lines:
+                    for part in pa.csv.open_csv(lines, pa.csv.ReadOptions(column_names=["offset", "length", "kind", "record_id"]), _TABS, _TYPES):
+                        seen += part.num_rows
+                        yield pa.RecordBatch.from_arrays([pa.array([archive] * part.num_rows, pa.string()), *part.columns], names=["archive", *part.schema.names])
+                if seen != n:
+                    raise ValueError(f"{sidecar} has {seen} records, not {n}")
+
+    return archives.select("archive", "sidecar", "n_records").mapInArrow(read, "archive string, offset long, length long, kind string, record_id string")
 
 
 # --- reading ---------------------------------------------------------------------
@@ -285,12 +304,19 @@ def read_records(index: DataFrame, folder: str, payloads: bool = False) -> DataF
 def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
     """Write ``pages`` as monolithic archives, normalise them and read all records back.
 
-    One row for each page; an empty table gives no rows.  Page ids are whole numbers.
+    One row for each row of ``pages``, repeated ones too; an empty table gives no rows.
+    Page ids are whole numbers or null; a null html is an empty payload, a null URL one
+    made of the page id.  Rows of one page_id with different payloads are records of
+    their own, and a payload is referred to by the largest page_id that has it, however
+    many rows have that one.  Payloads may be of any length; other columns are not looked
+    at.
     """
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
     archives = stored(write_archives(plan_records(pages), f"{folder}/monolithic"), "warc-archives")
     n = archives.where("n_records > 0").count()
-    index = stored(normalise(archives, f"{folder}/members", max(1, n)), "warc-index")
+    members = stored(normalise(archives, f"{folder}/members", max(1, n)), "warc-members")
+    # an archive's records are read where its sidecar is, one after the other
+    index = read_index(members.repartition(max(1, n), "archive"), f"{folder}/members")
     return read_records(index, f"{folder}/members", payloads)
 

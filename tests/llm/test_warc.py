@@ -6,6 +6,7 @@ import io
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import warc
@@ -48,7 +49,8 @@ def test_members_and_sidecar(spark, tmp_path):
     pages = spark.createDataFrame(rows()[:8], PAGES).coalesce(1)
     folder = shared_path(spark, "warc-test")
     archives = stored(warc.write_archives(warc.plan_records(pages), f"{folder}/in"), "archives")
-    index = stored(warc.normalise(archives, f"{folder}/out", 1), "index").orderBy("offset").collect()
+    members = stored(warc.normalise(archives, f"{folder}/out", 1), "members")
+    index = stored(warc.read_index(members, f"{folder}/out"), "index").orderBy("offset").collect()
     monolithic = open(archives.first()["archive"], "rb").read()
     whole = open(index[0]["archive"], "rb").read()
     once = zlib.decompressobj(31)
@@ -57,6 +59,7 @@ def test_members_and_sidecar(spark, tmp_path):
     assert sum(r["length"] for r in index) == len(whole) and len(index) == 8
     sidecar = [line.split("\t") for line in open(index[0]["archive"] + ".idx").read().splitlines()]
     assert [(int(a), int(b)) for a, b, *_ in sidecar] == [(r["offset"], r["length"]) for r in index]
+    assert [(r["kind"], r["record_id"]) for r in index] == [(kind, record) for *_, kind, record in sidecar]
     for r in index:
         member = zlib.decompressobj(31)
         assert member.decompress(whole[r["offset"] : r["offset"] + r["length"]]).startswith(b"WARC/1.1\r\n") and member.eof
@@ -70,3 +73,20 @@ def test_streams_in_bounded_pieces():
     assert len(found) == 3 and found[1][1] == found[0][2] and max(map(len, out)) < 1 << 20
     headers, http, payload = warc.read_member(b"".join(out)[found[2][1] :])
     assert payload == body and headers["warc-type"] == "response" and http["content-length"] == str(len(body))
+
+
+def test_folders_need_a_scheme(tmp_path):
+    files, path = warc._open_folder(f"file:{tmp_path}/a")
+    assert path == f"{tmp_path}/a" and files.get_file_info(path).type.name == "Directory"
+    with pytest.raises(ValueError):
+        warc._open_folder(f"{tmp_path}/b")
+
+
+def test_a_sidecar_must_be_whole(spark):
+    pages = spark.createDataFrame(rows()[:8], PAGES).coalesce(1)
+    folder = shared_path(spark, "warc-test")
+    archives = stored(warc.write_archives(warc.plan_records(pages), f"{folder}/in"), "archives")
+    members = stored(warc.normalise(archives, f"{folder}/out", 1), "members")
+    short = members.withColumn("n_records", F.col("n_records") + 1)
+    with pytest.raises(Exception, match="records, not"):
+        warc.read_index(short, f"{folder}/out").collect()
