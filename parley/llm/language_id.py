@@ -8,7 +8,6 @@ pair votes, and summed margins decide ties.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import drawn, held_out
 from .linear import fit_softmax, fit_svm, logistic, softmax
 
 #: Closely related languages; one of no family is a family by itself.
@@ -34,11 +33,15 @@ UNKNOWN = "und"
 TRAIN_ROWS = 4_000
 BUCKETS = 2048
 
-_letter = re.compile(r"[^\W\d_]").search
 #: ASCII letters and all bytes beyond ASCII stay; the rest is a space.
 _KEEP = np.array([b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256)], np.uint32)
 
 
+def _lettered(text: str) -> bool:
+    """Whether any character is a letter; signs like ``²`` or ``Ⅷ`` are none."""
+    return any(map(str.isalpha, text))
+
+
 def ngram_counts(text: str) -> np.ndarray:
     """Hashed counts of the n-grams of one text, damped and of unit length."""
     raw = _KEEP[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)]
@@ -109,12 +112,11 @@ def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray
     """Features of fixed size and languages of about ``rows`` documents at most, none of the held-out fold."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    drawn = F.lit(False)
-    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+    wanted = F.lit(False)
     for lang, n in sizes.items():
         share = min(1.0, rows / len(sizes) / n)
-        drawn = drawn | ((F.col("lang") == lang) & (hashed < int(share * (1 << 20)) + 1))
-    sample = known.where(drawn).select("lang", _packed(F.col("text")).alias("x")).toArrow()
+        wanted = wanted | ((F.col("lang") == lang) & drawn(share, "doc_id", "text"))
+    sample = known.where(wanted).select("lang", _packed(F.col("text")).alias("x")).toArrow()
     x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float16).astype(np.float32).reshape(-1, BUCKETS)
     return x, sample["lang"].to_pylist()
 
@@ -122,8 +124,11 @@ def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray
 def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, lang_pred, score.
 
-    Only the whole text is looked at to predict; one that is null or has no letter is
-    ``und`` with score 0, and so is every text if there is nothing to learn from.
+    Only the whole text is looked at to predict, however long; one that is null or has
+    no letter is ``und`` with score 0, and so is every text if there is nothing to learn
+    from.  Repeated rows are predicted alike.  Ties go to the family and then to the
+    language that is first by name.  An empty table gives no rows; columns other than
+    doc_id, text and lang may have any names.
     """
     x, languages = training_sample(docs, rows)
     model = fit(x, languages) if languages else None
@@ -134,7 +139,7 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
         found, hierarchy = [], sent.value
         for at in range(0, len(text), 512):
             part = [t.as_py() for t in text[at : at + 512]]
-            told = [bool(hierarchy and t and _letter(t)) for t in part]
+            told = [bool(hierarchy and t and _lettered(t)) for t in part]
             lettered = [ngram_counts(t) for t, ok in zip(part, told) if ok]
             guesses = iter(hierarchy.predict(np.stack(lettered)) if lettered else ())
             found += [next(guesses) if ok else (UNKNOWN, 0.0) for ok in told]
