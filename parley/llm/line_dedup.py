@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, numbered, stored
 
 LINES = 3
 
@@ -20,32 +20,28 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", lines_of(F.col("text")).alias("lines"))
-
-
-def _windows(docs: DataFrame) -> DataFrame:
+def _windows(own: DataFrame, row: str) -> DataFrame:
     """(h1, h2, doc_id, row, pos) of every window of LINES lines."""
-    numbered = _numbered(docs).where(F.size("lines") >= LINES)
+    split = own.select(F.col(row).alias("row"), "doc_id", lines_of(F.col("text")).alias("lines")).where(F.size("lines") >= LINES)
     starts = F.sequence(F.lit(0), F.size("lines") - LINES)
 
     def hashed(i: Column) -> Column:
         own = [F.get("lines", i + k) for k in range(LINES)]
         return F.struct(F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(LINES), *own).alias("h2"))
 
-    return numbered.select("doc_id", "row", F.posexplode(F.transform(starts, hashed)).alias("pos", "h")).select(
+    return split.select("doc_id", "row", F.posexplode(F.transform(starts, hashed)).alias("pos", "h")).select(
         "h.h1", "h.h2", "doc_id", "row", "pos"
     )
 
 
-def covered_lines(docs: DataFrame) -> DataFrame:
+def covered_lines(own: DataFrame, row: str) -> DataFrame:
     """(row, covered): for each row with any, the positions of its lines that go.
 
-    ``row`` is the number that ``monotonically_increasing_id`` gives to the scan
-    ``docs``.  Windows are counted before the shuffle; a window that very many rows
-    share meets its first occurrence in a join that Spark splits by itself.
+    ``own`` is numbered by its column ``row``.  Windows are counted before the shuffle; a
+    window that very many rows share meets its first occurrence in a join that Spark
+    splits by itself.
     """
-    windows = _windows(docs)
+    windows = _windows(own, row)
     place = F.struct("doc_id", "row", "pos")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
@@ -54,20 +50,22 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
-    """``docs`` with the covered lines taken out of ``text``; other columns stay.
+    """``docs`` with the covered lines taken out of ``text``; other columns, whatever their names, stay.
 
-    ``docs`` must be a plain scan, whose rows are numbered alike each time.  Texts of
-    fewer than three lines and null texts stay as they are; a text all of whose lines
-    are covered becomes empty; rows with a null doc_id come before all others, and of
-    rows with equal doc_id the one scanned first.  With ``removed``, a column of that
-    name has the number of lines taken out.
+    Texts of fewer than three lines and null texts stay as they are, and whole texts
+    count, however long; a text all of whose lines are covered becomes empty; rows with a
+    null doc_id come before all others, and of rows with equal doc_id the one scanned
+    first.  Of a repeated row all windows but the first row's go.  An empty table stays
+    empty.  With ``removed``, a column of that name has the number of lines taken out.
     """
-    row, gone = fresh(docs, "row"), fresh(docs, "covered")
-    covered = covered_lines(docs).select(F.col("row").alias(row), F.col("covered").alias(gone))
+    own, row = numbered(docs, "line-rows")
+    gone = fresh(own, "covered")
+    # a stored table: small beside the texts, of which only those with covered lines are joined
+    covered = stored(covered_lines(own, row).select(F.col("row").alias(row), F.col("covered").alias(gone)), "lines-covered")
     lines = lines_of(F.col("text"))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(covered, row, "left")
+    joined = own.join(covered, row, "left")
     out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(text))
     if removed:
         out = out.withColumn(removed, F.coalesce(F.array_size(gone), F.lit(0)))
