@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.sources.shared import forget, shared_dir, shared_path, store, stored
+
+__all__ = [
+    "FOLDS", "HELD_OUT_FOLD", "drawn", "fold", "forget", "fresh", "held_out", "majority_labels", "numbered", "shared_dir", "shared_path", "store", "stored", "table",
+]
+
 #: Rows of these folds are never learned from: crc32(doc_id as text) mod 3 is 1.
 FOLDS, HELD_OUT_FOLD = 3, 1
 
@@ -17,55 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: By application: the temporary folder of one that names no shared folder, as in tests.
-_temporary: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session without one gets a temporary folder; a cluster's must be named.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = _temporary.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="parley-")
-        _temporary[context.applicationId] = found
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    return path
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a path that :func:`shared_path` gave."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back: (table, path).
-
-    This cuts the lineage, and what was computed survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return store(df, name)[0]
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -74,6 +28,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a row number, stored, so that the number is the same whenever it is read: (table, column).
+
+    Only a plain scan of files numbers its rows alike each time without being stored;
+    ``docs`` may be anything.
+    """
+    row = fresh(docs, "row")
+    own = docs.withColumn(row, F.monotonically_increasing_id())
+    return (own if _is_scan(docs) else stored(own, name)), row
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is files as they lie, whose partitions and order are the same each time."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    return plan.nodeName() in ("LogicalRelation", "Relation", "DataSourceV2ScanRelation")
+
+
 def fold(key: Column) -> Column:
     """The fold 0..FOLDS-1 of a row; rows without a key are in the fold of ''."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS
@@ -83,6 +56,15 @@ def held_out(key: Column) -> Column:
     return fold(key) == HELD_OUT_FOLD
 
 
+#: Draws by hash are this fine.
+_DRAWS = 1 << 62
+
+
+def drawn(share: float, *keys: Column | str) -> Column:
+    """Whether a row with these keys is in a sample of about ``share`` of all, at any size; at least one hash is."""
+    return F.pmod(F.xxhash64(*keys), F.lit(_DRAWS)) < max(1, min(_DRAWS, int(share * _DRAWS)))
+
+
 def majority_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
     """One 0/1 label for each key: the majority of its rows, 1 on a tie; nulls count for nothing."""
     return (

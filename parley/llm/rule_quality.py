@@ -7,6 +7,7 @@ gives the rules weights, most of them zero, and the rest becomes one Column.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -14,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, majority_labels, stored
+from .common import drawn, held_out, majority_labels, stored
 from .text_stats import features, text_counts
 
 #: At most about so many labelled rows are learned from, chosen by a hash.
@@ -80,7 +81,7 @@ def fit(train: DataFrame, seed: int = 7) -> RuleModel:
     rules = sorted(set().union(*(tree_rules(tree._java_obj.rootNode(), names) for tree in forest.trees)))
     if not rules:
         share = train.agg(F.avg("label")).first()[0]
-        return RuleModel(float(__import__("math").log(share / (1 - share))), ())
+        return RuleModel(float(math.log(share / (1 - share))), ())
     own = {name: F.col(name) for name in names}
     held = train.select("label", *(holds(rule, own).cast("double").alias(f"rule{k}") for k, rule in enumerate(rules)))
     matrix = VectorAssembler(inputCols=[f"rule{k}" for k in range(len(rules))], outputCol="rules").transform(held)
@@ -95,10 +96,9 @@ def training_rows(counted: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     """Statistics and labels of labelled documents outside the held-out fold, about ``rows`` at most."""
     known = majority_labels(labels, "doc_id", "quality").withColumnRenamed("key", "doc_id")
     share = min(1.0, rows / max(1, known.count()))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
     return (
         counted.where(~held_out(F.col("doc_id")))
-        .join(known.where(drawn), "doc_id")
+        .join(known.where(drawn(share, "doc_id")), "doc_id")
         .select("label", *(c.alias(name) for name, c in features("counts").items()))
         .coalesce(TRAIN_PARTITIONS)
     )
@@ -107,8 +107,12 @@ def training_rows(counted: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted, n_rules.
 
-    The score uses statistics of the whole text alone; null texts count as empty.
-    Repeated rows get equal scores, and other columns of ``docs`` are not looked at.
+    The score uses statistics of the whole text alone, however long; null and blank
+    texts count as empty and get the score of one.  A score of 0.5 predicts 1.  Repeated
+    rows get equal scores, and other columns of ``docs``, whatever their names, are not
+    looked at.  Of several labels of a document the majority counts, 1 on a tie; null
+    labels don't.  An empty ``docs`` gives no rows; without labels every score is 0.5,
+    with one kind of label all are that one.
     """
     counted = stored(docs.select("doc_id", text_counts(F.col("text")).alias("counts")), "quality-counts")
     model = fit(stored(training_rows(counted, labels, rows), "quality-train"))

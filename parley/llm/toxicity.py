@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, majority_labels
+from .common import drawn, held_out, majority_labels
 from .linear import logistic
 
 #: About so many labelled rows at most are learned from.
@@ -118,9 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Cumulativ
     """Learn from labelled documents outside the held-out fold; None without both labels."""
     known = majority_labels(labels, "doc_id", "toxic").withColumnRenamed("key", "doc_id").where(~held_out(F.col("doc_id")))
     share = min(1.0, rows / max(1, known.count()))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    chosen = F.broadcast(known.where(drawn))  # about rows labels at most, so no text is shuffled
-    sample = docs.select("doc_id", "text").where(drawn & F.col("text").isNotNull()).join(chosen, "doc_id")
+    wanted = drawn(share, "doc_id")
+    chosen = F.broadcast(known.where(wanted))  # about rows labels at most, so no text is shuffled
+    sample = docs.select("doc_id", "text").where(wanted & F.col("text").isNotNull()).join(chosen, "doc_id")
     seen = (
         sample.select("label", F.explode(_feature_names(F.col("text"))).alias("word"))
         .groupBy("word")
