@@ -82,6 +82,21 @@ def grams(segment: Column, n: Column) -> Column:
     return F.when(F.length(segment) <= LONG_SEGMENT, F.transform(starts, lambda i: F.substring(segment, i, n))).otherwise(long)
 
 
+def query_grams(query: str) -> dict[str, list[str]]:
+    """The distinct n-grams of one query by script, as the Column functions cut them; no job is run."""
+    import regex
+
+    known = "".join(rf"\p{{Script={s}}}" for s in SCRIPTS)
+    found: dict[str, set[str]] = {}
+    runs = "|".join(rf"[^{known}]*+\p{{Script={s}}}[\p{{Script={s}}}[^{known}]]*+" for s in SCRIPTS)
+    for run in regex.findall(runs, query or "", regex.VERSION1):
+        script = next(s for s in SCRIPTS if regex.search(rf"\p{{Script={s}}}", run))
+        n = 2 if script in BIGRAM_SCRIPTS else 3
+        for part in regex.split(r"[\x09-\x0D\x20-\x40\x5B-\x60\x7B-\x7E]+", run.lower()):
+            found.setdefault(script, set()).update(part[i : i + n] for i in range(len(part) - n + 1))
+    return {s: sorted(own) for s, own in sorted(found.items()) if own}
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

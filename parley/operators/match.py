@@ -59,6 +59,12 @@ def positive_words(query: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def all_words(query: str) -> list[str]:
+    """The distinct words of all terms, negated ones too; prefixes keep their star."""
+    terms = (item for item in tokenize(query) if isinstance(item, Term))
+    return list(dict.fromkeys(w + "*" * (t.prefix and k == len(t.words) - 1) for t in terms for k, w in enumerate(t.words)))
+
+
 def _term(words: Column, term: Term) -> Column:
     if len(term.words) == 1:
         word = term.words[0]

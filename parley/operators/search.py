@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import numbers, text
@@ -85,25 +85,36 @@ def full_text(messages: DataFrame, query: str) -> DataFrame:
 
     Statistics are those of ``messages``.  A prefix term counts all words it begins.
     """
-    wanted = match.positive_words(query)
     words = messages.select("message_id", text.words(F.col("text")).alias("words"))
+    return scored_text(words.withColumn("len", F.size("words")), query)
+
+
+def scored_text(words: DataFrame, query: str, stats: DataFrame | None = None) -> DataFrame:
+    """(message_id, bm25) of those of ``words`` (message_id, words, len) that match.
+
+    ``words`` must have every message with a word of the query.  ``stats`` is one row (n,
+    avg_len) of the whole corpus; without it ``words`` is the corpus.
+    """
+    wanted = match.positive_words(query)
 
     def count(word: str) -> Column:
         if word.endswith("*"):
             return F.size(F.filter("words", lambda w: w.startswith(word[:-1])))
         return F.size(F.filter("words", lambda w: w == word))
 
-    counted = words.select("message_id", "words", F.size("words").alias("len"), *(count(w).alias(f"tf{k}") for k, w in enumerate(wanted)))
-    stats = counted.agg(
-        F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(wanted)))
-    )
+    counted = words.select("message_id", "words", "len", *(count(w).alias(f"tf{k}") for k, w in enumerate(wanted)))
+    seen = [F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(wanted))]
+    if stats is None:
+        found = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *seen)
+    else:
+        found = counted.agg(F.count("*").alias("held"), *seen).drop("held").crossJoin(F.broadcast(stats))  # one row each
     score = F.lit(0.0)
     for k in range(len(wanted)):
         tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     matched = counted.where(match.predicate(F.col("words"), query))
-    return matched.crossJoin(F.broadcast(stats)).select("message_id", score.alias("bm25"))  # stats: one row
+    return matched.crossJoin(F.broadcast(found)).select("message_id", score.alias("bm25"))  # one row
 
 
 def snippet(body: Column, query: str, width: int = 32) -> Column:
@@ -140,32 +151,31 @@ def fuzzy_grams(messages: DataFrame, body: str = "text") -> DataFrame:
     return found.select("message_id", F.substring_index("key", " ", 1).alias("script"), F.expr("substring(key, instr(key, ' ') + 1)").alias("token"))
 
 
-def asked_grams(spark: SparkSession, query: str) -> dict[str, list[str]]:
-    """The distinct n-grams of a query by script; runs a job over the query alone."""
-    asked = fuzzy_grams(spark.createDataFrame([(0, query)], "message_id long, text string")).collect()
-    scripts = sorted({r["script"] for r in asked})
-    return {s: sorted(r["token"] for r in asked if r["script"] == s) for s in scripts}
-
-
 def fuzzy(grams: DataFrame, query: str) -> DataFrame:
     """(message_id, fuzzy): the share of the query's n-grams that a message has, by the n-gram index.
 
     A message is a hit if in some script it has at least that script's floor.
     """
-    spark = grams.sparkSession
-    asked = asked_grams(spark, query)
-    rows = [(s, t, len(own)) for s, own in asked.items() for t in own]
-    if not rows:
+    return fuzzy_of(grams, text.query_grams(query))
+
+
+def fuzzy_of(grams: DataFrame, asked: dict[str, list[str]]) -> DataFrame:
+    """:func:`fuzzy` for the n-grams ``asked`` of each script."""
+    total = sum(map(len, asked.values()))
+    if not total:
         return grams.where(F.lit(False)).select("message_id", F.lit(0.0).alias("fuzzy"))
-    own = F.broadcast(spark.createDataFrame(rows, "script string, token string, asked int"))  # a query's own n-grams
-    matched = grams.join(own, ["script", "token"]).groupBy("message_id", "script").agg(F.count("*").alias("n"), F.first("asked").alias("asked"))
-    enough = F.col("n") / F.col("asked") >= text.least_overlap(F.col("script"))
-    return (
-        matched.groupBy("message_id")
-        .agg(F.bool_or(enough).alias("ok"), (F.sum("n") / len(rows)).alias("fuzzy"))
-        .where("ok")
-        .select("message_id", "fuzzy")
-    )
+    # a query's own n-grams are conditions, so they reach the scan
+    held = {script: (F.col("script") == script) & F.col("token").isin(own) for script, own in asked.items()}
+    matched = grams.where(reduce(lambda a, b: a | b, held.values())).groupBy("message_id")
+    counts = matched.agg(*(F.count(F.when(held[s], 1)).alias(f"n{k}") for k, s in enumerate(asked)))
+    return _overlap(counts, asked, total)
+
+
+def _overlap(counts: DataFrame, asked: dict[str, list[str]], total: int) -> DataFrame:
+    """Hits out of ``counts`` (message_id, n0, n1, ...), one number for each script asked for."""
+    hit = reduce(lambda a, b: a | b, (F.col(f"n{k}") / len(own) >= text.least_overlap(F.lit(s)) for k, (s, own) in enumerate(asked.items())))
+    share = reduce(lambda a, b: a + b, (F.col(f"n{k}") for k in range(len(asked)))) / total
+    return counts.where(hit).select("message_id", share.alias("fuzzy"))
 
 
 def fuzzy_scan(messages: DataFrame, query: str) -> DataFrame:
@@ -174,8 +184,9 @@ def fuzzy_scan(messages: DataFrame, query: str) -> DataFrame:
     An n-gram has no separator, so a message has it just if its runs of that script,
     in lower case, contain it.
     """
-    asked = asked_grams(messages.sparkSession, query)
-    if not asked:
+    asked = text.query_grams(query)
+    total = sum(map(len, asked.values()))
+    if not total:
         return messages.where(F.lit(False)).select("message_id", F.lit(0.0).alias("fuzzy"))
     split = messages.select("message_id", text.script_runs(F.col("text")).alias("runs"))
     by_script = split.select(
@@ -185,10 +196,7 @@ def fuzzy_scan(messages: DataFrame, query: str) -> DataFrame:
     counts = by_script.select(
         "message_id", *(reduce(lambda a, b: a + b, (F.contains(F.col(f"s{k}"), F.lit(t)).cast("int") for t in own)).alias(f"n{k}") for k, own in enumerate(asked.values()))
     )
-    total = sum(map(len, asked.values()))
-    hit = reduce(lambda a, b: a | b, (F.col(f"n{k}") / len(own) >= text.least_overlap(F.lit(s)) for k, (s, own) in enumerate(asked.items())))
-    share = reduce(lambda a, b: a + b, (F.col(f"n{k}") for k in range(len(asked)))) / total
-    return counts.where(hit).select("message_id", share.alias("fuzzy"))
+    return _overlap(counts, asked, total)
 
 
 # --- vectors ---------------------------------------------------------------------
@@ -225,18 +233,22 @@ def ranked(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.desc("rank_score"), F.desc("created_at_ms"), "message_id").limit(limit)
 
 
-def lexical(messages: DataFrame, query: str) -> DataFrame:
-    """Messages hit by full text or n-grams, with ``base`` = 2 bm25 + fuzzy; each once."""
+def merged_hits(messages: DataFrame, by_text: DataFrame, by_grams: DataFrame) -> DataFrame:
+    """``messages`` with ``base`` = 2 bm25 + fuzzy of those hit by either; each once."""
     hits = (
-        full_text(messages, query)
-        .select("message_id", (F.col("bm25") * BM25_WEIGHT).alias("part"))
-        .unionByName(fuzzy_scan(messages, query).select("message_id", (F.col("fuzzy") * FUZZY_WEIGHT).alias("part")))
+        by_text.select("message_id", (F.col("bm25") * BM25_WEIGHT).alias("part"))
+        .unionByName(by_grams.select("message_id", (F.col("fuzzy") * FUZZY_WEIGHT).alias("part")))
         .groupBy("message_id")
         .agg(F.sum("part").alias("base"))
     )
     return messages.join(hits, "message_id")
 
 
+def lexical(messages: DataFrame, query: str) -> DataFrame:
+    """Messages hit by full text or n-grams, by a scan of all texts."""
+    return merged_hits(messages, full_text(messages, query), fuzzy_scan(messages, query))
+
+
 def decayed(hits: DataFrame) -> DataFrame:
     """``rank_score``: base by recency, counted from the newest hit, and kind."""
     newest = F.broadcast(hits.agg(F.max("created_at_ms").alias("now")))  # one row
@@ -252,17 +264,27 @@ def hybrid(messages: DataFrame, query: SearchQuery, limit: int = 200) -> DataFra
     return ranked(decayed(lexical(kept, query.text)), limit)
 
 
-def with_semantic(messages: DataFrame, vectors: DataFrame, query: SearchQuery, vector: list[float], limit: int = 200) -> DataFrame:
-    """Hybrid rank plus 1.5 cosine: undecayed for lexical hits, decayed for others."""
+def with_semantic(
+    messages: DataFrame, vectors: DataFrame, query: SearchQuery, vector: list[float], limit: int = 200, hits: DataFrame | None = None
+) -> DataFrame:
+    """Hybrid rank plus 1.5 cosine: undecayed for lexical hits, decayed for others.
+
+    ``hits`` are the lexical ones (messages with ``base``), if an index has found them.
+    """
     kept = filtered(messages, query)
-    lexically = decayed(lexical(kept, query.text)).select("message_id", F.col("rank_score").alias("lexical"))
-    meaning = similar(vectors, vector).where("cosine > 0")
-    merged = kept.join(meaning, "message_id", "left").join(lexically, "message_id", "left").where("cosine is not null or lexical is not null")
+    found = lexical(kept, query.text) if hits is None else hits
+    lexically = decayed(found).select("message_id", F.col("rank_score").alias("lexical"))
+    return ranked(semantic(kept, lexically, similar(vectors, vector)), limit)
+
+
+def semantic(messages: DataFrame, lexically: DataFrame, meaning: DataFrame) -> DataFrame:
+    """``messages`` with the rank_score of lexical scores (message_id, lexical) and cosines (message_id, cosine) together."""
+    merged = messages.join(meaning.where("cosine > 0"), "message_id", "left").join(lexically, "message_id", "left").where("cosine is not null or lexical is not null")
     newest = F.broadcast(merged.agg(F.max("created_at_ms").alias("now")))
-    semantic = F.coalesce(F.col("cosine"), F.lit(0.0)) * SEMANTIC_WEIGHT
-    alone = semantic * recency(F.col("created_at_ms"), F.col("now")) * kind_weight(F.col("kind"))
-    score = F.when(F.col("lexical").isNotNull(), F.col("lexical") + semantic).otherwise(alone)
-    return ranked(merged.crossJoin(newest).withColumn("rank_score", score).drop("now"), limit)
+    added = F.coalesce(F.col("cosine"), F.lit(0.0)) * SEMANTIC_WEIGHT
+    alone = added * recency(F.col("created_at_ms"), F.col("now")) * kind_weight(F.col("kind"))
+    score = F.when(F.col("lexical").isNotNull(), F.col("lexical") + added).otherwise(alone)
+    return merged.crossJoin(newest).withColumn("rank_score", score).drop("now")
 
 
 def rerank(results: DataFrame, vectors: DataFrame, vector: list[float], limit: int) -> DataFrame:

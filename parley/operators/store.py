@@ -54,11 +54,16 @@ TRANSITIONS = {
 REASONS = ("visible", "search", "neighbour", "prefetch")
 
 
-def timeline(messages: DataFrame, conversation: object, before_ms: int | None, limit: int) -> DataFrame:
-    """A page of a conversation, newest first, older than ``before_ms`` if given."""
+def timeline(messages: DataFrame, conversation: object, before_ms: int | None, limit: int, after_id: object = None) -> DataFrame:
+    """A page of a conversation, newest first, older than ``before_ms`` if given.
+
+    With ``after_id`` too, messages of exactly ``before_ms`` with larger ids belong to the
+    page, so that those that tie with the last one of a page come with the next.
+    """
     own = messages.where(F.col("conversation_id") == F.lit(conversation))
     if before_ms is not None:
-        own = own.where(F.col("created_at_ms") < before_ms)
+        older = F.col("created_at_ms") < before_ms
+        own = own.where(older if after_id is None else older | ((F.col("created_at_ms") == before_ms) & (F.col("message_id") > F.lit(after_id))))
     return own.orderBy(F.desc("created_at_ms"), "message_id").limit(limit)
 
 

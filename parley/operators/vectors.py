@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block; a task holds one block of queries and one of rows.
 BLOCK = 4_096
+#: Centroids that a task keeps, at most.
+MOST_CELLS = 4_096
 #: At most about so many vectors train the index's centroids.
 SAMPLE = 20_000
 
@@ -75,12 +77,22 @@ def centroids(vectors: DataFrame, n: int, rounds: int = 10) -> np.ndarray:
     return at
 
 
-def indexed(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 6) -> DataFrame:
+def index_shape(n: int) -> tuple[int, int]:
+    """(cells, probes) for ``n`` rows: cells of a block or so, and a share of them that keeps recall at 0.9 without any structure."""
+    cells = max(16, min(MOST_CELLS, -(-n // BLOCK)))
+    return cells, -(-cells * 3 // 8)
+
+
+def indexed(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None) -> DataFrame:
     """Like :func:`exact`, but a query only looks into the ``probes`` cells nearest to it.
 
-    All rows are indexed.  The cells of a query and of rows meet in a join, where a
-    full cell is split by a salt, and each task keeps the best k of what it compares.
+    All rows are indexed.  The cells of a query and of rows meet in a join; rows and
+    queries of a full cell are dealt to blocks by their own numbers, and each task keeps
+    the best k of what it compares.
     """
+    n, asked_n = vectors.count(), queries.count()
+    default = index_shape(n)
+    cells, probes = cells or default[0], probes or default[1]
     at = centroids(vectors, cells)
     sent = vectors.sparkSession.sparkContext.broadcast(at)  # cells by dimensions
 
@@ -97,9 +109,10 @@ def indexed(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, pro
     kind = "message_id long, cell int, embedding array<float>"
     own = vectors.select("message_id", "embedding").mapInPandas(assign(1), kind)
     asked = queries.select("message_id", "embedding").mapInPandas(assign(probes), kind)
-    sizes = max(1, -(-vectors.count() // BLOCK))
-    salted = own.groupBy("cell", F.pmod(F.xxhash64("message_id"), F.lit(sizes)).alias("salt")).agg(F.collect_list(F.struct("message_id", "embedding")).alias("block_rows"))
-    wanted = asked.groupBy("cell", F.pmod(F.xxhash64("message_id"), F.lit(sizes)).alias("part")).agg(F.collect_list(F.struct("message_id", "embedding")).alias("asked_rows"))
+    # by the whole tables' sizes, so that even one cell with all rows makes bounded blocks
+    salts, parts = max(1, -(-n // BLOCK)), max(1, -(-asked_n // BLOCK))
+    salted = own.groupBy("cell", F.pmod(F.xxhash64("message_id"), F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("message_id", "embedding")).alias("block_rows"))
+    wanted = asked.groupBy("cell", F.pmod(F.xxhash64("message_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("message_id", "embedding")).alias("asked_rows"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

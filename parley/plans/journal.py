@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators import journal, restore
 from parley.plans.registry import query
 from parley.plans.sql import JOURNAL
+from parley.plans.retention import COUNTERS_SQL, blob_events
 from parley.sources import tables
+from parley.sources.shared import shared_path
 from parley.streaming import journal as streams
 
 _NOW = 1_706_745_600_000  # 2024-02-01
@@ -138,7 +137,7 @@ def restore_full(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_month_counts(spark: SparkSession, d: str) -> DataFrame:
     """The journal read as a stream of files, counted by month and type."""
-    return _streamed(spark, d, streams.counts_by_month, "stream_month_counts")
+    return _streamed(spark, d, streams.counts_by_month, ["time_bucket", "event_type"])
 
 
 @query(
@@ -146,13 +145,19 @@ def stream_month_counts(spark: SparkSession, d: str) -> DataFrame:
 FROM journal WHERE event_type = 'message_received' GROUP BY conversation_id"""
 )
 def stream_heads(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, d, streams.heads, "stream_heads")
+    return _streamed(spark, d, streams.heads, ["conversation_id"])
+
+
+@query(COUNTERS_SQL)
+def stream_dedup_counters(spark: SparkSession, d: str) -> DataFrame:
+    """The deduplication counters of events read as a stream."""
+    return _streamed(spark, d, lambda source: streams.dedup_counters(blob_events(source)), [], raw=True)
 
 
-def _streamed(spark: SparkSession, d: str, change, name: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parley-")
+def _streamed(spark: SparkSession, d: str, change, keys: list[str], raw: bool = False) -> DataFrame:
     # a stream reads folders; the table is one file or a folder of them
-    source = streams.journal_stream(spark, f"{d}/events.parquet*")
-    running = streams.to_table(change(source), name, f"{shared}/stream-{name}-{uuid.uuid4().hex}")
-    running.awaitTermination()
-    return spark.table(name)
+    source = streams.event_stream(spark, f"{d}/events.parquet*")
+    made = change(source if raw else tables.journal_of(source))
+    out = shared_path(spark, "stream")
+    streams.to_table(made, f"{out}/table", f"{out}/cursor").awaitTermination()
+    return streams.latest(spark, f"{out}/table", keys)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import models, numbers, text, times
-from parley.operators import cold, search, vectors
+from parley.operators import cold, index, search, vectors
 from parley.plans.registry import query
 from parley.plans.sql import CONV, MSG, WORDS, bm25, fuzzy, grams
 from parley.sources import tables
+from parley.sources.shared import shared_path
 
 #: What the registered queries look for.
 TERMS, TYPO = "the anatwh hereti", "therheanon"
@@ -18,6 +19,19 @@ VECTOR = [((7 * k) % 11 - 5) / 10 for k in range(64)]
 _VECTOR_SQL = "[" + ", ".join(f"{x}::DOUBLE" for x in VECTOR) + "]"
 
 
+#: By application, folder and table: the index that was built of it.
+_indexes: dict[tuple[str, str, str], index.Index] = {}
+
+
+def stored_index(spark: SparkSession, d: str, table: str = "messages") -> index.Index:
+    """The search index of a folder's messages or documents, built once in an application and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, table)
+    if key not in _indexes:
+        own = tables.messages(spark, d) if table == "messages" else tables.read(spark, d, table).select(F.col("doc_id").alias("message_id"), "text")
+        _indexes[key] = index.build(own, shared_path(spark, f"index-{table}"))
+    return _indexes[key]
+
+
 def six(name: str):
     return F.round(F.col(name), 6).alias(name)
 
@@ -74,7 +88,8 @@ _ASKED = "asked_text AS (SELECT 0 AS message_id, '{}' AS text)"
     "SELECT message_id, round(fuzzy, 6) AS fuzzy FROM f"
 )
 def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.fuzzy(search.fuzzy_grams(tables.messages(spark, d)), TYPO).select("message_id", six("fuzzy"))
+    """By the stored n-grams."""
+    return index.fuzzy(stored_index(spark, d), TYPO).select("message_id", six("fuzzy"))
 
 
 @query(
@@ -91,7 +106,7 @@ def _match(words: list[str], matches: str) -> str:
 
 
 def _full_text(spark: SparkSession, d: str, terms: str) -> DataFrame:
-    return search.full_text(tables.messages(spark, d), terms).select("message_id", six("bm25"))
+    return index.full_text(stored_index(spark, d), terms).select("message_id", six("bm25"))
 
 
 @query(_match(["the", "thre"], "list_contains(w, 'the') AND list_contains(w, 'thre')"))
@@ -130,6 +145,12 @@ def fts_orphan_operator(spark: SparkSession, d: str) -> DataFrame:
     return _full_text(spark, d, "AND the")
 
 
+@query(_match(["the", "thre"], "list_contains(w, 'the') AND list_contains(w, 'thre')"))
+def fts_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Without an index."""
+    return search.full_text(tables.messages(spark, d), "the thre").select("message_id", six("bm25"))
+
+
 _DOCS = "docs AS (SELECT doc_id AS message_id, text FROM documents)"
 
 
@@ -138,8 +159,7 @@ _BOTH = bm25("b", "docs", ["the", "for"], "list_contains(w, 'the') AND list_cont
 
 @query(f"WITH {_DOCS}, {_BOTH} SELECT message_id, round(bm25, 6) AS bm25 FROM b ORDER BY round(bm25, 6) DESC, message_id LIMIT 20")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.read(spark, d, "documents").select(F.col("doc_id").alias("message_id"), "text")
-    return search.full_text(docs, "the for").select("message_id", six("bm25")).orderBy(F.desc("bm25"), "message_id").limit(20)
+    return index.full_text(stored_index(spark, d, "documents"), "the for").select("message_id", six("bm25")).orderBy(F.desc("bm25"), "message_id").limit(20)
 
 
 def _lexical(source: str) -> str:
@@ -156,15 +176,40 @@ ranked AS (
 _LEXICAL = _lexical("msg")
 
 
-@query(
+_HYBRID = (
     f"WITH {MSG}, {_LEXICAL} SELECT message_id, conversation_id, created_at_ms, kind, round(rank_score, 6) AS rank_score "
     "FROM ranked ORDER BY ranked.rank_score DESC, created_at_ms DESC, message_id LIMIT 50"
 )
-def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
-    found = search.hybrid(tables.messages(spark, d), search.SearchQuery("the thre"), 50)
+
+
+def _ranked(found: DataFrame) -> DataFrame:
     return found.select("message_id", "conversation_id", "created_at_ms", "kind", six("rank_score"))
 
 
+@query(_HYBRID)
+def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
+    """By the stored index."""
+    return _ranked(index.hybrid(stored_index(spark, d), tables.messages(spark, d), search.SearchQuery("the thre"), 50))
+
+
+@query(_HYBRID)
+def hybrid_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows without an index."""
+    return _ranked(search.hybrid(tables.messages(spark, d), search.SearchQuery("the thre"), 50))
+
+
+@query(
+    f"WITH {MSG}, {CONV}, {_LEXICAL} SELECT message_id, conversation_id, created_at_ms, kind, round(total, 6) AS rank_score FROM ("
+    "SELECT *, base * (0.5 + 0.5 * exp(-ln(2) * greatest(max(created_at_ms) OVER () - created_at_ms, 0) / 86400000.0 / 30)) * CASE WHEN kind = 'media' THEN 0.8 ELSE 1.0 END AS total "
+    "FROM lex WHERE conversation_id IN (SELECT conversation_id FROM conv WHERE tenant_id = 't1')) ORDER BY total DESC, created_at_ms DESC, message_id LIMIT 50"
+)
+def hybrid_target(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked within one tenant's conversations."""
+    allowed = search.target_conversations(tables.conversations(spark, d), ("tenant", "t1"))
+    own = search.in_target(tables.messages(spark, d), allowed)
+    return _ranked(index.hybrid(stored_index(spark, d), own, search.SearchQuery("the thre"), 50))
+
+
 @query(
     f"WITH {MSG} SELECT message_id, round(0.5 + 0.5 * exp(-ln(2) * ((SELECT max(created_at_ms) FROM msg) - created_at_ms) / 86400000.0 / 30), 9) AS recency, "
     "CASE WHEN kind = 'media' THEN 0.8 ELSE 1.0 END AS weight FROM msg"
@@ -240,7 +285,9 @@ scored AS (
 SELECT message_id, round(rank_score, 6) AS rank_score FROM scored ORDER BY scored.rank_score DESC, created_at_ms DESC, message_id LIMIT 50"""
 )
 def semantic_merge(spark: SparkSession, d: str) -> DataFrame:
-    found = search.with_semantic(tables.messages(spark, d), _message_vectors(spark, d), search.SearchQuery("the thre"), VECTOR, 50)
+    messages = tables.messages(spark, d)
+    hits = index.lexical(stored_index(spark, d), messages, "the thre")
+    found = search.with_semantic(messages, _message_vectors(spark, d), search.SearchQuery("the thre"), VECTOR, 50, hits)
     return found.select("message_id", six("rank_score"))
 
 
@@ -250,7 +297,7 @@ again AS (SELECT ranked.message_id, created_at_ms, rank_score + 1.5 * coalesce(c
 SELECT message_id, round(rank_score, 6) AS rank_score FROM again ORDER BY again.rank_score DESC, created_at_ms DESC, message_id LIMIT 20"""
 )
 def rerank(spark: SparkSession, d: str) -> DataFrame:
-    results = search.decayed(search.lexical(tables.messages(spark, d), "the thre"))
+    results = search.decayed(index.lexical(stored_index(spark, d), tables.messages(spark, d), "the thre"))
     return search.rerank(results, _message_vectors(spark, d), VECTOR, 20).select("message_id", six("rank_score"))
 
 

@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parley.functions import times
+from parley.operators import analytics
 from parley.sources import tables
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def event_stream(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
+    """The event files that arrive in ``path``, as they are."""
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_at_once).parquet(path)
+
+
 def journal_stream(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
     """The journal of event files that arrive in ``path``; the query's checkpoint is the cursor."""
-    return tables.journal_of(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_at_once).parquet(path))
+    return tables.journal_of(event_stream(spark, path, files_at_once))
 
 
 def archive(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -37,8 +43,26 @@ def counts_by_month(events: DataFrame) -> DataFrame:
     return events.groupBy(times.month_bucket(F.col("created_at_ms")).alias("time_bucket"), "event_type").count()
 
 
-def to_table(changes: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keep the whole result of a streaming aggregate as the in-memory table ``name``."""
-    return (
-        changes.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def to_table(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the changed rows of a streaming aggregate as the table ``path``, in a folder for each batch.
+
+    Only rows that a batch changed are written, by the executors; a batch that is run
+    again replaces its own.  :func:`latest` reads the result.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The whole result that :func:`to_table` keeps: the last version of each key's row."""
+    kept = spark.read.parquet(path)
+    columns = [c for c in kept.columns if c != "epoch"]
+    return kept.groupBy(*keys).agg(F.max_by(F.struct(*columns), "epoch").alias("last")).select("last.*")
+
+
+def dedup_counters(events: DataFrame) -> DataFrame:
+    """Running counters of upload and deletion events (kind, size_bytes, was_deduped) that arrive as a stream."""
+    return analytics.running_counters(events)
