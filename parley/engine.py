@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import times
-from parley.operators import cold, offload, restore, search, store
+from parley.operators import cold, journal, offload, restore, search, store
 from parley.operators.cold import Policy
 from parley.operators.search import SearchQuery
 from parley.sources import tables
@@ -55,6 +55,9 @@ class Engine:
         """Ranked messages; a target's conversations bound both tiers, a vector adds meaning."""
         allowed = search.target_conversations(self.conversations, query.target, resolver)
         hot = search.in_target(self.messages, allowed)
+        if vector is not None and include_cold:
+            local = hot.where("body_state = 'local_plain_available'")
+            return cold.with_semantic(local, search.in_target(self.cold, allowed), tables.vectors(self.spark, self.folder), query, vector, policy, limit)
         if vector is not None:
             return search.with_semantic(hot, tables.vectors(self.spark, self.folder), query, vector, limit)
         if include_cold and query.text.strip():
@@ -68,8 +71,28 @@ class Engine:
     def get_message(self, message_id: object) -> DataFrame:
         return self.messages.where(F.col("message_id") == F.lit(message_id))
 
-    def timeline(self, conversation: object, before_ms: int | None = None, limit: int = 50) -> DataFrame:
-        return store.timeline(self.messages, conversation, before_ms, limit)
+    def get_conversation(self, conversation: object) -> DataFrame:
+        return self.conversations.where(F.col("conversation_id") == F.lit(conversation))
+
+    def timeline(self, conversation: object, before_ms: int | None = None, limit: int = 50, after_id: object = None) -> DataFrame:
+        return store.timeline(self.messages, conversation, before_ms, limit, after_id)
+
+    def edit(self, edits: DataFrame) -> DataFrame:
+        """The messages after ``edits``; their vectors are to be dropped."""
+        return store.edited(self.messages, edits)
+
+    def delete(self, deletions: DataFrame) -> DataFrame:
+        return store.deleted(self.messages, deletions)
+
+    def pin(self, updates: DataFrame) -> DataFrame:
+        return store.pinned(self.conversations, updates)
+
+    def hydrate(self, results: DataFrame, now_ms: int) -> DataFrame:
+        """The hydration queue for the cold ones of search ``results``."""
+        return store.hydration_queue(store.cold_requests(results, now_ms))
+
+    def compaction_plan(self, now_ms: int) -> DataFrame:
+        return journal.compaction_plan(journal.daily_segments(tables.journal(self.spark, self.folder)), now_ms)
 
     def list_conversations(self) -> DataFrame:
         return store.conversation_list(self.conversations)

@@ -24,9 +24,38 @@ LONG_SEGMENT = 64
 _SEPARATORS = r"[\x09-\x0D\x20-\x40\x5B-\x60\x7B-\x7E]+"
 
 
+def _plain_letters() -> dict[str, str]:
+    """Accented Latin letters and full-width forms, each with the ASCII letter or digit it comes down to."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base.isascii() and base.isalnum():
+            found[chr(code)] = base
+    return found
+
+
+_PLAIN = _plain_letters()
+#: Accents that are characters of their own.
+_ACCENTS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents on Latin letters; full-width letters and digits as plain ones."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # what has no pair in the second list goes
+    plain = F.lower(F.translate(low, "".join(_PLAIN) + _ACCENTS, "".join(_PLAIN.values())))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(plain)
+
+
+def fold_query(query: str) -> str:
+    """:func:`folded` of one string."""
+    table = str.maketrans(_PLAIN) | dict.fromkeys(map(ord, _ACCENTS))
+    return query.lower().translate(table).lower()
+
+
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Runs of letters and digits, :func:`folded`, in order."""
+    return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def script_runs(text: Column) -> Column:
@@ -113,6 +142,14 @@ def content_kind(mime: Column) -> Column:
     )
 
 
+#: Documents whose text can be taken out.
+DOCUMENT_MIMES = ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document")
+
+
+def supported_document(mime: Column) -> Column:
+    return mime.isin(*DOCUMENT_MIMES)
+
+
 def valid_mime(mime: Column) -> Column:
     return mime.rlike(r"^[A-Za-z0-9+\-._]+/[A-Za-z0-9+\-._]+$")
 

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.functions import text as fn
 from parley.functions import times
 from parley.operators import search
 
@@ -32,10 +33,20 @@ def write(messages: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The cold tier; unreadable files are skipped, as an unreachable month would be."""
+    """The cold tier; unreadable files are skipped, as an unreachable month would be.  :func:`unreadable` names them."""
     return spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("basePath", path).parquet(path)
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(time_bucket, file) of the cold tier's files that can't be read or aren't whole Parquet files, which :func:`read` skips."""
+    options = {"pathGlobFilter": "*.parquet", "recursiveFileLookup": "true"}
+    listed = spark.read.format("binaryFile").options(**options).load(path).select("path")
+    read = spark.read.format("binaryFile").options(**options, ignoreCorruptFiles="true", ignoreMissingFiles="true").load(path)
+    whole = read.where((F.col("length") >= 12) & (F.expr("right(content, 4)") == F.lit(b"PAR1"))).select("path")
+    month = F.regexp_extract("path", r"time_bucket=([^/]*)/", 1)
+    return listed.join(whole, "path", "left_anti").select(month.alias("time_bucket"), F.col("path").alias("file"))
+
+
 def pruned(cold: DataFrame, query: search.SearchQuery) -> DataFrame:
     """Only months that meet the query's dates; the test is on the partition column alone."""
     return cold.where(times.bucket_overlaps(F.col("time_bucket").cast("string"), query.date_from, query.date_to))
@@ -73,22 +84,41 @@ def _slot(word: Column, k: int, bits: Column) -> Column:
 
 
 def bloom_table(words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bits, slots): the set bits of a bloom filter for each group of ``word`` rows."""
+    """(keys, bits, bitmap): a bloom filter for each group of ``word`` rows, a bit a slot in 64-bit numbers."""
     distinct = words.select(*keys, "word").distinct()
     sized = distinct.groupBy(*keys).agg(F.greatest(F.lit(LEAST_BITS), F.ceil(F.count("*") * BITS_PER_WORD / 8) * 8).cast("long").alias("bits"))
     spots = distinct.join(sized, keys).select(*keys, "bits", F.explode(F.array(*(_slot(F.col("word"), k, F.col("bits")) for k in range(HASHES)))).alias("slot"))
-    return spots.groupBy(*keys, "bits").agg(F.sort_array(F.collect_set("slot")).alias("slots"))
+    parts = spots.groupBy(*keys, "bits", F.floor(F.col("slot") / 64).cast("int").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("own"))
+    held = parts.groupBy(*keys, "bits").agg(F.map_from_entries(F.collect_list(F.struct("part", "own"))).alias("held"))
+    filled = F.transform(F.sequence(F.lit(0), F.ceil(F.col("bits") / 64).cast("int") - 1), lambda i: F.coalesce(F.element_at("held", i), F.lit(0).cast("long")))
+    return held.select(*keys, "bits", filled.alias("bitmap"))
+
+
+GROUP = ["conversation_id", "time_bucket"]
+
+
+def write_blooms(messages: DataFrame, path: str) -> DataFrame:
+    """Store the bloom filters of each conversation and month beside the cold tier, when it is written: (conversation_id, time_bucket, bits, bitmap)."""
+    own = messages.withColumn("time_bucket", times.month_bucket(F.col("created_at_ms")))
+    words = own.select(*GROUP, F.explode(fn.words(F.col("text"))).alias("word"))
+    bloom_table(words, GROUP).write.mode("overwrite").parquet(path)
+    return messages.sparkSession.read.parquet(path)
 
 
 def maybe_contains(word: str | Column) -> Column:
     """Whether a filter of :func:`bloom_table` may hold the word; never wrong about one it holds."""
     own = F.lit(word) if isinstance(word, str) else word
-    return reduce(lambda a, b: a & b, (F.array_contains("slots", _slot(own, k, F.col("bits"))) for k in range(HASHES)))
+
+    def held(k: int) -> Column:
+        slot = _slot(own, k, F.col("bits"))
+        return F.bit_get(F.get("bitmap", F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1
+
+    return reduce(lambda a, b: a & b, map(held, range(HASHES)))
 
 
 def bloom_prune(cold: DataFrame, blooms: DataFrame, query: str, require: bool = False) -> DataFrame:
     """Cold rows of (conversation, month) groups that may hold some query word; without a filter kept unless ``require``."""
-    keys = ["conversation_id", "time_bucket"]
+    keys = GROUP
     may = reduce(lambda a, b: a | b, (maybe_contains(w) for w in query_words(query)), F.lit(False))
     judged = blooms.select(*keys, may.alias("may"))
     return cold.join(judged, keys, "left").where(F.coalesce(F.col("may"), F.lit(not require))).drop("may")
@@ -112,23 +142,56 @@ def allowed(query: search.SearchQuery, policy: Policy) -> bool:
     return not (policy.forbid_global and query.target is None and query.conversation is None)
 
 
-def hot_and_cold(hot: DataFrame, cold: DataFrame, query: search.SearchQuery, policy: Policy = Policy(), limit: int = 200) -> DataFrame:
-    """Ranked hot results with cold ones: a row found in both gets the raw cold score added, others decay."""
-    local = search.decayed(search.lexical(search.filtered(hot, query), query.text))
+def scope(cold: DataFrame, query: search.SearchQuery, policy: Policy = Policy(), blooms: DataFrame | None = None) -> DataFrame:
+    """The cold rows that a search looks at: months that meet its dates, the newest the policy allows, and groups whose filter may hold a word."""
+    own = pruned(cold, query)
+    own = own.where(F.col("time_bucket").cast("string").isin(newest_buckets(own, policy.most_buckets)))
+    if blooms is not None:
+        return bloom_prune(own.withColumn("time_bucket", F.col("time_bucket").cast("string")), blooms, query.text, policy.require_bloom)
+    return own.where(F.lit(False)) if policy.require_bloom else own
+
+
+def coverage(cold: DataFrame, query: search.SearchQuery, policy: Policy = Policy(), blooms: DataFrame | None = None) -> DataFrame:
+    """(time_bucket, outcome, groups): how many conversations of each month a search fetches or skips, and why.
+
+    An outcome is fetched, or skipped for its date, the cap of months, the bloom filter,
+    or a filter that the policy requires and that isn't there.
+    """
+    month = F.col("time_bucket").cast("string")
+    groups = cold.select("conversation_id", month.alias("time_bucket")).distinct()
+    meets = times.bucket_overlaps(F.col("time_bucket"), query.date_from, query.date_to)
+    allowed_months = newest_buckets(pruned(cold, query), policy.most_buckets)
+    if blooms is not None:
+        may = reduce(lambda a, b: a | b, (maybe_contains(w) for w in query_words(query.text)), F.lit(False))
+        groups = groups.join(blooms.select(*GROUP, may.alias("may")), GROUP, "left")
+    else:
+        groups = groups.withColumn("may", F.lit(None).cast("boolean"))
+    outcome = (
+        F.when(~meets, "date").when(~F.col("time_bucket").isin(allowed_months), "cap").when(F.col("may").isNull() & F.lit(policy.require_bloom), "no filter")
+        .when(~F.coalesce("may", F.lit(True)), "filter").otherwise("fetched")
+    )
+    return groups.groupBy("time_bucket", outcome.alias("outcome")).agg(F.count("*").alias("groups"))
+
+
+def merged(hot: DataFrame, cold: DataFrame, query: search.SearchQuery, policy: Policy = Policy(), blooms: DataFrame | None = None, local: DataFrame | None = None) -> DataFrame:
+    """All hot results with cold ones: a row found in both gets the raw cold score added, others decay.
+
+    ``local`` are the hot lexical hits (messages with ``base``), if an index has found them.
+    """
+    hits = search.lexical(search.filtered(hot, query), query.text) if local is None else local
+    local = search.decayed(hits)
     local = local.select("message_id", "conversation_id", "sender_id", "created_at_ms", "rank_score", (F.col("body_state") == "remote_archive_only").alias("is_cold"))
     if not allowed(query, policy):
-        return search.ranked(local, limit)
-    scope = pruned(cold, query)
-    scope = scope.where(F.col("time_bucket").cast("string").isin(newest_buckets(scope, policy.most_buckets)))
-    found = cold_hits(scope, query).select(
+        return local
+    found = cold_hits(scope(cold, query, policy, blooms), query).select(
         "message_id", *(F.col(c).alias(f"cold_{c}") for c in ("conversation_id", "sender_id", "created_at_ms", "base"))
     )
-    merged = local.join(found, "message_id", "full")
+    both = local.join(found, "message_id", "full")
     created = F.coalesce("created_at_ms", "cold_created_at_ms")
-    newest = F.broadcast(merged.agg(F.max(created).alias("now")))
+    newest = F.broadcast(both.agg(F.max(created).alias("now")))
     cold_score = F.coalesce("cold_base", F.lit(0.0))
     score = F.when(F.col("rank_score").isNotNull(), F.col("rank_score") + cold_score).otherwise(cold_score * search.recency(created, F.col("now")))
-    out = merged.crossJoin(newest).select(
+    return both.crossJoin(newest).select(
         "message_id",
         F.coalesce("conversation_id", "cold_conversation_id").alias("conversation_id"),
         F.coalesce("sender_id", "cold_sender_id").alias("sender_id"),
@@ -136,7 +199,27 @@ def hot_and_cold(hot: DataFrame, cold: DataFrame, query: search.SearchQuery, pol
         score.alias("rank_score"),
         F.coalesce("is_cold", F.lit(True)).alias("is_cold"),
     )
-    return search.ranked(out, limit)
+
+
+def hot_and_cold(
+    hot: DataFrame, cold: DataFrame, query: search.SearchQuery, policy: Policy = Policy(), limit: int = 200, blooms: DataFrame | None = None
+) -> DataFrame:
+    """The first of :func:`merged` by rank."""
+    return search.ranked(merged(hot, cold, query, policy, blooms), limit)
+
+
+def with_semantic(
+    hot: DataFrame, cold: DataFrame, vectors: DataFrame, query: search.SearchQuery, vector: list[float], policy: Policy = Policy(), limit: int = 200
+) -> DataFrame:
+    """Both tiers' results with 1.5 cosine: undecayed for those found by words, decayed for others of either tier."""
+    found = merged(hot, cold, query, policy)
+    columns = ["message_id", "conversation_id", "sender_id", "created_at_ms", "kind"]
+    own = search.filtered(hot, query).select(*columns, (F.col("body_state") == "remote_archive_only").alias("is_cold"))
+    if allowed(query, policy):
+        far = search.filtered(scope(cold, query, policy), query).select(*columns, F.lit(True).alias("is_cold"))
+        own = own.unionByName(far.join(own.select("message_id"), "message_id", "left_anti"))
+    lexically = found.select("message_id", F.col("rank_score").alias("lexical"))
+    return search.ranked(search.semantic(own, lexically, search.similar(vectors, vector)), limit)
 
 
 def progressive(hot: DataFrame, cold: DataFrame, query: search.SearchQuery, policy: Policy = Policy(), limit: int = 200) -> Iterator[tuple[str, DataFrame]]:
@@ -144,10 +227,10 @@ def progressive(hot: DataFrame, cold: DataFrame, query: search.SearchQuery, poli
     local = search.hybrid(hot, query, limit)
     yield "local", local
     if allowed(query, policy):
-        scope = pruned(cold, query)
-        for month in newest_buckets(scope, policy.most_buckets):
-            own = cold_hits(scope.where(F.col("time_bucket").cast("string") == month), query)
-            yield month, own.join(local.select("message_id"), "message_id", "left_anti")
+        own = pruned(cold, query)
+        for month in newest_buckets(own, policy.most_buckets):
+            hits = cold_hits(own.where(F.col("time_bucket").cast("string") == month), query)
+            yield month, hits.join(local.select("message_id"), "message_id", "left_anti")
     yield "complete", hot_and_cold(hot, cold, query, policy, limit)
 
 

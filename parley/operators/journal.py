@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import times
+from parley.operators.offload import running_before
 
 DAY_MS = 86_400_000
 #: Tier: (days a segment must be old, the tier it is merged into).
@@ -26,6 +27,14 @@ def advanced(cursor: int, to: int) -> int:
     return to
 
 
+def appended(events: DataFrame, arriving: DataFrame) -> DataFrame:
+    """The ``arriving`` events as they are appended: event_seq goes on from the last of ``events``, by time, conversation and message."""
+    last = events.agg(F.coalesce(F.max("event_seq"), F.lit(0)).alias("last_seq"))  # one row
+    own = arriving.withColumn("place", F.concat_ws("|", *(F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 40, " ") for c in ("conversation_id", "message_id", "event_type"))))
+    ahead = running_before(own.withColumn("order", -F.col("created_at_ms")).withColumn("one", F.lit(1)), "order", "place", "one", "ahead")
+    return ahead.crossJoin(F.broadcast(last)).select((F.col("last_seq") + F.col("ahead") + 1).cast("long").alias("event_seq"), *arriving.columns)
+
+
 def by_bucket(events: DataFrame, bucket: Column | None = None) -> DataFrame:
     """One row for each conversation and month: how many events, the first and last."""
     own = times.month_bucket(F.col("created_at_ms")) if bucket is None else bucket
@@ -36,6 +45,55 @@ def by_bucket(events: DataFrame, bucket: Column | None = None) -> DataFrame:
     )
 
 
+def segments(events: DataFrame) -> DataFrame:
+    """One row for each conversation and month with its ``events``, in order, as a segment holds them."""
+    own = [c for c in events.columns if c != "conversation_id"]
+    grouped = events.withColumn("time_bucket", times.month_bucket(F.col("created_at_ms"))).groupBy("conversation_id", "time_bucket")
+    return grouped.agg(F.sort_array(F.collect_list(F.struct("event_seq", *(c for c in own if c != "event_seq")))).alias("events"))
+
+
+#: What kinds of segments there are; the first is the backup's, the others the archive's.
+SEGMENT_TYPES = ("events", "message_delta", "timeline_skeleton", "media_key_delta", "search_text_index", "search_vector_index", "media_index", "checkpoint")
+
+
+def segment_side(kind: Column) -> Column:
+    """``backup`` or ``archive``; null if there is no such kind of segment."""
+    return F.when(kind == SEGMENT_TYPES[0], "backup").when(kind.isin(*SEGMENT_TYPES[1:]), "archive")
+
+
+#: The types of events in a journal.
+EVENT_TYPES = ("message_received", "message_edited", "message_deleted", "media_received", "media_deleted", "conversation_created", "conversation_deleted")
+
+
+def parsed_type(name: Column) -> Column:
+    """An event type by its exact name; null for any other text."""
+    return F.when(name.isin(*EVENT_TYPES), name)
+
+
+def segment_map(uploaded: DataFrame, kind: str, backend: str) -> DataFrame:
+    """The map's rows for ``uploaded`` segments (conversation_id, time_bucket, blob_id, ...): their content's hash, uploaded and not yet verified."""
+    own = F.sha2(F.concat_ws("|", F.col("conversation_id").cast("string"), "time_bucket", "blob_id"), 256)
+    return uploaded.select(
+        own.alias("segment_id"), "conversation_id", "time_bucket", F.lit(kind).alias("segment_type"), "blob_id",
+        F.lit(backend).alias("storage_backend"), F.lit("archive_uploaded").alias("state"),
+    )
+
+
+def latest_manifest(manifests: DataFrame) -> DataFrame:
+    """The manifest of the last generation of each chain."""
+    return manifests.groupBy("chain").agg(F.max_by(F.struct(*manifests.columns), "generation").alias("m")).select("m.*")
+
+
+def ledger_replaced(ledger: DataFrame, entries: DataFrame) -> DataFrame:
+    """The ledger with all rows of the chains in ``entries`` replaced by these."""
+    return ledger.join(entries.select("chain").distinct(), "chain", "left_anti").unionByName(entries)
+
+
+def ledger_appended(ledger: DataFrame, entries: DataFrame) -> DataFrame:
+    """The ledger with those ``entries`` added whose (chain, segment_id) isn't there yet."""
+    return ledger.unionByName(entries.dropDuplicates(["chain", "segment_id"]).join(ledger, ["chain", "segment_id"], "left_anti"))
+
+
 def archive_survivors(events: DataFrame) -> DataFrame:
     """Events left when deletions take all else of their message or conversation with them, whatever the order."""
     gone = events.where(F.col("event_type").isin(*ARCHIVE_DELETES))
@@ -101,8 +159,14 @@ def superseded(plan: DataFrame) -> DataFrame:
 
 
 def compaction_counters(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Events inspected, kept and dropped, as one row."""
-    counts = before.agg(F.count("*").alias("inspected")).crossJoin(after.agg(F.count("*").alias("kept")))
+    """Events inspected, kept and dropped, segments (by conversation and month) before and after, as one row."""
+    month = times.month_bucket(F.col("created_at_ms"))
+
+    def counted(events: DataFrame, n: str, segments: str) -> DataFrame:
+        by = events.groupBy("conversation_id", month.alias("month")).agg(F.count("*").alias("n"))
+        return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(n), F.count("*").alias(segments))
+
+    counts = counted(before, "inspected", "superseded").crossJoin(counted(after, "kept", "emitted"))  # one row each
     return counts.withColumn("dropped", F.col("inspected") - F.col("kept"))
 
 

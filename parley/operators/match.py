@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parley.functions.text import fold_query
+
 OPERATORS = ("AND", "OR", "NOT", "NEAR")
 #: Words that two terms joined by NEAR may be apart.
 NEAR_DISTANCE = 10
@@ -26,7 +28,7 @@ class Term:
 
 
 def _words(text: str) -> tuple[str, ...]:
-    return tuple(re.findall(r"[^\W_]+", text.lower()))
+    return tuple(re.findall(r"[^\W_]+", fold_query(text)))
 
 
 def tokenize(query: str) -> list[Term | str]:

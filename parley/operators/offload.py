@@ -164,8 +164,14 @@ def least_recent(entries: DataFrame, budget: int) -> DataFrame:
 
 
 def migration_plan(assets: DataFrame, source: str, target: str) -> DataFrame:
-    """Assets on ``source`` to move, by id; none if source and target are the same."""
+    """Assets on ``source`` to move, by id; none if source and target are the same.
+
+    An asset whose merkle_root isn't 32 bytes can't be verified and isn't moved; a table
+    without such a column has no roots to look at.
+    """
     own = assets.where((F.col("storage_sink") == source) & F.lit(source != target))
+    if "merkle_root" in assets.columns:
+        own = own.where(F.octet_length("merkle_root") == 32)
     return own.select("asset_id", F.lit(source).alias("source_sink"), F.lit(target).alias("target_sink"), "bytes_local").orderBy("asset_id")
 
 

@@ -41,6 +41,29 @@ def restored(events: DataFrame, now_ms: int, window_ms: int, compat: bool = Fals
     return own.withColumn("body_state", state)
 
 
+#: Kinds of index shards whose rows are replayed; those of vectors, media and bloom filters count as none.
+REPLAYED = ("text", "fuzzy")
+
+
+def replayed(indexes: dict[str, DataFrame], shards: dict[str, DataFrame], keys: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The ``indexes`` with the rows of ``shards`` of the same kind that aren't there by their ``keys``, each once."""
+    out = dict(indexes)
+    for kind, rows in shards.items():
+        if kind in REPLAYED:
+            new = rows.dropDuplicates(keys[kind]).join(indexes[kind].select(*keys[kind]), keys[kind], "left_anti")
+            out[kind] = indexes[kind].unionByName(new)
+    return out
+
+
+def replay_summary(shards: dict[str, DataFrame]) -> DataFrame:
+    """(index_type, rows_inserted) of a replay."""
+    counts = [df.agg(F.lit(kind).alias("index_type"), (F.count("*") if kind in REPLAYED else F.lit(0).cast("long")).alias("rows_inserted")) for kind, df in shards.items()]
+    out = counts[0]
+    for one in counts[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 FIRST_STATE = "identity_restored"
 
 

@@ -123,7 +123,7 @@ def snippet(body: Column, query: str, width: int = 32) -> Column:
     wanted = match.positive_words(query)
 
     def hit(token: Column) -> Column:
-        bare = F.regexp_replace(F.lower(token), r"[^\p{L}\p{N}]", "")
+        bare = F.regexp_replace(text.folded(token), r"[^\p{L}\p{N}]", "")
         return reduce(lambda a, b: a | b, (bare.startswith(w[:-1]) if w.endswith("*") else bare == w for w in wanted), F.lit(False))
 
     first = F.get(F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: hit(F.get(tokens, i))), F.lit(0))

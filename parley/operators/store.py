@@ -111,15 +111,61 @@ def without_deleted(rows: DataFrame, tombstones: DataFrame, key: str = "message_
     return rows.join(tombstones.select(key).distinct(), key, "left_anti")
 
 
+def stamped(messages: DataFrame, marks: DataFrame, column: str) -> DataFrame:
+    """``messages`` with the latest of ``marks`` (message_id, at_ms) in ``column``, edited_at_ms or deleted_at_ms; it never goes back."""
+    last = marks.groupBy("message_id").agg(F.max("at_ms").alias("mark_at_ms"))
+    joined = messages.join(last, "message_id", "left")
+    return joined.withColumn(column, F.greatest(F.col(column), F.col("mark_at_ms"))).drop("mark_at_ms")
+
+
+def with_skeletons(messages: DataFrame, arriving: DataFrame) -> DataFrame:
+    """``messages`` and those ``arriving`` skeletons whose id isn't stored, each once, without bodies; stored ones stay as they are."""
+    first = arriving.groupBy("message_id").agg(F.min_by(F.struct(*arriving.columns), F.struct("created_at_ms", "conversation_id")).alias("m")).select("m.*")
+    new = first.join(messages.select("message_id"), "message_id", "left_anti").withColumn("body_state", F.lit("remote_archive_only"))
+    return messages.unionByName(new, allowMissingColumns=True)
+
+
+def new_media_rows(index: DataFrame, arriving: DataFrame) -> DataFrame:
+    """The ``arriving`` rows of the media index whose (asset_id, kind, text) isn't there yet, each once."""
+    key = ["asset_id", "kind", "text"]
+    return arriving.dropDuplicates(key).join(index.select(*key), key, "left_anti")
+
+
+def outbound(messages: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, events) to append for own ``messages``: valid ones as local and not archived, and a journal event each."""
+    valid = validated(messages).where("rejected is null").drop("rejected").dropDuplicates(["message_id"])
+    rows = valid.withColumn("body_state", F.lit("local_plain_available")).withColumn("archive_state", F.lit("not_archived"))
+    return rows, valid.select(F.lit("message_received").alias("event_type"), "conversation_id", "message_id", F.lit(now_ms).cast("long").alias("created_at_ms"))
+
+
+def sent_events(messages: DataFrame, sent: DataFrame, now_ms: int) -> DataFrame:
+    """A journal event outbox_sent for each of the ``sent`` ids (message_id) that is stored; a body's state doesn't change."""
+    known = messages.join(sent.select("message_id").distinct(), "message_id", "left_semi")
+    return known.select(F.lit("outbox_sent").alias("event_type"), "conversation_id", "message_id", F.lit(now_ms).cast("long").alias("created_at_ms"))
+
+
+#: Columns by which a table belongs to conversations, messages or assets.
+OWNERS = ("conversation_id", "message_id", "asset_id")
+
+
 def cascade(tables: dict[str, DataFrame], conversation: object) -> dict[str, DataFrame]:
-    """Every table without a conversation's rows, those of its messages and of their assets."""
+    """Every table without a conversation's rows, those of its messages and of their assets.
+
+    A table without a column of OWNERS stays as it is.  ``messages`` must be there;
+    ``assets``, if there, says which assets are a message's.
+    """
     messages = tables["messages"].where(F.col("conversation_id") == F.lit(conversation)).select("message_id")
+    assets = tables["assets"].join(messages, "message_id", "left_semi").select("asset_id") if "assets" in tables else None
     out = {}
     for name, df in tables.items():
         if "conversation_id" in df.columns:
             out[name] = df.where(~F.col("conversation_id").eqNullSafe(F.lit(conversation)))
-        else:
+        elif "message_id" in df.columns:
             out[name] = df.join(messages, "message_id", "left_anti")
+        elif "asset_id" in df.columns and assets is not None:
+            out[name] = df.join(assets, "asset_id", "left_anti")
+        else:
+            out[name] = df
     return out
 
 
@@ -164,6 +210,33 @@ def hydration_queue(requests: DataFrame) -> DataFrame:
     return first.orderBy("urgency", "requested_at_ms", "message_id")
 
 
+def cold_requests(results: DataFrame, now_ms: int, reason: str = "search") -> DataFrame:
+    """A hydration request for each of the search ``results`` that is cold."""
+    cold = results.where("is_cold")
+    return cold.select("message_id", "conversation_id", F.lit(reason).alias("reason"), F.lit(now_ms).cast("long").alias("requested_at_ms"))
+
+
+def enqueued(queue: DataFrame, requests: DataFrame) -> DataFrame:
+    """The queue after further ``requests``: each message once, with its most urgent reason."""
+    return hydration_queue(queue.unionByName(requests, allowMissingColumns=True))
+
+
+def dequeued(queue: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(taken, left): the ``n`` most urgent requests of a queue, and the queue without them."""
+    taken = queue.orderBy("urgency", "requested_at_ms", "message_id").limit(n)
+    return taken, removed(queue, taken)
+
+
+def removed(queue: DataFrame, gone: DataFrame) -> DataFrame:
+    return queue.join(gone.select("message_id").distinct(), "message_id", "left_anti")
+
+
+def touched(entries: DataFrame, uses: DataFrame) -> DataFrame:
+    """Cache entries (key, size, last_used) after ``uses`` of the same columns: inserted or used again, the last use counts."""
+    both = entries.unionByName(uses)
+    return both.groupBy("key").agg(F.max_by("size", "last_used").alias("size"), F.max("last_used").alias("last_used"))
+
+
 def deleted(messages: DataFrame, deletions: DataFrame) -> DataFrame:
     """Messages after ``deletions`` (message_id, for_everyone): their body is deleted, and for everyone its text goes too.
 
@@ -178,11 +251,15 @@ def deleted(messages: DataFrame, deletions: DataFrame) -> DataFrame:
     )
 
 
-def pinned(conversations: DataFrame, updates: DataFrame) -> DataFrame:
-    """Conversations after pin ``updates`` (conversation_id, pinned, seq); the last of each holds."""
-    last = updates.groupBy("conversation_id").agg(F.max_by("pinned", "seq").alias("new_pinned"))
+def pinned(conversations: DataFrame, updates: DataFrame, flag: str = "pinned") -> DataFrame:
+    """Conversations after ``updates`` (conversation_id, pinned or muted, seq) of that ``flag``; the last of each holds."""
+    last = updates.groupBy("conversation_id").agg(F.max_by(flag, "seq").alias("new_flag"))
     joined = conversations.join(last, "conversation_id", "left")
-    return joined.withColumn("pinned", F.coalesce("new_pinned", "pinned")).drop("new_pinned")
+    return joined.withColumn(flag, F.coalesce("new_flag", flag)).drop("new_flag")
+
+
+def muted(conversations: DataFrame, updates: DataFrame) -> DataFrame:
+    return pinned(conversations, updates, "muted")
 
 
 def judged(changes: DataFrame) -> DataFrame:
@@ -224,6 +301,35 @@ def media_summary(assets: DataFrame) -> DataFrame:
     )
 
 
+#: States in which an original can be fetched.
+FETCHABLE = ("evicted", "remote_original")
+ROOT_BYTES = 32
+
+
+def rehydration_plan(assets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What to fetch for the ``wanted`` assets (asset_id): asset_id, from_state, chunks, and ``refused``, why it can't be, or null."""
+    known = wanted.select("asset_id").distinct().join(assets, "asset_id", "left")
+    refused = (
+        F.when(F.col("media_state").isNull(), "no such asset")
+        .when(F.col("media_state") == "original_local", "already local")
+        .when(~F.col("media_state").isin(*FETCHABLE), "not fetchable")
+        .when(~F.coalesce(F.octet_length("merkle_root") == ROOT_BYTES, F.lit(False)), "no root")
+    )
+    return known.select("asset_id", F.col("media_state").alias("from_state"), chunk_count(F.col("bytes_total")).alias("chunks"), refused.alias("refused"))
+
+
+def rehydrated_media(assets: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Assets after ``fetched`` ones (asset_id, local_path) came: local originals with all their bytes."""
+    joined = assets.join(fetched.select("asset_id", F.col("local_path").alias("new_path")), "asset_id", "left")
+    came = F.col("new_path").isNotNull() & F.col("media_state").isin(*FETCHABLE, "download_in_progress")
+    return (
+        joined.withColumn("bytes_local", F.when(came, F.col("bytes_total")).otherwise(F.col("bytes_local")))
+        .withColumn("local_path", F.when(came, F.col("new_path")))
+        .withColumn("media_state", F.when(came, "original_local").otherwise(F.col("media_state")))
+        .drop("new_path")
+    )
+
+
 def prefetch_window(messages: DataFrame, conversation: object, visible: list, size: int, now_ms: int) -> DataFrame:
     """Hydration requests for the remote ones of the ``size`` messages before and after the ``visible`` ones."""
     own = messages.where(F.col("conversation_id") == F.lit(conversation))

@@ -68,7 +68,13 @@ def superseded_segments(spark: SparkSession, d: str) -> DataFrame:
     return journal.superseded(journal.compaction_plan(journal.daily_segments(tables.journal(spark, d)), _NOW))
 
 
-@query(f"WITH {JOURNAL}, {_ARCHIVE} SELECT (SELECT count(*) FROM journal) AS inspected, (SELECT count(*) FROM kept) AS kept, (SELECT count(*) FROM journal) - (SELECT count(*) FROM kept) AS dropped")
+_GROUPS = "(SELECT count(*) FROM (SELECT DISTINCT conversation_id, strftime(make_timestamp(created_at_ms * 1000), '%Y-%m') FROM {}))"
+
+
+@query(
+    f"WITH {JOURNAL}, {_ARCHIVE} SELECT (SELECT count(*) FROM journal) AS inspected, (SELECT count(*) FROM kept) AS kept, (SELECT count(*) FROM journal) - (SELECT count(*) FROM kept) AS dropped, "
+    f"{_GROUPS.format('journal')} AS superseded, {_GROUPS.format('kept')} AS emitted"
+)
 def compaction_counters(spark: SparkSession, d: str) -> DataFrame:
     events = tables.journal(spark, d)
     return journal.compaction_counters(events, journal.archive_survivors(events))

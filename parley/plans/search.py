@@ -328,10 +328,9 @@ def cold_bucket_prune(spark: SparkSession, d: str) -> DataFrame:
 )
 def bloom_prune(spark: SparkSession, d: str) -> DataFrame:
     """Words found behind the bloom filters: the same rows as without them."""
-    own = _cold(spark, d).withColumn("words", text.words(F.col("text")))
-    keys = ["conversation_id", "time_bucket"]
-    blooms = cold.bloom_table(own.select(*keys, F.explode("words").alias("word")), keys)
-    kept = cold.bloom_prune(own, blooms, "thtionea", require=True)
+    own = _cold(spark, d)
+    blooms = cold.write_blooms(own, shared_path(spark, "blooms"))  # as when the tier is written
+    kept = cold.bloom_prune(own, blooms, "thtionea", require=True).withColumn("words", text.words(F.col("text")))
     return kept.where(F.array_contains("words", "thtionea")).select("message_id")
 
 
@@ -355,7 +354,7 @@ SELECT message_id, round(total, 6) AS rank_score, hot_score IS NULL AS is_cold F
 )
 def hot_cold_union(spark: SparkSession, d: str) -> DataFrame:
     hot = tables.messages(spark, d).where("body_state = 'local_plain_available'")
-    found = cold.hot_and_cold(hot, _cold(spark, d), search.SearchQuery("the thre"), limit=50)
+    found = cold.hot_and_cold(hot, _cold(spark, d), search.SearchQuery("the thre"), cold.Policy(most_buckets=10_000), 50)
     return found.select("message_id", "is_cold", six("rank_score"))
 
 
@@ -420,3 +419,51 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
     messages = tables.messages(spark, d)
     cache = messages.where("message_id % 2 = 0").select("message_id", F.lit("v1").alias("model_version"), models.mock_embedder(F.col("text")).alias("embedding"))
     return models.embedded(messages, cache, "v1").select("message_id", "model_version", F.size("embedding").alias("dimensions"))
+
+
+@query(
+    f"""WITH {MSG}, g AS (
+  SELECT DISTINCT conversation_id, strftime(make_timestamp(created_at_ms * 1000), '%Y-%m') AS time_bucket FROM msg WHERE body_state = 'remote_archive_only'),
+ok AS (SELECT *, time_bucket BETWEEN '2024-01' AND '2024-06' AS meets FROM g),
+newest AS (SELECT DISTINCT time_bucket FROM ok WHERE meets ORDER BY 1 DESC LIMIT 3)
+SELECT time_bucket, CASE WHEN NOT meets THEN 'date' WHEN time_bucket NOT IN (SELECT time_bucket FROM newest) THEN 'cap' ELSE 'looked at' END AS outcome, count(*) AS groups FROM ok GROUP BY 1, 2"""
+)
+def cold_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What a search of half a year and at most three months looks at; filters may only take away from that."""
+    own = _cold(spark, d)
+    wanted = search.SearchQuery("the", date_from=DATES[0], date_to=DATES[0] + 160 * 86_400_000)
+    blooms = cold.write_blooms(own, shared_path(spark, "blooms"))
+    found = cold.coverage(own, wanted, cold.Policy(most_buckets=3), blooms)
+    outcome = F.when(F.col("outcome").isin("fetched", "filter"), "looked at").otherwise(F.col("outcome"))
+    return found.groupBy("time_bucket", outcome.alias("outcome")).agg(F.sum("groups").alias("groups"))
+
+
+@query(
+    f"""WITH {MSG}, hot AS (SELECT * FROM msg WHERE body_state = 'local_plain_available'), cold AS (SELECT * FROM msg WHERE body_state = 'remote_archive_only'),
+{_lexical('hot')}, {grams('cg', 'cold')}, {fuzzy('cf', 'cg', 'q')}, {_SIMILAR}, {_SMALL},
+found AS (
+  SELECT * FROM (
+    SELECT cold.message_id, created_at_ms, CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'thre') AS INT) AS words, fuzzy
+    FROM cold LEFT JOIN cf USING (message_id))
+  WHERE words > 0 OR fuzzy IS NOT NULL),
+both_ AS (
+  SELECT coalesce(r.message_id, c.message_id) AS message_id, coalesce(r.created_at_ms, c.created_at_ms) AS created_at_ms, r.rank_score AS hot_score,
+         c.words + coalesce(c.fuzzy, 0) AS cold_score
+  FROM ranked r FULL JOIN found c ON r.message_id = c.message_id),
+lexical AS (
+  SELECT message_id, CASE WHEN hot_score IS NOT NULL THEN hot_score + coalesce(cold_score, 0)
+    ELSE cold_score * (0.5 + 0.5 * exp(-ln(2) * ((SELECT max(created_at_ms) FROM both_) - created_at_ms) / 86400000.0 / 30)) END AS lexical FROM both_),
+merged AS (
+  SELECT msg.message_id, created_at_ms, kind, cosine, lexical FROM msg LEFT JOIN (SELECT * FROM small WHERE cosine > 0) USING (message_id)
+  LEFT JOIN lexical USING (message_id) WHERE cosine IS NOT NULL OR lexical IS NOT NULL),
+scored AS (
+  SELECT *, CASE WHEN lexical IS NOT NULL THEN lexical + 1.5 * coalesce(cosine, 0)
+    ELSE 1.5 * cosine * (0.5 + 0.5 * exp(-ln(2) * ((SELECT max(created_at_ms) FROM merged) - created_at_ms) / 86400000.0 / 30)) * CASE WHEN kind = 'media' THEN 0.8 ELSE 1.0 END
+    END AS rank_score FROM merged)
+SELECT message_id, round(rank_score, 6) AS rank_score FROM scored ORDER BY scored.rank_score DESC, created_at_ms DESC, message_id LIMIT 50"""
+)
+def semantic_cold(spark: SparkSession, d: str) -> DataFrame:
+    """Words and meaning over both tiers."""
+    hot = tables.messages(spark, d).where("body_state = 'local_plain_available'")
+    found = cold.with_semantic(hot, _cold(spark, d), _message_vectors(spark, d), search.SearchQuery("the thre"), VECTOR, cold.Policy(most_buckets=10_000), 50)
+    return found.select("message_id", six("rank_score"))

@@ -35,7 +35,7 @@ ASSET = """asset AS (
          c_mktsegment = 'BUILDING' AS pinned
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
-WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+WORDS = "regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+')"
 
 SCRIPTS = [
     "Han", "Hiragana", "Katakana", "Hangul", "Latin", "Cyrillic", "Arabic", "Hebrew", "Greek",

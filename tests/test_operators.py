@@ -90,6 +90,35 @@ def test_greedy_takes_the_crossing_row(spark):
     assert offload.greedy(df, 95, "normal").collect() == []
 
 
+def test_equal_scores_are_summed_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(offload, "RANGE_ROWS", 50)
+    rows = [(f"a{k:04}", 1, 1.0 if k % 3 else float(k % 5)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "asset_id string, bytes_local long, score double")
+    got = {r.asset_id: r.ahead for r in offload.running_before(df, "score", "asset_id", "bytes_local", "ahead").collect()}
+    assert got == {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])))}
+
+
+def test_ties_are_on_the_next_page(spark):
+    df = spark.createDataFrame([(k, 1, 100 - k // 3) for k in range(10)], "message_id long, conversation_id long, created_at_ms long")
+    seen, before, after = [], None, None
+    while page := store.timeline(df, 1, before, 2, after).collect():
+        seen += [r.message_id for r in page]
+        before, after = page[-1].created_at_ms, page[-1].message_id
+    assert seen == list(range(10))
+
+
+def test_streamed_results_are_tables(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = "id event_id", "timestamp_ntz'2024-01-31 23:00:00' + make_dt_interval(0, int(id)) ts", "id % 3 user_id", "if(id % 5 = 0, 'error', 'click') event_type", "2D value", "'{\"k\": 4}' props"
+    for n in range(3):  # each run goes on from the one before
+        spark.range(10 * n, 10 * n + 10).selectExpr(*rows).write.mode("append").parquet(source)
+        heads = streams.heads(streams.journal_stream(spark, source))
+        streams.to_table(heads, f"{out}/heads", f"{out}/cursor").awaitTermination()
+    got = {r.conversation_id: r.created_at_ms for r in streams.latest(spark, f"{out}/heads", ["conversation_id"]).collect()}
+    want = tables.journal_of(spark.range(30).selectExpr(*rows)).where("event_type = 'message_received'").groupBy("conversation_id").agg(F.max("created_at_ms").alias("m"))
+    assert got == {r.conversation_id: r.m for r in want.collect()}
+
+
 def test_pressure(spark):
     df = spark.createDataFrame([(100,), (101,), (91,), (90,), (76,), (75,)], "t long")
     assert [r[0] for r in df.select(offload.pressure(F.col("t"), 100)).collect()] == ["critical", "extreme", "critical", "warning", "warning", "normal"]

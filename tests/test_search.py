@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators import cold, match, search
+from parley.operators import cold, index, match, search
 from parley.operators.search import SearchQuery
 
 T0 = 1_700_000_000_000
@@ -36,6 +36,34 @@ def test_match(messages, query, want):
     assert set(ids(found)) == want
 
 
+def test_accents_and_widths_are_folded(spark):
+    df = spark.createDataFrame([(1, "Un Café noir"), (2, "cafe\u0301"), (3, "ＣＡＦＥ １２"), (4, "Straße Łódź"), (5, "кафе й")], "message_id int, t string")
+    split = df.select("message_id", text.words(F.col("t")).alias("w")).persist()
+    assert [r.w for r in split.orderBy("message_id").collect()] == [["un", "cafe", "noir"], ["cafe"], ["cafe", "12"], ["straße", "łodz"], ["кафе", "й"]]
+    for query in ("cafe", "CAFÉ", "ｃａｆｅ", "caf*"):
+        assert set(ids(split.where(match.predicate(F.col("w"), query)))) == {1, 2, 3}
+    split.unpersist()
+
+
+@pytest.mark.parametrize("query", ["helo", "世界 hello", "-- 12 привет", "", "a", "é世界x"])
+def test_query_grams_are_the_columns_grams(spark, query):
+    found = search.fuzzy_grams(spark.createDataFrame([(0, query)], "message_id long, text string")).collect()
+    want = {s: sorted(r.token for r in found if r.script == s) for s in sorted({r.script for r in found})}
+    assert text.query_grams(query) == want
+
+
+def test_the_index_is_the_scan(spark, messages, tmp_path):
+    path = f"file:{tmp_path}/index"
+    built = index.build(messages.where("message_id < 5"), path)
+    index.added(built, messages.where("message_id >= 5"))
+    for query in ("hello", "hello there", "light*", '"lighthouse at"', "hello NOT there", "there OR dawn", "keeper NEAR hello", "NOT", "", "世界", "привет"):
+        for by_index, by_scan in ((index.full_text(built, query), search.full_text(messages, query)), (index.fuzzy(built, query), search.fuzzy_scan(messages, query))):
+            near = [{r.message_id: round(r[1], 9) for r in df.collect()} for df in (by_index, by_scan)]
+            assert near[0] == near[1], query
+    plan = index.full_text(built, "hello there")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "part#" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
 def test_near_is_bounded(spark):
     far = " ".join(["hello", *["x"] * 11, "keeper"])
     near = " ".join(["hello", *["x"] * 10, "keeper"])
@@ -136,6 +164,44 @@ def test_cold_search(tiers):
     assert set(ids(local)) == {0, 5}
 
 
+def test_unreadable_months_are_named(tiers, spark, tmp_path):
+    import glob
+    import os
+    import shutil
+
+    _, _, path = tiers
+    own = str(tmp_path / "cold")
+    shutil.copytree(path, own)
+    assert cold.unreadable(spark, own).collect() == []
+    broken = sorted(glob.glob(f"{own}/time_bucket=*/*.parquet"))[-1]
+    with open(broken, "wb") as f:
+        f.write(b"PAR1 not whole")
+    os.remove(os.path.join(os.path.dirname(broken), f".{os.path.basename(broken)}.crc"))
+    month = broken.split("time_bucket=")[1][:7]
+    assert [r.time_bucket for r in cold.unreadable(spark, own).collect()] == [month]
+    assert month not in {r.m for r in cold.read(spark, own).select(F.col("time_bucket").cast("string").alias("m")).collect()}
+
+
+def test_filters_and_coverage(tiers, spark, tmp_path):
+    hot, stored, _ = tiers
+    blooms = cold.write_blooms(stored.drop("time_bucket"), str(tmp_path / "blooms"))
+    query, need = SearchQuery("lighthouse"), cold.Policy(require_bloom=True)
+    whole = sorted(map(tuple, cold.hot_and_cold(hot, stored, query).collect()))
+    assert sorted(map(tuple, cold.hot_and_cold(hot, stored, query, need, blooms=blooms).collect())) == whole
+    assert set(ids(cold.hot_and_cold(hot, stored, query, need))) == {0, 5}  # a filter is required, and there is none
+    assert {r.outcome for r in cold.coverage(stored, query, need).collect()} == {"no filter"}
+    seen = cold.coverage(stored, SearchQuery("zebra", date_from=T0 - 70 * DAY), cold.Policy(most_buckets=1), blooms).collect()
+    assert sum(r.groups for r in seen) == 3 and {r.outcome for r in seen} <= {"date", "cap", "filter", "fetched"} and {"date", "cap"} <= {r.outcome for r in seen}
+
+
+def test_meaning_over_both_tiers(tiers, spark):
+    hot, stored, _ = tiers
+    vectors = spark.createDataFrame([(101, "v1", [1.0, 0.0]), (7, "v1", [0.8, 0.6]), (100, "v1", [0.0, 1.0])], "message_id long, model_version string, embedding array<float>")
+    words = {r.message_id: r.rank_score for r in cold.hot_and_cold(hot, stored, SearchQuery("lighthouse")).collect()}
+    both = {r.message_id: r.rank_score for r in cold.with_semantic(hot, stored, vectors, SearchQuery("lighthouse"), [1.0, 0.0]).collect()}
+    assert set(both) == set(words) | {7} and both[101] == pytest.approx(words[101] + 1.5) and both[100] == pytest.approx(words[100])
+
+
 def test_months_are_pruned_at_the_scan(tiers):
     _, stored, _ = tiers
     plan = cold.pruned(stored, SearchQuery(date_from=T0 - 70 * DAY, date_to=T0 - 50 * DAY))
@@ -152,6 +218,7 @@ def test_progress(tiers):
 
 
 def test_bloom(spark):
+    """No word is missed, few others are held, and a word takes less than two bytes."""
     rows = [(k % 5, f"word{k}") for k in range(2000)]
     words = spark.createDataFrame(rows, "conversation_id int, word string")
     blooms = cold.bloom_table(words, ["conversation_id"]).persist()
