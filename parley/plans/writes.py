@@ -27,8 +27,8 @@ def indexed_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {MSG} SELECT word, message_id, string_agg(at, ',' ORDER BY at) AS positions, any_value(n) AS len FROM (SELECT message_id, len(w) AS n, unnest(w) AS word, "
-    f"unnest(range(len(w))) AS at FROM (SELECT message_id, {WORDS} AS w FROM msg)) GROUP BY word, message_id"
+    f"WITH {MSG} SELECT word, message_id, string_agg(place, ',' ORDER BY place) AS positions, any_value(n) AS len FROM (SELECT message_id, len(w) AS n, unnest(w) AS word, "
+    f"unnest(range(len(w))) AS place FROM (SELECT message_id, {WORDS} AS w FROM msg)) GROUP BY word, message_id"
 )
 def word_postings(spark: SparkSession, d: str) -> DataFrame:
     """The stored postings of words."""
