@@ -258,7 +258,12 @@ def int8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    """WITH s AS (SELECT vec_id, embedding, CAST(list_max(list_transform(embedding, lambda x: abs(x))) AS FLOAT) / 7::FLOAT AS scale FROM embeddings),
+c AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(sign(x) * floor(abs(x / scale) + 0.5::FLOAT) AS FLOAT) * scale) AS back FROM s)
+SELECT vec_id, 4 + CAST(ceil(len(embedding) / 2) AS INTEGER) AS blob_bytes, round(list_sum(list_transform(range(1, len(back) + 1), lambda i: embedding[i]::DOUBLE * back[i]::DOUBLE))
+/ (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(back, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine FROM c"""
+)
 def int4_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     own = tables.read(spark, d, "embeddings").select("vec_id", "embedding", numbers.encode_int4(F.col("embedding")).alias("blob"))
     back = own.withColumn("back", numbers.decode_int4(F.col("blob")))

@@ -154,6 +154,9 @@ def mime_kinds(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "pages").select("page_id", text.valid_mime(mime).alias("valid"), text.content_kind(mime).alias("kind"))
 
 
-@query()
+@query(
+    """SELECT page_id, coalesce(nullif(trim(trim(trim(regexp_replace(nfc_normalize(url), '[/\\\\:*?"<>|\\x00-\\x1F\\x7F-\\x{9F}]', '', 'g')), '.')), ''), 'unnamed') AS name,
+trim(regexp_replace(nfc_normalize(url), '\\s+', ' ', 'g')) AS caption FROM pages"""
+)
 def filenames(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "pages").select("page_id", text.sanitize_filename(F.col("url")).alias("name"), text.normalize_caption(F.col("url")).alias("caption"))
