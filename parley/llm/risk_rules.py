@@ -20,7 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, majority_labels, stored
+from .common import bounded_batches, majority_labels, numbered, stored
 from .text_stats import COUNTS, features, text_counts
 
 RISK, ERROR = 0.02, 0.05
@@ -88,14 +88,18 @@ def certify(tallies: list[tuple[int, int, int, int]], rungs: int, risk: float, e
 def fit(counted: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[int, int]:
     """The selected rung of each stratum.
 
-    ``counted`` has doc_id and counts; ``labels`` doc_id and quality (1: good).  What
+    ``counted`` has doc_id and counts; ``labels`` doc_id and quality (1: good).  A
+    doc_id is one draw however many rows have it, that of the most lenient rung.  What
     reaches the driver is one count for each stratum, level and label.
     """
     rungs = max(map(len, LADDERS.values()))
     known = majority_labels(labels, "doc_id", "quality")
+    own = counted.select("doc_id", stratum(F.col("counts.n_words")).alias("stratum"), level("counts").alias("level"))
     tallies = (
-        counted.select("doc_id", stratum(F.col("counts.n_words")).alias("stratum"), level("counts").alias("level"))
-        .join(known.withColumnRenamed("key", "doc_id"), "doc_id")
+        own.join(known.withColumnRenamed("key", "doc_id"), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min(F.struct("level", "stratum")).alias("draw"))
+        .select("label", "draw.*")
         .groupBy("stratum", "level", "label")
         .count()
         .collect()
@@ -119,11 +123,13 @@ def rejected(counts: Column, chosen: dict[int, int]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """One row for each row of ``docs``: doc_id, counts, stratum, base_failed, kept.
 
-    Null and empty texts have no words and so fail the base rule.  Without labels
-    nothing is certified, and only the base rule rejects.  A document labelled more
-    than once counts by majority; a null label counts for nothing.
+    Null and empty texts have no words and so fail the base rule; whole texts count,
+    however long.  Without labels nothing is certified, and only the base rule rejects.
+    A document labelled more than once counts by majority; a null label counts for
+    nothing.  Repeated rows are judged alike, a row each.  An empty table gives no rows;
+    columns other than doc_id and text may have any names.
     """
-    counted = stored(docs.select("doc_id", text_counts(F.col("text")).alias("counts")), "rule-counts")
+    counted = stored(bounded_batches(docs).select("doc_id", text_counts(F.col("text")).alias("counts")), "rule-counts")
     chosen = fit(counted, labels, risk, error)
     counts = F.col("counts")
     failed = base_failed(counts)
@@ -137,16 +143,17 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    counted = stored(docs.select("doc_id", text_counts(F.col("text")).alias("counts")), "rule-counts")
+    """The rows of ``docs`` that the rules keep, with all their columns; see :func:`judge`.
+
+    Texts are counted once; the rows that go are a stored list of numbers, which Spark
+    broadcasts if its files are small, and joins by sorting otherwise.
+    """
+    own, row = numbered(bounded_batches(docs), "rule-rows")
+    counted = stored(own.select(F.col(row).alias("row"), "doc_id", text_counts(F.col("text")).alias("counts")), "rule-counts")
     chosen = fit(counted, labels, risk, error)
-    name = fresh(docs, "counts")
-    counts = F.col(name)
-    return (
-        docs.withColumn(name, text_counts(F.col("text")))
-        .where(~base_failed(counts) & ~rejected(counts, chosen))
-        .drop(name)
-    )
+    counts = F.col("counts")
+    gone = stored(counted.where(base_failed(counts) | rejected(counts, chosen)).select(F.col("row").alias("gone_row")), "rule-gone")
+    return own.join(gone, own[row] == gone["gone_row"], "left_anti").drop(row)
 
 
 __all__ = ["COUNTS", "judge", "keep_good", "fit", "certify", "binomial_tail", "level", "stratum"]
