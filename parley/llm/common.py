@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.sources.shared import forget, shared_dir, shared_path, store, stored
 
 __all__ = [
-    "FOLDS", "HELD_OUT_FOLD", "drawn", "fold", "forget", "fresh", "held_out", "majority_labels", "numbered", "shared_dir", "shared_path", "store", "stored", "table",
+    "BATCH_ROWS", "bounded_batches", "FOLDS", "HELD_OUT_FOLD", "drawn", "fold", "forget", "fresh", "held_out", "majority_labels", "numbered", "shared_dir", "shared_path", "store", "stored", "table",
 ]
 
 #: Rows of these folds are never learned from: crc32(doc_id as text) mod 3 is 1.
@@ -56,6 +56,22 @@ def held_out(key: Column) -> Column:
     return fold(key) == HELD_OUT_FOLD
 
 
+#: Rows that a Python worker holds at once, at most.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches have at most BATCH_ROWS rows from now on.
+
+    Texts and their sets can be long, and Spark's own 10,000 of them are held several
+    times over in a worker and the executor beside it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 #: Draws by hash are this fine.
 _DRAWS = 1 << 62
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drawn, held_out
+from .common import bounded_batches, drawn, held_out
 from .linear import fit_softmax, fit_svm, logistic, softmax
 
 #: Closely related languages; one of no family is a family by itself.
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     language that is first by name.  An empty table gives no rows; columns other than
     doc_id, text and lang may have any names.
     """
-    x, languages = training_sample(docs, rows)
+    x, languages = training_sample(bounded_batches(docs), rows)
     model = fit(x, languages) if languages else None
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS by the number of language pairs
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -155,7 +155,7 @@ def token_pieces(
             yield pa.RecordBatch.from_pydict(out)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(encode, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(encode, schema)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

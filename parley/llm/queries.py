@@ -12,20 +12,24 @@ from .common import table
 
 
 def op1_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document; see :func:`.rule_quality.classify`."""
     return rule_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores and severities of every document; see :func:`.toxicity.grade`."""
     return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document; see :func:`.risk_rules.judge`."""
     judged = risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *(F.col(f"counts.{c}") for c in counts), "base_failed", "kept", "stratum")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items in every document; see :func:`.decontaminate.hits`."""
     judged = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.select(
         "doc_id",
@@ -38,29 +42,35 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece's place in a sequence; see :func:`.packing.pack_documents`."""
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and classes of every document; see :func:`.simhash.near_duplicates`."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated windows of lines; see :func:`.line_dedup.dedup_lines`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     deduped = line_dedup.dedup_lines(docs, removed="n_removed")
     return deduped.select("doc_id", F.col("n_removed").cast("long"), "text")
 
 
 def op8_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every page's URL; see :func:`.url_filter.judge`."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back; see :func:`.warc.round_trip`."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every document; see :func:`.language_id.identify`."""
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 

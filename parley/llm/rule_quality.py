@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, held_out, majority_labels, stored
+from .common import bounded_batches, drawn, held_out, majority_labels, stored
 from .text_stats import features, text_counts
 
 #: At most about so many labelled rows are learned from, chosen by a hash.
@@ -114,7 +114,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     labels don't.  An empty ``docs`` gives no rows; without labels every score is 0.5,
     with one kind of label all are that one.
     """
-    counted = stored(docs.select("doc_id", text_counts(F.col("text")).alias("counts")), "quality-counts")
+    counted = stored(bounded_batches(docs).select("doc_id", text_counts(F.col("text")).alias("counts")), "quality-counts")
     model = fit(stored(training_rows(counted, labels, rows), "quality-train"))
     scored = counted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(features("counts")).alias("score"))
     return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.lit(len(model.rules)).alias("n_rules"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered, stored
+from .common import bounded_batches, numbered, stored
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -124,7 +124,7 @@ def classes(marked: DataFrame) -> DataFrame:
 
 def mark(docs: DataFrame) -> DataFrame:
     """A stored table (row, doc_id, fp) of ``docs``."""
-    own, row = numbered(docs, "simhash-rows")
+    own, row = numbered(bounded_batches(docs), "simhash-rows")
     return _marked(own, row)
 
 
@@ -151,6 +151,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one of each class stays: that of the least doc_id, the first of several."""
-    own, row = numbered(docs, "simhash-rows")
+    own, row = numbered(bounded_batches(docs), "simhash-rows")
     kept = classes(_marked(own, row)).select("kept_row").distinct()
     return own.join(kept, own[row] == kept["kept_row"], "left_semi").drop(row)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drawn, held_out, majority_labels
+from .common import bounded_batches, drawn, held_out, majority_labels
 from .linear import logistic
 
 #: About so many labelled rows at most are learned from.
@@ -164,10 +164,13 @@ def grade(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
     """One row for each row of ``docs``: doc_id, held_out, score, predicted, expected_severity, severity.
 
     ``score`` is P(grade >= 1), ``predicted`` says whether it is at least 0.5,
-    ``expected_severity`` is 0 to GRADES and ``severity`` the likeliest grade.  A null
-    text counts as empty.  With nothing to learn from, all are 0.
+    ``expected_severity`` is 0 to GRADES and ``severity`` the likeliest grade, the lowest
+    of several.  A null text counts as empty, and whole texts count, however long.  A
+    score of 0.5 predicts 1.  Repeated rows are graded alike.  With nothing to learn from,
+    all are 0; an empty table gives no rows; columns other than doc_id and text may have
+    any names.
     """
-    model = fit(docs, labels, rows)
+    model = fit(bounded_batches(docs), labels, rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # VOCABULARY words
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))

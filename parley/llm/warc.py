@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import bounded_batches, shared_path, stored
 
 #: Payloads below so many bytes are never revisits.
 LEAST_REVISIT = 1000
@@ -311,7 +311,7 @@ def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
     many rows have that one.  Payloads may be of any length; other columns are not looked
     at.
     """
-    spark = pages.sparkSession
+    spark = bounded_batches(pages).sparkSession
     folder = shared_path(spark, "warc")
     archives = stored(write_archives(plan_records(pages), f"{folder}/monolithic"), "warc-archives")
     n = archives.where("n_records > 0").count()
