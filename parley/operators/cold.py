@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parley.functions import text as fn
 from parley.functions import times
@@ -32,9 +33,13 @@ def write(messages: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").partitionBy("time_bucket").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The cold tier; unreadable files are skipped, as an unreachable month would be.  :func:`unreadable` names them."""
-    return spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("basePath", path).parquet(path)
+def read(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """The cold tier; unreadable files are skipped, as an unreachable month would be.  :func:`unreadable` names them.
+
+    Without a ``schema`` one of the files gives it, and that one must be readable.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("basePath", path)
+    return (reader if schema is None else reader.schema(schema)).parquet(path)
 
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
