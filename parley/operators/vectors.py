@@ -78,9 +78,9 @@ def centroids(vectors: DataFrame, n: int, rounds: int = 10) -> np.ndarray:
 
 
 def index_shape(n: int) -> tuple[int, int]:
-    """(cells, probes) for ``n`` rows: cells of a block or so, and a share of them that keeps recall at 0.9 without any structure."""
+    """(cells, probes) for ``n`` rows: cells of a block or so, and as many of them as recall above 0.9 takes without any structure."""
     cells = max(16, min(MOST_CELLS, -(-n // BLOCK)))
-    return cells, -(-cells * 3 // 8)
+    return cells, -(-cells * 3 // 4)
 
 
 def indexed(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None) -> DataFrame:
