@@ -25,7 +25,7 @@ WINDOW, SHINGLE = 13, 4
 #: A document is contaminated if hit words are at least this part of its words.
 SHARE = 20
 #: Slots of the map of wanted shingles: so many for each, and at most so many.
-SLOTS_EACH, MOST_SLOTS = 16, 1 << 23
+SLOTS_EACH, MOST_SLOTS = 64, 1 << 23
 
 #: Fixed value: what separates words, after A-Z are lower-cased.
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,9 +77,11 @@ def _slots(wanted: DataFrame) -> tuple[bytes, int]:
     while slots < min(MOST_SLOTS, SLOTS_EACH * n):
         slots *= 2
     taken = bytearray(slots)
-    # at most MOST_SLOTS numbers
-    for r in wanted.select(F.col("h").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy():
-        taken[r] = 1
+    slot = F.col("h").bitwiseAND(F.lit(slots - 1)).cast("int")
+    held = wanted.select(slot.alias("slot")).distinct().groupBy(F.floor(F.col("slot") / 4096)).agg(F.collect_list("slot").alias("held"))
+    for row in held.collect():  # at most MOST_SLOTS numbers
+        for at in row["held"]:
+            taken[at] = 1
     return bytes(taken), slots
 
 
@@ -90,8 +92,9 @@ def _places(words: str, wanted: DataFrame, sizes: list[int]) -> Column:
 
     def of_size(k: int) -> Column:
         starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-        own = F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos"), _shingle(words, i, k).alias("h")))
-        return F.filter(own, lambda x: F.substring(held, x["h"].bitwiseAND(F.lit(slots - 1)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
+        slot = lambda i: _shingle(words, i, k).bitwiseAND(F.lit(slots - 1)).cast("int") + 1
+        held_places = F.filter(starts, lambda i: F.substring(held, slot(i), F.lit(1)) == F.lit(b"\x01"))
+        return F.transform(held_places, lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos"), _shingle(words, i, k).alias("h")))
 
     return F.flatten(F.array(*map(of_size, sizes)))
 
