@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, oracles, packing, risk_rules, rule_quality, simhash, toxicity, url_filter, warc
+from . import centroids, decontaminate, language_id, line_dedup, oracles, packing, prefix_trie, risk_rules, rule_quality, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -74,6 +74,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations; see :func:`.prefix_trie.nodes`."""
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster; see :func:`.centroids.cluster`."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rule_quality": op1_rule_quality,
     "op2_ordinal_toxicity": op2_ordinal_toxicity,
@@ -85,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_ratio": op8_url_ratio,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_centroids": op13_centroids,
 }
 
 #: SQL can't express the others' models, tokenizer, hashes or reachability.
@@ -92,4 +104,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": oracles.OP4,
     "op7_line_dedup": oracles.OP7,
     "op9_warc": oracles.OP9,
+    "op11_prefix_trie": oracles.OP11,
+    "op13_centroids": oracles.OP13,
 }
