@@ -109,6 +109,22 @@ FROM node v JOIN below USING (node) LEFT JOIN child USING (node)
 LEFT JOIN node up ON v.d > 0 AND up.d = v.d - 1 AND up.node = list_slice(v.node, 1, v.d - 1)
 """
 
+OP12 = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+win AS (
+  SELECT r, doc_id, s, array_to_string(list_slice(w, s, s + 12), ' ') AS run
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM doc WHERE len(w) >= 13 AND doc_id IS NOT NULL)
+),
+least AS (SELECT run, min(doc_id) AS least FROM win GROUP BY run HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 13)) AS p FROM win JOIN least USING (run) WHERE least < doc_id),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS one FROM doc),
+kept AS (SELECT r, count(*) AS n, string_agg(one, ' ' ORDER BY p) AS kept FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r)
+"""
+
 
 def _lloyd(k: int, dimensions: int, rounds: int, largest: int) -> str:
     def assign(r: int) -> str:

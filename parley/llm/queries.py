@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, language_id, line_dedup, oracles, packing, prefix_trie, risk_rules, rule_quality, simhash, toxicity, url_filter, warc
+from . import centroids, decontaminate, language_id, line_dedup, oracles, packing, prefix_trie, risk_rules, rule_quality, simhash, span_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -79,6 +79,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
 
 
+def op12_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated spans of words; see :func:`.span_dedup.cut_spans`."""
+    digest = F.sha2(F.col("cut.kept").cast("binary"), 256)
+    columns = {"doc_id": F.col("doc.doc_id"), "n_words": F.col("cut.n_words"), "n_removed": F.col("cut.n_removed"), "kept_sha256": digest}
+    return span_dedup.cut_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), columns)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's cluster; see :func:`.centroids.cluster`."""
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_debruijn_spans": op12_debruijn_spans,
     "op13_centroids": op13_centroids,
 }
 
@@ -105,5 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": oracles.OP7,
     "op9_warc": oracles.OP9,
     "op11_prefix_trie": oracles.OP11,
+    "op12_debruijn_spans": oracles.OP12,
     "op13_centroids": oracles.OP13,
 }
