@@ -35,8 +35,9 @@ WINDOW, GRAM, CELL = 13, 5, 64
 
 def _released(spark: SparkSession) -> None:
     """Let go of the shuffle files of queries that ended and whose results are stored; Spark does so when its driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first tells the JVM what Python has let go of
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +98,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), lists], names=["u0", "v0", "n", "doc_id", "row", "pos", "nodes"])
 
 
-def _segments(own: DataFrame) -> DataFrame:
-    """A stored table of the segments of ``own`` (row, doc_id, text) whose naming words are not once in all: u0, v0, n, doc_id, row, pos, nodes."""
+def _segments(own: DataFrame) -> tuple[DataFrame, str]:
+    """A stored table of the segments of ``own`` (row, doc_id, text) whose naming words are not once in all, and its path: u0, v0, n, doc_id, row, pos, nodes."""
     spark = own.sparkSession
     anchors, path = store(own.select("row", "text").mapInArrow(_anchored, "m long, row long, pos int, n int"), "spans-anchors")
     common, common_path = store(anchors.groupBy("m").count().where("count > 1").select("m"), "spans-common")
@@ -109,15 +110,27 @@ def _segments(own: DataFrame) -> DataFrame:
     del anchors, common, spots
     _released(spark)
     given = own.join(wanted, "row").select("row", "doc_id", "text", "pos", "n")
-    out = stored(given.mapInArrow(_edges, "u0 long, v0 long, n int, doc_id long, row long, pos int, nodes array<long>"), "spans-segments")
+    out = store(given.mapInArrow(_edges, "u0 long, v0 long, n int, doc_id long, row long, pos int, nodes array<long>"), "spans-segments")
     forget(spark, wanted_path)
-    del given, wanted
-    _released(spark)
     return out
 
 
+def _distinct(own: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(places, distinct, path of distinct), stored tables: where each segment is (segment, doc_id, row, pos), and the different ones with a source."""
+    segments, path = _segments(own)
+    _released(own.sparkSession)
+    heads = segments.groupBy("u0", "v0", "n").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min_by(F.struct("row", "pos", "nodes"), "doc_id").alias("src")
+    )
+    distinct, distinct_path = store(heads.withColumn("segment", F.monotonically_increasing_id()), "spans-distinct")
+    names = distinct.select("u0", "v0", "n", "segment")
+    places = stored(segments.join(names, ["u0", "v0", "n"]).select("segment", "doc_id", "row", "pos"), "spans-places")
+    forget(own.sparkSession, path)
+    return places, distinct, distinct_path
+
+
 def paths(windows: DataFrame) -> DataFrame:
-    """(u, v, least, src_row, src_pos, path): the repeated edges of ``windows`` with their source, and where in it their compacted path begins.
+    """A stored table (u, v, least, src_row, src_pos, path): the repeated edges of ``windows`` with their source, and where in it their compacted path begins.
 
     ``windows`` (u, v, least, most, src_row, src_pos) may have an edge many times.  A node
     with one repeated edge in and one out is inside a path.
@@ -125,8 +138,9 @@ def paths(windows: DataFrame) -> DataFrame:
     every = windows.groupBy("u", "v").agg(
         F.min("least").alias("least"), F.max("most").alias("most"), F.min_by("src_row", "least").alias("src_row"), F.min_by("src_pos", "least").alias("src_pos")
     )
-    repeated = stored(every.where("least < most").drop("most"), "spans-repeated")
-    ends = repeated.select(F.col("u").alias("u"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+    repeated, path = store(every.where("least < most").drop("most"), "spans-repeated")
+    _released(windows.sparkSession)
+    ends = repeated.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
         repeated.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into"))
     )
     inner = ends.groupBy("u").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out = 1 and into = 1").select("u", F.lit(True).alias("inner"))
@@ -134,8 +148,23 @@ def paths(windows: DataFrame) -> DataFrame:
     in_source = Window.partitionBy("src_row").orderBy("src_pos")
     follows = F.coalesce("inner", F.lit(False)) & (F.lag("src_pos").over(in_source) == F.col("src_pos") - 1)
     begun = linked.withColumn("begin", F.when(~F.coalesce(follows, F.lit(False)), F.col("src_pos")))
-    path = F.max("begin").over(in_source.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return begun.select("u", "v", "least", "src_row", "src_pos", path.alias("path"))
+    first = F.max("begin").over(in_source.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = stored(begun.select("u", "v", "least", "src_row", "src_pos", first.alias("path")), "spans-paths")
+    forget(windows.sparkSession, path)
+    return out
+
+
+def _verdicts(distinct: DataFrame) -> DataFrame:
+    """A stored table (segment, pieces): which windows of each different segment are on which path."""
+    edges = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.get("src.nodes", i).alias("u"), F.get("src.nodes", i + 1).alias("v")))
+    each = distinct.select("segment", "least", "most", F.col("src.row").alias("row"), F.col("src.pos").alias("pos"), F.explode(edges).alias("e"))
+    windows = each.select("segment", "e.i", "e.u", "e.v", "least", "most", F.col("row").alias("src_row"), (F.col("pos") + F.col("e.i")).alias("src_pos"))
+    graph = paths(windows.drop("segment", "i"))
+    _released(distinct.sparkSession)
+    placed = windows.select("segment", "i", "u", "v").join(graph, ["u", "v"])
+    places = ["segment", "src_row", "path", F.floor(F.col("src_pos") / CELL).alias("cell"), (F.col("src_pos") - F.col("i")).alias("shift")]
+    pieces = placed.groupBy(*places).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("n"), F.min("least").alias("least"))
+    return stored(pieces.groupBy("segment").agg(F.collect_list(F.struct("src_row", "path", "cell", "shift", "i", "n", "least")).alias("pieces")), "spans-verdicts")
 
 
 def spans(own: DataFrame) -> DataFrame:
@@ -145,23 +174,12 @@ def spans(own: DataFrame) -> DataFrame:
     source from ``src_start`` on.  Long spans come in pieces of CELL edges of their source.
     """
     spark = own.sparkSession
-    segments = _segments(own)
-    heads = segments.groupBy("u0", "v0", "n").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min_by(F.struct("row", "pos", "nodes"), "doc_id").alias("src")
-    )
-    distinct = stored(heads.withColumn("segment", F.monotonically_increasing_id()), "spans-distinct")
-    edges = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.get("src.nodes", i).alias("u"), F.get("src.nodes", i + 1).alias("v")))
-    each = distinct.select("segment", "least", "most", F.col("src.row").alias("row"), F.col("src.pos").alias("pos"), F.explode(edges).alias("e"))
-    windows = each.select("segment", "e.i", "e.u", "e.v", "least", "most", F.col("row").alias("src_row"), (F.col("pos") + F.col("e.i")).alias("src_pos"))
-    graph = stored(paths(windows.drop("segment", "i")), "spans-paths")
+    places, distinct, path = _distinct(own)
     _released(spark)
-    placed = windows.select("segment", "i", "u", "v").join(graph, ["u", "v"])
-    places = ["segment", "src_row", "path", F.floor(F.col("src_pos") / CELL).alias("cell"), (F.col("src_pos") - F.col("i")).alias("shift")]
-    pieces = placed.groupBy(*places).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("n"), F.min("least").alias("least"))
-    told = pieces.groupBy("segment").agg(F.collect_list(F.struct("src_row", "path", "cell", "shift", "i", "n", "least")).alias("pieces"))
-    verdicts = stored(distinct.select("segment", "u0", "v0", "n").join(told, "segment").drop("segment"), "spans-verdicts")
-    met = segments.select("u0", "v0", "n", "doc_id", "row", "pos").join(verdicts, ["u0", "v0", "n"])
-    later = met.select("doc_id", "row", "pos", F.explode("pieces").alias("p")).where("p.least < doc_id")
+    verdicts = _verdicts(distinct)
+    forget(spark, path)
+    _released(spark)
+    later = places.join(verdicts, "segment").select("doc_id", "row", "pos", F.explode("pieces").alias("p")).where("p.least < doc_id")
     at = F.col("pos") + F.col("p.i")
     moved = later.select("row", "p.src_row", "p.path", "p.cell", (at - (F.col("p.shift") + F.col("p.i"))).alias("by"), at.alias("start"), F.col("p.n").alias("n"))
     # a document that differs from its source in the middle of a path has two spans on it
@@ -171,7 +189,7 @@ def spans(own: DataFrame) -> DataFrame:
     parts = moved.withColumn("broken", broken.cast("int")).withColumn("part", F.sum("broken").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = parts.groupBy(*on_path, "part").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"))
     out = stored(merged.select("row", "start", "n", "src_row", (F.col("start") - F.col("by")).alias("src_start")), "spans")
-    del segments, heads, distinct, each, windows, graph, placed, pieces, told, verdicts, met, later, moved, parts, merged
+    del places, distinct, verdicts, later, moved, parts, merged
     _released(spark)
     return out
 
