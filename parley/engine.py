@@ -81,8 +81,9 @@ class Engine:
         """The messages after ``edits``; their vectors are to be dropped."""
         return store.edited(self.messages, edits)
 
-    def delete(self, deletions: DataFrame) -> DataFrame:
-        return store.deleted(self.messages, deletions)
+    def delete(self, deletions: DataFrame, now_ms: int) -> DataFrame:
+        """The messages after ``deletions``; see :func:`.store.deletion_events` for the journal's part."""
+        return store.deleted(self.messages, deletions, now_ms)
 
     def pin(self, updates: DataFrame) -> DataFrame:
         return store.pinned(self.conversations, updates)

@@ -1,13 +1,23 @@
-"""A stored search index: postings of words and of n-grams, written once and read by term.
-
-Each table is in parts by a hash of its term and sorted within a part, so that a query's
-terms prune folders and row groups, and no text is read or split to answer one.
-Statistics are those of all indexed messages.
+"""A stored search index that follows its messages: postings in blocks, a dictionary, deltas.
+
+An index is a folder of generations.  The first has all messages; each change adds one with
+the postings of what is new, the ids whose older postings are dead, and by how much the
+dictionary and the statistics differ.  A reader merges them, and :func:`compacted` makes one
+of them again, without the texts.  A manifest names the generations that count, so readers
+see a change as a whole or not at all.
+
+Postings lie in blocks: a word's postings in one bucket of some BLOCK messages of like
+length.  Words, blocks and the dictionary are sorted and in ranges, whose bounds the driver
+knows, so a word or all that a prefix begins read only the ranges that hold them.  Beside
+each block its largest count and least length bound the scores in it: the best k are found
+without the blocks that can't hold one.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,113 +25,323 @@ from pyspark.sql import functions as F
 from parley.functions import text
 from parley.operators import match, search
 
-#: About so many messages share a part of the postings, of which there are MOST_PARTS at most.
-PART_MESSAGES, MOST_PARTS = 2_000_000, 4_096
-
-
-def _part(parts: int, *term: Column) -> Column:
-    return F.pmod(F.xxhash64(*term), F.lit(parts)).cast("int")
+#: About so many messages share a range of the postings, of which there are MOST_PARTS at most; messages in a bucket.
+PART_MESSAGES, MOST_PARTS, BLOCK = 200_000, 32_768, 128
+#: Buckets that give the first threshold of a search for the best.
+FIRST = 16
+#: After every word that a prefix begins.
+_LAST = "\U0010ffff"
+#: Columns of the tables in ranges; {id} is the type of message_id.
+_TABLES = {
+    "blocks": "word string, bucket int, n long, max_tf int, min_len int, ids array<{id}>, lens array<int>, tfs array<int>, ats array<array<int>>, part int",
+    "bounds": "word string, bucket int, n long, max_tf int, min_len int, part int",
+    "terms": "word string, df long, part int",
+    "grams": "script string, token string, message_id {id}, part int",
+}
+#: The arrays of a block and what each has of a posting.
+_ARRAYS = {"ids": "message_id", "lens": "len", "tfs": "tf", "ats": "places"}
 
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of an index in one folder, in ``parts`` parts."""
+    """An index in a folder, as of one of its manifests."""
 
     spark: SparkSession
     path: str
-    parts: int
+    version: int
+
+    @cached_property
+    def generations(self) -> list:
+        """Rows (gen, parts, n, words): messages and words that each adds, less than none if it takes some."""
+        return sorted(self.spark.read.parquet(f"{self.path}/manifest-{self.version}").collect())
+
+    @cached_property
+    def fences(self) -> list:
+        """Rows (gen, name, part, low, high): the terms of each range of each table, some MOST_PARTS a table at most."""
+        return [(g.gen, *r) for g in self.generations for r in self.spark.read.parquet(f"{self.path}/gen-{g.gen}/fences").collect()]
+
+    def table(self, name: str, wanted: list[tuple[str, str]] | None = None) -> DataFrame:
+        """A table of all generations with ``gen``; with ``wanted``, pairs of bounds of terms, only ranges that overlap one."""
+        out = None
+        for g in self.generations:
+            own = _table(self.spark, f"{self.path}/gen-{g.gen}", name)
+            if wanted is not None:
+                parts = sorted({p for gen, n, p, lo, hi in self.fences if gen == g.gen and n == name and any(lo <= b and a <= hi for a, b in wanted)})
+                own = own.where(F.col("part").isin(parts) if parts else F.lit(False))
+            own = own.withColumn("gen", F.lit(g.gen))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def live(self, postings: DataFrame) -> DataFrame:
+        """Those of ``postings`` (message_id, gen, ...) that no later generation has taken away."""
+        if len(self.generations) == 1:
+            return postings.drop("gen")
+        gone = self.table("gone").groupBy("message_id").agg(F.max("gen").alias("until"))
+        return postings.join(gone, "message_id", "left").where("until is null or gen >= until").drop("until", "gen")
 
     @property
-    def words(self) -> DataFrame:
-        """(word, message_id, positions, len, part)."""
-        return self.spark.read.parquet(f"{self.path}/words")
+    def n(self) -> int:
+        return sum(g.n for g in self.generations)
 
     @property
-    def grams(self) -> DataFrame:
-        """(script, token, message_id, part)."""
-        return self.spark.read.parquet(f"{self.path}/grams")
+    def average(self) -> float | None:
+        return sum(g.words for g in self.generations) / self.n if self.n else None
 
     @property
     def stats(self) -> DataFrame:
         """One row: n and avg_len of all indexed messages."""
-        return self.spark.read.parquet(f"{self.path}/stats")
+        return self.spark.createDataFrame([(self.n, self.average)], "n long, avg_len double")
+
+    @property
+    def words(self) -> DataFrame:
+        """(word, message_id, positions, len): all postings that hold."""
+        return self.live(_posted(self.table("blocks"), places=True)).withColumnRenamed("places", "positions").drop("tf")
+
+    @property
+    def grams(self) -> DataFrame:
+        """(script, token, message_id): all n-grams that hold."""
+        return self.live(self.table("grams").drop("part"))
+
+
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A generation's table, which may be empty."""
+    gone = spark.read.parquet(f"{path}/gone")
+    if name == "gone":
+        return gone
+    return spark.read.schema(_TABLES[name].format(id=gone.schema["message_id"].dataType.simpleString())).parquet(f"{path}/{name}")
+
+
+def _posted(blocks: DataFrame, places: bool) -> DataFrame:
+    """(word, message_id, len, tf[, places], gen) of blocks; places are read only if asked for."""
+    own = {many: one for many, one in _ARRAYS.items() if places or one != "places"}
+    zipped = F.arrays_zip(*(F.col(many).alias(one) for many, one in own.items()))
+    return blocks.select("word", "gen", F.explode(zipped).alias("p")).select("word", "gen", *(f"p.{one}" for one in own.values()))
+
+
+def _bounds(keys: list[str]) -> list[tuple[str, str]]:
+    return [(k[:-1], k[:-1] + _LAST) if k.endswith("*") else (k, k) for k in keys]
+
+
+def _is(key: str) -> Column:
+    """Whether the column ``word`` is a key's."""
+    return F.col("word").between(key[:-1], key[:-1] + _LAST) if key.endswith("*") else F.col("word") == key
+
+
+def _any(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, map(_is, keys), F.lit(False))
+
+
+# --- writing ---------------------------------------------------------------------
+
+
+def _bucketed(messages: DataFrame) -> tuple[DataFrame, int, int]:
+    """((message_id, words, len, bucket), messages, words): buckets are of some BLOCK messages of like length."""
+    split = messages.select("message_id", text.words(F.col("text")).alias("words")).withColumn("len", F.size("words"))
+    bucket, n, words = _bucket(split)
+    return split.withColumn("bucket", bucket), n, words
+
+
+def _bucket(sized: DataFrame) -> tuple[Column, int, int]:
+    """The bucket of a row of ``sized`` (message_id, len): its class of lengths, dealt to as many buckets as that has room for; and sums."""
+    size_class = F.floor(4 * F.log2(F.col("len") + 1)).cast("int")
+    # a class for each quarter of a power of two: some hundred
+    classes = sorted(sized.groupBy(size_class.alias("c")).agg(F.count("*").alias("n"), F.sum("len").alias("words")).collect())
+    first, starts, many = 0, [], []
+    for r in classes:
+        room = -(-r.n // BLOCK)
+        starts += [F.lit(r.c), F.lit(first)]
+        many += [F.lit(r.c), F.lit(room)]
+        first += room
+    if not classes:
+        return F.lit(0), 0, 0
+    start, room = (F.element_at(F.create_map(*pairs), size_class) for pairs in (starts, many))
+    return start + F.pmod(F.xxhash64("message_id"), room).cast("int"), sum(r.n for r in classes), sum(r.words for r in classes)
+
+
+def word_postings(bucketed: DataFrame) -> DataFrame:
+    """(word, bucket, message_id, len, tf, places): where each word is in each message."""
+    each = bucketed.select("message_id", "len", "bucket", F.posexplode("words").alias("at", "word")).repartition("word", "bucket")
+    found = each.groupBy("word", "bucket", "message_id").agg(F.sort_array(F.collect_list("at")).alias("places"), F.first("len").alias("len"))
+    return found.withColumn("tf", F.size("places"))
+
+
+def _blocks(postings: DataFrame) -> DataFrame:
+    """(word, bucket, n, max_tf, min_len, and arrays by posting) of ``postings``, each block in the order of ids."""
+    held = F.sort_array(F.collect_list(F.struct("message_id", "len", "tf", "places")))
+    own = postings.groupBy("word", "bucket").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), held.alias("p"))
+    return own.select("word", "bucket", "n", "max_tf", "min_len", *(F.col(f"p.{one}").alias(many) for many, one in _ARRAYS.items()))
+
 
+def _write(rows: DataFrame, path: str, parts: int, *order: str) -> None:
+    """``rows`` in sorted ranges, a folder each."""
+    ranges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranges.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(path)
 
-def _write(postings: DataFrame, path: str, parts: int, *term: str) -> None:
-    own = postings.withColumn("part", _part(parts, *map(F.col, term)))
-    # a frequent term's part is split between tasks
-    own.hint("rebalance", "part").sortWithinPartitions("part", *term, "message_id").write.mode("overwrite").partitionBy("part").parquet(path)
 
+def _written(spark: SparkSession, path: str, blocks: DataFrame, grams: DataFrame, lost: DataFrame | None, gone: DataFrame, parts: int) -> None:
+    """The tables of one generation in ``path``; ``lost`` are words (word, df) of what it takes away."""
+    gone.select("message_id").distinct().write.mode("overwrite").parquet(f"{path}/gone")
+    _write(blocks, f"{path}/blocks", parts, "word", "bucket")
+    _write(_table(spark, path, "blocks").select("word", "bucket", "n", "max_tf", "min_len"), f"{path}/bounds", parts, "word", "bucket")
+    held = _table(spark, path, "bounds").select("word", F.col("n").alias("df"))
+    terms = held if lost is None else held.unionByName(lost.select("word", (-F.col("df")).alias("df")))
+    _write(terms.groupBy("word").agg(F.sum("df").alias("df")), f"{path}/terms", parts, "word")
+    _write(grams.select("script", "token", "message_id"), f"{path}/grams", parts, "token", "script", "message_id")
+    fences = None
+    for name, term in (("blocks", "word"), ("bounds", "word"), ("terms", "word"), ("grams", "token")):
+        own = _table(spark, path, name).groupBy(F.lit(name).alias("name"), "part").agg(F.min(term).alias("low"), F.max(term).alias("high"))
+        fences = own if fences is None else fences.unionByName(own)
+    fences.coalesce(1).write.mode("overwrite").parquet(f"{path}/fences")
 
-def word_postings(messages: DataFrame) -> DataFrame:
-    """(word, message_id, positions, len): where each word is in each message, found within its row."""
-    split = messages.select("message_id", text.words(F.col("text")).alias("words"))
-    each = split.select("message_id", F.size("words").alias("len"), F.posexplode("words").alias("at", "word"))
-    return each.groupBy("word", "message_id").agg(F.sort_array(F.collect_list("at")).alias("positions"), F.first("len").alias("len"))
+
+def _parts(n: int) -> int:
+    return max(4, min(MOST_PARTS, -(-n // PART_MESSAGES)))
+
+
+def _named(spark: SparkSession, path: str, version: int, generations: list[tuple]) -> Index:
+    spark.createDataFrame(generations, "gen int, parts int, n long, words long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest-{version}")
+    return Index(spark, path, version)
 
 
 def build(messages: DataFrame, path: str) -> Index:
     """Write the index of ``messages`` (message_id, text) to ``path``."""
     spark = messages.sparkSession
-    stats = messages.select(F.size(text.words(F.col("text"))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-    n = spark.read.parquet(f"{path}/stats").first()["n"]
-    parts = max(8, min(MOST_PARTS, -(-n // PART_MESSAGES)))
-    _write(word_postings(messages), f"{path}/words", parts, "word")
-    _write(search.fuzzy_grams(messages), f"{path}/grams", parts, "script", "token")
-    return Index(spark, path, parts)
-
-
-def added(index: Index, messages: DataFrame) -> None:
-    """Append the postings of further ``messages``, none of which is indexed yet, and count them in."""
-    own = messages.select(F.size(text.words(F.col("text"))).alias("len")).agg(F.count("*").alias("n"), F.sum("len").alias("words")).first()
-    was = index.stats.first()
-    n = was["n"] + own["n"]
-    words = (was["avg_len"] or 0.0) * was["n"] + (own["words"] or 0)
-    for name, postings, term in (("words", word_postings(messages), ("word",)), ("grams", search.fuzzy_grams(messages), ("script", "token"))):
-        made = postings.withColumn("part", _part(index.parts, *map(F.col, term)))
-        made.hint("rebalance", "part").sortWithinPartitions("part", *term, "message_id").write.mode("append").partitionBy("part").parquet(f"{index.path}/{name}")
-    index.spark.createDataFrame([(n, words / n if n else None)], "n long, avg_len double").write.mode("overwrite").parquet(f"{index.path}/stats")
-
-
-def _found(index: Index, words: list[str]) -> DataFrame:
-    """The postings of ``words``; a word that ends with a star stands for all that it begins."""
-    whole = [w for w in words if not w.endswith("*")]
-    wanted = F.lit(False)
-    if whole:
-        parts = [r["part"] for r in index.spark.range(1).select(F.explode(F.array(*(_part(index.parts, F.lit(w)) for w in whole))).alias("part")).collect()]
-        wanted = F.col("part").isin(parts) & F.col("word").isin(whole)
-    for w in words:
-        if w.endswith("*"):
-            wanted = wanted | F.col("word").startswith(w[:-1])
-    return index.words.where(wanted)
+    own, n, words = _bucketed(messages)
+    _written(spark, f"{path}/gen-0", _blocks(word_postings(own)), search.fuzzy_grams(messages), None, messages.where(F.lit(False)), _parts(n))
+    return _named(spark, path, 0, [(0, _parts(n), n, words)])
+
+
+def changed(index: Index, before: DataFrame, after: DataFrame) -> Index:
+    """The index after the rows (message_id, text) ``before`` a change became those ``after`` it.
+
+    An addition is a row of ``after`` alone, a deletion one of ``before`` alone, an edit one of both; ``before`` has the
+    texts that are indexed.  Work and what is written grow with the change alone.
+    """
+    spark, gen = index.spark, index.generations[-1].gen + 1
+    old = before.select("message_id", text.words(F.col("text")).alias("words")).withColumn("len", F.size("words"))
+    own, n, words = _bucketed(after)
+    less = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first()
+    lost = old.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    _written(spark, f"{index.path}/gen-{gen}", _blocks(word_postings(own)), search.fuzzy_grams(after), lost, before, _parts(n))
+    held = [tuple(g) for g in index.generations]
+    return _named(spark, index.path, index.version + 1, [*held, (gen, _parts(n), n - less.n, words - less.words)])
+
+
+def added(index: Index, messages: DataFrame) -> Index:
+    """The index with further ``messages``, none of which is indexed yet."""
+    return changed(index, messages.where(F.lit(False)), messages)
+
+
+def compacted(index: Index) -> Index:
+    """The index with all generations made one, by its postings alone; the older folders may go once nobody reads them."""
+    spark, gen = index.spark, index.generations[-1].gen + 1
+    held = index.live(_posted(index.table("blocks"), places=True))
+    sized = held.groupBy("message_id").agg(F.first("len").alias("len"))
+    # buckets by what is left: messages without words have no posting and need none
+    own = held.withColumn("bucket", _bucket(sized)[0])
+    _written(spark, f"{index.path}/gen-{gen}", _blocks(own), index.grams, None, held.where(F.lit(False)), _parts(index.n))
+    words = sum(g.words for g in index.generations)
+    return _named(spark, index.path, index.version + 1, [(gen, _parts(index.n), index.n, words)])
+
+
+# --- reading ---------------------------------------------------------------------
+
+
+def terms(index: Index, keys: list[str]) -> DataFrame:
+    """(word, df): the dictionary's words that are one of ``keys``, or that one with a star begins, and how many messages have each."""
+    own = index.table("terms", wanted=_bounds(keys)).where(_any(keys))
+    return own.groupBy("word").agg(F.sum("df").alias("df")).where("df > 0")
 
 
-def full_text(index: Index, query: str) -> DataFrame:
+def _postings(index: Index, keys: list[str], places: bool, buckets: DataFrame | None = None) -> DataFrame:
+    """(word, message_id, len, tf[, places]) of the words of ``keys``; of ``buckets`` (gen, bucket) alone, if given."""
+    blocks = index.table("blocks", wanted=_bounds(keys)).where(_any(keys))
+    if buckets is not None:
+        blocks = blocks.join(buckets, ["gen", "bucket"], "left_semi")
+    return index.live(_posted(blocks, places))
+
+
+def _idf(n: int, df: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _saturated(tf: Column, length: Column, average: float) -> Column:
+    return tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * length / average))
+
+
+def full_text(index: Index, query: str, buckets: DataFrame | None = None) -> DataFrame:
     """(message_id, bm25) as :func:`parley.operators.search.full_text` gives it, by the postings of the query's words.
 
-    What a message has of these words is put back to its places among blanks, and the
-    match expression is tested on that.
+    What matches is decided on which words a message has, and on their places for phrases
+    and NEAR; no text is put together.
+    """
+    wanted, words = match.positive_words(query), match.all_words(query)
+    if not wanted or not index.n:
+        return index.table("gone").where(F.lit(False)).select("message_id", F.lit(0.0).alias("bm25"))
+    places = match.needs_places(query)
+    # NEAR looks for the first word of a prefix itself too
+    keys = list(dict.fromkeys([*words, *(w.rstrip("*") for w in words if places)]))
+    every = [F.sum(F.when(_is(k), F.col("tf")).otherwise(0)).alias(f"tf{j}") for j, k in enumerate(keys)]
+    if places:
+        every += [F.flatten(F.collect_list(F.when(_is(k), F.col("places")))).alias(f"at{j}") for j, k in enumerate(keys)]
+    held = _postings(index, words, places, buckets).groupBy("message_id").agg(F.first("len").alias("len"), *every)
+    at = {k: j for j, k in enumerate(keys)}
+    matched = held.where(match.by_places(query, lambda k: F.col(f"tf{at[k]}") > 0, lambda k: F.col(f"at{at[k]}")))
+    known = {r["word"]: r["df"] for r in terms(index, [w for w in wanted if not w.endswith("*")]).collect()} if any(not w.endswith("*") for w in wanted) else {}
+    score, prefixes = F.lit(0.0), [w for w in wanted if w.endswith("*")]
+    for w in wanted:
+        if w.endswith("*"):
+            idf = F.log(1 + (F.lit(index.n) - F.col(f"df{at[w]}") + 0.5) / (F.col(f"df{at[w]}") + 0.5))
+        else:
+            idf = F.lit(_idf(index.n, known.get(w, 0)))
+        score = score + idf * _saturated(F.col(f"tf{at[w]}"), F.col("len"), index.average)
+    if prefixes:
+        counts = held.agg(*(F.count(F.when(F.col(f"tf{at[w]}") > 0, 1)).alias(f"df{at[w]}") for w in prefixes))
+        matched = matched.crossJoin(F.broadcast(counts))  # one row
+    return matched.select("message_id", score.alias("bm25"))
+
+
+#: Scores closer than this count as equal where blocks are left out.
+SLACK = 1e-6
+
+
+def bucket_bounds(index: Index, query: str) -> DataFrame:
+    """(gen, bucket, bound, postings): buckets that may hold a match of a query without prefixes, and a score that none in it exceeds."""
+    wanted = match.positive_words(query)
+    known = {r["word"]: r["df"] for r in terms(index, wanted).collect()}
+    own = index.table("bounds", wanted=_bounds(wanted)).where(_any(wanted))
+    idf = reduce(lambda c, w: F.when(F.col("word") == w, _idf(index.n, known.get(w, 0))).otherwise(c), wanted, F.lit(0.0))
+    best = idf * _saturated(F.col("max_tf"), F.col("min_len"), index.average)
+    found = own.groupBy("gen", "bucket").agg(F.sum(best).alias("bound"), F.sum("n").alias("postings"), F.collect_set("word").alias("words"))
+    needed = [w for w in match.needed(query) if w in wanted]
+    return found.where(reduce(lambda a, b: a & b, (F.array_contains("words", w) for w in needed), F.lit(True))).drop("words")
+
+
+def best(index: Index, query: str, k: int) -> DataFrame:
+    """(message_id, bm25) of all messages that may be among the ``k`` best, and few others: blocks that can't hold one aren't read.
+
+    The buckets of the highest bounds give a threshold, their k-th score; then buckets
+    whose bound reaches it are read.  A query with a prefix, whose weight only all its
+    postings tell, is scored whole.
     """
     wanted = match.positive_words(query)
-    if not wanted:
-        return index.words.where(F.lit(False)).select("message_id", F.lit(0.0).alias("bm25"))
-    places = F.map_from_entries(F.flatten(F.collect_list(F.transform("positions", lambda at: F.struct(at, F.col("word"))))))
-    held = _found(index, match.all_words(query)).groupBy("message_id").agg(F.first("len").alias("len"), places.alias("places"))
-    filled = F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda i: F.coalesce(F.element_at("places", i), F.lit("")))
-    return search.scored_text(held.select("message_id", filled.alias("words"), "len"), query, index.stats)
+    if not wanted or not index.n or any(w.endswith("*") for w in wanted):
+        return full_text(index, query)
+    bounds = bucket_bounds(index, query)
+    first = bounds.orderBy(F.desc("bound"), "gen", "bucket").limit(FIRST)
+    scores = full_text(index, query, first).orderBy(F.desc("bm25")).limit(k).collect()  # k numbers
+    least = scores[-1]["bm25"] - SLACK if len(scores) == k else 0.0
+    return full_text(index, query, bounds.where(F.col("bound") >= least))
 
 
 def fuzzy(index: Index, query: str) -> DataFrame:
     """(message_id, fuzzy) as :func:`parley.operators.search.fuzzy` gives it, by the postings of the query's n-grams."""
     asked = text.query_grams(query)
-    pairs = [(script, token) for script, own in asked.items() for token in own]
-    if not pairs:
-        return index.grams.where(F.lit(False)).select("message_id", F.lit(0.0).alias("fuzzy"))
-    rows = index.spark.createDataFrame(pairs, "script string, token string").select(_part(index.parts, F.col("script"), F.col("token")).alias("part"))
-    parts = sorted({r["part"] for r in rows.collect()})  # a query's own n-grams
-    own = index.grams.where(F.col("part").isin(parts) & F.col("token").isin([t for _, t in pairs]))
-    return search.fuzzy_of(own, asked)
+    tokens = sorted({token for own in asked.values() for token in own})
+    if not tokens:
+        return index.table("gone").where(F.lit(False)).select("message_id", F.lit(0.0).alias("fuzzy"))
+    own = index.table("grams", wanted=[(t, t) for t in tokens]).where(F.col("token").isin(tokens))
+    return search.fuzzy_of(index.live(own), asked)
 
 
 def lexical(index: Index, messages: DataFrame, query: str) -> DataFrame:

@@ -9,7 +9,9 @@ then OR.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,8 +87,8 @@ def _near(words: Column, a: Term, b: Term) -> Column:
     return (F.size(words) > 0) & _term(words, a) & _term(words, b) & close
 
 
-def predicate(words: Column, query: str) -> Column:
-    """Whether the array ``words`` matches; a query without words matches nothing."""
+def combined(query: str, term: Callable[[Term], Column], near: Callable[[Term, Term], Column]) -> Column:
+    """The match expression of ``query`` over what ``term`` and ``near`` say of its terms; a query without words matches nothing."""
     items = tokenize(query)
     if not items:
         return F.lit(False)
@@ -98,17 +100,51 @@ def predicate(words: Column, query: str) -> Column:
             either.append([])
         elif item == "NOT":
             k += 1
-            either[-1].append(~_term(words, items[k]))
+            either[-1].append(~term(items[k]))
         elif item == "NEAR":
             k += 1
-            either[-1][-1] = _near(words, items[k - 2], items[k])
+            either[-1][-1] = near(items[k - 2], items[k])
         elif isinstance(item, Term):
-            either[-1].append(_term(words, item))
+            either[-1].append(term(item))
         k += 1
-    out = None
-    for group in either:
-        every = group[0]
-        for one in group[1:]:
-            every = every & one
-        out = every if out is None else out | every
-    return out
+    return reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, group) for group in either))
+
+
+def predicate(words: Column, query: str) -> Column:
+    """Whether the array ``words`` matches."""
+    return combined(query, lambda t: _term(words, t), lambda a, b: _near(words, a, b))
+
+
+def keys(term: Term) -> list[str]:
+    """The words of a term, the last one with a star if it stands for all that it begins."""
+    return [w + "*" * (term.prefix and k == len(term.words) - 1) for k, w in enumerate(term.words)]
+
+
+def needs_places(query: str) -> bool:
+    """Whether it matters where a message's words are: for phrases and NEAR."""
+    items = tokenize(query)
+    return "NEAR" in items or any(isinstance(t, Term) and len(t.words) > 1 for t in items)
+
+
+def by_places(query: str, has: Callable[[str], Column], places: Callable[[str], Column]) -> Column:
+    """The match expression over postings: whether a message has a key's words, and at which places (sorted or not, never null)."""
+
+    def term(t: Term) -> Column:
+        first, *rest = keys(t)
+        if not rest:
+            return has(first)
+        return F.exists(places(first), lambda at: reduce(lambda a, b: a & b, (F.array_contains(places(w), at + k) for k, w in enumerate(rest, 1))))
+
+    def near(a: Term, b: Term) -> Column:
+        close = F.exists(places(a.words[0]), lambda i: F.exists(places(b.words[0]), lambda j: F.abs(i - j) <= NEAR_DISTANCE + 1))
+        return term(a) & term(b) & close
+
+    return combined(query, term, near)
+
+
+def needed(query: str) -> list[str]:
+    """Keys that every match has; none if terms are alternatives."""
+    items = tokenize(query)
+    if "OR" in items:
+        return []
+    return list(dict.fromkeys(k for n, t in enumerate(items) if isinstance(t, Term) and (n == 0 or items[n - 1] != "NOT") for k in keys(t)))

@@ -86,9 +86,9 @@ def headroom(total: Column, budget: int) -> Column:
 
 
 def candidates(assets: DataFrame, now_ms: int, least_age_ms: int) -> DataFrame:
-    """Verified, unpinned assets with local bytes that are old enough, with their content kind."""
+    """Verified, unpinned assets whose original is local and that are old enough, with their content kind; half-loaded ones don't go."""
     old = F.lit(now_ms) - F.col("created_at_ms") >= least_age_ms
-    kept = assets.where(~F.col("pinned") & (F.col("archive_state") == "archive_verified") & (F.col("bytes_local") > 0) & old)
+    kept = assets.where(~F.col("pinned") & (F.col("archive_state") == "archive_verified") & (F.col("media_state") == "original_local") & (F.col("bytes_local") > 0) & old)
     return kept.withColumn("kind", content_kind(F.col("mime_type")))
 
 
@@ -151,10 +151,10 @@ def tiered(found: DataFrame, target: int, level: str = "extreme") -> DataFrame:
 
 
 def evicted(assets: DataFrame, plan: DataFrame) -> DataFrame:
-    """Assets after a plan ran: its own have state evicted and no local bytes."""
-    hit = assets.join(plan.select("asset_id", F.lit(True).alias("hit")), "asset_id", "left")
+    """Assets after a plan ran: its own have state evicted and no local bytes, the others stay as they are."""
+    hit = assets.join(plan.select("asset_id", F.lit(True).alias("hit")).distinct(), "asset_id", "left")
     gone = F.coalesce(F.col("hit"), F.lit(False))
-    return hit.withColumn("media_state", F.when(gone, "evicted").otherwise("original_local")).withColumn("bytes_local", F.when(gone, 0).otherwise(F.col("bytes_local"))).drop("hit")
+    return hit.withColumn("media_state", F.when(gone, "evicted").otherwise(F.col("media_state"))).withColumn("bytes_local", F.when(gone, 0).otherwise(F.col("bytes_local"))).drop("hit")
 
 
 def least_recent(entries: DataFrame, budget: int) -> DataFrame:

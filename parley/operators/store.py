@@ -50,8 +50,8 @@ TRANSITIONS = {
         ("media_lazy_restore_enabled", "full_restore_complete"),
     ],
 }
-#: Why a body is hydrated, most urgent first.
-REASONS = ("visible", "search", "neighbour", "prefetch")
+#: Why a body is hydrated, most urgent first.
+REASONS = ("search_result_tap", "media_full_screen", "visible_viewport", "adjacent_prefetch", "background_restore", "opportunistic_fill")
 
 
 def timeline(messages: DataFrame, conversation: object, before_ms: int | None, limit: int, after_id: object = None) -> DataFrame:
@@ -182,11 +182,24 @@ def heads(conversations: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def rehydrated(bodies: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Bodies with fetched ones (message_id, text) in their place or added, local."""
-    new = fetched.select("message_id", F.col("text").alias("new_text"))
-    merged = bodies.join(new, "message_id", "full")
-    state = F.when(F.col("new_text").isNotNull(), "local_plain_available").otherwise(F.col("body_state"))
-    return merged.select("message_id", F.coalesce("new_text", "text").alias("text"), state.alias("body_state"))
+    """Bodies with fetched ones (message_id, text) in their place, local.
+
+    Only bodies that may become local do: one that was deleted doesn't come back, and one
+    that is local stays.  Ids that aren't stored add nothing; :func:`unknown` tells them.
+    Of several texts for an id the greatest counts.
+    """
+    one = fetched.where("text is not null").groupBy("message_id").agg(F.max("text").alias("new_text"))
+    may = [a for a, b in TRANSITIONS["body"] if b == "local_plain_available" and a != "local_encrypted_available"]
+    joined = bodies.join(one, "message_id", "left")
+    came = F.col("new_text").isNotNull() & F.col("body_state").isin(may)
+    return joined.select(
+        "message_id", F.when(came, F.col("new_text")).otherwise(F.col("text")).alias("text"), F.when(came, "local_plain_available").otherwise(F.col("body_state")).alias("body_state")
+    )
+
+
+def unknown(rows: DataFrame, asked: DataFrame, key: str = "message_id") -> DataFrame:
+    """The different keys of ``asked`` that ``rows`` doesn't have."""
+    return asked.select(key).distinct().join(rows.select(key), key, "left_anti")
 
 
 def transitions(spark: SparkSession) -> DataFrame:
@@ -210,7 +223,7 @@ def hydration_queue(requests: DataFrame) -> DataFrame:
     return first.orderBy("urgency", "requested_at_ms", "message_id")
 
 
-def cold_requests(results: DataFrame, now_ms: int, reason: str = "search") -> DataFrame:
+def cold_requests(results: DataFrame, now_ms: int, reason: str = REASONS[0]) -> DataFrame:
     """A hydration request for each of the search ``results`` that is cold."""
     cold = results.where("is_cold")
     return cold.select("message_id", "conversation_id", F.lit(reason).alias("reason"), F.lit(now_ms).cast("long").alias("requested_at_ms"))
@@ -237,17 +250,36 @@ def touched(entries: DataFrame, uses: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max_by("size", "last_used").alias("size"), F.max("last_used").alias("last_used"))
 
 
-def deleted(messages: DataFrame, deletions: DataFrame) -> DataFrame:
-    """Messages after ``deletions`` (message_id, for_everyone): their body is deleted, and for everyone its text goes too.
+def _deletions(messages: DataFrame, deletions: DataFrame) -> DataFrame:
+    """``messages`` with ``to_state``, what ``deletions`` ask for, and whether that is ``bad``."""
+    everywhere = F.bool_or(F.coalesce("for_everyone", F.lit(False)))
+    state = F.when(everywhere, "deleted_for_everyone").otherwise("deleted_for_me")
+    return _asked(messages, deletions.groupBy("message_id").agg(state.alias("to_state")), "message_id", "body_state", "body")
+
 
-    Of several deletions of a message the stronger one holds; a null counts as one's own.
+def deleted(messages: DataFrame, deletions: DataFrame, now_ms: int) -> DataFrame:
+    """Messages after ``deletions`` (message_id, for_everyone), with ``refused``: whether one was asked for that the body's life cycle forbids.
+
+    A deletion for oneself keeps the body, one for everyone drops it; both stamp
+    deleted_at_ms.  Of several deletions of a message in a batch the stronger one holds; a
+    null counts as one's own.
     """
-    strongest = deletions.groupBy("message_id").agg(F.bool_or(F.coalesce("for_everyone", F.lit(False))).alias("everywhere"))
-    joined = messages.join(strongest, "message_id", "left")
-    return (
-        joined.withColumn("text", F.when(F.coalesce("everywhere", F.lit(False)), F.lit(None)).otherwise(F.col("text")))
-        .withColumn("body_state", F.when(F.col("everywhere").isNotNull(), "deleted").otherwise(F.col("body_state")))
-        .drop("everywhere")
+    joined = _deletions(messages, deletions)
+    done = F.col("to_state").isNotNull() & ~F.col("bad")
+    changes = {
+        "text": F.when(done & (F.col("to_state") == "deleted_for_everyone"), F.lit(None)).otherwise(F.col("text")),
+        "deleted_at_ms": F.when(done, F.lit(now_ms).cast("long")).otherwise(F.col("deleted_at_ms")),
+        "body_state": F.when(done, F.col("to_state")).otherwise(F.col("body_state")),
+    }
+    return joined.withColumns(changes).select(*messages.columns, F.col("bad").alias("refused"))
+
+
+def deletion_events(messages: DataFrame, deletions: DataFrame, now_ms: int) -> DataFrame:
+    """The journal's events of those ``deletions`` that :func:`deleted` makes, with their scope."""
+    done = _deletions(messages, deletions).where("to_state is not null and not bad")
+    scope = F.when(F.col("to_state") == "deleted_for_everyone", "for_everyone").otherwise("for_me")
+    return done.select(
+        F.lit("message_deleted").alias("event_type"), "conversation_id", "message_id", F.lit(now_ms).cast("long").alias("created_at_ms"), scope.alias("scope")
     )
 
 
@@ -270,11 +302,11 @@ def judged(changes: DataFrame) -> DataFrame:
 
 
 def _asked(rows: DataFrame, changes: DataFrame, key: str, state: str, machine: str) -> DataFrame:
-    """``rows`` with ``to_state``, if asked for, and ``bad``, whether the life cycle forbids it."""
-    asked = changes.select(key, "to_state").distinct()
+    """``rows`` with ``to_state``, if asked for, and ``bad``, whether the life cycle forbids it or a batch asks for several states of one row."""
+    asked = changes.groupBy(key).agg(F.min("to_state").alias("to_state"), (F.min("to_state") != F.max("to_state")).alias("several"))
     legal = transitions(rows.sparkSession).where(F.col("machine") == machine).select(F.col("from_state").alias(state), "to_state", F.lit(True).alias("legal"))
     joined = rows.join(asked, key, "left").join(F.broadcast(legal), [state, "to_state"], "left")
-    return joined.withColumn("bad", F.col("to_state").isNotNull() & F.col("legal").isNull())
+    return joined.withColumn("bad", F.col("to_state").isNotNull() & (F.col("legal").isNull() | F.col("several"))).drop("legal", "several")
 
 
 def moved(rows: DataFrame, changes: DataFrame, key: str, state: str, machine: str) -> DataFrame:
@@ -324,7 +356,7 @@ def rehydrated_media(assets: DataFrame, fetched: DataFrame) -> DataFrame:
     came = F.col("new_path").isNotNull() & F.col("media_state").isin(*FETCHABLE, "download_in_progress")
     return (
         joined.withColumn("bytes_local", F.when(came, F.col("bytes_total")).otherwise(F.col("bytes_local")))
-        .withColumn("local_path", F.when(came, F.col("new_path")))
+        .withColumn("local_path", F.when(came, F.col("new_path")).otherwise(F.col("local_path")))
         .withColumn("media_state", F.when(came, "original_local").otherwise(F.col("media_state")))
         .drop("new_path")
     )
@@ -339,4 +371,4 @@ def prefetch_window(messages: DataFrame, conversation: object, visible: list, si
     older = placed.where(place < F.col("low")).orderBy(F.desc("created_at_ms"), F.desc("message_id")).limit(size)
     newer = placed.where(place > F.col("high")).orderBy("created_at_ms", "message_id").limit(size)
     near = older.unionByName(newer).where("body_state = 'remote_archive_only'")
-    return near.select("message_id", F.lit("prefetch").alias("reason"), F.lit(now_ms).cast("long").alias("requested_at_ms"))
+    return near.select("message_id", F.lit("adjacent_prefetch").alias("reason"), F.lit(now_ms).cast("long").alias("requested_at_ms"))

@@ -46,7 +46,7 @@ def pressure_level(spark: SparkSession, d: str) -> DataFrame:
     return leveled.select("level", offload.eviction_target(total, F.col("level"), _BUDGET).alias("target_bytes"), offload.headroom(total, _BUDGET).alias("headroom"))
 
 
-_CANDIDATE = f"cand AS (SELECT * FROM asset WHERE NOT pinned AND archive_state = 'archive_verified' AND bytes_local > 0 AND {_NOW} - created_at_ms >= {_AGE})"
+_CANDIDATE = f"cand AS (SELECT * FROM asset WHERE NOT pinned AND archive_state = 'archive_verified' AND media_state = 'original_local' AND bytes_local > 0 AND {_NOW} - created_at_ms >= {_AGE})"
 _SCORE = f"""scored AS (
   SELECT *, CASE kind WHEN 'video' THEN 1.0 WHEN 'document' THEN 0.9 WHEN 'image' THEN 0.7 WHEN 'audio' THEN 0.5 ELSE 0.1 END
     + 0.5 * (1 - pow(0.5, greatest({_NOW} - created_at_ms, 0) / 2592000000.0)) + 0.1 * bytes_local / 16777216.0 AS score FROM cand)"""
@@ -97,7 +97,7 @@ def eviction_tiered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {ASSET}, {_CANDIDATE}, {_SCORE}, {_pool('a', "kind IN ('video', 'document', 'image', 'audio')", str(_TARGET))}
-SELECT CASE WHEN asset_id IN (SELECT asset_id FROM a) THEN 'evicted' ELSE 'original_local' END AS media_state, count(*) AS n,
+SELECT CASE WHEN asset_id IN (SELECT asset_id FROM a) THEN 'evicted' ELSE media_state END AS media_state, count(*) AS n,
        CAST(sum(CASE WHEN asset_id IN (SELECT asset_id FROM a) THEN 0 ELSE bytes_local END) AS BIGINT) AS bytes_local FROM asset GROUP BY 1"""
 )
 def eviction_applied(spark: SparkSession, d: str) -> DataFrame:

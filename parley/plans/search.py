@@ -159,7 +159,8 @@ _BOTH = bm25("b", "docs", ["the", "for"], "list_contains(w, 'the') AND list_cont
 
 @query(f"WITH {_DOCS}, {_BOTH} SELECT message_id, round(bm25, 6) AS bm25 FROM b ORDER BY round(bm25, 6) DESC, message_id LIMIT 20")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return index.full_text(stored_index(spark, d, "documents"), "the for").select("message_id", six("bm25")).orderBy(F.desc("bm25"), "message_id").limit(20)
+    """By the stored index, without the blocks that can't hold one of the best."""
+    return index.best(stored_index(spark, d, "documents"), "the for", 20).select("message_id", six("bm25")).orderBy(F.desc("bm25"), "message_id").limit(20)
 
 
 def _lexical(source: str) -> str:

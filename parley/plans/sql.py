@@ -29,6 +29,7 @@ ASSET = """asset AS (
          CASE l_linenumber % 5 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'audio/ogg' WHEN 3 THEN 'application/pdf' ELSE 'image/png' END AS mime_type,
          CASE l_linenumber % 5 WHEN 0 THEN 'video' WHEN 2 THEN 'audio' WHEN 3 THEN 'document' ELSE 'image' END AS kind,
          CAST(l_quantity * 1048576 AS BIGINT) AS bytes_local,
+         CASE l_orderkey % 8 WHEN 0 THEN 'download_in_progress' WHEN 1 THEN 'thumbnail_only' ELSE 'original_local' END AS media_state,
          CASE l_returnflag WHEN 'A' THEN 'primary_backend' WHEN 'N' THEN 'cloud' ELSE '' END AS storage_sink,
          date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) * 86400000 AS created_at_ms,
          CASE WHEN o_orderstatus = 'F' THEN 'archive_verified' ELSE 'archive_pending' END AS archive_state,

@@ -99,29 +99,34 @@ def late_head_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MSG} SELECT message_id, CASE WHEN body_state = 'remote_archive_only' AND conversation_id % 2 = 0 THEN 'fetched' ELSE text END AS text,
-CASE WHEN conversation_id % 2 = 0 THEN 'local_plain_available' ELSE body_state END AS body_state FROM msg"""
+    f"""WITH {MSG} SELECT message_id, CASE WHEN came THEN 'fetched' ELSE text END AS text, CASE WHEN came THEN 'local_plain_available' ELSE body_state END AS body_state FROM (
+  SELECT *, conversation_id % 2 = 0 AND body_state IN ('remote_archive_only', 'delivery_store_only') AS came FROM (
+    SELECT message_id, conversation_id, text, CASE WHEN message_id % 7 = 0 THEN 'deleted_for_everyone' WHEN message_id % 5 = 0 THEN 'unavailable' ELSE body_state END AS body_state FROM msg))"""
 )
 def rehydrate(spark: SparkSession, d: str) -> DataFrame:
-    messages = tables.messages(spark, d)
-    fetched = messages.where("body_state = 'remote_archive_only' and conversation_id % 2 = 0").select("message_id", F.lit("fetched").alias("text"))
+    """Bodies fetched for half of all conversations, and for ids that aren't there: deleted, unavailable and local ones stay."""
+    m = F.col("message_id")
+    state = F.when(m % 7 == 0, "deleted_for_everyone").when(m % 5 == 0, "unavailable").otherwise(F.col("body_state"))
+    messages = tables.messages(spark, d).withColumn("body_state", state)
+    known = messages.where("conversation_id % 2 = 0").select("message_id", F.lit("fetched").alias("text"))
+    fetched = known.unionByName(known.withColumn("message_id", -1 - m)).unionByName(known)
     return store.rehydrated(messages.select("message_id", "text", "body_state"), fetched)
 
 
 _REQUESTS = """req AS (
-  SELECT message_id, CASE message_id % 4 WHEN 0 THEN 'prefetch' WHEN 1 THEN 'visible' WHEN 2 THEN 'search' ELSE 'neighbour' END AS reason, created_at_ms AS asked_at FROM msg
-  UNION ALL SELECT message_id, 'search', created_at_ms + 5 FROM msg WHERE message_id % 3 = 0),
-urgent AS (SELECT *, CASE reason WHEN 'visible' THEN 0 WHEN 'search' THEN 1 WHEN 'neighbour' THEN 2 ELSE 3 END AS urgency FROM req),
+  SELECT message_id, CASE message_id % 5 WHEN 0 THEN 'opportunistic_fill' WHEN 1 THEN 'visible_viewport' WHEN 2 THEN 'media_full_screen' WHEN 3 THEN 'background_restore' ELSE 'adjacent_prefetch' END AS reason, created_at_ms AS asked_at FROM msg
+  UNION ALL SELECT message_id, 'search_result_tap', created_at_ms + 5 FROM msg WHERE message_id % 3 = 0),
+urgent AS (SELECT *, CASE reason WHEN 'search_result_tap' THEN 0 WHEN 'media_full_screen' THEN 1 WHEN 'visible_viewport' THEN 2 WHEN 'adjacent_prefetch' THEN 3 WHEN 'background_restore' THEN 4 ELSE 5 END AS urgency FROM req),
 best AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY urgency, asked_at) AS nth FROM urgent)"""
 
 
 @query(f"WITH {MSG}, {_REQUESTS} SELECT message_id, reason, asked_at AS requested_at_ms FROM best WHERE nth = 1")
 def hydration_queue(spark: SparkSession, d: str) -> DataFrame:
     m = tables.messages(spark, d)
-    rest = F.col("message_id") % 4
-    reason = F.when(rest == 0, "prefetch").when(rest == 1, "visible").when(rest == 2, "search").otherwise("neighbour")
+    named = ("opportunistic_fill", "visible_viewport", "media_full_screen", "background_restore", "adjacent_prefetch")
+    reason = F.element_at(F.array(*map(F.lit, named)), (F.col("message_id") % 5 + 1).cast("int"))
     first = m.select("message_id", reason.alias("reason"), F.col("created_at_ms").alias("requested_at_ms"))
-    second = m.where("message_id % 3 = 0").select("message_id", F.lit("search").alias("reason"), (F.col("created_at_ms") + 5).alias("requested_at_ms"))
+    second = m.where("message_id % 3 = 0").select("message_id", F.lit("search_result_tap").alias("reason"), (F.col("created_at_ms") + 5).alias("requested_at_ms"))
     return store.hydration_queue(first.unionByName(second)).select("message_id", "reason", "requested_at_ms")
 
 

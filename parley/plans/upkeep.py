@@ -31,15 +31,27 @@ def rejected_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MSG} SELECT message_id, CASE WHEN message_id % 4 = 0 THEN NULL ELSE text END AS text,
-CASE WHEN message_id % 2 = 0 THEN 'deleted' ELSE body_state END AS body_state FROM msg"""
+    f"""WITH {MSG}, m AS (SELECT message_id, text, body_state, message_id % 2 = 0 AND body_state = 'local_plain_available' AS done, message_id % 2 = 0 AS asked FROM msg)
+SELECT message_id, CASE WHEN done AND message_id % 4 = 0 THEN NULL ELSE text END AS text,
+CASE WHEN done AND message_id % 4 = 0 THEN 'deleted_for_everyone' WHEN done THEN 'deleted_for_me' ELSE body_state END AS body_state,
+CASE WHEN done THEN {_NOW} WHEN (message_id % 1000) % 6 = 5 THEN 1704067200000 + (message_id // 1000) * 86400000 END AS deleted_at_ms, asked AND NOT done AS refused FROM m"""
 )
 def deleted_bodies(spark: SparkSession, d: str) -> DataFrame:
-    """Every second message deleted for oneself, every fourth for everyone too."""
+    """Every second message deleted for oneself, every fourth for everyone too; what isn't local can't be."""
     messages = tables.messages(spark, d)
     own = messages.where("message_id % 2 = 0").select("message_id", F.lit(False).alias("for_everyone"))
     everyone = messages.where("message_id % 4 = 0").select("message_id", F.lit(True).alias("for_everyone"))
-    return store.deleted(messages, own.unionByName(everyone)).select("message_id", "text", "body_state")
+    return store.deleted(messages, own.unionByName(everyone), _NOW).select("message_id", "text", "body_state", "deleted_at_ms", "refused")
+
+
+@query(
+    f"""WITH {MSG} SELECT 'message_deleted' AS event_type, conversation_id, message_id, {_NOW} AS created_at_ms,
+CASE WHEN message_id % 4 = 0 THEN 'for_everyone' ELSE 'for_me' END AS scope FROM msg WHERE message_id % 2 = 0 AND body_state = 'local_plain_available'"""
+)
+def deletion_events(spark: SparkSession, d: str) -> DataFrame:
+    messages = tables.messages(spark, d)
+    asked = messages.where("message_id % 2 = 0").select("message_id", (F.col("message_id") % 4 == 0).alias("for_everyone"))
+    return store.deletion_events(messages, asked, _NOW)
 
 
 @query("SELECT vec_id AS message_id, 'v' || (label % 2) AS model_version FROM embeddings WHERE vec_id % 5 <> 0")
@@ -99,7 +111,7 @@ def migrated_sinks(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {MSG}, own AS (SELECT * FROM msg WHERE conversation_id = 6),
 older AS (SELECT * FROM own WHERE message_id < 6001 ORDER BY message_id DESC LIMIT 3), newer AS (SELECT * FROM own WHERE message_id > 6001 ORDER BY message_id LIMIT 3)
-SELECT message_id, 'prefetch' AS reason, {_NOW} AS requested_at_ms FROM (SELECT * FROM older UNION ALL SELECT * FROM newer) WHERE body_state = 'remote_archive_only'"""
+SELECT message_id, 'adjacent_prefetch' AS reason, {_NOW} AS requested_at_ms FROM (SELECT * FROM older UNION ALL SELECT * FROM newer) WHERE body_state = 'remote_archive_only'"""
 )
 def prefetch_requests(spark: SparkSession, d: str) -> DataFrame:
     return store.prefetch_window(tables.messages(spark, d), 6, [6001], 3, _NOW)

@@ -219,11 +219,12 @@ def _media(spark: SparkSession, d: str) -> DataFrame:
     """Assets in all states; of every fifth message they have no root."""
     own = tables.assets(spark, d)
     root = F.when(F.col("message_id") % 5 != 4, F.unhex(F.sha2("asset_id", 256)))
-    return own.select("*", F.expr(_STATES).alias("media_state"), root.alias("merkle_root"), F.col("bytes_local").alias("bytes_total"), F.lit(None).cast("string").alias("local_path"))
+    path = F.when(F.col("message_id") % 3 == 0, F.concat(F.lit("had/"), F.col("asset_id")))
+    return own.withColumns({"media_state": F.expr(_STATES), "merkle_root": root, "bytes_total": F.col("bytes_local"), "local_path": path})
 
 
 @query(
-    f"""WITH {ASSET}, s AS (SELECT *, {_STATES} AS media_state FROM asset)
+    f"""WITH {ASSET}, s AS (SELECT * EXCLUDE (media_state), {_STATES} AS media_state FROM asset)
 SELECT asset_id, media_state AS from_state, CAST(greatest(1, ceil(bytes_local / 16777216.0)) AS BIGINT) AS chunks,
 CASE WHEN media_state = 'original_local' THEN 'already local' WHEN media_state = 'deleted' THEN 'not fetchable' WHEN message_id % 5 = 4 THEN 'no root' END AS refused FROM s"""
 )
@@ -233,9 +234,9 @@ def rehydration_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ASSET}, s AS (SELECT *, {_STATES} AS media_state FROM asset)
+    f"""WITH {ASSET}, s AS (SELECT * EXCLUDE (media_state), {_STATES} AS media_state FROM asset)
 SELECT asset_id, CASE WHEN media_state IN ('evicted', 'remote_original') AND message_id % 2 = 0 THEN 'original_local' ELSE media_state END AS media_state,
-CASE WHEN media_state IN ('evicted', 'remote_original') AND message_id % 2 = 0 THEN 'at/' || asset_id END AS local_path FROM s"""
+CASE WHEN media_state IN ('evicted', 'remote_original') AND message_id % 2 = 0 THEN 'at/' || asset_id WHEN message_id % 3 = 0 THEN 'had/' || asset_id END AS local_path FROM s"""
 )
 def rehydrated_media(spark: SparkSession, d: str) -> DataFrame:
     assets = _media(spark, d)
@@ -284,6 +285,6 @@ def index_growth(spark: SparkSession, d: str) -> DataFrame:
 
     messages = tables.messages(spark, d)
     grown = index.build(messages.where("message_id % 2 = 0"), shared_path(spark, "index-growth"))
-    index.added(grown, messages.where("message_id % 2 = 1"))
+    grown = index.added(grown, messages.where("message_id % 2 = 1"))
     counts = grown.words.agg(F.sum(F.size("positions")).alias("words"))
     return grown.stats.select("n").crossJoin(counts)

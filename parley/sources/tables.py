@@ -80,7 +80,7 @@ def journal_of(events: DataFrame) -> DataFrame:
 
 
 def assets(spark: SparkSession, folder: str) -> DataFrame:
-    """asset_id, message_id, conversation_id, mime_type, bytes_local, archive_state, storage_sink, created_at_ms, pinned."""
+    """asset_id, message_id, conversation_id, mime_type, bytes_local, media_state, archive_state, storage_sink, created_at_ms, pinned."""
     line, orders, customer = (read(spark, folder, t) for t in ("lineitem", "orders", "customer"))
     days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
     number = F.col("l_linenumber") % 5
@@ -99,6 +99,10 @@ def assets(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("image/png")
         .alias("mime_type"),
         (F.col("l_quantity") * 1_048_576).cast("long").alias("bytes_local"),
+        F.when(F.col("l_orderkey") % 8 == 0, "download_in_progress")
+        .when(F.col("l_orderkey") % 8 == 1, "thumbnail_only")
+        .otherwise("original_local")
+        .alias("media_state"),
         F.when(F.col("l_returnflag") == "A", "primary_backend").when(F.col("l_returnflag") == "N", "cloud").otherwise("").alias("storage_sink"),
         (days.cast("long") * DAY_MS).alias("created_at_ms"),
     )

@@ -150,9 +150,10 @@ def test_chain(spark):
 
 
 def test_queue_and_transitions(spark):
-    rows = [(1, "prefetch", 5), (1, "visible", 9), (2, "search", 1), (3, "visible", 2)]
+    tap, viewport = "search_result_tap", "visible_viewport"
+    rows = [(1, "adjacent_prefetch", 5), (1, viewport, 9), (2, tap, 10), (3, viewport, 2), (4, "opportunistic_fill", 0), (5, "background_restore", 0), (6, "media_full_screen", 99)]
     queue = store.hydration_queue(spark.createDataFrame(rows, "message_id long, reason string, requested_at_ms long"))
-    assert [(r.message_id, r.reason) for r in queue.collect()] == [(3, "visible"), (1, "visible"), (2, "search")]
+    assert [r.message_id for r in queue.collect()] == [2, 6, 3, 1, 5, 4]
     local, gone = "local_plain_available", "deleted_for_me"
     changes = spark.createDataFrame([("body", local, gone), ("body", gone, local), ("media", local, gone)], "machine string, from_state string, to_state string")
     assert sorted((r.machine, r.from_state) for r in store.illegal(changes).collect()) == [("body", gone), ("media", local)]
