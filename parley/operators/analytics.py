@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.sources.shared import stored
+
 
 def dedup_stats(blobs: DataFrame, digest: str, size: str) -> DataFrame:
     """One row: objects and bytes, in all and unique, the ratio in percent and the savings."""
@@ -28,18 +30,46 @@ def dedup_ratio(total: Column, unique: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(F.greatest(F.least((1 - unique / total) * 100, F.lit(100.0)), F.lit(0.0)))
 
 
-def running_counters(events: DataFrame) -> DataFrame:
-    """One row of counters of (seq, kind, size_bytes, was_deduped): deletions lower totals, never unique counts."""
-    up, down = F.col("kind") == "uploaded", F.col("kind") == "deleted"
-    new = up & ~F.col("was_deduped")
-    return events.agg(
-        F.greatest(F.sum(F.when(up, 1).when(down, -1).otherwise(0)), F.lit(0)).alias("total_objects"),
-        F.sum(F.when(new, 1).otherwise(0)).alias("unique_objects"),
-        F.greatest(F.sum(F.when(up, F.col("size_bytes")).when(down, -F.col("size_bytes")).otherwise(0)), F.lit(0)).alias("total_bytes"),
-        F.sum(F.when(new, F.col("size_bytes")).otherwise(0)).alias("unique_bytes"),
+def counter_ranges(events: DataFrame) -> DataFrame:
+    """(range, and by counter moved_ and lowest_): what the events (seq, kind, size_bytes, was_deduped) of each range of seq come to.
+
+    A total never falls below zero, at any event, so a deletion of nothing doesn't eat a
+    later upload.  What a range does to a total is told by its sum and its lowest running
+    sum, and two ranges' by theirs; see :func:`counted`.
+    """
+    order = ["seq", "kind", "size_bytes"]
+    placed = stored(events.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "counter-ranges")
+    running = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up, new = F.col("kind") == "uploaded", (F.col("kind") == "uploaded") & ~F.col("was_deduped")
+    sign = F.when(up, 1).when(F.col("kind") == "deleted", -1).otherwise(0)
+    moved = placed.select("*", sign.cast("long").alias("o"), (sign * F.col("size_bytes")).cast("long").alias("b"))
+    summed = moved.select("range", "o", "b", new.alias("new"), "size_bytes", F.sum("o").over(running).alias("ro"), F.sum("b").over(running).alias("rb"))
+    return summed.groupBy("range").agg(
+        F.sum("o").alias("moved_objects"),
+        F.min("ro").alias("lowest_objects"),
+        F.sum("b").alias("moved_bytes"),
+        F.min("rb").alias("lowest_bytes"),
+        F.sum(F.when(F.col("new"), 1).otherwise(0)).alias("unique_objects"),
+        F.sum(F.when(F.col("new"), F.col("size_bytes")).otherwise(0)).alias("unique_bytes"),
     )
 
 
+def counted(ranges: DataFrame, order: str = "range") -> DataFrame:
+    """One row of counters out of the rows of :func:`counter_ranges` in their order: some hundreds, whatever the events."""
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    names = ("objects", "bytes")
+    lowest = ranges.select("*", *((F.coalesce(F.sum(f"moved_{c}").over(before), F.lit(0)) + F.col(f"lowest_{c}")).alias(f"least_{c}") for c in names))
+    zero = F.lit(0).cast("long")
+    total = {c: F.coalesce(F.sum(f"moved_{c}") - F.least(F.min(f"least_{c}"), zero), zero).alias(f"total_{c}") for c in names}
+    unique = {c: F.coalesce(F.sum(f"unique_{c}"), zero).alias(f"unique_{c}") for c in names}
+    return lowest.agg(total["objects"], unique["objects"], total["bytes"], unique["bytes"])
+
+
+def running_counters(events: DataFrame) -> DataFrame:
+    """One row of counters of (seq, kind, size_bytes, was_deduped) in order of seq: deletions lower totals, to zero at most, never unique counts."""
+    return counted(counter_ranges(events))
+
+
 def recent_ring(events: DataFrame, size: int = 512) -> DataFrame:
     """The last ``size`` events by seq."""
     return events.orderBy(F.desc("seq")).limit(size)

@@ -157,13 +157,16 @@ def stream_heads(spark: SparkSession, d: str) -> DataFrame:
 @query(COUNTERS_SQL)
 def stream_dedup_counters(spark: SparkSession, d: str) -> DataFrame:
     """The deduplication counters of events read as a stream."""
-    return _streamed(spark, d, lambda source: streams.dedup_counters(blob_events(source)), [], raw=True)
+    source = streams.event_stream(spark, f"{d}/events.parquet*", files_at_once=1)
+    out = shared_path(spark, "stream")
+    streams.dedup_counters(blob_events(source), f"{out}/table", f"{out}/cursor").awaitTermination()
+    return streams.counters(spark, f"{out}/table")
 
 
-def _streamed(spark: SparkSession, d: str, change, keys: list[str], raw: bool = False) -> DataFrame:
+def _streamed(spark: SparkSession, d: str, change, keys: list[str]) -> DataFrame:
     # a stream reads folders; the table is one file or a folder of them
     source = streams.event_stream(spark, f"{d}/events.parquet*")
-    made = change(source if raw else tables.journal_of(source))
+    made = change(tables.journal_of(source))
     out = shared_path(spark, "stream")
     streams.to_table(made, f"{out}/table", f"{out}/cursor").awaitTermination()
     return streams.latest(spark, f"{out}/table", keys)

@@ -139,18 +139,20 @@ def storage_savings(spark: SparkSession, d: str) -> DataFrame:
     return analytics.dedup_stats(_blobs(spark, d), "digest", "size").select("objects_saved", "bytes_saved")
 
 
-COUNTERS_SQL = """WITH e AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'uploaded' END AS kind, CAST(value * 100 AS BIGINT) AS size, user_id % 2 = 0 AS dup FROM events)
-SELECT CAST(greatest(sum(CASE kind WHEN 'uploaded' THEN 1 ELSE -1 END), 0) AS BIGINT) AS total_objects,
-CAST(sum(CASE WHEN kind = 'uploaded' AND NOT dup THEN 1 ELSE 0 END) AS BIGINT) AS unique_objects,
-CAST(greatest(sum(CASE kind WHEN 'uploaded' THEN size ELSE -size END), 0) AS BIGINT) AS total_bytes,
-CAST(sum(CASE WHEN kind = 'uploaded' AND NOT dup THEN size ELSE 0 END) AS BIGINT) AS unique_bytes FROM e"""
+#: Event by event: a total never falls below zero.
+COUNTERS_SQL = """WITH e AS (
+  SELECT event_id AS seq, CASE WHEN event_type IN ('error', 'view', 'click') THEN -1 ELSE 1 END AS o, CAST(value * 100 AS BIGINT) AS size, user_id % 2 = 0 AS dup FROM events)
+SELECT CAST(list_reduce(list_prepend(0, list(o ORDER BY seq)), lambda a, x: greatest(0, a + x)) AS BIGINT) AS total_objects,
+CAST(sum(CASE WHEN o = 1 AND NOT dup THEN 1 ELSE 0 END) AS BIGINT) AS unique_objects,
+CAST(list_reduce(list_prepend(0, list(o * size ORDER BY seq)), lambda a, x: greatest(0, a + x)) AS BIGINT) AS total_bytes,
+CAST(sum(CASE WHEN o = 1 AND NOT dup THEN size ELSE 0 END) AS BIGINT) AS unique_bytes FROM e"""
 
 
 def blob_events(events: DataFrame) -> DataFrame:
     """Upload and deletion events (seq, kind, size_bytes, was_deduped) out of rows of ``events``, batch or streaming."""
     return events.select(
         F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") == "error", "deleted").otherwise("uploaded").alias("kind"),
+        F.when(F.col("event_type").isin("error", "view", "click"), "deleted").otherwise("uploaded").alias("kind"),
         F.round(F.col("value") * 100).cast("long").alias("size_bytes"),
         (F.col("user_id") % 2 == 0).alias("was_deduped"),
     )

@@ -63,6 +63,20 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return kept.groupBy(*keys).agg(F.max_by(F.struct(*columns), "epoch").alias("last")).select("last.*")
 
 
-def dedup_counters(events: DataFrame) -> DataFrame:
-    """Running counters of upload and deletion events (kind, size_bytes, was_deduped) that arrive as a stream."""
-    return analytics.running_counters(events)
+def dedup_counters(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep, for each batch of a stream of events (seq, kind, size_bytes, was_deduped), what it does to the counters.
+
+    A batch's events count in order of seq, batches in order of arrival; a batch that is
+    run again replaces its own rows.  :func:`counters` reads the result.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        analytics.counter_ranges(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counters(spark: SparkSession, path: str) -> DataFrame:
+    """The counters after all batches that :func:`dedup_counters` keeps."""
+    kept = spark.read.parquet(path)
+    return analytics.counted(kept.withColumn("at", F.struct("epoch", "range")), "at")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,64 @@ def test_engine(spark):
     assert engine.timeline(0, limit=2).count() == 2 and engine.get_message(0).count() == 1
     assert engine.ingest(engine.messages).count() == 0
     assert tables.media_index(spark, engine.folder).columns == ["asset_id", "kind", "text"]
+
+
+def test_counters_never_fall_below_zero(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice(("uploaded", "deleted", "deleted")), rng.randint(0, 50), rng.random() < 0.5) for k in range(500)]
+    totals = [0, 0]
+    for _, kind, size, _ in rows:
+        sign = 1 if kind == "uploaded" else -1
+        totals = [max(0, totals[0] + sign), max(0, totals[1] + sign * size)]
+    new = [r for r in rows if r[1] == "uploaded" and not r[3]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    try:
+        df = spark.createDataFrame(rows, "seq long, kind string, size_bytes long, was_deduped boolean")
+        ranges = analytics.counter_ranges(df)
+        assert ranges.count() > 1
+        got = analytics.counted(ranges).first()
+        assert (got.total_objects, got.total_bytes, got.unique_objects, got.unique_bytes) == (*totals, len(new), sum(r[2] for r in new))
+        one = spark.createDataFrame([(1, "deleted", 5, False), (2, "uploaded", 3, False)], df.schema)
+        assert tuple(analytics.running_counters(one).first()) == (1, 1, 3, 3)
+        assert tuple(analytics.running_counters(df.where("false")).first()) == (0, 0, 0, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_deletions_and_bodies_follow_the_life_cycle(spark):
+    rows = [(1, 1, "a", "local_plain_available", None), (2, 1, "b", "local_plain_available", None), (3, 1, None, "remote_archive_only", None), (4, 1, None, "deleted_for_everyone", 5)]
+    messages = spark.createDataFrame(rows, "message_id long, conversation_id long, text string, body_state string, deleted_at_ms long")
+    asked = spark.createDataFrame([(1, False), (2, True), (2, None), (3, True), (4, False), (9, True)], "message_id long, for_everyone boolean")
+    got = {r.message_id: (r.text, r.body_state, r.deleted_at_ms, r.refused) for r in store.deleted(messages, asked, 77).collect()}
+    assert got == {
+        1: ("a", "deleted_for_me", 77, False),
+        2: (None, "deleted_for_everyone", 77, False),
+        3: (None, "remote_archive_only", None, True),
+        4: (None, "deleted_for_everyone", 5, True),
+    }
+    assert sorted((r.message_id, r.scope) for r in store.deletion_events(messages, asked, 77).collect()) == [(1, "for_me"), (2, "for_everyone")]
+    fetched = spark.createDataFrame([(3, "came"), (3, "came"), (4, "came"), (1, "came"), (9, "came"), (2, None)], "message_id long, text string")
+    bodies = {r.message_id: (r.text, r.body_state) for r in store.rehydrated(messages.select("message_id", "text", "body_state"), fetched).collect()}
+    assert bodies == {1: ("a", "local_plain_available"), 2: ("b", "local_plain_available"), 3: ("came", "local_plain_available"), 4: (None, "deleted_for_everyone")}
+    assert [r.message_id for r in store.unknown(messages, fetched).collect()] == [9]
+
+
+def test_a_row_takes_one_change_of_a_batch(spark):
+    rows = spark.createDataFrame([(1, "original_local"), (2, "original_local")], "asset_id long, media_state string")
+    changes = spark.createDataFrame([(1, "evicted"), (1, "deleted"), (2, "evicted"), (2, "evicted")], "asset_id long, to_state string")
+    got = {r.asset_id: (r.media_state, r.refused) for r in store.moved_singly(rows, changes, "asset_id", "media_state", "media").collect()}
+    assert got == {1: ("original_local", True), 2: ("evicted", False)}
+
+
+def test_eviction_and_rehydration_leave_other_assets_alone(spark):
+    kind = "asset_id long, media_state string, bytes_local long, bytes_total long, local_path string"
+    rows = [(1, "original_local", 5, 5, "/a"), (2, "deleted", 0, 7, None), (3, "download_in_progress", 2, 9, "/c"), (4, None, 1, 1, "/d"), (5, "evicted", 0, 4, None)]
+    assets = spark.createDataFrame(rows, kind)
+    plan = spark.createDataFrame([(1,), (1,)], "asset_id long")
+    assert {r.asset_id: (r.media_state, r.bytes_local) for r in offload.evicted(assets, plan).collect()} == {
+        1: ("evicted", 0), 2: ("deleted", 0), 3: ("download_in_progress", 2), 4: (None, 1), 5: ("evicted", 0),
+    }
+    came = spark.createDataFrame([(5, "/e")], "asset_id long, local_path string")
+    assert {r.asset_id: (r.media_state, r.local_path) for r in store.rehydrated_media(assets, came).collect()} == {
+        1: ("original_local", "/a"), 2: ("deleted", None), 3: ("download_in_progress", "/c"), 4: (None, "/d"), 5: ("original_local", "/e"),
+    }

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +229,71 @@ def test_bloom(spark):
     absent = spark.createDataFrame([(k % 5, f"absent{k}") for k in range(2000)], words.schema).join(blooms, "conversation_id")
     assert absent.where(cold.maybe_contains(F.col("word"))).count() / 2000 < 0.05
     blooms.unpersist()
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Messages enough for many blocks; words differ much in how often they are."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(60)]
+    weights = [1 / (k + 1) for k in range(60)]
+    rows = [(k, " ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 60)))) for k in range(1500)]
+    return spark.createDataFrame(rows, "message_id long, text string").persist()
+
+
+def scores(df):
+    return {r.message_id: round(r.bm25, 9) for r in df.collect()}
+
+
+def test_an_index_follows_additions_edits_and_deletions(spark, corpus, tmp_path):
+    first, second = corpus.where("message_id % 3 <> 0"), corpus.where("message_id % 3 = 0")
+    built = index.added(index.build(first, f"file:{tmp_path}/i"), second)
+    edited = corpus.where("message_id % 5 = 0")
+    after = edited.withColumn("text", F.concat(F.lit("w59 new "), F.col("text")))
+    built = index.changed(built, edited, after)
+    now = corpus.where("message_id % 5 <> 0").unionByName(after)
+    gone = now.where("message_id % 7 = 0")
+    built = index.changed(built, gone, gone.where("false"))
+    again = after.where("message_id % 7 <> 0 and message_id % 10 = 0")  # edited once more, back to what they were
+    built = index.changed(built, again, edited.join(again.select("message_id"), "message_id", "left_semi"))
+    now = now.where("message_id % 7 <> 0 and not (message_id % 5 = 0 and message_id % 10 = 0)").unionByName(edited.where("message_id % 7 <> 0 and message_id % 10 = 0"))
+    now = now.persist()
+    compact = index.compacted(built)
+    for query in ("new", "w59 w1", '"w59 new"', "w5* NOT w3", "w50 OR w40", "w30 NEAR w2"):
+        want = scores(search.full_text(now, query))
+        assert scores(index.full_text(built, query)) == want, query
+        assert scores(index.full_text(compact, query)) == want, query
+    counts = {r.word: r.n for r in now.select(F.explode(F.array_distinct(text.words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    for held in (built, compact):
+        assert {r.word: r.df for r in index.terms(held, ["w5*", "new"]).collect()} == {w: n for w, n in counts.items() if w.startswith("w5") or w == "new"}
+        assert held.n == now.count()
+    assert sorted(index.fuzzy(built, "new").collect()) == sorted(search.fuzzy_scan(now, "new").collect())
+
+
+def test_the_best_are_found_without_all_blocks(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK", 8)
+    monkeypatch.setattr(index, "FIRST", 4)
+    built = index.build(corpus, f"file:{tmp_path}/b")
+    for query, k in (("w0 w1", 5), ("w40", 3), ("w0 OR w20", 10), ("w2 NOT w0", 5), ("w55 w56 w57", 5), ("w4*", 5), ('"w1 w0"', 5)):
+        want = sorted(scores(search.full_text(corpus, query)).items(), key=lambda r: (-r[1], r[0]))[:k]
+        assert sorted(scores(index.best(built, query, k)).items(), key=lambda r: (-r[1], r[0]))[:k] == want, query
+    few, every = index.best(built, "w0 w1", 5), index.full_text(built, "w0 w1")
+    assert few.count() < every.count()
+
+
+def test_a_prefix_reads_the_ranges_of_its_terms(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "PART_MESSAGES", 100)
+    built = index.build(corpus, f"file:{tmp_path}/p")
+    of = {name: {p for _, n, p, _, _ in built.fences if n == name} for name in ("blocks", "terms")}
+    assert len(of["blocks"]) > 4
+    read = {r.part for r in built.table("blocks", wanted=index._bounds(["w5*"])).select("part").distinct().collect()}
+    assert read and len(read) < len(of["blocks"])
+    assert scores(index.full_text(built, "w5*")) == scores(search.full_text(corpus, "w5*"))
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "message_id long, text string")
+    built = index.build(none, f"file:{tmp_path}/n")
+    assert built.n == 0 and not index.full_text(built, "a").collect() and not index.best(built, "a", 3).collect() and not index.fuzzy(built, "abc").collect()
+    built = index.added(built, spark.createDataFrame([(1, "a b"), (2, None)], none.schema))
+    assert built.n == 2 and [r.message_id for r in index.full_text(built, "a").collect()] == [1]
