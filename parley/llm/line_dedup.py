@@ -37,13 +37,14 @@ def _windows(own: DataFrame, row: str) -> DataFrame:
 def covered_lines(own: DataFrame, row: str) -> DataFrame:
     """(row, covered): for each row with any, the positions of its lines that go.
 
-    ``own`` is numbered by its column ``row``.  Windows are counted before the shuffle; a
-    window that very many rows share meets its first occurrence in a join that Spark
-    splits by itself.
+    ``own`` is numbered by its column ``row``.  Windows are counted before the shuffle, and
+    the repeated ones stored, so that a window that very many rows share meets its first
+    occurrence in a join of two plain exchanges, which Spark splits where one is skewed.
     """
     windows = _windows(own, row)
     place = F.struct("doc_id", "row", "pos")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = stored(repeated, "lines-repeated")
     later = windows.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
     merged = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + LINES - 1))))
     return later.groupBy("row").agg(merged.alias("covered"))
