@@ -80,7 +80,8 @@ def links(distinct: DataFrame) -> DataFrame:
         )
     )
     hashed = distinct.select("fp", tables.alias("at")).select("fp", "at.table", "at.key")
-    full = hashed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that Spark may split the join where very many share a key
+    full = stored(hashed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
     collided = stored(hashed.join(full, ["table", "key"]), "simhash-collided")
     few = collided.where(F.col("n") <= PAIRED).drop("n")
     pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["table", "key"])
