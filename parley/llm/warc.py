@@ -74,7 +74,10 @@ def plan_records(pages: DataFrame) -> DataFrame:
         .where("n > 1 and response_id is not null")
         .drop("n")
     )
-    joined = sized.join(groups, ["payload_digest", "payload_bytes"], "left")
+    # small payloads are never joined; groups are stored, so that Spark may split the join where very many pages are alike
+    met = sized.where(large).join(stored(groups, "warc-groups"), ["payload_digest", "payload_bytes"], "left")
+    alone = sized.where(~large).withColumn("response_id", F.lit(None).cast(groups.schema["response_id"].dataType))
+    joined = met.unionByName(alone)
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return joined.select(
         "page_id",
