@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators import match, search
+from parley.operators import lexicon, match, search
 
 #: About so many messages share a range of the postings, of which there are MOST_PARTS at most; messages in a bucket.
 PART_MESSAGES, MOST_PARTS, BLOCK = 200_000, 32_768, 128
@@ -55,6 +55,16 @@ class Index:
         """Rows (gen, parts, n, words): messages and words that each adds, less than none if it takes some."""
         return sorted(self.spark.read.parquet(f"{self.path}/manifest-{self.version}").collect())
 
+    @cached_property
+    def lexicon(self) -> lexicon.Lexicon | None:
+        """The words of unspaced scripts that were learned when the index was built; none if there were none."""
+        known = lexicon.read(self.spark.read.schema("word string, n long").parquet(f"{self.path}/lexicon"))
+        return known if known.rows else None
+
+    def words_of(self, body: Column) -> Column:
+        """A text's words as they are indexed."""
+        return self.lexicon.column()(body) if self.lexicon else text.words(body)
+
     @cached_property
     def fences(self) -> list:
         """Rows (gen, name, part, low, high): the terms of each range of each table, some MOST_PARTS a table at most."""
@@ -134,9 +144,9 @@ def _any(keys: list[str]) -> Column:
 # --- writing ---------------------------------------------------------------------
 
 
-def _bucketed(messages: DataFrame) -> tuple[DataFrame, int, int]:
+def _bucketed(index: Index, messages: DataFrame) -> tuple[DataFrame, int, int]:
     """((message_id, words, len, bucket), messages, words): buckets are of some BLOCK messages of like length."""
-    split = messages.select("message_id", text.words(F.col("text")).alias("words")).withColumn("len", F.size("words"))
+    split = messages.select("message_id", index.words_of(F.col("text")).alias("words")).withColumn("len", F.size("words"))
     bucket, n, words = _bucket(split)
     return split.withColumn("bucket", bucket), n, words
 
@@ -204,9 +214,10 @@ def _named(spark: SparkSession, path: str, version: int, generations: list[tuple
 
 
 def build(messages: DataFrame, path: str) -> Index:
-    """Write the index of ``messages`` (message_id, text) to ``path``."""
+    """Write the index of ``messages`` (message_id, text) to ``path``, with the words of unspaced scripts that they teach."""
     spark = messages.sparkSession
-    own, n, words = _bucketed(messages)
+    lexicon.learned(messages).coalesce(1).write.mode("overwrite").parquet(f"{path}/lexicon")
+    own, n, words = _bucketed(Index(spark, path, 0), messages)
     _written(spark, f"{path}/gen-0", _blocks(word_postings(own)), search.fuzzy_grams(messages), None, messages.where(F.lit(False)), _parts(n))
     return _named(spark, path, 0, [(0, _parts(n), n, words)])
 
@@ -218,8 +229,8 @@ def changed(index: Index, before: DataFrame, after: DataFrame) -> Index:
     texts that are indexed.  Work and what is written grow with the change alone.
     """
     spark, gen = index.spark, index.generations[-1].gen + 1
-    old = before.select("message_id", text.words(F.col("text")).alias("words")).withColumn("len", F.size("words"))
-    own, n, words = _bucketed(after)
+    old = before.select("message_id", index.words_of(F.col("text")).alias("words")).withColumn("len", F.size("words"))
+    own, n, words = _bucketed(index, after)
     less = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first()
     lost = old.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     _written(spark, f"{index.path}/gen-{gen}", _blocks(word_postings(own)), search.fuzzy_grams(after), lost, before, _parts(n))
@@ -273,8 +284,9 @@ def full_text(index: Index, query: str, buckets: DataFrame | None = None) -> Dat
     """(message_id, bm25) as :func:`parley.operators.search.full_text` gives it, by the postings of the query's words.
 
     What matches is decided on which words a message has, and on their places for phrases
-    and NEAR; no text is put together.
+    and NEAR; no text is put together.  Words of unspaced scripts are those of the index.
     """
+    query = _cut(index, query)
     wanted, words = match.positive_words(query), match.all_words(query)
     if not wanted or not index.n:
         return index.table("gone").where(F.lit(False)).select("message_id", F.lit(0.0).alias("bm25"))
@@ -301,12 +313,17 @@ def full_text(index: Index, query: str, buckets: DataFrame | None = None) -> Dat
     return matched.select("message_id", score.alias("bm25"))
 
 
+def _cut(index: Index, query: str) -> str:
+    return index.lexicon.query(query) if index.lexicon else query
+
+
 #: Scores closer than this count as equal where blocks are left out.
 SLACK = 1e-6
 
 
 def bucket_bounds(index: Index, query: str) -> DataFrame:
     """(gen, bucket, bound, postings): buckets that may hold a match of a query without prefixes, and a score that none in it exceeds."""
+    query = _cut(index, query)
     wanted = match.positive_words(query)
     known = {r["word"]: r["df"] for r in terms(index, wanted).collect()}
     own = index.table("bounds", wanted=_bounds(wanted)).where(_any(wanted))
@@ -324,6 +341,7 @@ def best(index: Index, query: str, k: int) -> DataFrame:
     whose bound reaches it are read.  A query with a prefix, whose weight only all its
     postings tell, is scored whole.
     """
+    query = _cut(index, query)
     wanted = match.positive_words(query)
     if not wanted or not index.n or any(w.endswith("*") for w in wanted):
         return full_text(index, query)

@@ -1,4 +1,4 @@
-"""Vector search for many queries at once: exact, in blocks, and by a partitioned index."""
+"""Vector search for many queries at once: exact, in blocks, and by an index of short codes."""
 
 from __future__ import annotations
 
@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions import numbers
+
 #: Vectors of a block; a task holds one block of queries and one of rows.
 BLOCK = 4_096
 #: Centroids that a task keeps, at most.
 MOST_CELLS = 4_096
 #: At most about so many vectors train the index's centroids.
 SAMPLE = 20_000
+#: Fewer rows than this are searched exactly; so many times as many as asked for are compared exactly.
+EXACT_BELOW, WIDER = 1_000, 6
 
 _PAIRS = "query long, message_id long, similarity double"
 
@@ -77,51 +81,83 @@ def centroids(vectors: DataFrame, n: int, rounds: int = 10) -> np.ndarray:
     return at
 
 
-def index_shape(n: int) -> tuple[int, int]:
-    """(cells, probes) for ``n`` rows: cells of a block or so, and as many of them as recall above 0.9 takes without any structure."""
-    cells = max(16, min(MOST_CELLS, -(-n // BLOCK)))
-    return cells, -(-cells * 3 // 4)
+def _assigned(vectors: DataFrame, at: np.ndarray, n: int) -> DataFrame:
+    """``vectors`` (message_id, embedding) with a row for each of the ``n`` cells nearest to it."""
+    sent = vectors.sparkSession.sparkContext.broadcast(at)  # cells by dimensions
+
+    def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                near = np.argsort(-(_unit(batch["embedding"].tolist()) @ sent.value.T), axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({"message_id": batch["message_id"].repeat(near.shape[1]), "cell": near.ravel().astype(np.int32), "embedding": batch["embedding"].repeat(near.shape[1])})
+
+    return vectors.select("message_id", "embedding").mapInPandas(cell, "message_id long, cell int, embedding array<float>")
 
 
-def indexed(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None) -> DataFrame:
-    """Like :func:`exact`, but a query only looks into the ``probes`` cells nearest to it.
+def coded(vectors: DataFrame, at: np.ndarray | None = None) -> DataFrame:
+    """The index of ``vectors``: (cell, message_id, code), half a byte for each component and four for a scale.
 
-    All rows are indexed.  The cells of a query and of rows meet in a join; rows and
-    queries of a full cell are dealt to blocks by their own numbers, and each task keeps
-    the best k of what it compares.
+    Without centroids ``at`` there is one cell.
     """
-    n, asked_n = vectors.count(), queries.count()
-    default = index_shape(n)
-    cells, probes = cells or default[0], probes or default[1]
-    at = centroids(vectors, cells)
-    sent = vectors.sparkSession.sparkContext.broadcast(at)  # cells by dimensions
+    placed = vectors.withColumn("cell", F.lit(0)) if at is None else _assigned(vectors, at, 1)
+    return placed.select("cell", "message_id", numbers.encode_int4(numbers.l2_normalize(F.col("embedding"))).alias("code"))
 
-    def assign(n: int):
-        def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    x = _unit(batch["embedding"].tolist())
-                    near = np.argsort(-(x @ sent.value.T), axis=1, kind="stable")[:, :n]
-                    yield pd.DataFrame({"message_id": batch["message_id"].repeat(near.shape[1]), "cell": near.ravel().astype(np.int32), "embedding": batch["embedding"].repeat(near.shape[1])})
 
-        return cell
+def _decoded(codes: list[bytes], dimensions: int) -> np.ndarray:
+    """The vectors of codes of one length: each half byte is looked up in a table of its sixteen values."""
+    rows = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    table = np.array([*range(8), *range(-8, 0)], np.float32)
+    packed = rows[:, 4:]
+    values = np.stack((table[packed & 15], table[packed >> 4]), axis=2).reshape(len(rows), -1)[:, :dimensions]
+    return values * rows[:, :4].copy().view("<f4")
 
-    kind = "message_id long, cell int, embedding array<float>"
-    own = vectors.select("message_id", "embedding").mapInPandas(assign(1), kind)
-    asked = queries.select("message_id", "embedding").mapInPandas(assign(probes), kind)
-    # by the whole tables' sizes, so that even one cell with all rows makes bounded blocks
-    salts, parts = max(1, -(-n // BLOCK)), max(1, -(-asked_n // BLOCK))
-    salted = own.groupBy("cell", F.pmod(F.xxhash64("message_id"), F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("message_id", "embedding")).alias("block_rows"))
-    wanted = asked.groupBy("cell", F.pmod(F.xxhash64("message_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("message_id", "embedding")).alias("asked_rows"))
+
+def short_lists(codes: DataFrame, queries: DataFrame, n: int, at: np.ndarray | None = None, probes: int | None = None) -> DataFrame:
+    """(query, message_id, similarity, rank): the ``n`` rows of each query that are nearest by their codes.
+
+    Rows of a cell are dealt to blocks by the cell's own count, queries by theirs, so a
+    task holds a block of each however full a cell is.  Only codes are read, an eighth of
+    the vectors' bytes and a little.
+    """
+    asked = queries.select("message_id", F.lit(0).alias("cell"), "embedding") if at is None else _assigned(queries, at, probes or len(at))
+
+    def blocks(rows: DataFrame, value: str, name: str) -> DataFrame:
+        counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
+        salted = rows.join(F.broadcast(counts), "cell")  # a row for each cell, MOST_CELLS at most
+        return salted.groupBy("cell", F.pmod(F.xxhash64("message_id"), F.col("salts")).alias(name)).agg(F.collect_list(F.struct("message_id", value)).alias(f"{name}_rows"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in zip(batch["asked_rows"], batch["block_rows"]):
                 names, ids = (np.array([r["message_id"] for r in x], np.int64) for x in (a, b))
-                yield _best(_unit([r["embedding"] for r in a]), names, _unit([r["embedding"] for r in b]), ids, k)
+                own = _unit([r["embedding"] for r in a])
+                yield _best(own, names, _decoded([r["code"] for r in b], own.shape[1]).astype(np.float64), ids, n)
+
+    pairs = blocks(asked, "embedding", "asked").join(blocks(codes, "code", "block"), "cell")
+    return _merged(pairs.select("asked_rows", "block_rows").mapInPandas(search, _PAIRS), n)
 
-    found = wanted.join(salted, "cell").select("asked_rows", "block_rows").mapInPandas(search, _PAIRS)
-    return _merged(found, k)
+
+def indexed(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 1, probes: int | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """(query, message_id, similarity, rank) like :func:`exact`, by codes and a short list; exact below EXACT_BELOW rows.
+
+    All rows are indexed; ``codes`` is a stored :func:`coded` table, which without one is
+    made.  A query's WIDER times ``k`` nearest rows by their codes are compared exactly.
+    With ``cells`` a query looks only into its ``probes`` nearest ones, which saves more
+    if the vectors have structure.
+    """
+    if vectors.limit(EXACT_BELOW).count() < EXACT_BELOW:
+        return exact(vectors, queries, k)
+    at = centroids(vectors, min(cells, MOST_CELLS)) if cells > 1 else None
+    listed = short_lists(codes if codes is not None else coded(vectors, at), queries, WIDER * k, at, probes).select("query", "message_id")
+    asked = queries.select(F.col("message_id").alias("query"), F.col("embedding").alias("asked"))
+    near = listed.join(vectors.select("message_id", "embedding"), "message_id").join(asked, "query")
+    return _merged(near.select("query", "message_id", numbers.cosine(F.col("asked"), F.col("embedding")).alias("similarity")), k)
+
+
+def share_read(n: int, dimensions: int, k: int) -> float:
+    """What a query reads by the index, as a share of all vectors' bytes: codes of ``n`` rows and a short list's vectors."""
+    whole = 4 * dimensions
+    return (n * (4 + -(-dimensions // 2)) + min(n, WIDER * k) * whole) / (n * whole)
 
 
 def recall(approximate: DataFrame, truth: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import index
+from parley.operators import index, lexicon
 from parley.plans.registry import query
 from parley.plans.search import TYPO, six, stored_index
 from parley.plans.sql import MSG, WORDS, bm25, fuzzy, grams
@@ -88,3 +88,42 @@ def bm25_topk_or(spark: SparkSession, d: str) -> DataFrame:
     """The best of alternatives, without the blocks that can't hold one."""
     found = index.best(stored_index(spark, d, "documents"), "the OR for", 50)
     return found.select("message_id", six("bm25")).orderBy(F.desc("bm25"), "message_id").limit(50)
+
+
+#: Letters of the texts as characters of a script that is written without spaces.
+_LETTERS, _CHARACTERS = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + 97 * k) for k in range(26))
+
+
+def _unspaced(spark: SparkSession, d: str) -> DataFrame:
+    """The messages as if they were written without spaces: each letter a character."""
+    bare = F.translate(F.lower(F.coalesce("text", F.lit(""))), _LETTERS + " ", _CHARACTERS)
+    return tables.messages(spark, d).select("message_id", bare.alias("text"))
+
+
+_KNOWN = "".join(rf"\p{{{s}}}" for s in lexicon.SCRIPTS)
+
+
+@query(
+    f"""WITH {MSG}, run AS (SELECT unnest(regexp_extract_all(translate(lower(coalesce(text, '')), '{_LETTERS} ', '{_CHARACTERS}'), '[{_KNOWN}]+')) AS run FROM msg),
+r AS (SELECT run, count(*) AS n FROM run GROUP BY run),
+s AS (SELECT run, n, unnest(range(1, length(run) + 1)) AS i FROM r),
+c AS (
+  SELECT word, sum(n) AS n FROM (SELECT n, substring(run, i, size) AS word FROM (SELECT *, unnest(range(1, least({lexicon.LONGEST}, length(run) - i + 1) + 1)) AS size FROM s))
+  GROUP BY word HAVING sum(n) >= {lexicon.LEAST} OR length(word) = 1),
+cut AS (SELECT word, n, unnest(range(1, length(word))) AS k FROM c WHERE length(word) > 1),
+tie AS (
+  SELECT cut.word, any_value(cut.n) AS n, min(cut.n / a.n * (SELECT sum(n) FROM c WHERE length(word) = 1) / b.n) AS tie
+  FROM cut JOIN c a ON a.word = cut.word[1:k] JOIN c b ON b.word = cut.word[k + 1:] GROUP BY cut.word)
+SELECT word, CAST(n AS BIGINT) AS n FROM c WHERE length(word) = 1 UNION ALL SELECT word, CAST(n AS BIGINT) FROM tie WHERE tie >= {lexicon.COHESION}"""
+)
+def word_table(spark: SparkSession, d: str) -> DataFrame:
+    """The words that texts without spaces teach."""
+    return lexicon.learned(_unspaced(spark, d))
+
+
+@query()
+def unspaced_words(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without spaces, cut into words by the table that they teach."""
+    messages = _unspaced(spark, d)
+    words = lexicon.read(lexicon.learned(messages)).column()
+    return messages.select("message_id", words(F.col("text")).alias("words"))

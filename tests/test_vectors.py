@@ -49,6 +49,34 @@ def test_index_recall(stored):
     assert vectors.recall(vectors.indexed(df, asked, 10), vectors.exact(df, asked, 10)).first()["recall"] >= 0.9
 
 
+def test_cells_and_full_cells(stored, monkeypatch):
+    df, _ = stored
+    asked = df.where("message_id % 100 = 0 and message_id < 5000")
+    truth = vectors.exact(df, asked, 10)
+    assert vectors.recall(vectors.indexed(df, asked, 10, cells=12, probes=4), truth).first()["recall"] >= 0.9
+    monkeypatch.setattr(vectors, "BLOCK", 64)  # every cell is in several blocks
+    one = vectors.indexed(df, asked, 10)
+    assert vectors.recall(one, truth).first()["recall"] >= 0.95
+    assert one.groupBy("query").count().where("count <> 10").count() == 0
+
+
+def test_few_rows_are_searched_exactly(stored):
+    df, _ = stored
+    few = df.where("message_id < 900")
+    asked = few.where("message_id % 100 = 0")
+    both = [sorted((r.query, r.message_id) for r in f(few, asked, 7).collect()) for f in (vectors.indexed, vectors.exact)]
+    assert both[0] == both[1]
+
+
+def test_codes_without_structure(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(k, "v0", rng.normal(size=64).tolist()) for k in range(3000)], VECTORS).persist()
+    asked = df.where("message_id % 100 = 0")
+    assert vectors.recall(vectors.indexed(df, asked, 10), vectors.exact(df, asked, 10)).first()["recall"] >= 0.9
+    assert vectors.share_read(3000, 64, 10) < 0.2
+    df.unpersist()
+
+
 def test_versions_and_lengths(spark, stored):
     df, rows = stored
     mixed = df.unionByName(spark.createDataFrame([(9, "v1", [1.0])], VECTORS))
