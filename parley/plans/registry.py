@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from parley.plans import indexing, journal, lifecycle, retention, search, store, upkeep, writes  # noqa: F401  (they register their queries)
+    from parley.plans import contents, indexing, journal, lifecycle, retention, search, store, upkeep, writes  # noqa: F401  (they register their queries)
 
     return dict(_QUERIES)
 
