@@ -45,7 +45,7 @@ def covered_lines(own: DataFrame, row: str) -> DataFrame:
     place = F.struct("doc_id", "row", "pos")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     repeated = stored(repeated, "lines-repeated")
-    later = windows.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
+    later = windows.join(repeated.hint("merge"), ["h1", "h2"]).where(place > F.col("first"))
     merged = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + LINES - 1))))
     return later.groupBy("row").agg(merged.alias("covered"))
 
