@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.sources.shared import forget, shared_dir, shared_path, store, stored
 
 __all__ = [
-    "BATCH_ROWS", "bounded_batches", "FOLDS", "HELD_OUT_FOLD", "drawn", "fold", "forget", "fresh", "held_out", "majority_labels", "numbered", "shared_dir", "shared_path", "store", "stored", "table",
+    "BATCH_ROWS", "bounded_batches", "give_back", "FOLDS", "HELD_OUT_FOLD", "drawn", "fold", "forget", "fresh", "held_out", "majority_labels", "numbered", "shared_dir", "shared_path", "store", "stored", "table",
 ]
 
 #: Rows of these folds are never learned from: crc32(doc_id as text) mod 3 is 1.
@@ -72,6 +77,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Hand the memory that a finished task freed back to the machine: its worker stays for later tasks, and beside the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Draws by hash are this fine.
 _DRAWS = 1 << 62
 

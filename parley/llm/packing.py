@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, give_back, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -153,6 +153,8 @@ def token_pieces(
             if keep_ids:
                 out["ids"] = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
+        del encoder
+        give_back()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(encode, schema)
