@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import times
-from parley.operators import cold, journal, offload, restore, search, store
+from parley.operators import cold, index, journal, offload, restore, search, store
 from parley.operators.cold import Policy
 from parley.operators.search import SearchQuery
 from parley.sources import tables
+from parley.sources.shared import stored as stored_table
 
 
 DEFAULT_POLICY = Policy()
@@ -21,11 +22,17 @@ DEFAULT_POLICY = Policy()
 class Engine:
     """Search, timelines, retention and restore over a folder of Parquet tables.
 
-    Every method returns a DataFrame and starts no job unless it says so.
+    Every method returns a DataFrame and starts no job unless it says so.  With a stored
+    ``index`` local searches read its postings instead of the texts, and the changes of
+    :meth:`take_in`, :meth:`change` and :meth:`drop` reach it.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, cold_path: str | None = None) -> None:
-        self.spark, self.folder, self.cold_path = spark, folder, cold_path
+    def __init__(self, spark: SparkSession, folder: str, cold_path: str | None = None, stored: index.Index | None = None) -> None:
+        self.spark, self.folder, self.cold_path, self.index = spark, folder, cold_path, stored
+
+    def build_index(self, path: str) -> None:
+        """Index the messages in a folder; runs jobs."""
+        self.index = index.build(self.messages.select("message_id", "text"), path)
 
     @cached_property
     def messages(self) -> DataFrame:
@@ -59,10 +66,35 @@ class Engine:
             local = hot.where("body_state = 'local_plain_available'")
             return cold.with_semantic(local, search.in_target(self.cold, allowed), tables.vectors(self.spark, self.folder), query, vector, policy, limit)
         if vector is not None:
-            return search.with_semantic(hot, tables.vectors(self.spark, self.folder), query, vector, limit)
+            hits = index.lexical(self.index, search.filtered(hot, query), query.text) if self.index else None
+            return search.with_semantic(hot, tables.vectors(self.spark, self.folder), query, vector, limit, hits)
         if include_cold and query.text.strip():
             return cold.hot_and_cold(hot.where("body_state = 'local_plain_available'"), search.in_target(self.cold, allowed), query, policy, limit)
-        return search.hybrid(hot, query, limit)
+        return index.hybrid(self.index, hot, query, limit) if self.index else search.hybrid(hot, query, limit)
+
+    def take_in(self, arriving: DataFrame) -> None:
+        """Add what :meth:`ingest` takes of ``arriving`` to the messages and the index; runs jobs."""
+        new = stored_table(self.ingest(arriving), "engine-new")
+        self._become(self.messages.unionByName(new, allowMissingColumns=True), new.where(F.lit(False)), new)
+
+    def change(self, edits: DataFrame) -> None:
+        """Make ``edits`` in the messages and the index; runs jobs."""
+        asked = edits.select("message_id").distinct()
+        after = stored_table(self.edit(edits), "engine-edited")
+        self._become(after, self.messages.join(asked, "message_id", "left_semi"), after.join(asked, "message_id", "left_semi"))
+
+    def drop(self, deletions: DataFrame, now_ms: int) -> None:
+        """Make ``deletions`` in the messages, and take those that were made from the index; runs jobs."""
+        judged = stored_table(self.delete(deletions, now_ms), "engine-deleted")
+        asked = deletions.select("message_id").distinct()
+        gone = self.messages.join(judged.where("not refused").join(asked, "message_id", "left_semi"), "message_id", "left_semi")
+        self._become(judged.drop("refused"), gone, gone.where(F.lit(False)))
+
+    def _become(self, messages: DataFrame, before: DataFrame, after: DataFrame) -> None:
+        if self.index:
+            own = ("message_id", "text")
+            self.index = index.changed(self.index, before.select(*own), after.select(*own))
+        self.messages = messages
 
     def search_progressively(self, query: SearchQuery, policy: Policy = DEFAULT_POLICY, limit: int = 200) -> Iterator[tuple[str, DataFrame]]:
         """Local results, each cold month's and the merged ones; lists the months with one job."""

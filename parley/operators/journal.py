@@ -61,13 +61,14 @@ def segment_side(kind: Column) -> Column:
     return F.when(kind == SEGMENT_TYPES[0], "backup").when(kind.isin(*SEGMENT_TYPES[1:]), "archive")
 
 
-#: The types of events in a journal.
-EVENT_TYPES = ("message_received", "message_edited", "message_deleted", "media_received", "media_deleted", "conversation_created", "conversation_deleted")
+#: The types of events in the archive's journal and in the backup's.
+ARCHIVE_TYPES = ("message_received", "message_edited", "message_deleted", "media_received", "conversation_created", "conversation_deleted")
+BACKUP_TYPES = (*ARCHIVE_TYPES, "media_deleted")
 
 
-def parsed_type(name: Column) -> Column:
-    """An event type by its exact name; null for any other text."""
-    return F.when(name.isin(*EVENT_TYPES), name)
+def parsed_type(name: Column, journal: str = "backup") -> Column:
+    """An event type by its exact name in the archive's or the backup's journal; null for any other text."""
+    return F.when(name.isin(*(ARCHIVE_TYPES if journal == "archive" else BACKUP_TYPES)), name)
 
 
 def segment_map(uploaded: DataFrame, kind: str, backend: str) -> DataFrame:

@@ -251,14 +251,14 @@ def migration_roots(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, page_id % 3 = 0 OR page_id % 3 = 1 AS supported, CASE WHEN page_id % 4 = 0 THEN 'message_received' WHEN page_id % 4 = 1 THEN 'media_deleted' END AS parsed FROM pages"""
+    """SELECT page_id, page_id % 3 = 0 OR page_id % 3 = 1 AS supported, CASE WHEN page_id % 4 = 0 THEN 'message_received' WHEN page_id % 4 = 1 THEN 'media_deleted' END AS parsed, CASE WHEN page_id % 4 = 0 THEN 'message_received' END AS archived FROM pages"""
 )
 def known_names(spark: SparkSession, d: str) -> DataFrame:
     """Documents that can be read, and names of event types; others are unknown."""
     k = F.col("page_id")
     mime = F.when(k % 3 == 0, "application/pdf").when(k % 3 == 1, text.DOCUMENT_MIMES[1]).otherwise("text/html")
     name = F.when(k % 4 == 0, "message_received").when(k % 4 == 1, "media_deleted").when(k % 4 == 2, "Message_Received").otherwise("")
-    return tables.read(spark, d, "pages").select("page_id", text.supported_document(mime).alias("supported"), journal.parsed_type(name).alias("parsed"))
+    return tables.read(spark, d, "pages").select("page_id", text.supported_document(mime).alias("supported"), journal.parsed_type(name).alias("parsed"), journal.parsed_type(name, "archive").alias("archived"))
 
 
 @query(
