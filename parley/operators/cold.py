@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from parley.functions import text as fn
 from parley.functions import times
 from parley.operators import search
+from parley.sources.shared import stored
 
 BITS_PER_WORD, LEAST_BITS, HASHES = 12, 64, 3
 
@@ -239,6 +240,54 @@ def progressive(hot: DataFrame, cold: DataFrame, query: search.SearchQuery, poli
     yield "complete", hot_and_cold(hot, cold, query, policy, limit)
 
 
+def stopping(
+    hot: DataFrame, cold: DataFrame, query: search.SearchQuery, policy: Policy = Policy(), limit: int = 200, blooms: DataFrame | None = None, local: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, months): the rows of :func:`hot_and_cold`, and (time_bucket, outcome), which months were fetched for them and which not.
+
+    Months come newest first, one, two, four and so on at a time.  A cold row's score is at
+    most its words, and one for its n-grams, decayed from the newest hit to its month's
+    newest message; as soon as the ``limit``-th score so far beats that for the next month,
+    the rest is skipped.  A month that may have a newer hit than any so far is never
+    skipped.  No message may be in both tiers.  Runs a job for each step; months are as
+    many as the policy allows, and each step tells the driver ``limit`` scores at most.
+    """
+    hits = search.lexical(search.filtered(hot, query), query.text) if local is None else local
+    columns = ["message_id", "conversation_id", "sender_id", "created_at_ms"]
+    scored = search.decayed(hits)
+    found = stored(scored.select(*columns, "rank_score", (F.col("body_state") == "remote_archive_only").alias("is_cold")), "cold-local")
+    none = hot.sparkSession.createDataFrame([], "time_bucket string, outcome string")
+    if not allowed(query, policy):
+        return search.ranked(found, limit), none
+    own = scope(cold, query, policy, blooms).withColumn("time_bucket", F.col("time_bucket").cast("string"))
+    newest = {r["time_bucket"]: r["newest"] for r in own.groupBy("time_bucket").agg(F.max("created_at_ms").alias("newest")).collect()}
+    months = sorted(newest, key=lambda m: (-newest[m], m))
+    most = len(query_words(query.text)) + 1
+    far, step, at = None, 1, 0
+    now = found.agg(F.max("created_at_ms")).first()[0]
+
+    def rows(now: int | None) -> DataFrame:
+        if far is None:
+            return found
+        decayed = F.col("base") * search.recency(F.col("created_at_ms"), F.lit(now))
+        return found.unionByName(far.select(*columns, decayed.alias("rank_score"), F.lit(True).alias("is_cold")))
+
+    while at < len(months):
+        if now is not None and newest[months[at]] <= now:
+            best = [r["rank_score"] for r in rows(now).select("rank_score").orderBy(F.desc("rank_score")).limit(limit).collect()]
+            age = max(0, now - newest[months[at]]) / search.DAY_MS
+            bound = most * (search.RECENCY_FLOOR + (1 - search.RECENCY_FLOOR) * 2 ** (-age / search.HALF_LIFE_DAYS))
+            if len(best) == limit and best[-1] > bound + 1e-9:
+                break
+        some = months[at : at + step]
+        more = stored(cold_hits(own.where(F.col("time_bucket").isin(some)), query).select(*columns, "base"), "cold-found")
+        far = more if far is None else far.unionByName(more)
+        now = max((t for t in (now, more.agg(F.max("created_at_ms")).first()[0]) if t is not None), default=None)
+        at, step = at + step, step * 2
+    told = [(m, "fetched" if k < at else "skipped") for k, m in enumerate(months)]
+    return search.ranked(rows(now), limit), hot.sparkSession.createDataFrame(told, none.schema)
+
+
 def new_hits(local: DataFrame, cold: DataFrame, query: search.SearchQuery) -> DataFrame:
     """(time_bucket, hits): how many rows each cold month adds to the ``local`` results, all months in one job."""
     found = cold_hits(pruned(cold, query), query).join(local.select("message_id"), "message_id", "left_anti")

@@ -340,8 +340,7 @@ def bloom_prune(spark: SparkSession, d: str) -> DataFrame:
     return kept.where(F.array_contains("words", "thtionea")).select("message_id")
 
 
-@query(
-    f"""WITH {MSG}, hot AS (SELECT * FROM msg WHERE body_state = 'local_plain_available'), cold AS (SELECT * FROM msg WHERE body_state = 'remote_archive_only'),
+_HOT_COLD = f"""WITH {MSG}, hot AS (SELECT * FROM msg WHERE body_state = 'local_plain_available'), cold AS (SELECT * FROM msg WHERE body_state = 'remote_archive_only'),
 {_lexical('hot')}, {grams('cg', 'cold')}, {fuzzy('cf', 'cg', 'q')},
 found AS (
   SELECT * FROM (
@@ -357,13 +356,23 @@ scored AS (
     ELSE cold_score * (0.5 + 0.5 * exp(-ln(2) * ((SELECT max(created_at_ms) FROM merged) - created_at_ms) / 86400000.0 / 30)) END AS total
   FROM merged)
 SELECT message_id, round(total, 6) AS rank_score, hot_score IS NULL AS is_cold FROM scored ORDER BY total DESC, created_at_ms DESC, message_id LIMIT 50"""
-)
+
+
+@query(_HOT_COLD)
 def hot_cold_union(spark: SparkSession, d: str) -> DataFrame:
     hot = tables.messages(spark, d).where("body_state = 'local_plain_available'")
     found = cold.hot_and_cold(hot, _cold(spark, d), search.SearchQuery("the thre"), cold.Policy(most_buckets=10_000), 50)
     return found.select("message_id", "is_cold", six("rank_score"))
 
 
+@query(_HOT_COLD)
+def hot_cold_stopping(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows, month by month until no other can hold one of the best."""
+    hot = tables.messages(spark, d).where("body_state = 'local_plain_available'")
+    found, _ = cold.stopping(hot, _cold(spark, d), search.SearchQuery("the thre"), cold.Policy(most_buckets=10_000), 50)
+    return found.select("message_id", "is_cold", six("rank_score"))
+
+
 @query("SELECT page_id AS asset_id, 'caption' AS kind FROM pages WHERE contains(lower(html), '100%') OR contains(html, 'The</a>')")
 def media_like(spark: SparkSession, d: str) -> DataFrame:
     index = tables.media_index(spark, d)

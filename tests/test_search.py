@@ -297,3 +297,25 @@ def test_an_index_of_nothing(spark, tmp_path):
     assert built.n == 0 and not index.full_text(built, "a").collect() and not index.best(built, "a", 3).collect() and not index.fuzzy(built, "abc").collect()
     built = index.added(built, spark.createDataFrame([(1, "a b"), (2, None)], none.schema))
     assert built.n == 2 and [r.message_id for r in index.full_text(built, "a").collect()] == [1]
+
+
+def test_a_search_of_the_cold_tier_stops(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(400):
+        cold_one = k % 2 == 1
+        body = "light house" if k % 40 == 1 else rng.choice(["hello light", "light", "house of cards", "nothing"])
+        rows.append((k, k % 5, "ann", T0 + (k if cold_one else 400) * 2 * DAY, "text", "remote_archive_only" if cold_one else "local_plain_available", body if cold_one else body * 2))
+    messages = spark.createDataFrame(rows, "message_id long, conversation_id long, sender_id string, created_at_ms long, kind string, body_state string, text string")
+    hot = messages.where("body_state = 'local_plain_available'")
+    far = messages.where("body_state <> 'local_plain_available'").withColumn("time_bucket", F.date_format(F.timestamp_millis("created_at_ms"), "yyyy-MM"))
+    policy, skipped = cold.Policy(most_buckets=1000), {}
+    for query, limit in (("light house", 2), ("light", 3), ("house", 500), ("zzz", 5)):
+        want = cold.hot_and_cold(hot, far, SearchQuery(query), policy, limit)
+        got, months = cold.stopping(hot, far, SearchQuery(query), policy, limit)
+        near = [[(r.message_id, round(r.rank_score, 9), r.is_cold) for r in df.collect()] for df in (got, want)]
+        assert near[0] == near[1], query
+        skipped[query] = sum(r.outcome == "skipped" for r in months.collect())
+    assert skipped["house"] == skipped["zzz"] == 0 and skipped["light"] + skipped["light house"] > 0, skipped
+    nothing, none = cold.stopping(hot.where("false"), far, SearchQuery("light"), policy, 3)
+    assert nothing.count() == 3 and none.where("outcome = 'fetched'").count() > 0
