@@ -140,7 +140,7 @@ class Engine:
     def storage_usage(self) -> DataFrame:
         own = (tables.assets, tables.vectors, tables.media_index)
         assets, vectors, media = (read(self.spark, self.folder) for read in own)
-        return offload.usage(assets, self.messages, search.fuzzy_grams(self.messages), vectors, media)
+        return offload.usage(assets, self.messages, search.gram_bytes(self.messages, offload.GRAM_BYTES), vectors, media)
 
     def eviction_plan(self, target_bytes: int, now_ms: int, least_age_ms: int, level: str = "extreme") -> DataFrame:
         """What to evict, cloud pool first; runs jobs for the score ranges and the first pool's bytes."""

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text
 from parley.operators import lexicon, match, search
+from parley.sources.shared import stored
 
 #: About so many messages share a range of the postings, of which there are MOST_PARTS at most; messages in a bucket.
 PART_MESSAGES, MOST_PARTS, BLOCK = 200_000, 32_768, 128
@@ -147,6 +148,7 @@ def _any(keys: list[str]) -> Column:
 def _bucketed(index: Index, messages: DataFrame) -> tuple[DataFrame, int, int]:
     """((message_id, words, len, bucket), messages, words): buckets are of some BLOCK messages of like length."""
     split = messages.select("message_id", index.words_of(F.col("text")).alias("words")).withColumn("len", F.size("words"))
+    split = stored(split, "index-words")  # texts are split once
     bucket, n, words = _bucket(split)
     return split.withColumn("bucket", bucket), n, words
 

@@ -33,6 +33,7 @@ SKELETON_BYTES, GRAM_BYTES = 256, 8
 def usage(assets: DataFrame, messages: DataFrame, grams: DataFrame, vectors: DataFrame, media_index: DataFrame) -> DataFrame:
     """One row of byte sums: messages (bodies and skeletons), media, index (texts, n-grams, vectors, media texts), cache, total.
 
+    ``grams`` is what :func:`parley.operators.search.gram_bytes` gives with GRAM_BYTES.
     Lengths of texts are in characters and of vectors in bytes of 32-bit numbers; an
     empty table counts 0, and nothing is cached outside Spark.
     """
@@ -45,7 +46,7 @@ def usage(assets: DataFrame, messages: DataFrame, grams: DataFrame, vectors: Dat
     sums = messages.agg(F.coalesce(F.sum(body), F.lit(0)).cast("long").alias("body_bytes"), (F.count("*") * SKELETON_BYTES).alias("skeleton_bytes"))
     for part in (
         total(assets, F.col("bytes_local"), "media_bytes"),
-        total(grams, F.length("token") + GRAM_BYTES, "fuzzy_bytes"),
+        total(grams, F.col("bytes"), "fuzzy_bytes"),
         total(vectors, 4 * F.array_size("embedding"), "vector_bytes"),
         total(media_index, F.length("text"), "media_text_bytes"),
     ):

@@ -135,11 +135,8 @@ def snippet(body: Column, query: str, width: int = 32) -> Column:
 # --- fuzzy -----------------------------------------------------------------------
 
 
-def fuzzy_grams(messages: DataFrame, body: str = "text") -> DataFrame:
-    """The n-gram index: distinct (message_id, script, token) of each message, found within its row.
-
-    Message ids are unique, so no shuffle is needed.
-    """
+def _gram_keys(messages: DataFrame, body: str) -> DataFrame:
+    """(message_id, keys): the distinct n-grams of each message, its script, a space and the n-gram each."""
     runs = F.transform(text.script_runs(F.col(body)), lambda r: F.struct(text.script_of(r).alias("script"), text.segments(r).alias("parts")))
 
     def tokens(run: Column) -> Column:
@@ -147,10 +144,24 @@ def fuzzy_grams(messages: DataFrame, body: str = "text") -> DataFrame:
         return F.transform(F.array_distinct(own), lambda token: F.concat(run["script"], F.lit(" "), token))
 
     split = messages.select("message_id", runs.alias("runs"))
-    found = split.select("message_id", F.explode(F.array_distinct(F.flatten(F.transform("runs", tokens)))).alias("key"))
+    return split.select("message_id", F.array_distinct(F.flatten(F.transform("runs", tokens))).alias("keys"))
+
+
+def fuzzy_grams(messages: DataFrame, body: str = "text") -> DataFrame:
+    """The n-gram index: distinct (message_id, script, token) of each message, found within its row.
+
+    Message ids are unique, so no shuffle is needed.
+    """
+    found = _gram_keys(messages, body).select("message_id", F.explode("keys").alias("key"))
     return found.select("message_id", F.substring_index("key", " ", 1).alias("script"), F.expr("substring(key, instr(key, ' ') + 1)").alias("token"))
 
 
+def gram_bytes(messages: DataFrame, each: int, body: str = "text") -> DataFrame:
+    """(message_id, bytes): the characters of each message's n-grams and ``each`` more for every one, added up in its row."""
+    size = F.aggregate("keys", F.lit(0).cast("long"), lambda n, key: n + F.length(key) - F.locate(" ", key) + each)
+    return _gram_keys(messages, body).select("message_id", size.alias("bytes"))
+
+
 def fuzzy(grams: DataFrame, query: str) -> DataFrame:
     """(message_id, fuzzy): the share of the query's n-grams that a message has, by the n-gram index.
 

@@ -26,7 +26,7 @@ usage AS (
 
 def _usage(spark: SparkSession, d: str) -> DataFrame:
     messages = tables.messages(spark, d)
-    return offload.usage(tables.assets(spark, d), messages, search.fuzzy_grams(messages), tables.vectors(spark, d), tables.media_index(spark, d))
+    return offload.usage(tables.assets(spark, d), messages, search.gram_bytes(messages, offload.GRAM_BYTES), tables.vectors(spark, d), tables.media_index(spark, d))
 
 
 @query(f"{_USAGE} SELECT * FROM usage")
