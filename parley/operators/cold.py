@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 from parley.functions import text as fn
 from parley.functions import times
 from parley.operators import search
+from parley.sources import cold_tier
 from parley.sources.shared import stored
 
 BITS_PER_WORD, LEAST_BITS, HASHES = 12, 64, 3
@@ -44,13 +46,17 @@ def read(spark: SparkSession, path: str, schema: StructType | None = None) -> Da
 
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
-    """(time_bucket, file) of the cold tier's files that can't be read or aren't whole Parquet files, which :func:`read` skips."""
+    """(time_bucket, file) of the cold tier's files that aren't whole Parquet files, which :func:`read` skips; of each its footer alone is read."""
     options = {"pathGlobFilter": "*.parquet", "recursiveFileLookup": "true"}
     listed = spark.read.format("binaryFile").options(**options).load(path).select("path")
-    read = spark.read.format("binaryFile").options(**options, ignoreCorruptFiles="true", ignoreMissingFiles="true").load(path)
-    whole = read.where((F.col("length") >= 12) & (F.expr("right(content, 4)") == F.lit(b"PAR1"))).select("path")
-    month = F.regexp_extract("path", r"time_bucket=([^/]*)/", 1)
-    return listed.join(whole, "path", "left_anti").select(month.alias("time_bucket"), F.col("path").alias("file"))
+
+    def broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [file for file in batch["path"].to_pylist() if not cold_tier.whole(file)]
+            yield pa.RecordBatch.from_pydict({"file": pa.array(found, pa.string())})
+
+    month = F.regexp_extract("file", r"time_bucket=([^/]*)/", 1)
+    return listed.mapInArrow(broken, "file string").select(month.alias("time_bucket"), "file")
 
 
 def pruned(cold: DataFrame, query: search.SearchQuery) -> DataFrame:

@@ -10,10 +10,10 @@ from parley.plans.registry import query
 from parley.plans.search import TYPO, six, stored_index
 from parley.plans.sql import MSG, WORDS, bm25, fuzzy, grams
 from parley.sources import tables
-from parley.sources.shared import shared_path
+from parley.sources.shared import modified, shared_path
 
-#: By application and folder: the index that was built, added to, edited and deleted from.
-_kept: dict[tuple[str, str], index.Index] = {}
+#: By application and files: the index that was built, added to, edited and deleted from.
+_kept: dict[tuple, index.Index] = {}
 
 
 def _edited() -> tuple:
@@ -23,7 +23,7 @@ def _edited() -> tuple:
 
 def maintained(spark: SparkSession, d: str) -> index.Index:
     """An index of half of the messages, to which the others came; then some were edited and some deleted, edited ones too."""
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, modified(spark, f"{d}/conversations.parquet"))
     if key not in _kept:
         messages = tables.messages(spark, d).select("message_id", "text")
         edited, deleted = _edited()

@@ -10,7 +10,7 @@ from parley.operators import cold, index, search, vectors
 from parley.plans.registry import query
 from parley.plans.sql import CONV, MSG, WORDS, bm25, fuzzy, grams
 from parley.sources import tables
-from parley.sources.shared import shared_path
+from parley.sources.shared import modified, shared_path
 
 #: What the registered queries look for.
 TERMS, TYPO = "the anatwh hereti", "therheanon"
@@ -19,13 +19,13 @@ VECTOR = [((7 * k) % 11 - 5) / 10 for k in range(64)]
 _VECTOR_SQL = "[" + ", ".join(f"{x}::DOUBLE" for x in VECTOR) + "]"
 
 
-#: By application, folder and table: the index that was built of it.
-_indexes: dict[tuple[str, str, str], index.Index] = {}
+#: By application and table's files: the index that was built of them.
+_indexes: dict[tuple, index.Index] = {}
 
 
 def stored_index(spark: SparkSession, d: str, table: str = "messages") -> index.Index:
     """The search index of a folder's messages or documents, built once in an application and kept in the shared folder."""
-    key = (spark.sparkContext.applicationId, d, table)
+    key = (spark.sparkContext.applicationId, table, modified(spark, f"{d}/{'conversations' if table == 'messages' else table}.parquet"))
     if key not in _indexes:
         own = tables.messages(spark, d) if table == "messages" else tables.read(spark, d, table).select(F.col("doc_id").alias("message_id"), "text")
         _indexes[key] = index.build(own, shared_path(spark, f"index-{table}"))

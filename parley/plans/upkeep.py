@@ -34,14 +34,14 @@ def rejected_messages(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {MSG}, m AS (SELECT message_id, text, body_state, message_id % 2 = 0 AND body_state = 'local_plain_available' AS done, message_id % 2 = 0 AS asked FROM msg)
 SELECT message_id, CASE WHEN done AND message_id % 4 = 0 THEN NULL ELSE text END AS text,
 CASE WHEN done AND message_id % 4 = 0 THEN 'deleted_for_everyone' WHEN done THEN 'deleted_for_me' ELSE body_state END AS body_state,
-CASE WHEN done THEN {_NOW} WHEN (message_id % 1000) % 6 = 5 THEN 1704067200000 + (message_id // 1000) * 86400000 END AS deleted_at_ms, asked AND NOT done AS refused FROM m"""
+CASE WHEN done THEN {_NOW} WHEN (message_id % 1000) % 6 = 5 THEN 1704067200000 + (message_id // 1000) * 86400000 ELSE 0 END AS deleted_at_ms, asked AND NOT done AS refused FROM m"""
 )
 def deleted_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Every second message deleted for oneself, every fourth for everyone too; what isn't local can't be."""
     messages = tables.messages(spark, d)
     own = messages.where("message_id % 2 = 0").select("message_id", F.lit(False).alias("for_everyone"))
     everyone = messages.where("message_id % 4 = 0").select("message_id", F.lit(True).alias("for_everyone"))
-    return store.deleted(messages, own.unionByName(everyone), _NOW).select("message_id", "text", "body_state", "deleted_at_ms", "refused")
+    return store.deleted(messages, own.unionByName(everyone), _NOW).select("message_id", "text", "body_state", F.coalesce("deleted_at_ms", F.lit(0)).alias("deleted_at_ms"), "refused")
 
 
 @query(

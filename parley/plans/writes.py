@@ -166,7 +166,7 @@ def _cold_results(spark: SparkSession, d: str) -> DataFrame:
     return tables.messages(spark, d).select("message_id", "conversation_id", (F.col("body_state") == "remote_archive_only").alias("is_cold"))
 
 
-@query(f"WITH {MSG} SELECT message_id, conversation_id, 'search' AS reason, {_NOW} AS requested_at_ms FROM msg WHERE body_state = 'remote_archive_only'")
+@query(f"WITH {MSG} SELECT message_id, conversation_id, 'search_result_tap' AS reason, {_NOW} AS requested_at_ms FROM msg WHERE body_state = 'remote_archive_only'")
 def cold_requests(spark: SparkSession, d: str) -> DataFrame:
     """Cold search results ask for their bodies."""
     return store.cold_requests(_cold_results(spark, d), _NOW)
@@ -174,14 +174,14 @@ def cold_requests(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {MSG}, req AS (
-  SELECT message_id, 1 AS urgency, {_NOW} AS asked_at FROM msg WHERE body_state = 'remote_archive_only' AND message_id % 2 = 1
-  UNION ALL SELECT message_id, 0, created_at_ms FROM msg WHERE message_id % 2 = 0),
+  SELECT message_id, 0 AS urgency, {_NOW} AS asked_at FROM msg WHERE body_state = 'remote_archive_only'
+  UNION ALL SELECT message_id, 2, created_at_ms FROM msg WHERE message_id % 2 = 0 AND body_state <> 'remote_archive_only'),
 ranked AS (SELECT *, row_number() OVER (ORDER BY urgency, asked_at, message_id) AS nth FROM req)
 SELECT message_id, nth <= 10 AS taken FROM ranked WHERE message_id % 9 <> 0 OR nth <= 10"""
 )
 def queue_taken(spark: SparkSession, d: str) -> DataFrame:
-    """Ten requests are taken off a queue of visible and found messages, and every ninth of the rest is removed."""
-    visible = tables.messages(spark, d).where("message_id % 2 = 0").select("message_id", F.lit("visible").alias("reason"), F.col("created_at_ms").alias("requested_at_ms"))
+    """Ten requests are taken off a queue of visible and tapped messages, tapped ones first, and every ninth of the rest is removed."""
+    visible = tables.messages(spark, d).where("message_id % 2 = 0").select("message_id", F.lit("visible_viewport").alias("reason"), F.col("created_at_ms").alias("requested_at_ms"))
     queue = store.enqueued(visible, store.cold_requests(_cold_results(spark, d), _NOW).select("message_id", "reason", "requested_at_ms"))
     taken, left = store.dequeued(queue, 10)
     left = store.removed(left, left.where("message_id % 9 = 0"))

@@ -34,6 +34,17 @@ def _folder(path: str) -> tuple[pfs.FileSystem, str]:
     return pfs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
 
 
+def whole(file: str) -> bool:
+    """Whether a file can be opened and has a Parquet footer."""
+    files, at = _folder(file)
+    try:
+        with files.open_input_file(at) as source:
+            pq.ParquetFile(source)
+    except (OSError, pa.ArrowException):
+        return False
+    return True
+
+
 @dataclass
 class Month(InputPartition):
     """One file of a month; a partition of its own, so that a large month is several tasks'."""

@@ -38,6 +38,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return at.toString()
 
 
+def modified(spark: SparkSession, path: str) -> tuple:
+    """(name, length, time) of the files of a table as they are now."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(at)))
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a path that :func:`shared_path` gave."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
