@@ -66,7 +66,8 @@ def dedup_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
     lines = lines_of(F.col("text"))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    joined = own.join(covered, row, "left")
+    # it may be of any size, so it is never broadcast
+    joined = own.join(covered.hint("merge"), row, "left")
     out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(text))
     if removed:
         out = out.withColumn(removed, F.coalesce(F.array_size(gone), F.lit(0)))
