@@ -6,6 +6,8 @@ it ought to be; reads take only files that the map says are verified and that st
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,14 @@ def merkle_root(hashes: Column) -> Column:
     return F.get(F.aggregate(levels, hashes, lambda own, _: level(own)), F.lit(0))
 
 
+def keyed_hash(content: Column, key: bytes) -> Column:
+    """HMAC-SHA-256 of a binary column, 32 bytes: the same content has another hash under another key."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block) for pad in (0x36, 0x5C))
+    first = F.unhex(F.sha2(F.concat(F.lit(inner), content), 256))
+    return F.unhex(F.sha2(F.concat(F.lit(outer), first), 256))
+
+
 # --- a sink: blobs in chunks -----------------------------------------------------
 
 

@@ -64,6 +64,20 @@ def merkle_roots(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "pages").select("page_id", F.lower(F.hex(blobs.merkle_root(blobs.chunk_hashes(content)))).alias("root"))
 
 
+_KEY = b"tenant 7"
+_PADS = ["".join(f"\\x{b ^ pad:02X}" for b in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(
+    f"SELECT page_id, sha256(encode(coalesce(html, ''))) AS content_hash, "
+    f"sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(coalesce(html, ''))))) AS keyed_hash FROM pages"
+)
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of pages, by content alone and under a tenant's key."""
+    content = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    return tables.read(spark, d, "pages").select("page_id", F.sha2(content, 256).alias("content_hash"), F.lower(F.hex(blobs.keyed_hash(content, _KEY))).alias("keyed_hash"))
+
+
 @query(
     """SELECT CASE WHEN page_id % 5 = 0 THEN 'already' WHEN page_id % 7 = 0 THEN 'not read back' WHEN page_id % 11 = 0 THEN 'other content' ELSE 'migrated' END AS outcome,
 count(*) AS n, count(*) FILTER (page_id % 5 = 0 OR (page_id % 7 <> 0 AND page_id % 11 <> 0)) AS on_target FROM pages GROUP BY 1"""

@@ -88,3 +88,12 @@ def test_only_verified_and_whole_segments_are_read(spark, tmp_path):
     gone = {r.message_id for r in own.where(F.date_format(F.timestamp_millis("created_at_ms"), "yyyy-MM") == second).collect()}
     assert gone and read(good) == [k for k in left if k not in gone]
     assert blobs.read_segments(good, every, {"other": path}, own.schema).count() == 0
+
+
+@pytest.mark.parametrize("key", [b"", b"k", b"x" * 64, b"y" * 100])
+def test_keyed_hashes(spark, contents, key):
+    import hmac
+
+    df = spark.createDataFrame([(bytearray(c),) for c in contents.values()], "c binary")
+    got = sorted(bytes(r[0]) for r in df.select(blobs.keyed_hash(F.col("c"), key)).collect())
+    assert got == sorted(hmac.new(key, c, hashlib.sha256).digest() for c in contents.values())
