@@ -7,6 +7,7 @@ broadcast, the corpus is not.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -80,12 +81,14 @@ def newest_first(messages: DataFrame, limit: int) -> DataFrame:
 # --- full text -------------------------------------------------------------------
 
 
-def full_text(messages: DataFrame, query: str) -> DataFrame:
+def full_text(messages: DataFrame, query: str, split: Callable[[Column], Column] = text.words) -> DataFrame:
     """(message_id, bm25) of matching messages: Okapi BM25 with a non-negative idf.
 
     Statistics are those of ``messages``.  A prefix term counts all words it begins.
+    ``split`` gives a text's words; a lexicon's knows scripts without spaces, for which
+    the query must be cut by it too.
     """
-    words = messages.select("message_id", text.words(F.col("text")).alias("words"))
+    words = messages.select("message_id", split(F.col("text")).alias("words"))
     return scored_text(words.withColumn("len", F.size("words")), query)
 
 

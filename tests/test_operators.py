@@ -78,7 +78,9 @@ def assets(spark, rows):
 
 def test_pinned_and_unverified_stay(spark):
     rows = [("a", "video/mp4", 10, "archive_verified", "", 0, True), ("b", "video/mp4", 10, "archive_pending", "", 0, False), ("c", "video/mp4", 10, "archive_verified", "", 0, False), ("d", "text/x", 0, "archive_verified", "", 0, False)]
-    assert [r.asset_id for r in offload.candidates(assets(spark, rows), 10, 5).collect()] == ["c"]
+    own = assets(spark, rows + [("e", "video/mp4", 10, "archive_verified", "", 0, False)])
+    state = F.when(F.col("asset_id") == "e", "download_in_progress").otherwise("original_local")  # half-loaded
+    assert [r.asset_id for r in offload.candidates(own.withColumn("media_state", state), 10, 5).collect()] == ["c"]
 
 
 def test_greedy_takes_the_crossing_row(spark):

@@ -59,9 +59,11 @@ def test_the_index_is_the_scan(spark, messages, tmp_path):
     built = index.build(messages.where("message_id < 5"), path)
     built = index.added(built, messages.where("message_id >= 5"))
     for query in ("hello", "hello there", "light*", '"lighthouse at"', "hello NOT there", "there OR dawn", "keeper NEAR hello", "NOT", "", "世界", "привет"):
-        for by_index, by_scan in ((index.full_text(built, query), search.full_text(messages, query)), (index.fuzzy(built, query), search.fuzzy_scan(messages, query))):
+        by_words = search.full_text(messages, built.lexicon.query(query), built.words_of)
+        for by_index, by_scan in ((index.full_text(built, query), by_words), (index.fuzzy(built, query), search.fuzzy_scan(messages, query))):
             near = [{r.message_id: round(r[1], 9) for r in df.collect()} for df in (by_index, by_scan)]
             assert near[0] == near[1], query
+    assert set(ids(index.full_text(built, "世界"))) == {2, 3, 6}  # inside what is written without spaces
     plan = index.full_text(built, "hello there")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "part#" in plan and "ats:" not in plan and "text" not in plan
 
