@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parley.sources.shared import forget, shared_dir, shared_path, store, stored
 
 __all__ = [
-    "BATCH_ROWS", "bounded_batches", "give_back", "FOLDS", "HELD_OUT_FOLD", "drawn", "fold", "forget", "fresh", "held_out", "majority_labels", "numbered", "shared_dir", "shared_path", "store", "stored", "table",
+    "BATCH_ROWS", "bounded_batches", "give_back", "FOLDS", "HELD_OUT_FOLD", "drawn", "fold", "forget", "fresh", "held_out", "majority_labels", "numbered", "released", "shared_dir", "shared_path", "store", "stored", "table",
 ]
 
 #: Rows of these folds are never learned from: crc32(doc_id as text) mod 3 is 1.
@@ -85,6 +85,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of the plans and shuffle files of queries that ended and whose results are stored; Spark does so when its driver collects garbage."""
+    for _ in range(2):  # the first tells the JVM what Python has let go of
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 #: Draws by hash are this fine.
 _DRAWS = 1 << 62
 

@@ -16,30 +16,22 @@ source, and no word goes before a span's words were found equal to its source's.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import word_hashes
-from .common import bounded_batches, forget, numbered, store, stored
+from .common import bounded_batches, forget, numbered, released, store, stored
 
 #: Words of a window, words that name its place, and edges of a source that are compared at once.
 WINDOW, GRAM, CELL = 13, 5, 64
 
 
-def _released(spark: SparkSession) -> None:
-    """Let go of the shuffle files of queries that ended and whose results are stored; Spark does so when its driver collects garbage."""
-    for _ in range(2):  # the first tells the JVM what Python has let go of
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The segments (m, row, pos, n) of rows (row, text): hash of the naming words, row, first window, windows."""
     offsets = WINDOW - GRAM + 1
@@ -108,7 +100,7 @@ def _segments(own: DataFrame) -> tuple[DataFrame, str]:
     for old in (path, common_path):
         forget(spark, old)
     del anchors, common, spots
-    _released(spark)
+    released(spark)
     given = own.join(wanted, "row").select("row", "doc_id", "text", "pos", "n")
     out = store(given.mapInArrow(_edges, "u0 long, v0 long, n int, doc_id long, row long, pos int, nodes array<long>"), "spans-segments")
     forget(spark, wanted_path)
@@ -118,7 +110,7 @@ def _segments(own: DataFrame) -> tuple[DataFrame, str]:
 def _distinct(own: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """(places, distinct, path of distinct), stored tables: where each segment is (segment, doc_id, row, pos), and the different ones with a source."""
     segments, path = _segments(own)
-    _released(own.sparkSession)
+    released(own.sparkSession)
     heads = segments.groupBy("u0", "v0", "n").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min_by(F.struct("row", "pos", "nodes"), "doc_id").alias("src")
     )
@@ -139,7 +131,7 @@ def paths(windows: DataFrame) -> DataFrame:
         F.min("least").alias("least"), F.max("most").alias("most"), F.min_by("src_row", "least").alias("src_row"), F.min_by("src_pos", "least").alias("src_pos")
     )
     repeated, path = store(every.where("least < most").drop("most"), "spans-repeated")
-    _released(windows.sparkSession)
+    released(windows.sparkSession)
     ends = repeated.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
         repeated.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into"))
     )
@@ -160,7 +152,7 @@ def _verdicts(distinct: DataFrame) -> DataFrame:
     each = distinct.select("segment", "least", "most", F.col("src.row").alias("row"), F.col("src.pos").alias("pos"), F.explode(edges).alias("e"))
     windows = each.select("segment", "e.i", "e.u", "e.v", "least", "most", F.col("row").alias("src_row"), (F.col("pos") + F.col("e.i")).alias("src_pos"))
     graph = paths(windows.drop("segment", "i"))
-    _released(distinct.sparkSession)
+    released(distinct.sparkSession)
     placed = windows.select("segment", "i", "u", "v").join(graph, ["u", "v"])
     places = ["segment", "src_row", "path", F.floor(F.col("src_pos") / CELL).alias("cell"), (F.col("src_pos") - F.col("i")).alias("shift")]
     pieces = placed.groupBy(*places).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("n"), F.min("least").alias("least"))
@@ -175,10 +167,10 @@ def spans(own: DataFrame) -> DataFrame:
     """
     spark = own.sparkSession
     places, distinct, path = _distinct(own)
-    _released(spark)
+    released(spark)
     verdicts = _verdicts(distinct)
     forget(spark, path)
-    _released(spark)
+    released(spark)
     later = places.join(verdicts, "segment").select("doc_id", "row", "pos", F.explode("pieces").alias("p")).where("p.least < doc_id")
     at = F.col("pos") + F.col("p.i")
     moved = later.select("row", "p.src_row", "p.path", "p.cell", (at - (F.col("p.shift") + F.col("p.i"))).alias("by"), at.alias("start"), F.col("p.n").alias("n"))
@@ -190,7 +182,7 @@ def spans(own: DataFrame) -> DataFrame:
     merged = parts.groupBy(*on_path, "part").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"))
     out = stored(merged.select("row", "start", "n", "src_row", (F.col("start") - F.col("by")).alias("src_start")), "spans")
     del places, distinct, verdicts, later, moved, parts, merged
-    _released(spark)
+    released(spark)
     return out
 
 
