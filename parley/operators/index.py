@@ -26,8 +26,8 @@ from parley.functions import text
 from parley.operators import lexicon, match, search
 from parley.sources.shared import stored
 
-#: About so many messages share a range of the postings, of which there are MOST_PARTS at most; messages in a bucket.
-PART_MESSAGES, MOST_PARTS, BLOCK = 200_000, 32_768, 128
+#: A range of the postings has about so many messages and words at most, and there are MOST_PARTS at most; messages in a bucket.
+PART_MESSAGES, PART_WORDS, MOST_PARTS, BLOCK = 200_000, 500_000, 32_768, 128
 #: Buckets that give the first threshold of a search for the best.
 FIRST = 16
 #: After every word that a prefix begins.
@@ -170,9 +170,9 @@ def _bucket(sized: DataFrame) -> tuple[Column, int, int]:
     return start + F.pmod(F.xxhash64("message_id"), room).cast("int"), sum(r.n for r in classes), sum(r.words for r in classes)
 
 
-def word_postings(bucketed: DataFrame) -> DataFrame:
-    """(word, bucket, message_id, len, tf, places): where each word is in each message."""
-    each = bucketed.select("message_id", "len", "bucket", F.posexplode("words").alias("at", "word")).repartition("word", "bucket")
+def word_postings(bucketed: DataFrame, parts: int) -> DataFrame:
+    """(word, bucket, message_id, len, tf, places): where each word is in each message, by ``parts`` tasks."""
+    each = bucketed.select("message_id", "len", "bucket", F.posexplode("words").alias("at", "word")).repartition(parts, "word", "bucket")
     found = each.groupBy("word", "bucket", "message_id").agg(F.sort_array(F.collect_list("at")).alias("places"), F.first("len").alias("len"))
     return found.withColumn("tf", F.size("places"))
 
@@ -198,16 +198,21 @@ def _written(spark: SparkSession, path: str, blocks: DataFrame, grams: DataFrame
     held = _table(spark, path, "bounds").select("word", F.col("n").alias("df"))
     terms = held if lost is None else held.unionByName(lost.select("word", (-F.col("df")).alias("df")))
     _write(terms.groupBy("word").agg(F.sum("df").alias("df")), f"{path}/terms", parts, "word")
-    _write(grams.select("script", "token", "message_id"), f"{path}/grams", parts, "token", "script", "message_id")
+    # stored, for the ranges' bounds take a pass of their own over what is cut from the texts
+    cut = stored(grams.select("script", "token", "message_id"), "index-grams")
+    _write(cut, f"{path}/grams", parts, "token", "script", "message_id")
     fences = None
     for name, term in (("blocks", "word"), ("bounds", "word"), ("terms", "word"), ("grams", "token")):
-        own = _table(spark, path, name).groupBy(F.lit(name).alias("name"), "part").agg(F.min(term).alias("low"), F.max(term).alias("high"))
+        # a term may have very many rows of a range
+        each = _table(spark, path, name).select("part", F.col(term).alias("term")).distinct()
+        own = each.groupBy(F.lit(name).alias("name"), "part").agg(F.min("term").alias("low"), F.max("term").alias("high"))
         fences = own if fences is None else fences.unionByName(own)
     fences.coalesce(1).write.mode("overwrite").parquet(f"{path}/fences")
 
 
-def _parts(n: int) -> int:
-    return max(4, min(MOST_PARTS, -(-n // PART_MESSAGES)))
+def _parts(n: int, words: int) -> int:
+    """Ranges of a generation with so many messages and words: texts may be long, so messages alone don't tell."""
+    return max(4, min(MOST_PARTS, max(-(-n // PART_MESSAGES), -(-words // PART_WORDS))))
 
 
 def _named(spark: SparkSession, path: str, version: int, generations: list[tuple]) -> Index:
@@ -220,8 +225,9 @@ def build(messages: DataFrame, path: str) -> Index:
     spark = messages.sparkSession
     lexicon.learned(messages).coalesce(1).write.mode("overwrite").parquet(f"{path}/lexicon")
     own, n, words = _bucketed(Index(spark, path, 0), messages)
-    _written(spark, f"{path}/gen-0", _blocks(word_postings(own)), search.fuzzy_grams(messages), None, messages.where(F.lit(False)), _parts(n))
-    return _named(spark, path, 0, [(0, _parts(n), n, words)])
+    parts = _parts(n, words)
+    _written(spark, f"{path}/gen-0", _blocks(word_postings(own, parts)), search.fuzzy_grams(messages), None, messages.where(F.lit(False)), parts)
+    return _named(spark, path, 0, [(0, parts, n, words)])
 
 
 def changed(index: Index, before: DataFrame, after: DataFrame) -> Index:
@@ -235,9 +241,11 @@ def changed(index: Index, before: DataFrame, after: DataFrame) -> Index:
     own, n, words = _bucketed(index, after)
     less = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first()
     lost = old.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    _written(spark, f"{index.path}/gen-{gen}", _blocks(word_postings(own)), search.fuzzy_grams(after), lost, before, _parts(n))
+    # the words that it takes are in its dictionary too
+    parts = _parts(max(n, less.n), max(words, less.words))
+    _written(spark, f"{index.path}/gen-{gen}", _blocks(word_postings(own, parts)), search.fuzzy_grams(after), lost, before, parts)
     held = [tuple(g) for g in index.generations]
-    return _named(spark, index.path, index.version + 1, [*held, (gen, _parts(n), n - less.n, words - less.words)])
+    return _named(spark, index.path, index.version + 1, [*held, (gen, parts, n - less.n, words - less.words)])
 
 
 def added(index: Index, messages: DataFrame) -> Index:
@@ -252,9 +260,10 @@ def compacted(index: Index) -> Index:
     sized = held.groupBy("message_id").agg(F.first("len").alias("len"))
     # buckets by what is left: messages without words have no posting and need none
     own = held.withColumn("bucket", _bucket(sized)[0])
-    _written(spark, f"{index.path}/gen-{gen}", _blocks(own), index.grams, None, held.where(F.lit(False)), _parts(index.n))
     words = sum(g.words for g in index.generations)
-    return _named(spark, index.path, index.version + 1, [(gen, _parts(index.n), index.n, words)])
+    parts = _parts(index.n, words)
+    _written(spark, f"{index.path}/gen-{gen}", _blocks(own.repartition(parts, "word", "bucket")), index.grams, None, held.where(F.lit(False)), parts)
+    return _named(spark, index.path, index.version + 1, [(gen, parts, index.n, words)])
 
 
 # --- reading ---------------------------------------------------------------------

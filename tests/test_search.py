@@ -321,3 +321,18 @@ def test_a_search_of_the_cold_tier_stops(spark):
     assert skipped["house"] == skipped["zzz"] == 0 and skipped["light"] + skipped["light house"] > 0, skipped
     nothing, none = cold.stopping(hot.where("false"), far, SearchQuery("light"), policy, 3)
     assert nothing.count() == 3 and none.where("outcome = 'fetched'").count() > 0
+
+
+def test_ranges_grow_with_the_words_of_few_long_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "PART_WORDS", 400)
+    texts = [(k, " ".join(f"w{(k * 7 + i) % 90}" for i in range(200))) for k in range(40)]
+    own = spark.createDataFrame(texts, "message_id long, text string")
+    built = index.build(own, f"file:{tmp_path}/long")
+    assert built.generations[0].parts == 20
+    blocks = built.table("blocks").groupBy("part").agg(F.sum("n").alias("n")).collect()
+    assert len(blocks) > 10 and max(r.n for r in blocks) <= 1000
+    grown = index.changed(built, own.where("message_id % 2 = 0"), own.where("false"))
+    assert grown.generations[1].parts == 10  # what is taken away has words, too
+    packed = index.compacted(grown)
+    assert packed.generations[0].parts == 10
+    assert scores(index.full_text(packed, "w5 w6")) == scores(search.full_text(own.where("message_id % 2 = 1"), "w5 w6"))
