@@ -153,7 +153,9 @@ def tiered(found: DataFrame, target: int, level: str = "extreme") -> DataFrame:
 
 def evicted(assets: DataFrame, plan: DataFrame) -> DataFrame:
     """Assets after a plan ran: its own have state evicted and no local bytes, the others stay as they are."""
-    hit = assets.join(plan.select("asset_id", F.lit(True).alias("hit")).distinct(), "asset_id", "left")
+    # stored, so that Spark knows its size: a plan goes by its target, not by the assets, which then aren't shuffled
+    named = stored(plan.select("asset_id").distinct(), "eviction-plan")
+    hit = assets.join(named.withColumn("hit", F.lit(True)), "asset_id", "left")
     gone = F.coalesce(F.col("hit"), F.lit(False))
     return hit.withColumn("media_state", F.when(gone, "evicted").otherwise(F.col("media_state"))).withColumn("bytes_local", F.when(gone, 0).otherwise(F.col("bytes_local"))).drop("hit")
 

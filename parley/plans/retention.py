@@ -101,7 +101,8 @@ SELECT CASE WHEN asset_id IN (SELECT asset_id FROM a) THEN 'evicted' ELSE media_
        CAST(sum(CASE WHEN asset_id IN (SELECT asset_id FROM a) THEN 0 ELSE bytes_local END) AS BIGINT) AS bytes_local FROM asset GROUP BY 1"""
 )
 def eviction_applied(spark: SparkSession, d: str) -> DataFrame:
-    plan = offload.greedy(_rounded(spark, d), _TARGET, "warning")
+    # ids alone are looked at afterwards
+    plan = offload.greedy(_rounded(spark, d).select("asset_id", "kind", "bytes_local", "score"), _TARGET, "warning")
     after = offload.evicted(tables.assets(spark, d), plan)
     return after.groupBy("media_state").agg(F.count("*").alias("n"), F.sum("bytes_local").alias("bytes_local"))
 

@@ -266,3 +266,13 @@ def test_eviction_and_rehydration_leave_other_assets_alone(spark):
     assert {r.asset_id: (r.media_state, r.local_path) for r in store.rehydrated_media(assets, came).collect()} == {
         1: ("original_local", "/a"), 2: ("deleted", None), 3: ("download_in_progress", "/c"), 4: (None, "/d"), 5: ("original_local", "/e"),
     }
+
+
+def test_messages_meet_conversations_before_assets_are_shuffled(spark):
+    plan = tables.assets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    assert plan.nodeName() == "Join"
+    # of the two sides one is the assets' own table, which no other join has met
+    sides = [plan.children().apply(k) for k in range(2)]
+    assert sorted("Join" in side.toString() for side in sides) == [False, True]
