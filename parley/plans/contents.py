@@ -106,9 +106,11 @@ def _ingested(spark: SparkSession, d: str) -> tuple[Sink, int]:
     """Half of the messages, then all of them, taken in as a stream of files."""
     folder = shared_path(spark, "ingest")
     own = tables.messages(spark, d).select("message_id", "conversation_id", "sender_id", "created_at_ms", "kind", "text")
-    own.where("message_id % 2 = 0").coalesce(1).write.parquet(f"{folder}/in/1")
-    own.coalesce(1).write.parquet(f"{folder}/in/2")
-    arriving = spark.readStream.schema(_ARRIVED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    own.where("message_id % 2 = 0").write.parquet(f"{folder}/in/1")
+    own.write.parquet(f"{folder}/in/2")
+    # older files come first, so the first batch is the first folder, in as many files as its table has tasks
+    files = len(spark.read.parquet(f"{folder}/in/1").inputFiles())
+    arriving = spark.readStream.schema(_ARRIVED).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
     sink = Sink(spark, folder, _ARRIVED)
     sink.start(arriving, f"{folder}/cursor").awaitTermination()
     return sink, sink.epochs
