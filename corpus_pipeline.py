@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, line_dedup, near_copies, packing, risk_rules
+from parley.llm import covered_copies, decontaminate, line_dedup, packing, risk_rules
 from parley.llm.common import stored, table
 
 
@@ -33,7 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays that five-word Jaccard similarities of 0.8 or more connect; texts without a word are one group."""
-    return near_copies.keep_one(docs)
+    return covered_copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,7 +52,12 @@ def fingerprint(text: str) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())]
-    packed = np.array(hashes, ">u8").view("u1").reshape(-1, 8)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of unsigned 64-bit ``hashes`` as a signed number: bits that over half of them have; 0 without any."""
+    packed = hashes.astype(">u8").view("u1").reshape(-1, 8)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(packed), 4096):
         ones += np.unpackbits(packed[at : at + 4096], axis=1).sum(axis=0, dtype=np.int64)
