@@ -7,6 +7,7 @@ import ctypes
 import gc
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,10 +87,18 @@ def give_back() -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Let go of the plans and shuffle files of queries that ended and whose results are stored; Spark does so when its driver collects garbage."""
+    """Let go of the plans and shuffle files of queries that ended and whose results are stored; Spark does so when its driver collects garbage.
+
+    Memory that the driver's native code freed goes back to the machine, where its JVM
+    can do that: many short jobs leave parts of it in the heaps of many threads.
+    """
+    jvm = spark.sparkContext._jvm
     for _ in range(2):  # the first tells the JVM what Python has let go of
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(commands, "systemTrimNativeHeap", None, None)
 
 
 #: Draws by hash are this fine.

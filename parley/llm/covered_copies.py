@@ -92,7 +92,9 @@ def covered(signs: DataFrame, sets: DataFrame) -> DataFrame:
     equal = signs.join(first.hint("merge"), "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     apart = simhash.links(first.select("fp")).join(first.toDF("a", "first_a").hint("merge"), "a").join(first.toDF("b", "first_b").hint("merge"), "b")
     pairs = stored(equal.unionByName(apart.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))), "near-collisions")
-    return stored(checked(pairs, sets).where("near").select("a", "b"), "near-covered")
+    found = stored(checked(pairs, sets).where("near").select("a", "b"), "near-covered")
+    released(signs.sparkSession)
+    return found
 
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,8 +229,7 @@ def links(members: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
     shingles) must be stored tables.
     """
     spark = members.sparkSession
-    every = covered(signs.select("node", "fp"), sets)
-    roots = stored(components(every), "near-roots")
+    roots = stored(components(covered(signs.select("node", "fp"), sets)), "near-roots")
     teams, large = _first_teams(members)
     second, refused, tries = False, None, 1
     while True:
@@ -239,10 +240,11 @@ def links(members: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
             dealt = dealt.join(refused.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("refused")).hint("merge"), "node", "left")
         proposed = stored(_proposed(dealt.withColumn("root", F.coalesce("root", "node")), tries), "near-proposed")
         seen = stored(checked(proposed.select("a", "b").distinct(), sets), "near-checked")
-        every = every.unionByName(seen.where("near").select("a", "b"))
         no = seen.where("not near").select("a", "b")
         refused = no if refused is None else refused.unionByName(no)
         if not seen.where("near").isEmpty():
+            # what was linked before is stars by now, so only these and the new links are contracted
+            every = roots.toDF("a", "b").unionByName(seen.where("near").select("a", "b"))
             roots = stored(components(every), "near-roots")
         released(spark)
         if proposed.isEmpty() or seen.where("not near").isEmpty():

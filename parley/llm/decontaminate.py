@@ -8,10 +8,12 @@ can the window be.  The shingle's place in the window then fixes where the windo
 begin (the positional bound) and end (the length bound), and the document's words there
 are compared with the window's.  DataFrame and SQL functions only.
 
-Documents are not exploded into their shingles.  Within a row a map of hashes, one byte a
-slot, tells which places may have a wanted shingle; these places, with the words around
-them, are joined.  The map grows with the benchmark up to MOST_SLOTS; beyond, more places
-are joined in vain, by the same plan and with the same result.
+A map of hashes, one byte a slot, tells which places may have a wanted shingle, in the task
+that reads the text; only these places, with the words around them, are stored and joined.
+The map grows with the benchmark up to MOST_SLOTS; beyond, more places are joined in vain,
+by the same plan and with the same result.  It is the value of a stored table that plans
+refer to: as a literal it would be written out, two digits a slot, wherever the driver
+describes a plan.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, stored
+from .common import numbered, released, stored
 
 WINDOW, SHINGLE = 13, 4
 #: A document is contaminated if hit words are at least this part of its words.
@@ -70,8 +72,8 @@ def _shingles(windows: DataFrame, sizes: list[int]) -> DataFrame:
     return out
 
 
-def _slots(wanted: DataFrame) -> tuple[bytes, int]:
-    """A map of the hashes ``h`` of ``wanted``: a byte for each slot, 1 if taken, and the number of slots, at most MOST_SLOTS."""
+def _slots(wanted: DataFrame) -> tuple[DataFrame, int]:
+    """A map of the hashes ``h`` of ``wanted``: a stored value with a byte for each slot, 1 if taken, and the number of slots, at most MOST_SLOTS."""
     n = wanted.count()
     slots = 1 << 10
     while slots < min(MOST_SLOTS, SLOTS_EACH * n):
@@ -82,21 +84,21 @@ def _slots(wanted: DataFrame) -> tuple[bytes, int]:
     for row in held.collect():  # at most MOST_SLOTS numbers
         for at in row["held"]:
             taken[at] = 1
-    return bytes(taken), slots
+    return stored(wanted.sparkSession.createDataFrame([(bytes(taken),)], "held binary"), "benchmark-map"), slots
 
 
-def _places(words: str, wanted: DataFrame, sizes: list[int]) -> Column:
-    """For an array of words, the places (k, pos, h) that may have a shingle ``h`` of ``wanted``."""
-    taken, slots = _slots(wanted)
-    held = F.lit(taken)
-
-    def of_size(k: int) -> Column:
-        starts = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-        slot = lambda i: _shingle(words, i, k).bitwiseAND(F.lit(slots - 1)).cast("int") + 1
-        held_places = F.filter(starts, lambda i: F.substring(held, slot(i), F.lit(1)) == F.lit(b"\x01"))
-        return F.transform(held_places, lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos"), _shingle(words, i, k).alias("h")))
-
-    return F.flatten(F.array(*map(of_size, sizes)))
+def _places(own: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row (all columns of ``own``, k, pos, h) for each place of the array ``words`` that may have a shingle ``h`` of ``wanted``."""
+    held, slots = _slots(wanted)
+    n, k, pos = F.size("words"), F.col("k"), F.col("pos")
+    starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+    # outer: else Spark asks for an array that isn't empty first, and cuts each text again for that
+    placed = own.withColumn("k", F.explode(F.array(*map(F.lit, sizes)))).withColumn("pos", F.explode_outer(starts))
+    h = F.lit(None).cast("long")
+    for size in sizes:
+        h = F.when(k == size, _shingle("words", pos, size)).otherwise(h)
+    slot = F.col("h").bitwiseAND(F.lit(slots - 1)).cast("int") + 1
+    return placed.withColumn("h", h).where(pos.isNotNull() & (F.substring(held.scalar(), slot, F.lit(1)) == F.lit(b"\x01")))
 
 
 def _prefixes(own: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
@@ -107,7 +109,7 @@ def _prefixes(own: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame
     """
     shingles = stored(_shingles(windows, sizes), "benchmark-shingles")
     wanted = stored(shingles.select("k", "h").distinct(), "benchmark-wanted")
-    places = own.select(words_of(F.col("text")).alias("words")).select(F.explode(_places("words", wanted, sizes)).alias("p")).select("p.k", "p.h")
+    places = _places(own.select(words_of(F.col("text")).alias("words")), wanted, sizes)
     seen = places.groupBy("k", "h").agg(F.count("*").alias("seen"))
     ranked = shingles.join(seen, ["k", "h"], "left")
     rarest = F.min_by(F.struct("k", "h", "offset"), F.struct("seen", "h", "offset"))
@@ -130,30 +132,43 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _hits(own: DataFrame, benchmark: DataFrame) -> DataFrame:
+    occurring, window_items = _occurring(own, benchmark)
+    none = F.expr("cast(array() as array<string>)")
+    named = window_items.where("item_id is not null")
+    listed = occurring.select("row", "window").distinct().join(named, "window").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    every = own.select("row", "doc_id", F.size(words_of(F.col("text"))).alias("n_words"))
+    every = every.join(_counted(occurring).drop("n_words").join(listed, "row", "left"), "row", "left")
+    return every.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"))
+
+
+def _counted(occurring: DataFrame) -> DataFrame:
+    """(row, n_words, n_hit) for each row with a hit."""
+    spans = F.transform(F.collect_set(F.struct("start", "m")), lambda x: F.sequence(x["start"], x["start"] + x["m"] - 1))
+    return occurring.groupBy("row").agg(F.first("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(spans))).alias("n_hit"))
+
+
+def _occurring(own: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tables (row, n_words, window, start, m) of the windows where they occur in ``own``, and (window, item_id)."""
     windows, window_items = _windows(benchmark)
     sizes = sorted(r["k"] for r in windows.select(F.least(F.col("m"), F.lit(SHINGLE)).alias("k")).distinct().collect())  # at most SHINGLE numbers
-    words = own.select("row", "doc_id", words_of(F.col("text")).alias("words"))
-    none = F.expr("cast(array() as array<int>)")
     if not sizes:
-        return words.select("row", "doc_id", F.size("words").alias("n_words"), F.lit(0).alias("n_hit"), none.cast("array<string>").alias("items"))
+        nothing = own.sparkSession.createDataFrame([], "row long, n_words int, window long, start int, m int")
+        return nothing, window_items
     prefixes = _prefixes(own, windows, sizes)
     around = WINDOW - 1
-    base = F.greatest(F.col("p.pos") - around, F.lit(0))
-    found = words.select("row", "doc_id", "words", F.size("words").alias("n_words"), _places("words", prefixes, sizes).alias("places"))
-    near = F.expr(f"transform(places, p -> struct(p.k as k, p.pos as pos, p.h as h, slice(words, greatest(p.pos - {around}, 0) + 1, least(p.pos, {around}) + {WINDOW}) as near))")
-    found = stored(found.select("row", "doc_id", "n_words", near.alias("places")), "decontaminate-places")
-
-    begin = F.col("p.pos") - F.col("offset")
-    met = found.where(F.size("places") > 0).select("row", "n_words", F.explode("places").alias("p"))
-    met = met.join(prefixes, (F.col("p.k") == F.col("k")) & (F.col("p.h") == F.col("h"))).where((begin >= 0) & (begin + F.col("m") <= F.col("n_words")))
-    same = F.slice(F.col("p.near"), begin - base + 1, F.col("m")) == F.col("run")
-    whole = stored(met.where(same).select("row", "window", begin.alias("start"), "m").distinct(), "decontaminate-hits")
-    spans = F.transform(F.collect_set(F.struct("start", "m")), lambda x: F.sequence(x["start"], x["start"] + x["m"] - 1))
-    hit = whole.groupBy("row").agg(F.size(F.array_distinct(F.flatten(spans))).alias("n_hit"))
-    named = window_items.where("item_id is not null")
-    listed = whole.select("row", "window").distinct().join(named, "window").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    every = found.select("row", "doc_id", "n_words").join(hit.join(listed, "row", "left"), "row", "left")
-    return every.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none.cast("array<string>")).alias("items"))
+    words = own.select("row", words_of(F.col("text")).alias("words"))
+    near = F.expr(f"slice(words, greatest(pos - {around}, 0) + 1, least(pos, {around}) + {WINDOW})")
+    found = _places(words, prefixes, sizes).select("row", F.size("words").alias("n_words"), "k", "h", "pos", near.alias("near"))
+    found = stored(found, "decontaminate-places")
+
+    begin = F.col("pos") - F.col("offset")
+    met = found.join(prefixes, ["k", "h"]).where((begin >= 0) & (begin + F.col("m") <= F.col("n_words")))
+    base = F.greatest(F.col("pos") - around, F.lit(0))
+    same = F.slice("near", begin - base + 1, F.col("m")) == F.col("run")
+    whole = met.where(same).select("row", "n_words", "window", begin.alias("start"), "m").distinct()
+    whole = stored(whole, "decontaminate-hits")
+    released(own.sparkSession)
+    return whole, window_items
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -170,7 +185,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
     own, row = numbered(docs, "decontaminate-rows")
-    found = _hits(own.select(F.col(row).alias("row"), "doc_id", "text"), benchmark)
-    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row").alias("bad_row"))
+    occurring, _ = _occurring(own.select(F.col(row).alias("row"), "text"), benchmark)
+    bad = _counted(occurring).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row").alias("bad_row"))
     bad = stored(bad, "contaminated")
     return own.join(bad, own[row] == bad["bad_row"], "left_anti").drop(row)

@@ -93,3 +93,19 @@ def test_native(spark, make_docs):
     found = decontaminate.judge(make_docs([(1, "a b")]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_no_plan_spells_out_the_map(spark, make_docs, monkeypatch):
+    """The map has 64 bytes for each of some 2,000 shingles, and was two digits a byte in every plan of the texts."""
+    rng = random.Random(15)
+    items = [(k, syllables(rng, 60)) for k in range(40)]
+    docs = [(1, items[7][1]), (2, syllables(rng, 90)), (3, None)]
+    lengths, one = [], decontaminate.stored
+
+    def told(df, name):
+        lengths.append(len(df._jdf.queryExecution().toString()))
+        return one(df, name)
+
+    monkeypatch.setattr(decontaminate, "stored", told)
+    assert got(spark, docs=make_docs(docs), items=items) == brute(docs, items)
+    assert max(lengths) < 50_000

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from parley.llm import line_dedup, simhash
+from parley.llm.common import store
 from parley.llm.components import components
 
 from .conftest import syllables
@@ -88,6 +89,16 @@ def test_components(spark, edges):
     assert got == parent
 
 
+def test_stars_are_not_contracted_again(spark, monkeypatch):
+    """One table is stored for edges that are stars, where a contraction of eight stages found that nothing changed."""
+    kept, one = [], store
+    monkeypatch.setattr("parley.llm.components.store", lambda df, name: kept.append(name) or one(df, name))
+    edges = [(1, k) for k in range(2, 40)] + [(50, 51), (52, 50)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(1, 40)} | {k: 50 for k in (50, 51, 52)}
+    assert len(kept) == 1
+
+
 def test_near_duplicates(make_docs, edge_rows):
     docs = make_docs(edge_rows, clash=True)
     got = simhash.near_duplicates(docs).collect()
