@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -58,6 +59,29 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def word_places(words: Column) -> Column:
+    """(word, places) of the distinct words of an array: where in it each is, from 0."""
+    numbered = F.sort_array(F.transform(words, lambda word, at: F.struct(word.alias("word"), at.alias("at"))))
+
+    def grouped(sorted_words: Column, at: Column) -> Column:
+        count = F.size(sorted_words)
+        changes = F.filter(F.sequence(F.lit(0), count - 1), lambda i: (i == 0) | (F.get(sorted_words, i) != F.get(sorted_words, i - 1)))
+
+        def cut(first: Column, k: Column, firsts: Column) -> Column:
+            places = F.slice(at, first + 1, F.coalesce(F.get(firsts, k + 1), count) - first)
+            return F.struct(F.get(sorted_words, first).alias("word"), places.alias("places"))
+
+        return once(changes, lambda firsts: F.transform(firsts, lambda first, k: cut(first, k, firsts)))
+
+    held = once(numbered, lambda rows: once(rows["word"], lambda own: once(rows["at"], lambda at: grouped(own, at))))
+    return F.when(F.size(words) > 0, held).otherwise(F.array().cast("array<struct<word:string,places:array<int>>>"))
+
+
 def script_runs(text: Column) -> Column:
     """Runs of one script each; other characters stay with the run before, leading ones with the first."""
     known = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text
 from parley.operators import lexicon, match, search
-from parley.sources.shared import stored
+from parley.sources.shared import exists, forget, store
 
 #: A range of the postings has about so many messages and words at most, and there are MOST_PARTS at most; messages in a bucket.
 PART_MESSAGES, PART_WORDS, MOST_PARTS, BLOCK = 200_000, 500_000, 32_768, 128
@@ -35,7 +35,6 @@ _LAST = "\U0010ffff"
 #: Columns of the tables in ranges; {id} is the type of message_id.
 _TABLES = {
     "blocks": "word string, bucket int, n long, max_tf int, min_len int, ids array<{id}>, lens array<int>, tfs array<int>, ats array<array<int>>, part int",
-    "bounds": "word string, bucket int, n long, max_tf int, min_len int, part int",
     "terms": "word string, df long, part int",
     "grams": "script string, token string, message_id {id}, part int",
 }
@@ -73,6 +72,8 @@ class Index:
 
     def table(self, name: str, wanted: list[tuple[str, str]] | None = None) -> DataFrame:
         """A table of all generations with ``gen``; with ``wanted``, pairs of bounds of terms, only ranges that overlap one."""
+        if name == "grams" and not self.has_grams:
+            raise ValueError(f"{self.path} is an index of words alone")
         out = None
         for g in self.generations:
             own = _table(self.spark, f"{self.path}/gen-{g.gen}", name)
@@ -108,6 +109,11 @@ class Index:
         """(word, message_id, positions, len): all postings that hold."""
         return self.live(_posted(self.table("blocks"), places=True)).withColumnRenamed("places", "positions").drop("tf")
 
+    @cached_property
+    def has_grams(self) -> bool:
+        """Whether n-grams are stored, which is told when it is built."""
+        return exists(self.spark, f"{self.path}/gen-{self.generations[0].gen}/grams")
+
     @property
     def grams(self) -> DataFrame:
         """(script, token, message_id): all n-grams that hold."""
@@ -145,12 +151,10 @@ def _any(keys: list[str]) -> Column:
 # --- writing ---------------------------------------------------------------------
 
 
-def _bucketed(index: Index, messages: DataFrame) -> tuple[DataFrame, int, int]:
-    """((message_id, words, len, bucket), messages, words): buckets are of some BLOCK messages of like length."""
-    split = messages.select("message_id", index.words_of(F.col("text")).alias("words")).withColumn("len", F.size("words"))
-    split = stored(split, "index-words")  # texts are split once
-    bucket, n, words = _bucket(split)
-    return split.withColumn("bucket", bucket), n, words
+def _split(index: Index, messages: DataFrame) -> tuple[DataFrame, str]:
+    """((message_id, len, posts), path): texts are split once, and a message's words are put together in its row."""
+    words = messages.select("message_id", index.words_of(F.col("text")).alias("words"))
+    return store(words.select("message_id", F.size("words").alias("len"), text.word_places(F.col("words")).alias("posts")), "index-words", compression="zstd")
 
 
 def _bucket(sized: DataFrame) -> tuple[Column, int, int]:
@@ -170,39 +174,48 @@ def _bucket(sized: DataFrame) -> tuple[Column, int, int]:
     return start + F.pmod(F.xxhash64("message_id"), room).cast("int"), sum(r.n for r in classes), sum(r.words for r in classes)
 
 
-def word_postings(bucketed: DataFrame, parts: int) -> DataFrame:
-    """(word, bucket, message_id, len, tf, places): where each word is in each message, by ``parts`` tasks."""
-    each = bucketed.select("message_id", "len", "bucket", F.posexplode("words").alias("at", "word")).repartition(parts, "word", "bucket")
-    found = each.groupBy("word", "bucket", "message_id").agg(F.sort_array(F.collect_list("at")).alias("places"), F.first("len").alias("len"))
-    return found.withColumn("tf", F.size("places"))
+def word_postings(split: DataFrame, bucket: Column) -> DataFrame:
+    """(word, bucket, message_id, len, places): where each word is in each message."""
+    each = split.withColumn("bucket", bucket).select("message_id", "len", "bucket", F.explode("posts").alias("p"))
+    return each.select("p.word", "bucket", "message_id", "len", "p.places")
 
 
-def _blocks(postings: DataFrame) -> DataFrame:
-    """(word, bucket, n, max_tf, min_len, and arrays by posting) of ``postings``, each block in the order of ids."""
+def _blocks(postings: DataFrame, parts: int) -> DataFrame:
+    """(word, bucket, n, max_tf, min_len, and arrays by posting) of ``postings`` in ranges, each block in the order of ids.
+
+    The ranges are those of the postings, so blocks are made where they stay: no posting is shuffled twice.
+    """
+    ranges = postings.repartitionByRange(parts, "word", "bucket").withColumn("tf", F.size("places"))
     held = F.sort_array(F.collect_list(F.struct("message_id", "len", "tf", "places")))
-    own = postings.groupBy("word", "bucket").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), held.alias("p"))
+    own = ranges.groupBy("word", "bucket").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), held.alias("p"))
     return own.select("word", "bucket", "n", "max_tf", "min_len", *(F.col(f"p.{one}").alias(many) for many, one in _ARRAYS.items()))
 
 
-def _write(rows: DataFrame, path: str, parts: int, *order: str) -> None:
-    """``rows`` in sorted ranges, a folder each."""
-    ranges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranges.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(path)
+def _write(ranges: DataFrame, path: str, *order: str) -> None:
+    """``ranges`` sorted, a folder each."""
+    own = ranges.withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *order)
+    own.write.mode("overwrite").partitionBy("part").parquet(path, compression="zstd")
 
 
-def _written(spark: SparkSession, path: str, blocks: DataFrame, grams: DataFrame, lost: DataFrame | None, gone: DataFrame, parts: int) -> None:
-    """The tables of one generation in ``path``; ``lost`` are words (word, df) of what it takes away."""
+def _written(spark: SparkSession, path: str, blocks: DataFrame, grams: DataFrame | None, lost: DataFrame | None, gone: DataFrame, parts: int) -> None:
+    """The tables of one generation in ``path``, of ``grams`` if there are any; ``lost`` are words (word, df) of what it takes away."""
     gone.select("message_id").distinct().write.mode("overwrite").parquet(f"{path}/gone")
-    _write(blocks, f"{path}/blocks", parts, "word", "bucket")
-    _write(_table(spark, path, "blocks").select("word", "bucket", "n", "max_tf", "min_len"), f"{path}/bounds", parts, "word", "bucket")
-    held = _table(spark, path, "bounds").select("word", F.col("n").alias("df"))
+    _write(blocks, f"{path}/blocks", "word", "bucket")
+    held = _table(spark, path, "blocks").select("word", F.col("n").alias("df"))
     terms = held if lost is None else held.unionByName(lost.select("word", (-F.col("df")).alias("df")))
-    _write(terms.groupBy("word").agg(F.sum("df").alias("df")), f"{path}/terms", parts, "word")
-    # stored, for the ranges' bounds take a pass of their own over what is cut from the texts
-    cut = stored(grams.select("script", "token", "message_id"), "index-grams")
-    _write(cut, f"{path}/grams", parts, "token", "script", "message_id")
+    _write(terms.groupBy("word").agg(F.sum("df").alias("df")).repartitionByRange(parts, "word"), f"{path}/terms", "word")
+    named = [("blocks", "word"), ("terms", "word")]
+    if grams is None:
+        forget(spark, f"{path}/grams")  # of another index that was here
+    else:
+        # stored, for the ranges' bounds take a pass of their own over what is cut from the texts
+        cut, at = store(grams.select("script", "token", "message_id"), "index-grams", compression="zstd")
+        order = ("token", "script", "message_id")
+        _write(cut.repartitionByRange(parts, *order), f"{path}/grams", *order)
+        forget(spark, at)
+        named.append(("grams", "token"))
     fences = None
-    for name, term in (("blocks", "word"), ("bounds", "word"), ("terms", "word"), ("grams", "token")):
+    for name, term in named:
         # a term may have very many rows of a range
         each = _table(spark, path, name).select("part", F.col(term).alias("term")).distinct()
         own = each.groupBy(F.lit(name).alias("name"), "part").agg(F.min("term").alias("low"), F.max("term").alias("high"))
@@ -220,13 +233,20 @@ def _named(spark: SparkSession, path: str, version: int, generations: list[tuple
     return Index(spark, path, version)
 
 
-def build(messages: DataFrame, path: str) -> Index:
-    """Write the index of ``messages`` (message_id, text) to ``path``, with the words of unspaced scripts that they teach."""
+def build(messages: DataFrame, path: str, grams: bool = True) -> Index:
+    """Write the index of ``messages`` (message_id, text) to ``path``, with the words of unspaced scripts that they teach.
+
+    Without ``grams`` it is one of words alone, as whatever is added to it later: all full-text
+    searches find the same, n-grams aren't stored and :func:`fuzzy` says so.
+    """
     spark = messages.sparkSession
     lexicon.learned(messages).coalesce(1).write.mode("overwrite").parquet(f"{path}/lexicon")
-    own, n, words = _bucketed(Index(spark, path, 0), messages)
+    split, at = _split(Index(spark, path, 0), messages)
+    bucket, n, words = _bucket(split)
     parts = _parts(n, words)
-    _written(spark, f"{path}/gen-0", _blocks(word_postings(own, parts)), search.fuzzy_grams(messages), None, messages.where(F.lit(False)), parts)
+    cut = search.fuzzy_grams(messages) if grams else None
+    _written(spark, f"{path}/gen-0", _blocks(word_postings(split, bucket), parts), cut, None, messages.where(F.lit(False)), parts)
+    forget(spark, at)
     return _named(spark, path, 0, [(0, parts, n, words)])
 
 
@@ -238,12 +258,15 @@ def changed(index: Index, before: DataFrame, after: DataFrame) -> Index:
     """
     spark, gen = index.spark, index.generations[-1].gen + 1
     old = before.select("message_id", index.words_of(F.col("text")).alias("words")).withColumn("len", F.size("words"))
-    own, n, words = _bucketed(index, after)
+    split, at = _split(index, after)
+    bucket, n, words = _bucket(split)
     less = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first()
     lost = old.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     # the words that it takes are in its dictionary too
     parts = _parts(max(n, less.n), max(words, less.words))
-    _written(spark, f"{index.path}/gen-{gen}", _blocks(word_postings(own, parts)), search.fuzzy_grams(after), lost, before, parts)
+    cut = search.fuzzy_grams(after) if index.has_grams else None
+    _written(spark, f"{index.path}/gen-{gen}", _blocks(word_postings(split, bucket), parts), cut, lost, before, parts)
+    forget(spark, at)
     held = [tuple(g) for g in index.generations]
     return _named(spark, index.path, index.version + 1, [*held, (gen, parts, n - less.n, words - less.words)])
 
@@ -259,10 +282,10 @@ def compacted(index: Index) -> Index:
     held = index.live(_posted(index.table("blocks"), places=True))
     sized = held.groupBy("message_id").agg(F.first("len").alias("len"))
     # buckets by what is left: messages without words have no posting and need none
-    own = held.withColumn("bucket", _bucket(sized)[0])
+    own = held.withColumn("bucket", _bucket(sized)[0]).select("word", "bucket", "message_id", "len", "places")
     words = sum(g.words for g in index.generations)
     parts = _parts(index.n, words)
-    _written(spark, f"{index.path}/gen-{gen}", _blocks(own.repartition(parts, "word", "bucket")), index.grams, None, held.where(F.lit(False)), parts)
+    _written(spark, f"{index.path}/gen-{gen}", _blocks(own, parts), index.grams if index.has_grams else None, None, held.where(F.lit(False)), parts)
     return _named(spark, index.path, index.version + 1, [(gen, parts, index.n, words)])
 
 
@@ -337,7 +360,8 @@ def bucket_bounds(index: Index, query: str) -> DataFrame:
     query = _cut(index, query)
     wanted = match.positive_words(query)
     known = {r["word"]: r["df"] for r in terms(index, wanted).collect()}
-    own = index.table("bounds", wanted=_bounds(wanted)).where(_any(wanted))
+    # the arrays of the blocks aren't read
+    own = index.table("blocks", wanted=_bounds(wanted)).where(_any(wanted))
     idf = reduce(lambda c, w: F.when(F.col("word") == w, _idf(index.n, known.get(w, 0))).otherwise(c), wanted, F.lit(0.0))
     best = idf * _saturated(F.col("max_tf"), F.col("min_len"), index.average)
     found = own.groupBy("gen", "bucket").agg(F.sum(best).alias("bound"), F.sum("n").alias("postings"), F.collect_set("word").alias("words"))

@@ -24,6 +24,8 @@ SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 _RANGES = "฀-໿က-႟ក-៿々぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _PIECES = re.compile(f"[{_RANGES}]+|[^{_RANGES}]+")
 UNSPACED = re.compile(f"[{_RANGES}]+")
+#: All of their characters, and some others: looked for first, for a script is told by a search for each character.
+_FAR = "[\u0e00-\U0010ffff]"
 #: Characters of a word at most, its least occurrences, how many times likelier than chance, and words of a table at most.
 LONGEST, LEAST, COHESION, WORDS = 4, 2, 4.0, 200_000
 #: Marks that belong to the letter before them.
@@ -38,7 +40,8 @@ def normal(body: str) -> str:
 def pieces(body: Column) -> Column:
     """The runs of unspaced scripts in a text."""
     known = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS)
-    return F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(f"([{known}]+)"), F.lit(1))
+    found = F.regexp_extract_all(body, F.lit(f"([{known}]+)"), F.lit(1))
+    return F.when(body.rlike(_FAR), found).otherwise(F.array().cast("array<string>"))
 
 
 def learned(messages: DataFrame, least: int = LEAST, cohesion: float = COHESION, size: int = WORDS) -> DataFrame:
@@ -118,7 +121,11 @@ class Lexicon:
             return pa.array([self.words(b.as_py()) for b in bodies], pa.list_(pa.string()))
 
         known = "".join(rf"\p{{Is{s}}}" for s in SCRIPTS)
-        return lambda body: F.when(body.rlike(f"[{known}]"), cut(F.when(body.rlike(f"[{known}]"), body))).otherwise(text.words(body))
+
+        def unspaced(body: Column) -> Column:
+            return body.rlike(_FAR) & body.rlike(f"[{known}]")
+
+        return lambda body: F.when(unspaced(body), cut(F.when(unspaced(body), body))).otherwise(text.words(body))
 
 
 def read(table: DataFrame) -> Lexicon:

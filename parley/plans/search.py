@@ -24,11 +24,12 @@ _indexes: dict[tuple, index.Index] = {}
 
 
 def stored_index(spark: SparkSession, d: str, table: str = "messages") -> index.Index:
-    """The search index of a folder's messages or documents, built once in an application and kept in the shared folder."""
+    """The search index of a folder's messages, or of its documents' words, built once in an application and kept in the shared folder."""
     key = (spark.sparkContext.applicationId, table, modified(spark, f"{d}/{'conversations' if table == 'messages' else table}.parquet"))
     if key not in _indexes:
         own = tables.messages(spark, d) if table == "messages" else tables.read(spark, d, table).select(F.col("doc_id").alias("message_id"), "text")
-        _indexes[key] = index.build(own, shared_path(spark, f"index-{table}"))
+        # no query looks for n-grams of documents
+        _indexes[key] = index.build(own, shared_path(spark, f"index-{table}"), grams=table == "messages")
     return _indexes[key]
 
 

@@ -45,20 +45,25 @@ def modified(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(at)))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a path that :func:`shared_path` gave."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back: (table, path).
+def store(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder, with the writer's ``options``, and read it back: (table, path).
 
     This cuts the lineage, and what was computed survives the loss of executors.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -336,3 +337,41 @@ def test_ranges_grow_with_the_words_of_few_long_texts(spark, tmp_path, monkeypat
     packed = index.compacted(grown)
     assert packed.generations[0].parts == 10
     assert scores(index.full_text(packed, "w5 w6")) == scores(search.full_text(own.where("message_id % 2 = 1"), "w5 w6"))
+
+
+def test_word_places(spark):
+    bodies = ["", "a", "b a b  a c", "é e E É x", None, " ".join(f"w{k % 7}" for k in range(500))]
+    split = spark.createDataFrame(list(enumerate(bodies)), "message_id int, text string").select("message_id", text.words(F.col("text")).alias("words"))
+    for r in split.select("message_id", "words", text.word_places(F.col("words")).alias("posts")).collect():
+        want = {w: [i for i, v in enumerate(r.words) if v == w] for w in r.words}
+        assert {p.word: p.places for p in r.posts} == want and len(r.posts) == len(want), r.message_id
+
+
+def test_a_build_moves_postings_once_and_leaves_nothing_else(spark, corpus, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.glob("index-*"))
+    built = index.build(corpus, f"file:{tmp_path}/once")
+    index.compacted(index.changed(built, corpus.where("message_id < 9"), corpus.where("message_id < 5")))
+    assert set(shared.glob("index-*")) == before
+    split, _ = index._split(built, corpus)
+    blocks = index._blocks(index.word_postings(split, index._bucket(split)[0]), 4)
+    assert blocks.count() == built.table("blocks").count()
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+
+
+def test_an_index_of_words_alone(spark, corpus, tmp_path):
+    path = f"{tmp_path}/words"
+    built = index.build(corpus.where("message_id % 2 = 0"), f"file:{path}")
+    built = index.build(corpus.where("message_id % 2 = 0"), f"file:{path}", grams=False)
+    built = index.added(built, corpus.where("message_id % 2 = 1"))
+    gone = corpus.where("message_id % 9 = 0")
+    built = index.changed(built, gone, gone.where("false"))
+    packed, now = index.compacted(built), corpus.where("message_id % 9 <> 0")
+    for query in ("w3 w1", '"w1 w0"', "w5* NOT w3"):
+        want = scores(search.full_text(now, query))
+        assert scores(index.full_text(built, query)) == scores(index.full_text(packed, query)) == want, query
+    for held in (built, packed):
+        assert not list(Path(path).glob("gen-*/grams"))
+        with pytest.raises(ValueError, match="words alone"):
+            index.fuzzy(held, "abc")
