@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 
 from parley.functions import text
 from parley.operators import lexicon, match, search
-from parley.sources.shared import exists, forget, store
+from parley.sources.shared import exists, forget, pieces, store
 
 #: A range of the postings has about so many messages and words at most, and there are MOST_PARTS at most; messages in a bucket.
-PART_MESSAGES, PART_WORDS, MOST_PARTS, BLOCK = 200_000, 500_000, 32_768, 128
+PART_MESSAGES, PART_WORDS, MOST_PARTS, BLOCK = 200_000, 1_000_000, 32_768, 128
+#: Bytes of a stored table that a task shuffles at most: its rows are some fifteen times as much, and fit its memory.
+PIECE = 16 << 20
+#: How such tables are written; a piece has whole row groups.
+_STORED = {"compression": "zstd", "parquet.block.size": str(PIECE)}
 #: Buckets that give the first threshold of a search for the best.
 FIRST = 16
 #: After every word that a prefix begins.
@@ -154,7 +158,7 @@ def _any(keys: list[str]) -> Column:
 def _split(index: Index, messages: DataFrame) -> tuple[DataFrame, str]:
     """((message_id, len, posts), path): texts are split once, and a message's words are put together in its row."""
     words = messages.select("message_id", index.words_of(F.col("text")).alias("words"))
-    return store(words.select("message_id", F.size("words").alias("len"), text.word_places(F.col("words")).alias("posts")), "index-words", compression="zstd")
+    return store(words.select("message_id", F.size("words").alias("len"), text.word_places(F.col("words")).alias("posts")), "index-words", **_STORED)
 
 
 def _bucket(sized: DataFrame) -> tuple[Column, int, int]:
@@ -200,7 +204,8 @@ def _write(ranges: DataFrame, path: str, *order: str) -> None:
 def _written(spark: SparkSession, path: str, blocks: DataFrame, grams: DataFrame | None, lost: DataFrame | None, gone: DataFrame, parts: int) -> None:
     """The tables of one generation in ``path``, of ``grams`` if there are any; ``lost`` are words (word, df) of what it takes away."""
     gone.select("message_id").distinct().write.mode("overwrite").parquet(f"{path}/gone")
-    _write(blocks, f"{path}/blocks", "word", "bucket")
+    with pieces(spark, PIECE):
+        _write(blocks, f"{path}/blocks", "word", "bucket")
     held = _table(spark, path, "blocks").select("word", F.col("n").alias("df"))
     terms = held if lost is None else held.unionByName(lost.select("word", (-F.col("df")).alias("df")))
     _write(terms.groupBy("word").agg(F.sum("df").alias("df")).repartitionByRange(parts, "word"), f"{path}/terms", "word")
@@ -209,9 +214,10 @@ def _written(spark: SparkSession, path: str, blocks: DataFrame, grams: DataFrame
         forget(spark, f"{path}/grams")  # of another index that was here
     else:
         # stored, for the ranges' bounds take a pass of their own over what is cut from the texts
-        cut, at = store(grams.select("script", "token", "message_id"), "index-grams", compression="zstd")
+        cut, at = store(grams.select("script", "token", "message_id"), "index-grams", **_STORED)
         order = ("token", "script", "message_id")
-        _write(cut.repartitionByRange(parts, *order), f"{path}/grams", *order)
+        with pieces(spark, PIECE):
+            _write(cut.repartitionByRange(parts, *order), f"{path}/grams", *order)
         forget(spark, at)
         named.append(("grams", "token"))
     fences = None

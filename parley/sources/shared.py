@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,5 +69,18 @@ def store(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def pieces(spark: SparkSession, most: int) -> Iterator[None]:
+    """Meanwhile files are read in pieces of ``most`` bytes at most, for rows that grow much once they are read."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(name, str(min(most, held)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     return store(df, name)[0]

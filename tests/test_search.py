@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from parley.functions import text
 from parley.operators import cold, index, match, search
 from parley.operators.search import SearchQuery
+from parley.sources import shared
 
 T0 = 1_700_000_000_000
 DAY = 86_400_000
@@ -348,11 +349,11 @@ def test_word_places(spark):
 
 
 def test_a_build_moves_postings_once_and_leaves_nothing_else(spark, corpus, tmp_path):
-    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
-    before = set(shared.glob("index-*"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.glob("index-*"))
     built = index.build(corpus, f"file:{tmp_path}/once")
     index.compacted(index.changed(built, corpus.where("message_id < 9"), corpus.where("message_id < 5")))
-    assert set(shared.glob("index-*")) == before
+    assert set(folder.glob("index-*")) == before
     split, _ = index._split(built, corpus)
     blocks = index._blocks(index.word_postings(split, index._bucket(split)[0]), 4)
     assert blocks.count() == built.table("blocks").count()
@@ -375,3 +376,19 @@ def test_an_index_of_words_alone(spark, corpus, tmp_path):
         assert not list(Path(path).glob("gen-*/grams"))
         with pytest.raises(ValueError, match="words alone"):
             index.fuzzy(held, "abc")
+
+
+def test_what_grows_is_read_in_pieces(spark, corpus, tmp_path, monkeypatch):
+    """A task of a build shuffles a bounded piece of the stored words, whatever their files; then the setting is as it was."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(index, "PIECE", 20_000)
+    monkeypatch.setitem(index._STORED, "parquet.block.size", "20000")
+    split, _ = index._split(index.build(corpus, f"file:{tmp_path}/pieces", grams=False), corpus.coalesce(1))
+    with shared.pieces(spark, index.PIECE):
+        assert spark.read.schema(split.schema).parquet(*split.inputFiles()).rdd.getNumPartitions() > 1
+    assert spark.read.schema(split.schema).parquet(*split.inputFiles()).rdd.getNumPartitions() == 1
+    with pytest.raises(ZeroDivisionError), shared.pieces(spark, 1 << 50):
+        assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) < 1 << 50  # never larger
+        1 / 0  # noqa: B018
+    assert spark.conf.get(name) == before
