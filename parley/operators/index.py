@@ -16,6 +16,7 @@ without the blocks that can't hold one.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -24,14 +25,16 @@ from pyspark.sql import functions as F
 
 from parley.functions import text
 from parley.operators import lexicon, match, search
-from parley.sources.shared import exists, forget, pieces, store
+from parley.sources.shared import exists, forget, modified, pieces, released, store
 
 #: A range of the postings has about so many messages and words at most, and there are MOST_PARTS at most; messages in a bucket.
 PART_MESSAGES, PART_WORDS, MOST_PARTS, BLOCK = 200_000, 1_000_000, 32_768, 128
 #: Bytes of a stored table that a task shuffles at most: its rows are some fifteen times as much, and fit its memory.
 PIECE = 16 << 20
 #: How such tables are written; a piece has whole row groups.
-_STORED = {"compression": "zstd", "parquet.block.size": str(PIECE)}
+_STORED = {"compression": "zstd", "parquet.block.size": str(PIECE), "maxRecordsPerFile": "50000"}
+#: Bytes of stored words whose postings are on disk at a time: shuffled, they are some four times as much.
+ROUND = 160 << 20
 #: Buckets that give the first threshold of a search for the best.
 FIRST = 16
 #: After every word that a prefix begins.
@@ -161,21 +164,30 @@ def _split(index: Index, messages: DataFrame) -> tuple[DataFrame, str]:
     return store(words.select("message_id", F.size("words").alias("len"), text.word_places(F.col("words")).alias("posts")), "index-words", **_STORED)
 
 
-def _bucket(sized: DataFrame) -> tuple[Column, int, int]:
-    """The bucket of a row of ``sized`` (message_id, len): its class of lengths, dealt to as many buckets as that has room for; and sums."""
+def _sums(sized: DataFrame) -> tuple[int, int]:
+    """Messages and words of ``sized`` (len)."""
+    found = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first()
+    return found.n, found.words
+
+
+def _bucket(sized: DataFrame, first: int = 0) -> tuple[Column, int, int, int]:
+    """The bucket of a row of ``sized`` (message_id, len): its class of lengths, dealt to as many buckets as that has room for.
+
+    Buckets are numbered from ``first``; beside them sums of messages and words, and the number after the last one.
+    """
     size_class = F.floor(4 * F.log2(F.col("len") + 1)).cast("int")
     # a class for each quarter of a power of two: some hundred
     classes = sorted(sized.groupBy(size_class.alias("c")).agg(F.count("*").alias("n"), F.sum("len").alias("words")).collect())
-    first, starts, many = 0, [], []
+    starts, many = [], []
     for r in classes:
         room = -(-r.n // BLOCK)
         starts += [F.lit(r.c), F.lit(first)]
         many += [F.lit(r.c), F.lit(room)]
         first += room
     if not classes:
-        return F.lit(0), 0, 0
+        return F.lit(first), 0, 0, first
     start, room = (F.element_at(F.create_map(*pairs), size_class) for pairs in (starts, many))
-    return start + F.pmod(F.xxhash64("message_id"), room).cast("int"), sum(r.n for r in classes), sum(r.words for r in classes)
+    return start + F.pmod(F.xxhash64("message_id"), room).cast("int"), sum(r.n for r in classes), sum(r.words for r in classes), first
 
 
 def word_postings(split: DataFrame, bucket: Column) -> DataFrame:
@@ -195,17 +207,43 @@ def _blocks(postings: DataFrame, parts: int) -> DataFrame:
     return own.select("word", "bucket", "n", "max_tf", "min_len", *(F.col(f"p.{one}").alias(many) for many, one in _ARRAYS.items()))
 
 
-def _write(ranges: DataFrame, path: str, *order: str) -> None:
-    """``ranges`` sorted, a folder each."""
-    own = ranges.withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *order)
-    own.write.mode("overwrite").partitionBy("part").parquet(path, compression="zstd")
+def _rounds(split: DataFrame, path: str) -> Iterator[tuple[DataFrame, int]]:
+    """(postings, ranges) of the stored words, some ROUND bytes of files at a time.
 
-
-def _written(spark: SparkSession, path: str, blocks: DataFrame, grams: DataFrame | None, lost: DataFrame | None, gone: DataFrame, parts: int) -> None:
-    """The tables of one generation in ``path``, of ``grams`` if there are any; ``lost`` are words (word, df) of what it takes away."""
+    Each round has buckets and ranges of its own, and what it read and shuffled goes before the next.
+    """
+    spark, rounds, size = split.sparkSession, [], ROUND
+    for name, length, _ in modified(spark, path):
+        if name.endswith(".parquet"):
+            if size + length > ROUND:
+                rounds.append([])
+                size = 0
+            rounds[-1].append(name)
+            size += length
+    first = 0
+    for names in rounds:
+        own = spark.read.schema(split.schema).parquet(*names)
+        bucket, n, words, first = _bucket(own, first)
+        yield word_postings(own, bucket), _parts(n, words)
+        for name in names:
+            forget(spark, name)
+        released(spark)
+
+
+def _write(ranges: DataFrame, path: str, *order: str, first: int = 0) -> None:
+    """``ranges`` sorted, a folder each, numbered from ``first``; beside those that are there if that isn't 0."""
+    own = ranges.withColumn("part", F.spark_partition_id() + first).sortWithinPartitions("part", *order)
+    own.write.mode("append" if first else "overwrite").partitionBy("part").parquet(path, compression="zstd")
+
+
+def _written(spark: SparkSession, path: str, rounds: Iterable[tuple[DataFrame, int]], grams: DataFrame | None, lost: DataFrame | None, gone: DataFrame, parts: int) -> None:
+    """The tables of one generation in ``path``: blocks of the postings of each of ``rounds``, ``grams`` if there are any; ``lost`` are words (word, df) of what it takes away."""
     gone.select("message_id").distinct().write.mode("overwrite").parquet(f"{path}/gone")
-    with pieces(spark, PIECE):
-        _write(blocks, f"{path}/blocks", "word", "bucket")
+    first = 0
+    for postings, many in rounds:
+        with pieces(spark, PIECE):
+            _write(_blocks(postings, many), f"{path}/blocks", "word", "bucket", first=first)
+        first += many
     held = _table(spark, path, "blocks").select("word", F.col("n").alias("df"))
     terms = held if lost is None else held.unionByName(lost.select("word", (-F.col("df")).alias("df")))
     _write(terms.groupBy("word").agg(F.sum("df").alias("df")).repartitionByRange(parts, "word"), f"{path}/terms", "word")
@@ -248,10 +286,10 @@ def build(messages: DataFrame, path: str, grams: bool = True) -> Index:
     spark = messages.sparkSession
     lexicon.learned(messages).coalesce(1).write.mode("overwrite").parquet(f"{path}/lexicon")
     split, at = _split(Index(spark, path, 0), messages)
-    bucket, n, words = _bucket(split)
+    n, words = _sums(split)
     parts = _parts(n, words)
     cut = search.fuzzy_grams(messages) if grams else None
-    _written(spark, f"{path}/gen-0", _blocks(word_postings(split, bucket), parts), cut, None, messages.where(F.lit(False)), parts)
+    _written(spark, f"{path}/gen-0", _rounds(split, at), cut, None, messages.where(F.lit(False)), parts)
     forget(spark, at)
     return _named(spark, path, 0, [(0, parts, n, words)])
 
@@ -265,16 +303,16 @@ def changed(index: Index, before: DataFrame, after: DataFrame) -> Index:
     spark, gen = index.spark, index.generations[-1].gen + 1
     old = before.select("message_id", index.words_of(F.col("text")).alias("words")).withColumn("len", F.size("words"))
     split, at = _split(index, after)
-    bucket, n, words = _bucket(split)
-    less = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first()
+    n, words = _sums(split)
+    less_n, less_words = _sums(old)
     lost = old.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     # the words that it takes are in its dictionary too
-    parts = _parts(max(n, less.n), max(words, less.words))
+    parts = _parts(max(n, less_n), max(words, less_words))
     cut = search.fuzzy_grams(after) if index.has_grams else None
-    _written(spark, f"{index.path}/gen-{gen}", _blocks(word_postings(split, bucket), parts), cut, lost, before, parts)
+    _written(spark, f"{index.path}/gen-{gen}", _rounds(split, at), cut, lost, before, parts)
     forget(spark, at)
     held = [tuple(g) for g in index.generations]
-    return _named(spark, index.path, index.version + 1, [*held, (gen, parts, n - less.n, words - less.words)])
+    return _named(spark, index.path, index.version + 1, [*held, (gen, parts, n - less_n, words - less_words)])
 
 
 def added(index: Index, messages: DataFrame) -> Index:
@@ -291,7 +329,7 @@ def compacted(index: Index) -> Index:
     own = held.withColumn("bucket", _bucket(sized)[0]).select("word", "bucket", "message_id", "len", "places")
     words = sum(g.words for g in index.generations)
     parts = _parts(index.n, words)
-    _written(spark, f"{index.path}/gen-{gen}", _blocks(own, parts), index.grams if index.has_grams else None, None, held.where(F.lit(False)), parts)
+    _written(spark, f"{index.path}/gen-{gen}", [(own, parts)], index.grams if index.has_grams else None, None, held.where(F.lit(False)), parts)
     return _named(spark, index.path, index.version + 1, [(gen, parts, index.n, words)])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,6 +70,13 @@ def store(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffle files of queries that ended and whose results are stored; Spark does so when its driver collects garbage."""
+    for _ in range(2):  # the first tells the JVM what Python has let go of
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 @contextmanager
 def pieces(spark: SparkSession, most: int) -> Iterator[None]:
     """Meanwhile files are read in pieces of ``most`` bytes at most, for rows that grow much once they are read."""

@@ -392,3 +392,16 @@ def test_what_grows_is_read_in_pieces(spark, corpus, tmp_path, monkeypatch):
         assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) < 1 << 50  # never larger
         1 / 0  # noqa: B018
     assert spark.conf.get(name) == before
+
+
+def test_an_index_is_built_in_rounds(spark, corpus, tmp_path, monkeypatch):
+    """Only some of the postings are shuffled at a time, and the index is the same."""
+    monkeypatch.setattr(index, "ROUND", 1)
+    built = index.build(corpus.repartition(3), f"file:{tmp_path}/rounds", grams=False)
+    blocks = built.table("blocks")
+    assert blocks.select("part").distinct().count() == 12
+    assert blocks.groupBy("bucket").agg(F.max(F.floor(F.col("part") / 4)).alias("a"), F.min(F.floor(F.col("part") / 4)).alias("b")).where("a <> b").count() == 0
+    for query in ("w3 w1", '"w1 w0"', "w5* NOT w3"):
+        assert scores(index.full_text(built, query)) == scores(search.full_text(corpus, query)), query
+    want = sorted(scores(search.full_text(corpus, "w0 OR w20")).items(), key=lambda r: (-r[1], r[0]))[:10]
+    assert sorted(scores(index.best(built, "w0 OR w20", 10)).items(), key=lambda r: (-r[1], r[0]))[:10] == want
